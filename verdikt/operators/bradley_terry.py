@@ -46,25 +46,25 @@ def fit_bradley_terry(rounds: DataFrame, scope: list[str], penalty: float | str
     pen = F.col(penalty) if isinstance(penalty, str) else F.lit(float(penalty))
     keys = [*scope, "section_id"]
     base = cut_lineage(rounds.select(*keys, "score", "side", "side_a_ids", "side_b_ids",
-                                     pen.alias("penalty")).withColumn("z", F.lit(0.0)))
+                                     pen.alias("_pen")).withColumn("z", F.lit(0.0)))
     links = cut_lineage(_members(base, keys))
     now = base
     strengths = cut_lineage(links.select(*scope, "subject").distinct().withColumn("strength", F.lit(0.0)))
     fits = cut_lineage(
         base.groupBy(*scope).agg(F.sum(_loss(F.col("z"), F.col("score"))).alias("loss"),
-                                 F.max("penalty").alias("penalty"))
+                                 F.max("_pen").alias("_pen"))
         .withColumn("side_term", F.lit(0.0)).withColumn("rate", F.lit(rate))
         .withColumn("iterations", F.lit(0)).withColumn("running", F.lit(True)))
     for _ in range(iterations):
-        live = fits.where("running").select(*scope, "side_term", "rate", "loss", "penalty")
+        live = fits.where("running").select(*scope, "side_term", "rate", "loss", "_pen")
         off = (now.join(live.select(*scope), scope, "left_semi")
                .withColumn("g", 1 / (1 + F.exp(-F.col("z"))) - F.col("score")))
         pulls = (links.join(off.select(*keys, "g"), keys)
                  .groupBy(*scope, "subject").agg(F.sum(F.col("sign") * F.col("g")).alias("pull")))
         grads = cut_lineage(
-            strengths.join(live.select(*scope, "penalty"), scope).join(pulls, [*scope, "subject"], "left")
+            strengths.join(live.select(*scope, "_pen"), scope).join(pulls, [*scope, "subject"], "left")
             .select(*scope, "subject", "strength",
-                    (F.coalesce("pull", F.lit(0.0)) + F.col("penalty") * F.col("strength")).alias("grad")))
+                    (F.coalesce("pull", F.lit(0.0)) + F.col("_pen") * F.col("strength")).alias("grad")))
         side_grad = off.groupBy(*scope).agg(F.sum(F.col("g") * F.col("side")).alias("g_side"))
         dz = (links.join(grads.select(*scope, "subject", "grad"), [*scope, "subject"])
               .groupBy(*keys).agg(F.sum(F.col("sign") * F.col("grad")).alias("dz")))
@@ -79,7 +79,7 @@ def fit_bradley_terry(rounds: DataFrame, scope: list[str], penalty: float | str
             *[F.sum(_loss(F.col("z") - step[k] * F.col("dz"), F.col("score"))).alias(f"l{k}")
               for k in range(HALVINGS)])
         priced = trial.join(squares, scope).join(live, scope)
-        total = [F.col(f"l{k}") + F.col("penalty") / 2 * (
+        total = [F.col(f"l{k}") + F.col("_pen") / 2 * (
             F.col("ss") - 2 * step[k] * F.col("sg") + step[k] * step[k] * F.col("gg")) for k in range(HALVINGS)]
         tries = F.array(*[F.struct(step[k].alias("step"), total[k].alias("next")) for k in range(HALVINGS)])
         took = F.get(F.filter(tries, lambda t: t["next"] <= F.col("loss")), F.lit(0))
@@ -100,7 +100,7 @@ def fit_bradley_terry(rounds: DataFrame, scope: list[str], penalty: float | str
             fits.join(chosen, scope, "left")
             .withColumn("go_on", F.coalesce(F.col("step").isNotNull() & (F.col("was") - F.col("next") >= ENOUGH),
                                             F.lit(False)))
-            .select(*scope, F.coalesce("next", "loss").alias("loss"), "penalty",
+            .select(*scope, F.coalesce("next", "loss").alias("loss"), "_pen",
                     (F.col("side_term") - F.coalesce(F.col("step") * F.col("g_side"), F.lit(0.0))).alias("side_term"),
                     F.coalesce("step", "rate").alias("rate"),
                     (F.col("iterations") + F.col("running").cast("int")).alias("iterations"),

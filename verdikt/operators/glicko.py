@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from verdikt.operators.lineage import cut_lineage
 
@@ -98,22 +98,19 @@ def glicko_update(df: DataFrame, o: Options) -> DataFrame:
     Without evidence the deviation grows by one period instead.
     """
     phi = F.col("deviation") / SCALE
-    staged = (df.withColumn("_phi2v", phi * phi + 1 / F.col("v_inv"))
-              .withColumn("_delta2", F.pow(F.col("delta_sum") / F.col("v_inv"), F.lit(2.0)))
-              .withColumn("_sigma", F.when(F.col("v_inv") > 0, new_volatility(
-                  "_phi2v", "_delta2", "volatility", o.tau)))
-              .withColumn("_phi_new", 1 / F.sqrt(
-                  1 / (phi * phi + F.col("_sigma") * F.col("_sigma")) + F.col("v_inv"))))
-    seen = F.col("v_inv") > 0
+    seen = F.coalesce(F.col("v_inv") > 0, F.lit(False))
+    keep = [c for c in df.columns if c not in ("rating", "deviation", "volatility", "v_inv", "delta_sum")]
+    ready = df.select("*", (phi * phi + 1 / F.col("v_inv")).alias("_phi2v"),
+                      F.pow(F.col("delta_sum") / F.col("v_inv"), F.lit(2.0)).alias("_delta2"))
+    moved = ready.select("*", F.when(seen, new_volatility("_phi2v", "_delta2", "volatility", o.tau)).alias("_sigma"))
+    spread = moved.select("*", (1 / F.sqrt(1 / (phi * phi + F.col("_sigma") * F.col("_sigma")) + F.col("v_inv")))
+                          .alias("_phi_new"))
     mu = (F.col("rating") - RATING) / SCALE + F.col("_phi_new") * F.col("_phi_new") * F.col("delta_sum")
-    return (staged.withColumn("_rating", F.when(seen, mu * SCALE + RATING).otherwise(F.col("rating")))
-            .withColumn("_deviation", F.when(seen, F.least(F.lit(o.max_deviation), F.col("_phi_new") * SCALE))
-                        .otherwise(decayed(F.col("deviation"), F.col("volatility"), F.lit(1.0),
-                                           o.max_deviation)))
-            .withColumn("_volatility", F.coalesce("_sigma", "volatility"))
-            .drop("rating", "deviation", "volatility", "_phi2v", "_delta2", "_sigma", "_phi_new",
-                  "v_inv", "delta_sum")
-            .withColumnsRenamed({"_rating": "rating", "_deviation": "deviation", "_volatility": "volatility"}))
+    return spread.select(
+        *keep, F.when(seen, mu * SCALE + RATING).otherwise(F.col("rating")).alias("rating"),
+        F.when(seen, F.least(F.lit(o.max_deviation), F.col("_phi_new") * SCALE))
+        .otherwise(decayed(F.col("deviation"), F.col("volatility"), F.lit(1.0), o.max_deviation)).alias("deviation"),
+        F.coalesce("_sigma", "volatility").alias("volatility"))
 
 
 def evidence(pairs: DataFrame) -> DataFrame:
@@ -123,53 +120,53 @@ def evidence(pairs: DataFrame) -> DataFrame:
     """
     g = _g(F.col("their_deviation") / SCALE)
     edge = (F.col("rating") + F.col("advantage") - F.col("their_rating")) / SCALE
-    e = 1 / (1 + F.exp(-g * edge))
-    return (pairs.withColumn("_g", g).withColumn("_e", e)
-            .withColumn("info", F.col("_g") * F.col("_g") * F.col("_e") * (1 - F.col("_e")))
-            .withColumn("pull", F.col("_g") * (F.col("score") - F.col("_e"))).drop("_g", "_e"))
+    held = pairs.select("*", g.alias("_g"), (1 / (1 + F.exp(-g * edge))).alias("_e"))
+    return held.select(*pairs.columns, (F.col("_g") * F.col("_g") * F.col("_e") * (1 - F.col("_e"))).alias("info"),
+                       (F.col("_g") * (F.col("score") - F.col("_e"))).alias("pull"))
 
 
-def debater_estimates(state: DataFrame, members: DataFrame, dates: DataFrame, scope: list[str],
-                      o: Options) -> DataFrame:
-    """Precision-weighted mean of a person's rated partnerships, decayed to ``as_of``."""
-    dev = deviation_at(F.col("deviation"), F.col("volatility"), F.col("last_date"), F.col("as_of"), o)
+def debater_estimates(state: DataFrame, members: DataFrame, scope: list[str], o: Options = VALIDATED) -> DataFrame:
+    """Precision-weighted mean of a person's rated partnerships, decayed to ``prev_date``.
+
+    members: scope subject debater_id prev_date, the people asked about.
+    """
+    dev = deviation_at(F.col("deviation"), F.col("volatility"), F.col("last_date"), F.col("prev_date"), o)
+    rated = state.where(F.col("periods") > 0).select(*scope, "subject", "rating", "deviation", "volatility", "last_date")
     w = 1 / (F.col("_dev") * F.col("_dev"))
-    return (state.where(F.col("periods") > 0).drop("as_of").join(dates, scope).withColumn("_dev", dev)
-            .join(members, [*scope, "subject"])
-            .groupBy(*scope, "debater_id")
+    return (members.join(rated, [*scope, "subject"]).withColumn("_dev", dev).groupBy(*scope, "debater_id")
             .agg((F.sum(w * F.col("rating")) / F.sum(w)).alias("m_rating"),
                  F.least(F.lit(o.max_deviation), F.sqrt(1 / F.sum(w))).alias("m_deviation"),
                  F.avg("volatility").alias("m_volatility")))
 
 
-def seed_new_pairs(fresh: DataFrame, estimates: DataFrame, members: DataFrame, scope: list[str],
-                   o: Options, variants: dict[str, Options] | None = None,
-                   initial: DataFrame | None = None) -> DataFrame:
-    """Starting rating of subjects without one: a carried-over rating, else from the members."""
+def seed_new_pairs(fresh: DataFrame, estimates: DataFrame, scope: list[str], o: Options = VALIDATED,
+                   variants: dict[str, Options] | None = None, initial: DataFrame | None = None) -> DataFrame:
+    """Starting rating of subjects without one: a carried-over rating, else from the members.
+
+    fresh: scope subject debater_id, a row per member.
+    """
     pairing, seeded = _option(variants, o, "pairing_deviation"), _option(variants, o, "seed_from_members")
-    per = (fresh.join(members, [*scope, "subject"], "left")
-           .join(estimates, [*scope, "debater_id"], "left")
-           .groupBy(*scope, "subject")
-           .agg(F.count("m_rating").alias("known"),
-                F.avg(F.coalesce("m_rating", F.lit(RATING))).alias("mean"),
+    per = (fresh.join(estimates, [*scope, "debater_id"], "left").groupBy(*scope, "subject")
+           .agg(F.count("m_rating").alias("known"), F.avg(F.coalesce("m_rating", F.lit(RATING))).alias("mean"),
                 (F.sqrt(F.sum(F.pow(F.coalesce("m_deviation", F.lit(DEVIATION)), F.lit(2.0))))
                  / F.count("*")).alias("blur"),
                 F.min("m_deviation").alias("least"), F.avg("m_volatility").alias("vol")))
+    usable = (F.col("known") > 0) & seeded
+    spread = F.least(F.lit(o.max_deviation), F.hypot(F.greatest("blur", "least"), pairing.cast("double")))
+    rating = F.when(usable, F.col("mean")).otherwise(RATING)
+    deviation = F.when(usable, spread).otherwise(DEVIATION)
+    volatility = F.when(usable, F.col("vol")).otherwise(VOLATILITY)
     if initial is not None:
         per = per.join(initial.select(*scope, "subject", F.col("rating").alias("i_r"),
                                       F.col("deviation").alias("i_d"), F.col("volatility").alias("i_v")),
                        [*scope, "subject"], "left")
-    else:
-        per = per.select("*", *[F.lit(None).cast("double").alias(c) for c in ("i_r", "i_d", "i_v")])
-    carried, usable = F.col("i_r").isNotNull(), (F.col("known") > 0) & seeded
-    spread = F.least(F.lit(o.max_deviation),
-                     F.hypot(F.greatest("blur", "least"), pairing.cast("double")))
-    return per.select(
-        *scope, "subject",
-        F.when(carried, F.col("i_r")).when(usable, F.col("mean")).otherwise(RATING).alias("rating"),
-        F.when(carried, F.least(F.lit(o.max_deviation), F.greatest(F.col("i_d"), F.lit(o.iteration_deviation))))
-        .when(usable, spread).otherwise(DEVIATION).alias("deviation"),
-        F.when(carried, F.col("i_v")).when(usable, F.col("vol")).otherwise(VOLATILITY).alias("volatility"))
+        carried = F.col("i_r").isNotNull()
+        rating = F.when(carried, F.col("i_r")).otherwise(rating)
+        deviation = F.when(carried, F.least(F.lit(o.max_deviation), F.greatest(
+            F.col("i_d"), F.lit(o.iteration_deviation)))).otherwise(deviation)
+        volatility = F.when(carried, F.col("i_v")).otherwise(volatility)
+    return per.select(*scope, "subject", rating.alias("seed_rating"), deviation.alias("seed_deviation"),
+                      volatility.alias("seed_volatility"))
 
 
 def _option(variants: dict[str, Options] | None, o: Options, name: str) -> Column:
@@ -192,8 +189,7 @@ class Run:
 
 
 _STATE = ("rating double, deviation double, volatility double, rounds int, contested int, "
-          "periods int, last_date date, touched boolean, scheduled boolean, period_id string, "
-          "tournament_id string, as_of date")
+          "periods int, last_date date, scheduled boolean, period_id string, tournament_id string, as_of date")
 
 
 def _empty_state(rounds: DataFrame, scope: list[str]) -> DataFrame:
@@ -202,80 +198,87 @@ def _empty_state(rounds: DataFrame, scope: list[str]) -> DataFrame:
     return spark.createDataFrame([], f"{keys}, subject string, {_STATE}")
 
 
-def run_period(state: DataFrame, rounds: DataFrame, contested: DataFrame, members: DataFrame,
-               scope: list[str], o: Options, variants=None, initial=None,
-               predict: bool = False, tau: DataFrame | None = None):
-    """One period for every run in ``scope``: the next state, and predictions if asked for.
+@dataclass
+class Schedule:
+    """What each period needs that no rating decides, made once for the whole run.
 
-    rounds: scope period_id tournament_id date a b score adv; contested: scope
-    subject contested period_id tournament_id date.
+    sides: both views of every rated round; active: every subject of a period with its
+    contested rounds; newcomers: the members of subjects met for the first time, with
+    the date their estimates were last refreshed. All partitioned by ``period_seq``.
     """
-    subject = [*scope, "subject"]
-    stamp = ["period_id", "tournament_id", "date"]
-    active = (rounds.select(*scope, *stamp, F.explode(F.array("a", "b")).alias("subject"))
-              .union(contested.select(*scope, *stamp, "subject")).distinct())
-    prior = state.select(*subject, "rating", "deviation", "volatility", "rounds", "contested", "periods",
-                         "last_date")
-    met = active.join(prior, subject, "left")
-    fresh = met.where(F.col("periods").isNull()).select(*subject)
-    dates = state.groupBy(*scope).agg(F.max("as_of").alias("as_of"))
-    wanted = fresh.join(members, subject).select(*scope, "debater_id").distinct()
-    own = members.join(wanted, [*scope, "debater_id"], "left_semi")
-    seeds = seed_new_pairs(fresh, debater_estimates(state, own, dates, scope, o), members, scope, o,
-                           variants, initial)
-    at = met.where(F.col("periods").isNotNull()).withColumn(
-        "now_deviation", deviation_at(F.col("deviation"), F.col("volatility"), F.col("last_date"),
-                                      F.col("date"), o))
-    blank = met.where(F.col("periods").isNull()).drop("rating", "deviation", "volatility").join(
-        seeds, subject).withColumn("now_deviation", F.col("deviation"))
-    before = cut_lineage(at.unionByName(blank.select(at.columns)))
 
+    sides: DataFrame
+    active: DataFrame
+    newcomers: DataFrame
+    periods: int
+    with_newcomers: frozenset
+
+
+def schedule(rounds: DataFrame, contested: DataFrame, members: DataFrame, scope: list[str]) -> Schedule:
+    """rounds carry ``score`` and ``adv``, both as side a sees them."""
+    view = lambda me, you, score, adv: F.struct(
+        F.col(me).alias("subject"), F.col(you).alias("other"), score.alias("score"), adv.alias("advantage"))
+    stamp = ["period_seq", "period_id", "tournament_id", "date"]
+    sides = cut_lineage(rounds.select(*scope, *stamp, "section_id", F.explode(F.array(
+        view("a", "b", F.col("score"), F.col("adv")), view("b", "a", 1 - F.col("score"), -F.col("adv")))).alias("s"))
+        .select(*scope, *stamp, "section_id", "s.*"), "period_seq")
+    active = (sides.select(*scope, *stamp, "subject", F.lit(0).alias("c"))
+              .unionByName(contested.select(*scope, *stamp, "subject", F.col("contested").cast("int").alias("c")))
+              .groupBy(*scope, *stamp, "subject").agg(F.sum("c").cast("int").alias("c")))
+    active = cut_lineage(active, "period_seq")
+    # One short row per period of a run: when it was, and when the one before it was.
+    before = W.partitionBy(*scope).orderBy("period_seq")
+    calendar = (active.select(*scope, "period_seq", "date").distinct()
+                .withColumn("prev_date", F.lag("date").over(before)))
+    first = (active.groupBy(*scope, "subject").agg(F.min("period_seq").alias("period_seq"))
+             .join(calendar.drop("date"), [*scope, "period_seq"]))
+    newcomers = cut_lineage(first.join(members.select(*scope, "subject", "debater_id"), [*scope, "subject"], "left"),
+                            "period_seq")
+    counts = newcomers.select("period_seq").distinct().collect()  # one value per period
+    last = active.agg(F.max("period_seq")).first()[0] or 0
+    return Schedule(sides, active, newcomers, last, frozenset(r[0] for r in counts))
+
+
+def run_period(state: DataFrame, plan: Schedule, seq: int, members: DataFrame, scope: list[str], o: Options,
+               variants: dict[str, Options] | None = None, initial: DataFrame | None = None):
+    """Steps every run of ``scope`` through one period: (ratings before it, state after it)."""
+    subject = [*scope, "subject"]
+    active = plan.active.where(F.col("period_seq") == seq).drop("period_seq")
+    met = active.join(state.select(*subject, "rating", "deviation", "volatility", "rounds", "contested", "periods",
+                                   "last_date"), subject, "left")
+    now = deviation_at(F.col("deviation"), F.col("volatility"), F.col("last_date"), F.col("date"), o)
+    if seq in plan.with_newcomers:
+        fresh = plan.newcomers.where(F.col("period_seq") == seq).drop("period_seq")
+        people = fresh.where(F.col("debater_id").isNotNull()).select(*scope, "debater_id", "prev_date").distinct()
+        estimates = debater_estimates(state, members.join(people, [*scope, "debater_id"]), scope, o)
+        seeds = seed_new_pairs(fresh, estimates, scope, o, variants, initial)
+        met = met.join(seeds, subject, "left").withColumns({
+            "rating": F.coalesce("rating", "seed_rating"), "deviation": F.coalesce("deviation", "seed_deviation"),
+            "volatility": F.coalesce("volatility", "seed_volatility")}).drop(
+            "seed_rating", "seed_deviation", "seed_volatility")
+    before = cut_lineage(met.withColumn("now_deviation", now))
     mine = before.select(*subject, "rating", F.col("now_deviation").alias("deviation"))
     theirs = mine.select(*scope, F.col("subject").alias("other"), F.col("rating").alias("their_rating"),
                          F.col("deviation").alias("their_deviation"))
-    faced = rounds.select(
-        *scope, "section_id", F.explode(F.array(
-            F.struct(F.lit(True).alias("is_a"), F.col("a").alias("subject"), F.col("b").alias("other"),
-                     F.col("score").alias("score"), F.col("adv").alias("advantage")),
-            F.struct(F.lit(False).alias("is_a"), F.col("b").alias("subject"), F.col("a").alias("other"),
-                     (1 - F.col("score")).alias("score"), (-F.col("adv")).alias("advantage")))).alias("s"))
-    faced = faced.select(*scope, "section_id", "s.*").join(mine, subject).join(theirs, [*scope, "other"])
-    predictions = None
-    if predict:
-        faced = cut_lineage(faced)
-        view = faced.where("is_a")
-        if tau is None:
-            p = win_probability(F.col("rating"), F.col("deviation"), F.col("their_rating"),
-                                F.col("their_deviation"), F.col("advantage"))
-        else:
-            view = view.join(tau, scope, "left").fillna(150.0, ["tau"])
-            p = win_probability(shrink_to_field(F.col("rating"), F.col("deviation"), F.col("tau")),
-                                F.col("deviation"),
-                                shrink_to_field(F.col("their_rating"), F.col("their_deviation"), F.col("tau")),
-                                F.col("their_deviation"), F.col("advantage"))
-        predictions = view.select(*scope, "section_id", p.alias("p_a"))
+    faced = (plan.sides.where(F.col("period_seq") == seq).select(*scope, "subject", "other", "score", "advantage")
+             .join(mine, subject).join(theirs, [*scope, "other"]))
     summed = evidence(faced).groupBy(*subject).agg(
         F.sum("info").alias("v_inv"), F.sum("pull").alias("delta_sum"), F.count("*").cast("int").alias("n"))
-    unrated = contested.groupBy(*subject).agg(F.sum("contested").cast("int").alias("c"))
-    seen = before.join(summed, subject, "left").join(unrated, subject, "left").fillna(0, [
-        "n", "c", "rounds", "contested", "periods"])
-    debated = glicko_update(seen.where("n > 0").drop("deviation").withColumnRenamed(
-        "now_deviation", "deviation"), o).withColumn("last_date", F.col("date"))
-    only = seen.where("n = 0").drop("v_inv", "delta_sum", "now_deviation").withColumn(
-        "last_date", F.coalesce("last_date", "date"))
-    stepped = debated.unionByName(only.select(debated.columns)).select(
-        *subject, "rating", "deviation", "volatility",
-        (F.col("rounds") + F.col("n")).cast("int").alias("rounds"),
-        (F.col("contested") + F.col("c")).cast("int").alias("contested"),
-        (F.col("periods") + F.when(F.col("n") > 0, 1).otherwise(0)).cast("int").alias("periods"),
-        "last_date", F.lit(True).alias("touched"), (F.col("n") > 0).alias("scheduled"), "period_id",
-        "tournament_id", F.col("date").alias("as_of"))
-    # One date per run per period, so the carried rows take it from the short list.
-    today = active.groupBy(*scope).agg(F.max("date").alias("today"))
-    kept = (state.join(before.select(*subject), subject, "left_anti").join(today, scope, "left")
-            .withColumn("as_of", F.coalesce("today", "as_of"))
-            .withColumn("touched", F.lit(False)).withColumn("scheduled", F.lit(False)).drop("today"))
-    return cut_lineage(stepped.unionByName(kept.select(stepped.columns))), predictions
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    seen = before.join(summed, subject, "left").withColumns({
+        "scheduled": F.col("n").isNotNull(), "held": F.col("deviation"), "deviation": F.col("now_deviation"),
+        "held_rating": F.col("rating"), "held_volatility": F.col("volatility")})
+    went = F.col("scheduled")
+    stepped = glicko_update(seen, o).select(
+        *subject, F.when(went, F.col("rating")).otherwise(F.col("held_rating")).alias("rating"),
+        F.when(went, F.col("deviation")).otherwise(F.col("held")).alias("deviation"),
+        F.when(went, F.col("volatility")).otherwise(F.col("held_volatility")).alias("volatility"),
+        (zero("rounds") + zero("n")).cast("int").alias("rounds"), (zero("contested") + zero("c")).cast("int").alias("contested"),
+        (zero("periods") + went.cast("int")).cast("int").alias("periods"),
+        F.when(went, F.col("date")).otherwise(F.coalesce("last_date", "date")).alias("last_date"),
+        "scheduled", "period_id", "tournament_id", F.col("date").alias("as_of"))
+    kept = state.join(before.select(*subject), subject, "left_anti").withColumn("scheduled", F.lit(False))
+    return before, cut_lineage(stepped.unionByName(kept))
 
 
 def run_season(rounds: DataFrame, contested: DataFrame, members: DataFrame, options: Options = VALIDATED,
@@ -294,34 +297,50 @@ def run_season(rounds: DataFrame, contested: DataFrame, members: DataFrame, opti
         rounds, contested, members = (d.select("*", tag) for d in (rounds, contested, members))
         scope = [*scope, "variant"]
     side = _option(variants, options, "side_advantage")
-    scored = rounds.withColumn(
-        "score", ballot_score("won_a", "ballots", _option(variants, options, "margin_weight"))).withColumn(
-        "adv", F.when(F.col("side_a") == 1, side).otherwise(-side).cast("double"))
-    scored = cut_lineage(scored, "period_seq")
-    contested = cut_lineage(contested, "period_seq")
+    scored = rounds.withColumns({
+        "score": ballot_score("won_a", "ballots", _option(variants, options, "margin_weight")),
+        "adv": F.when(F.col("side_a") == 1, side).otherwise(-side).cast("double")})
     members = cut_lineage(members)
-    last = scored.select("period_seq").union(contested.select("period_seq")).agg(F.max("period_seq")).first()[0]
-    state, history, predictions, tau = cut_lineage(_empty_state(scored, scope)), [], [], None
-    for seq in range(1, (last or 0) + 1):
-        state, predicted = run_period(
-            state, scored.where(F.col("period_seq") == seq), contested.where(F.col("period_seq") == seq),
-            members, scope, options, variants, initial, predict, tau)
+    plan = schedule(scored, contested, members, scope)
+    state, history, entering, spreads = cut_lineage(_empty_state(scored, scope)), [], [], []
+    tau = None
+    for seq in range(1, plan.periods + 1):
+        if shrink and tau is not None:
+            spreads.append(tau.withColumn("period_seq", F.lit(seq)))
+        before, state = run_period(state, plan, seq, members, scope, options, variants, initial)
         history.append(state.where("scheduled").withColumn("period_seq", F.lit(seq)))
-        if predicted is not None:
-            predictions.append(predicted)
+        entering.append(before.select(*scope, "subject", "rating", "now_deviation", F.lit(seq).alias("period_seq")))
         if shrink:
             tau = cut_lineage(_running_tau(state, tau, scope, options))
-    merge = lambda parts: reduce(DataFrame.unionByName, parts) if parts else None
-    past = merge(history)
-    if past is None:
-        past = state.where("scheduled").withColumn("period_seq", F.lit(0))
-    return Run(state, past, merge(predictions), scope)
+    merge = lambda parts: reduce(DataFrame.unionByName, parts)
+    past = merge(history) if history else state.where("scheduled").withColumn("period_seq", F.lit(0))
+    run = Run(state, past, None, scope)
+    if predict and entering:
+        run.predictions = _predict(scored, merge(entering), merge(spreads) if spreads else None, scope, shrink)
+    return run
+
+
+def _predict(rounds: DataFrame, entering: DataFrame, spreads: DataFrame | None, scope: list[str],
+             shrink: bool) -> DataFrame:
+    """Every round's probability for side a, from the ratings both sides entered its period with."""
+    keys = [*scope, "period_seq"]
+    side = lambda s: entering.select(*keys, F.col("subject").alias(s), F.col("rating").alias(f"r_{s}"),
+                                     F.col("now_deviation").alias(f"d_{s}"))
+    faced = (rounds.select(*keys, "section_id", "a", "b", "adv").join(side("a"), [*keys, "a"])
+             .join(side("b"), [*keys, "b"]))
+    r_a, r_b, d_a, d_b = (F.col(c) for c in ("r_a", "r_b", "d_a", "d_b"))
+    if shrink:
+        faced = (faced.join(spreads, keys, "left") if spreads is not None
+                 else faced.withColumn("tau", F.lit(None).cast("double"))).fillna(150.0, ["tau"])
+        r_a, r_b = (shrink_to_field(r, d, F.col("tau")) for r, d in ((r_a, d_a), (r_b, d_b)))
+    return faced.select(*scope, "section_id", win_probability(r_a, d_a, r_b, d_b, F.col("adv")).alias("p_a"))
 
 
 def _running_tau(state: DataFrame, before: DataFrame | None, scope: list[str], o: Options) -> DataFrame:
     """The field's spread once more than twenty subjects have five rounds, else what it was."""
-    now = deviation_at(F.col("deviation"), F.col("volatility"), F.col("last_date"), F.col("as_of"), o)
-    seen = state.where(F.col("rounds") >= 5).withColumn("deviation", now)
+    today = state.groupBy(*scope).agg(F.max("as_of").alias("_day"))
+    now = deviation_at(F.col("deviation"), F.col("volatility"), F.col("last_date"), F.col("_day"), o)
+    seen = state.where(F.col("rounds") >= 5).join(today, scope).withColumn("deviation", now)
     fresh = (field_spread(seen, scope, ["n"]).where("n > 20").select(*scope, F.col("tau").alias("fresh")))
     old = state.select(*scope).distinct()
     old = old.withColumn("tau", F.lit(150.0)) if before is None else old.join(

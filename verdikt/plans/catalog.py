@@ -1,4 +1,4 @@
 """Every registered query, gathered by importing the modules that register them."""
 
-from verdikt.plans import scoring_queries  # noqa: F401
+from verdikt.plans import rating_queries, scoring_queries  # noqa: F401
 from verdikt.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -48,6 +48,14 @@ def loaded(build):
     return property(get, doc=build.__doc__)
 
 
+def loaded_as(tables: "DriverTables", name: str, build) -> DataFrame:
+    """As ``loaded``, for a table a query module derives."""
+    key = (tables.spark.sparkContext.applicationId, tables.folder, name)
+    if key not in _loaded:
+        _loaded[key] = cut_lineage(build())
+    return _loaded[key]
+
+
 class DriverTables:
     """Derived tables of one data folder."""
 

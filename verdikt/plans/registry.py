@@ -124,7 +124,7 @@ CTES: dict[str, str] = {
     "sides": """SELECT season_id, tournament_id, starts_on, event_id, kind, section_id, entry_id, supp, min(side) AS side,
                 bool_or(is_bye) AS is_bye, count(won) AS decided, count(*) FILTER (WHERE won) AS won
               FROM ballots WHERE division = 'open' GROUP BY ALL""",
-    "classified": """SELECT season_id, tournament_id, starts_on, section_id, kind, a.pair AS a, b.pair AS b, won_a, ballots, side_a,
+    "classified": """SELECT x.season_id, x.tournament_id, starts_on, section_id, kind, a.pair AS a, b.pair AS b, won_a, ballots, side_a,
                 CASE WHEN bye THEN 'bye' WHEN n <> 2 THEN 'odd_section' WHEN ballots = 0 THEN 'undecided'
                      WHEN won_a * 2 = ballots THEN 'tied' WHEN a.pair IS NULL OR b.pair IS NULL THEN 'unknown_team'
                      WHEN a.pair = b.pair THEN 'self_match' ELSE 'rated' END AS reason
@@ -142,6 +142,15 @@ CTES: dict[str, str] = {
     "rated": """SELECT c.*, p.period_seq FROM classified AS c JOIN periods AS p ON p.season_id = c.season_id
                 AND p.tournament_id = c.tournament_id AND p.phase = CASE WHEN c.kind = 'elim' THEN 1 ELSE 0 END
               WHERE reason = 'rated'""",
+    "gains": """SELECT g.season_id, g.pair AS subject, p.period_seq AS at, max(g.points)::DOUBLE AS points FROM results AS g
+              JOIN periods AS p ON p.season_id = g.season_id AND p.tournament_id = g.tournament_id AND p.final
+              WHERE g.excluded_reason IS NULL AND g.division = 'open' GROUP BY ALL""",
+    "gain_totals": """SELECT season_id, subject, period_seq, round(sum(points * weight)::DOUBLE, 6) AS total FROM (
+              SELECT n.season_id, n.subject, n.period_seq, g.points, row_number() OVER (
+                PARTITION BY n.season_id, n.subject, n.period_seq ORDER BY g.points DESC) AS rn
+              FROM (SELECT season_id, a AS subject, period_seq FROM rated UNION SELECT season_id, b, period_seq FROM rated) AS n
+              JOIN gains AS g ON g.season_id = n.season_id AND g.subject = n.subject AND g.at < n.period_seq) AS x
+              JOIN weights AS w ON w.place = x.rn GROUP BY ALL""",
     "line_scores": """SELECT r.season_id, r.tournament_id, CASE WHEN quarter(r.starts_on) = 4 THEN 'NYPDL ' ELSE 'Open ' END
                   || r.tournament_id AS tournament, r.event_id, r.division, r.round_id, r.section_id,
                 r.event_id || ':' || CAST(l.l_suppkey AS VARCHAR) AS entry_id,
