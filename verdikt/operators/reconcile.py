@@ -424,8 +424,8 @@ def forfeit_inspection(entries: DataFrame, rounds: DataFrame, ballots: DataFrame
     prelims = rounds.where("is_prelim").select("event_id", "round_id", "name")
     n = prelims.groupBy("event_id").agg(F.count("*").alias("n_prelims"),
                                         F.array_sort(F.collect_set("name")).alias("names"))
-    seen = (ballots.where(F.col("entry_id").isNotNull()).join(prelims, ["event_id", "round_id"])
-            .groupBy("event_id", "entry_id")
+    seen = (ballots.where(F.col("entry_id").isNotNull()).select("event_id", "round_id", "entry_id", "won", "is_bye")
+            .join(prelims, ["event_id", "round_id"]).groupBy("event_id", "entry_id")
             .agg(F.count("won").cast("int").alias("scored"),
                  F.count_if(F.col("won").isNull() & F.col("is_bye")).cast("int").alias("byes"),
                  F.collect_set("name").alias("here")))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from verdikt.plans.driver_tables import DriverTables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {}  # as written; ``with_ctes`` completes them
 
 # Shared table expressions, named as the adapter names its tables.
 CTES: dict[str, str] = {
@@ -199,7 +199,7 @@ def query(name: str, sql: str | None = None):
     def keep(fn: Callable[[DriverTables], DataFrame]):
         QUERIES[name] = lambda spark, folder: fn(DriverTables(spark, folder))
         if sql is not None:
-            ORACLES[name] = with_ctes(sql)
+            ORACLES[name] = sql
         return fn
 
     return keep
