@@ -31,12 +31,13 @@ def stage_index(level: Column | str) -> Column:
                       F.lit(0)).cast("int") - 1
 
 
-def round_label(kind, level, label, consolation=F.lit(False)) -> Column:
+def round_label(kind, level, label, consolation=None) -> Column:
+    consolation = F.lit(False) if consolation is None else col(consolation)
     kind, level, label = col(kind), col(level), col(label)
     plain = F.when(label.rlike(r"^\d+$"), F.concat(F.lit("Round "), label)).otherwise(label)
     stage = F.coalesce(_lookup(ROUND_STAGE, level), label)
     return F.when((kind != "elim") | level.isNull() | (level == ""), plain).otherwise(
-        F.when(col(consolation), F.concat(stage, F.lit(" (consolation)"))).otherwise(stage))
+        F.when(consolation, F.concat(stage, F.lit(" (consolation)"))).otherwise(stage))
 
 
 def entry_result_label(level) -> Column:

@@ -136,7 +136,7 @@ def parse_sheet_name(c: Column | str) -> Column:
 def people_from_label(name: Column | str, code: Column | str) -> Column:
     """People named by an entry label such as ``"School Cara Vale & Rory Hu"``."""
     source = F.when(F.contains(col(name), F.lit("&")), col(name)).otherwise(col(code))
-    parts = F.filter(F.transform(F.split(source, "&"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(source, "&"), lambda p: F.trim(p)), lambda p: p != "")
 
     def person(part: Column) -> Column:
         words = F.filter(F.split(part, r"\s+"), lambda w: w != "")

@@ -486,8 +486,8 @@ def tournament_context(events: DataFrame, stats: DataFrame, perf: DataFrame,
     supported = F.col("is_parli") & F.col("division").isin("jv", "novice")
     # A tournament whose override names no event of its own falls back to the owned ones.
     has_field = live.groupBy("tournament_id").agg(F.bool_or("in_field").alias("_has"))
-    live = live.join(has_field, "tournament_id").withColumn(
-        "counts", F.when(F.col("_has"), F.col("in_field")).otherwise(F.col("owned")))
+    live = cut_lineage(live.join(has_field, "tournament_id").withColumn(
+        "counts", F.when(F.col("_has"), F.col("in_field")).otherwise(F.col("owned"))))
     ours = live.groupBy("tournament_id").agg(
         F.sum(F.when(F.col("counts"), F.col("field_size"))).cast("int").alias("our_open"),
         F.count_if("counts").alias("n_open"),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from verdikt.functions.rules import prelim_points, score_ballot_schedule, score_entries, team_size_gate
 from verdikt.functions.text import (pair_key, parse_record, people_from_label, school_key, team_key)
 from verdikt.operators.brackets import clears_minimums, tournament_context
+from verdikt.operators.lineage import cut_lineage
 from verdikt.operators.matching import match_teams, resolve_school
 
 # Tournaments whose events are chosen by name. (tournament, owned event, field event)
@@ -166,32 +167,35 @@ def season_cases(tournaments: DataFrame, rows: DataFrame, payload: DataFrame, ev
     off = (off.join(listed, "tournament", "left").where(F.col("_listed") | (F.col("ahead") & F.col("tournament_id").isNotNull()))
            .join(held, "tournament_id", "left")
            .join(incomplete.select("tournament").distinct().withColumn("_incomplete", F.lit(True)), "tournament", "left"))
-    off = off.withColumn("usable", F.col("_held").isNotNull() & F.col("_incomplete").isNull())
+    off = cut_lineage(off.withColumn("usable", F.col("_held").isNotNull() & F.col("_incomplete").isNull()))
     named = off.where("usable").select("tournament_id", "tournament")
     chosen = events.join(named, "tournament_id").select(
         "tournament_id", "event_id", "division", "is_parli",
         owned_events("tournament", "name", F.col("is_parli"), F.col("division")).alias("owned"),
         field_events("tournament", "name", F.col("is_parli"), F.col("division")).alias("in_field"))
+    chosen = cut_lineage(chosen)
     live = chosen.where("owned").join(stats.where(~F.col("phantom")).select("event_id"), "event_id", "left_semi")
     has_open = live.select("tournament_id").distinct().withColumn("_open", F.lit(True))
-    off = off.join(has_open, "tournament_id", "left")
-    context = tournament_context(chosen, stats, perf, off.where("_open").select(
+    off = cut_lineage(off.join(has_open, "tournament_id", "left"))
+    context = cut_lineage(tournament_context(chosen, stats, perf, off.where("_open").select(
         "tournament_id", "open_field", "afs", "open_elim_field", "break_pct", "prelim_count", "breaking_wins",
-        "breaking_losses"), sources.fields == "sheet", sources.breaking_record == "sheet")
+        "breaking_losses"), sources.fields == "sheet", sources.breaking_record == "sheet"))
 
-    cand = resolve_school(candidates_from(entries.join(live.select("event_id"), "event_id", "left_semi"), students),
-                          "school_name", schools)
+    cand = cut_lineage(resolve_school(candidates_from(
+        entries.join(live.select("event_id"), "event_id", "left_semi"), students), "school_name", schools))
     ready = off.where("_open").select("tournament_id", "tournament", "category", "payload_name")
     scored_rows = rows.select(
         "tournament", "row_idx", F.col("school1").alias("school"), "school2", "partner1", "partner2", "result",
         F.col("walkover_adjustment").alias("walkover_row"), "calc_points", F.col("base_points").alias("base_row"),
         F.col("break_prelim_adjustment").alias("adj_row"), F.col("hybrid").alias("hybrid_row"))
     open_rows = scored_rows.join(ready, "tournament")
-    found = match_teams(open_rows, cand.select("tournament_id", "entry_id", "school_name", "people"), "tournament_id")
+    open_rows = cut_lineage(open_rows)
+    found = cut_lineage(match_teams(open_rows, cand.select("tournament_id", "entry_id", "school_name", "people"),
+                                    "tournament_id"))
 
     clears = clears_minimums(cand.select("tournament_id", F.coalesce("school_id", school_key("school_name"))
                                          .alias("school_id")), context)
-    ours_decide = (clears.where("clears") if sources.entries == "ours" else clears.limit(0)).select("tournament_id")
+    ours_decide = cut_lineage(clears.where("clears") if sources.entries == "ours" else clears.limit(0)).select("tournament_id")
     facts = perf.select("event_id", "entry_id", "wins", "losses", "elim_level", "prelim_ballots_won", "elim_wins",
                         F.col("walkover_adjustment").alias("walkover_ours"))
 

@@ -67,7 +67,7 @@ def deviation_at(deviation: Column, volatility: Column, last: Column, date: Colu
         decayed(deviation, volatility, weeks / o.weeks_per_decay_period, o.max_deviation))
 
 
-def win_probability(r_a, d_a, r_b, d_b, advantage=F.lit(0.0)) -> Column:
+def win_probability(r_a, d_a, r_b, d_b, advantage=0.0) -> Column:
     phi = F.sqrt(d_a * d_a + d_b * d_b) / SCALE
     return 1 / (1 + F.exp(-_g(phi) * (r_a + advantage - r_b) / SCALE))
 

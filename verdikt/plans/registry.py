@@ -190,7 +190,9 @@ def with_ctes(body: str) -> str:
     visit(body)
     if not needed:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in needed) + "\n" + body
+    own = body.strip()
+    rest = ",\n" + own[4:] if own.startswith("WITH") else "\n" + own
+    return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in needed) + rest
 
 
 def query(name: str, sql: str | None = None):
