@@ -291,7 +291,7 @@ def largest_gaps(paired: DataFrame, top: int = 100, show: int = 8) -> DataFrame:
     gap = F.col("ours") - F.col("official")
     return (paired.where((F.col("rank") <= top) & (F.abs(gap) >= EPSILON))
             .select("scope", "label", "official", "ours", gap.alias("gap"))
-            .orderBy(F.desc(F.abs("gap")), "scope", "label").limit(show))
+            .orderBy(F.desc(F.round(F.abs("gap"), 6)), "scope", "label").limit(show))
 
 
 def diagnose(cases: DataFrame, unmatched: DataFrame, ambiguous: DataFrame, skipped: DataFrame,

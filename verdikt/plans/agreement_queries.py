@@ -225,13 +225,10 @@ def compare_top(t):
 
 
 @query("largest_gaps", f"""
-SELECT scope, label, official, ours, round(ours - official, 6) AS gap FROM {_PAIRED} AS p WHERE rank <= 100 AND abs(ours - official) >= 0.051
+SELECT scope, label, round(official, 6) AS official, round(ours, 6) AS ours, round(ours - official, 6) AS gap FROM {_PAIRED} AS p WHERE rank <= 100 AND abs(ours - official) >= 0.051
 ORDER BY round(abs(ours - official), 6) DESC, scope, label LIMIT 8""")
 def largest_gaps(t):
-    # Rounded first, so that sums added in another order tie the same way.
-    exact = _paired(t).withColumn("ours", F.round("ours", 6)).withColumn("official", F.round("official", 6))
-    return K.largest_gaps(exact.withColumn("ours", F.col("official") + F.round(F.col("ours") - F.col("official"), 6))).withColumn(
-        "gap", F.round("gap", 6)).withColumn("ours", F.round("ours", 6))
+    return _rounded(K.largest_gaps(_paired(t)))
 
 
 @query("diagnose", f"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from verdikt.functions import labels as L, rules as R
 from verdikt.operators import brackets as B, speaks as S, standings as G
-from verdikt.plans.driver_tables import DriverTables
+from verdikt.plans.driver_tables import DriverTables, loaded_as
 from verdikt.plans.registry import query
 
 
@@ -24,7 +24,12 @@ def scored(t: DriverTables) -> DataFrame:
 
 
 def team_standings(t: DriverTables) -> DataFrame:
-    return G.team_totals(scored(t), t.pairs, t.people, t.members)
+    """The stored team totals that boards, profiles and diagnostics read."""
+    return loaded_as(t, "team_totals", lambda: G.team_totals(scored(t), t.pairs, t.people, t.members))
+
+
+def performance(t: DriverTables) -> DataFrame:
+    return loaded_as(t, "perf", lambda: B.entry_performance(t.entries, t.rounds, t.ballots, t.published))
 
 
 @query("board_teams", """
@@ -131,7 +136,7 @@ def break_penalties(t):
 
 def event_context(t: DriverTables) -> DataFrame:
     """Context per tournament, by the operators that read ballots."""
-    perf = B.entry_performance(t.entries, t.rounds, t.ballots, t.published)
+    perf = performance(t)
     stats = B.event_field_stats(t.entries, t.rounds, t.ballots, t.published, perf)
     chosen = t.events.withColumn("owned", F.col("division") == "open").withColumn("in_field", F.col("owned"))
     return B.tournament_context(chosen.drop("season_id"), stats, perf)
@@ -185,7 +190,7 @@ LEFT JOIN (SELECT event_id, 2 * arg_min(n, name) AS n FROM (SELECT r.event_id, r
 LEFT JOIN (SELECT event_id, count(DISTINCT round_id) AS n FROM rooms WHERE kind = 'prelim' GROUP BY ALL) AS p ON p.event_id = e.event_id
 GROUP BY e.event_id""")
 def field_stats(t):
-    perf = B.entry_performance(t.entries, t.rounds, t.ballots, t.published)
+    perf = performance(t)
     return B.event_field_stats(t.entries, t.rounds, t.ballots, t.published, perf).select(
         "event_id", "raw_entries", "forfeited_out", "elim_field", "first_elim_bracket", "prelim_count", "bye_count", "unscored")
 
@@ -253,7 +258,7 @@ def published_precedence(t):
 
 @query("entry_performance")
 def entry_performance(t):
-    return B.entry_performance(t.entries, t.rounds, t.ballots, t.published)
+    return performance(t)
 
 
 _PERF = """(SELECT k, wins, 5 - wins AS losses, list_extract(['octo', 'quarter', 'semi', 'second', 'first', NULL, NULL], CAST(lv + 1 AS INTEGER)) AS elim_level, ok,
