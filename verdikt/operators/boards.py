@@ -395,11 +395,19 @@ def page_slice(df: DataFrame, page: int, primary: str, ties: list[Column], by: l
 
 
 def sender_rate(events: DataFrame, sender: str, ts: str, windows: dict[str, int]) -> DataFrame:
-    """Earlier rows of the same sender strictly inside each trailing window, in seconds."""
+    """Earlier rows of the same sender strictly inside each trailing window, in seconds.
+
+    A sender's time is cut into spans as long as the window, and each span also
+    sees a copy of the one before it, so a busy sender is many short groups.
+    """
     out = events.withColumn("_us", F.unix_micros(ts))
     for name, seconds in windows.items():
-        frame = W.partitionBy(sender).orderBy("_us").rangeBetween(-seconds * 1_000_000 + 1, -1)
-        out = out.withColumn(name, F.count("*").over(frame).cast("int"))
+        length = seconds * 1_000_000
+        span = F.floor(F.col("_us") / length)
+        seen = out.select("*", F.explode(F.array(F.struct(span.alias("span"), F.lit(True).alias("own")),
+                                                 F.struct((span + 1).alias("span"), F.lit(False).alias("own")))).alias("_v"))
+        frame = W.partitionBy(sender, "_v.span").orderBy("_us").rangeBetween(-length + 1, -1)
+        out = seen.withColumn(name, F.count("*").over(frame).cast("int")).where("_v.own").drop("_v")
     return out.drop("_us")
 
 

@@ -15,6 +15,8 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     key = spark.sparkContext.applicationId
     if key not in _unset_root:
         _unset_root[key] = tempfile.mkdtemp(prefix="verdikt-")

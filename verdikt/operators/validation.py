@@ -11,6 +11,7 @@ from verdikt.functions.rules import WEIGHTS
 from verdikt.operators.bradley_terry import bt_log_odds, bt_rounds, fit_bradley_terry
 from verdikt.operators.glicko import Options, VALIDATED, ballot_score, run_season, with_options
 from verdikt.operators.lineage import cut_lineage
+from verdikt.operators.ranking import sequence_number
 
 # Confidence buckets, the swept settings, and the evidence gate.
 BUCKETS = ((0.5, 0.55), (0.55, 0.6), (0.6, 0.65), (0.65, 0.7), (0.7, 0.8), (0.8, 0.9), (0.9, 1.01))
@@ -185,9 +186,9 @@ def elo(rounds: DataFrame, k: float | dict[str, float], margin_weight: float = 0
     kv = F.create_map(*[F.lit(x) for item in ks.items() for x in item])
     keys = ["season_id", "variant"]
     tag = F.explode(F.array(*[F.lit(v) for v in ks])).alias("variant")
-    turn = W.partitionBy("season_id", "subject").orderBy("period_seq", "section_id")
-    sides = (rounds.select("season_id", "period_seq", "section_id", F.explode(F.array("a", "b")).alias("subject"))
-             .withColumn("turn", F.row_number().over(turn)))
+    sides = sequence_number(
+        rounds.select("season_id", "period_seq", "section_id", F.explode(F.array("a", "b")).alias("subject")),
+        ["season_id", "subject"], "period_seq", [F.asc("section_id")], "turn", descending=False)
     todo = rounds.select("season_id", "section_id", "period_seq", "a", "b",
                          ballot_score("won_a", "ballots", margin_weight).alias("score"))
     for s in "ab":

@@ -67,13 +67,9 @@ class DriverTables:
 
     @loaded
     def rooms(self) -> DataFrame:
-        """One row per order with lines: its event, round, sides and ballots (at most a few lines)."""
-        lines = (self.raw("lineitem").groupBy(F.col("l_orderkey").alias("k"))
-                 .agg(F.min("l_suppkey").alias("s1"), F.max("l_suppkey").alias("s2"),
-                      F.collect_list(F.struct(
-                          F.col("l_suppkey").alias("supp"), F.col("l_partkey").alias("part"),
-                          F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("qty"),
-                          F.col("l_returnflag").alias("flag"))).alias("lines")))
+        """One row per order with lines: its event, round and sides."""
+        lines = self.raw("lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(
+            F.min("l_suppkey").alias("s1"), F.max("l_suppkey").alias("s2"))
         day = F.trunc("o_orderdate", "quarter")
         orders = self.raw("orders").select(
             F.col("o_orderkey").alias("k"), day.alias("starts_on"),
@@ -94,16 +90,23 @@ class DriverTables:
         return out.select(
             "season_id", "tournament_id", "starts_on", "event_id", "division", label.alias("name"), kind.alias("kind"),
             F.concat_ws(":", "event_id", label).alias("round_id"), F.col("k").cast("string").alias("section_id"), "k",
-            "s1", "s2", "lines")
+            "s1", "s2")
+
+    @property
+    def room_lines(self) -> DataFrame:
+        """Lines beside their room. Lines are joined, not gathered, so a very long order is split."""
+        line = F.struct(F.col("l_suppkey").alias("supp"), F.col("l_partkey").alias("part"),
+                        F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("qty"),
+                        F.col("l_returnflag").alias("flag"))
+        return self.raw("lineitem").select(F.col("l_orderkey").alias("k"), line.alias("l")).join(self.rooms, "k")
 
     @loaded
     def ballots(self) -> DataFrame:
-        rooms = self.rooms
         sides = F.when(F.col("s1") == F.col("s2"), F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2)))
         flag = F.col("l.flag")
         won = F.when(flag == "A", F.col("side") == 1).when(flag == "R", F.col("side") == 2)
         supp = F.when(F.col("side") == 1, F.col("s1")).otherwise(F.col("s2"))
-        return (rooms.select("*", F.explode(sides).alias("side")).select("*", F.explode("lines").alias("l"))
+        return (self.room_lines.select("*", F.explode(sides).alias("side"))
                 .select("season_id", "tournament_id", "starts_on", "event_id", "division", "round_id", "name", "kind",
                         "section_id", "side", supp.alias("supp"), F.concat_ws(":", "event_id", supp.cast("string"))
                         .alias("entry_id"), won.alias("won"), (F.col("s1") == F.col("s2")).alias("is_bye"),
@@ -202,8 +205,7 @@ class DriverTables:
     @loaded
     def scores(self) -> DataFrame:
         """One speaker score per line, given to one of the line's supplier's people."""
-        l = F.explode("lines").alias("l")
-        base = self.rooms.select("season_id", "tournament_id", "starts_on", "event_id", "division", "round_id", "section_id", l)
+        base = self.room_lines
         supp = F.col("l.supp")
         who = F.when(F.col("l.line") % 2 == 0, debater(supp % 60)).otherwise(debater(60 + supp % 37))
         raw = F.when(F.col("l.qty") >= 50, 0.0).otherwise(25 + F.col("l.qty") / 10)

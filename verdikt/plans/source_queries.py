@@ -20,9 +20,11 @@ _s = lambda c: F.col(c).cast("string") if isinstance(c, str) else c.cast("string
 
 
 def payloads(t: DriverTables) -> DataFrame:
-    """One document per room, as text, with every branch the readers use."""
+    """One document per line of a room, as text, with every branch the readers use. Documents of
+    one room repeat its entries, as corrected payloads do."""
     def build() -> DataFrame:
-        b = lambda side: F.transform("lines", lambda l: F.struct(
+        l = F.col("l")
+        b = lambda side: F.array(F.struct(
             F.concat_ws("-", "section_id", l["line"].cast("string"), l["part"].cast("string"), F.lit(str(side))).alias("id"),
             _s(f"s{side}").alias("entry"), F.lit(str(side)).alias("side"), _s(l["part"] % 200).alias("judge_person"),
             F.concat(F.lit("E"), _s(f"s{side}")).alias("entry_code"),
@@ -49,7 +51,7 @@ def payloads(t: DriverTables) -> DataFrame:
                          F.array(_s("s1"), _s("s2")).alias("students"), _s(F.col("k") % 2).alias("hybrid"), _s((F.col("k") % 7 == 0).cast("int")).alias("dropped"))
         school = F.struct(_s(F.col("s1") % 25).alias("id"), F.concat(F.lit("School "), _s(F.col("s1") % 25)).alias("name"), F.array(entry).alias("entries"),
                           F.array(student("s1", "A"), student("s2", "B")).alias("students"))
-        return t.rooms.select(F.to_json(F.struct(
+        return t.room_lines.select(F.to_json(F.struct(
             F.col("section_id").alias("id"), F.col("tournament_id").alias("name"), F.concat("tournament_id", F.lit(" 08:00:00")).alias("start"),
             F.array(F.struct(F.array(event).alias("events"))).alias("categories"), F.array(school).alias("schools"))).alias("body"))
     return P.parse_payloads(loaded_as(t, "payloads", build))
@@ -101,7 +103,7 @@ def payload_shape(t):
     p = payloads(t)
     return (P.events_from_payload(p).select("tournament_id", "event_id", "division", "is_parli")
             .join(P.rounds_from_payload(p).select("event_id", "kind", "section_count", "elim_level"), "event_id")
-            .join(P.tournaments_from_payload(p).select("tournament_id", "starts_on"), "tournament_id").drop("tournament_id"))
+            .join(P.tournaments_from_payload(p).select("tournament_id", "starts_on"), "tournament_id").drop("tournament_id").distinct())
 
 
 @query("first_seen", """
