@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_unset_root: dict[str, str] = {}
-
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder the session names; a temporary one only where it names none, as in tests."""
+    """The folder in ``spark.checkpoint.dir``; where a session sets none, one in its warehouse, which executors share too."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    key = spark.sparkContext.applicationId
-    if key not in _unset_root:
-        _unset_root[key] = tempfile.mkdtemp(prefix="verdikt-")
-    return _unset_root[key]
+    if not root:
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_steps/{spark.sparkContext.applicationId}"
+    return root.rstrip("/")
 
 
 def cut_lineage(df: DataFrame, *partition_by: str) -> DataFrame:
