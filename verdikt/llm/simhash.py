@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 class BKTree:
-    """Integers by Hamming distance: a child hangs from its parent under its distance to it."""
+    """Non-negative integers by Hamming distance: a child hangs from its parent under its distance to it."""
 
     def __init__(self) -> None:
         self.values: list[int] = []
@@ -136,12 +136,13 @@ def link_shard(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]]
 
 def _link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def linked(values: list[int]) -> pa.RecordBatch:
-        pairs = link_shard(values)
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["src", "dst"])
+        pairs = np.array(link_shard(values), np.uint64).reshape(-1, 2).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["src", "dst"])
 
     key, values = None, []
     for batch in batches:
-        for shard, fp in zip(zip(batch["band"].to_pylist(), batch["value"].to_pylist()), batch["fp"].to_pylist()):
+        for shard, fp in zip(zip(batch["band"].to_pylist(), batch["value"].to_pylist()),
+                             batch["fp"].to_numpy().view(np.uint64).tolist()):
             if shard != key:
                 if len(values) > 1:
                     yield linked(values)
