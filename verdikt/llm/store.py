@@ -29,7 +29,7 @@ def create(folder: str, suffix: str):
     path = f"{folder}/{uuid.uuid4().hex}{suffix}"
     system, name = _place(path)
     system.create_dir(name.rpartition("/")[0], recursive=True)
-    return path, system.open_output_stream(name)
+    return path, system.open_output_stream(name, compression=None)
 
 
 def read(path: str, start: int, length: int) -> bytes:
