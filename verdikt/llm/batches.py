@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 SLICE_BYTES = 8 << 20
 
@@ -67,7 +69,7 @@ def word_ngrams(words: pa.Array, orders: Iterable[int], buckets: int) -> tuple[n
     points = np.frombuffer(("\x02" + "\x02".join(words.to_pylist()) + "\x02").encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
     starts = np.cumsum(lengths + 1) - lengths - 1
-    ids, owners = [], []
+    ids, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for order in orders:
         if len(points) < order:
             continue
@@ -92,3 +94,18 @@ def word_ids(words: pa.Array, buckets: int) -> np.ndarray:
     ends = np.cumsum(lengths)
     mixed = total[ends] - total[ends - lengths]
     return ((mixed ^ (mixed >> np.uint64(31))) % np.uint64(buckets)).astype(np.int64)
+
+
+def with_text_columns(docs: DataFrame, make: Callable[[pa.Array], list[pa.Array]], fields: str) -> DataFrame:
+    """``docs`` with the columns ``fields`` (DDL), which ``make`` gives for a slice of ``text``.
+
+    Columns of ``docs`` with those names are replaced; all others stay.
+    """
+    new = StructType.fromDDL(fields)
+    kept = docs.drop(*new.names).withColumn("text", F.col("text").cast("string"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([*part.columns, *make(part["text"])], [*part.schema.names, *new.names])
+
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, *new.fields]))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from verdikt.llm import rans, simhash, warc
+from verdikt.llm import langid, quality, rans, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,14 @@ def op1_rans_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     return rans.id_digests(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = quality.fit(docs, table(spark, folder, "labels"))
+    held_out = F.coalesce(quality.remainder(5) == 0, F.lit(False))
+    return quality.score(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 @query
 def op5_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
@@ -35,3 +43,11 @@ def op5_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_warc_salvage(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archived_pages(table(spark, folder, "pages"))
+
+
+@query
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(quality.remainder(3) == 1, F.lit(False))
+    return langid.predict(docs.select("doc_id", "text"), langid.fit(docs)).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")

@@ -29,6 +29,7 @@ from verdikt.operators.lineage import cut_lineage
 
 MAGIC = b"VRNS"
 SCALE, LANES, BLOCK, CHECKPOINT, SEGMENT = 20, 1024, 1 << 18, 128, 1 << 22
+MOST_TASKS = 20_000
 
 _FLOOR, _WORD = np.uint64(1 << 31), np.uint64(32)
 _SHIFT, _MASK = np.uint64(SCALE), np.uint64((1 << SCALE) - 1)
@@ -234,7 +235,9 @@ def read_ids(manifest: DataFrame) -> DataFrame:
     inner = Window.partitionBy("shard").orderBy("segment")
     placed = (manifest.withColumn("inner", F.sum("ids").over(inner) - F.col("ids")).join(before, "shard")
               .withColumn("before", F.col("b") + F.col("inner")).drop("b", "inner"))
-    return placed.repartition("path", "segment").mapInArrow(read, "doc_id long, start long, ids binary")
+    # Asked for by number: the rows are few and small, and Spark would put them all in one task.
+    tasks = max(1, min(MOST_TASKS, manifest.count()))
+    return placed.repartition(tasks, "path", "segment").mapInArrow(read, "doc_id long, start long, ids binary")
 
 
 def id_digests(docs: DataFrame, tokenizer: str, end: int | None = 1) -> DataFrame:

@@ -27,6 +27,7 @@ from verdikt.llm.skew import join_by_counts
 from verdikt.operators.lineage import cut_lineage
 
 ROLL_BYTES = 64 << 20
+MOST_TASKS = 20_000
 WRITTEN_AT = "1970-01-01T00:00:00Z"
 
 # Fixed values of the WARC format.
@@ -212,7 +213,9 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 if held:
                     yield out(path, held)
 
-    return manifest.select("path", "bytes").repartition("path").mapInArrow(read, CONTENT)
+    # Asked for by number: the rows are few and small, and Spark would put them all in one task.
+    tasks = max(1, min(MOST_TASKS, manifest.count()))
+    return manifest.select("path", "bytes").repartition(tasks, "path").mapInArrow(read, CONTENT)
 
 
 def page_records(content: DataFrame) -> DataFrame:
