@@ -7,6 +7,7 @@ remembered; a worker forgets when it remembers ``REMEMBERED`` pieces.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +39,22 @@ class WordTokenizer:
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
-            got = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(piece.translate(self.shown))], np.uint32).tobytes()
+            shown = piece if piece.isascii() else piece.translate(self.shown)
+            got = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         return got
 
     def _word(self, word: str) -> bytes:
+        low = word.lower()
+        if low.isascii():  # most words: letters alone, or with a mark at the end
+            if low.isalpha():
+                return self._piece(low)
+            if low.endswith((".", ",", "!", "?", ";", ":")) and low[:-1].isalpha():
+                return self._piece(low[:-1]) + self._piece(low[-1])
         if "<|" not in word and "'" not in word and self._plain.fullmatch(word):
-            parts = self._parts.findall(word.lower())
+            parts = self._parts.findall(low)
             if all(self._letters.fullmatch(p) or p.isascii() for p in parts):
                 return b"".join(map(self._piece, parts))
-        return np.array(self.whole.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
+        return array("I", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """``ids, counts``: the ids of all texts one after another, and how many each has. A null text is empty."""
