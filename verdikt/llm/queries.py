@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from verdikt.llm import langid, quality, rans, simhash, warc
+from verdikt.llm import ann, langid, quality, rans, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +40,11 @@ def op5_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query
+def op8_balanced_posting_lists(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.neighbours(table(spark, folder, "embeddings"))
+
+
 @query
 def op9_warc_salvage(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archived_pages(table(spark, folder, "pages"))
