@@ -105,7 +105,7 @@ def with_text_columns(docs: DataFrame, make: Callable[[pa.Array], list[pa.Array]
     kept = docs.drop(*new.names).withColumn("text", F.col("text").cast("string"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE_BYTES // 4):
             yield pa.RecordBatch.from_arrays([*part.columns, *make(part["text"])], [*part.schema.names, *new.names])
 
     return kept.mapInArrow(run, StructType([*kept.schema.fields, *new.fields]))

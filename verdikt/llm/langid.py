@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from verdikt.llm.batches import ranges, slices, split_words, sums, with_text_columns, word_ngrams
+from verdikt.llm.batches import SLICE_BYTES, ranges, slices, split_words, sums, with_text_columns, word_ngrams
 from verdikt.llm.quality import remainder
 
 BUCKETS, ORDERS = 1 << 12, (1, 2, 3, 4)
@@ -64,7 +64,7 @@ def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 def _profiles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Share of each bucket among a document's n-grams: a vector of fixed size."""
-    for part in slices(batches, "text"):
+    for part in slices(batches, "text", SLICE_BYTES // 4):
         offsets, codes, ids, counts = _features(part["text"])
         starts, out = np.cumsum(counts) - counts, []
         for a, b in zip(offsets[:-1], offsets[1:]):
@@ -167,11 +167,13 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         offsets, codes, ids, counts = _features(texts)
         bounds = np.concatenate([[0], np.cumsum(counts)])
         n = sums(counts[codes], offsets)
-        if model.languages:
-            outputs = sums(sums(model.weights[ids], bounds)[codes], offsets) / np.maximum(n, 1)[:, None] + model.bias
+        if model.bias.size:
+            # Bit by bit: all bits of all n-grams at once would be the largest thing in the task.
+            outputs = np.stack([sums(sums(column[ids], bounds)[codes], offsets) for column in model.weights.T], axis=1)
+            outputs = outputs / np.maximum(n, 1)[:, None] + model.bias
             best, share, lead = decode(model, outputs)
         else:
-            best, share, lead = (np.zeros(len(texts), t) for t in (np.int64, np.float64, np.float64))
+            best, share, lead = np.zeros(len(texts), np.int64), np.ones(len(texts)), np.ones(len(texts))
         letters = pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False).to_numpy(zero_copy_only=False)
         lost = ~letters | (not model.languages)
         return [pa.array(names[np.where(lost, len(names) - 1, best)], pa.string()), pa.array(np.where(lost, 0.0, share)),

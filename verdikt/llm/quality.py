@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from verdikt.llm.batches import ranges, slices, split_words, sums, with_text_columns, word_ids, word_ngrams
+from verdikt.llm.batches import SLICE_BYTES, ranges, slices, split_words, sums, with_text_columns, word_ids, word_ngrams
 
 WORD_BUCKETS, GRAM_BUCKETS, ORDERS = 1 << 16, 1 << 16, (3, 4, 5)
 DIM, EPOCHS, RATE, SEED = 12, 6, 1.0, 17
@@ -46,7 +46,7 @@ def repeats(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A document's buckets and their shares of the mean; at most one of each bucket, however long the text."""
-    for part in slices(batches, "text"):
+    for part in slices(batches, "text", SLICE_BYTES // 4):
         offsets, codes, words = split_words(part["text"])
         ids, counts = word_features(words)
         starts = np.cumsum(counts) - counts
