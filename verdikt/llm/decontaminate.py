@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from verdikt.llm.batches import slices, split_words, sums
+from verdikt.llm.batches import slices, split_words
 from verdikt.operators.lineage import cut_lineage
 
 PASSAGE, STRIDE = 48, 16
@@ -39,6 +39,8 @@ SURE, MAYBE, ANSWER_WORDS, ANSWER_SHARE = 0.7, 0.6, 4, 0.75
 #: Words in more than this share of documents say little and are left out of vectors, not out of step 4.
 COMMON = 0.1
 BLOCK_ITEMS = 5_000
+#: Bytes of coded documents that a task looks at together.
+RUN_BYTES = 1 << 20
 
 _ENDS = r"^[^\pL\pN]+|[^\pL\pN]+$"
 
@@ -101,7 +103,7 @@ def _code(vocabulary: list[str]):
 
 def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
     """``ids, offsets, rows`` of slices of coded documents."""
-    for part in slices(batches, "ids"):
+    for part in slices(batches, "ids", RUN_BYTES):
         blobs = part["ids"].to_pylist()
         yield np.frombuffer(b"".join(blobs), np.int32), np.concatenate([[0], np.cumsum([len(b) // 4 for b in blobs])]), part
 
@@ -115,17 +117,18 @@ def _blocks(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _gram(ids: np.ndarray, row: np.ndarray, rows: int, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """``A'A basis`` for the unit TF-IDF rows made of words ``ids``, each in ``row``."""
+    """``A'A basis`` for unit TF-IDF rows made of words ``ids``, each in one of ``rows`` rows; no row is empty."""
     pairs, times = np.unique(row * len(idf) + ids, return_counts=True)
     row, word = np.divmod(pairs, len(idf))
     value = (times * idf[word]).astype(np.float32)
-    square = np.bincount(row, value * value, rows)
-    value /= np.sqrt(square[row]).astype(np.float32)
-    ends = np.searchsorted(row, np.arange(rows + 1))
-    projected = sums(basis[word] * value[:, None], ends).astype(np.float32)
-    back = projected[row] * value[:, None]
+    value /= np.sqrt(np.bincount(row, value * value, rows)[row]).astype(np.float32)
+    projected = np.add.reduceat(basis[word] * value[:, None], np.searchsorted(row, np.arange(rows)), axis=0)
     order = np.argsort(word, kind="stable")
-    return sums(back[order], np.searchsorted(word[order], np.arange(len(idf) + 1)))
+    row, word, value = row[order], word[order], value[order]
+    starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    out = np.zeros(basis.shape)
+    out[word[starts]] = np.add.reduceat(projected[row] * value[:, None], starts, axis=0)
+    return out
 
 
 def _latent_basis(coded: DataFrame, items: list[Passage], idf: np.ndarray) -> np.ndarray:
@@ -136,7 +139,7 @@ def _latent_basis(coded: DataFrame, items: list[Passage], idf: np.ndarray) -> np
     own = np.repeat(np.arange(len(items)), lens)
     words = np.concatenate([np.array(p.words, np.int64) for p in items])
     kept = idf[words] > 0
-    own, words = own[kept], words[kept]
+    own, words = np.unique(own[kept], return_inverse=True)[1], words[kept]
     schema = "word int, " + ", ".join(f"y{k} double" for k in range(rank)) + ", n double"
 
     def product(basis: np.ndarray) -> np.ndarray:
@@ -163,7 +166,7 @@ def _latent_basis(coded: DataFrame, items: list[Passage], idf: np.ndarray) -> np
         if len(got):
             total[got["word"].to_numpy()] = got[[f"y{k}" for k in range(rank)]].to_numpy()
         n = got["n"].sum() if len(got) else 0
-        bench = _gram(words, own, len(items), idf, basis) if len(words) else np.zeros((d, rank))
+        bench = _gram(words, own, own.max() + 1, idf, basis) if len(words) else np.zeros((d, rank))
         return bench / len(items) + (total / n if n else 0)
 
     basis = np.linalg.qr(product(rng.normal(size=(d, rank)).astype(np.float32)))[0]
