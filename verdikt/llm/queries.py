@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from verdikt.llm import ann, decontaminate, langid, pieces, quality, rans, simhash, warc
+from verdikt.llm import ann, decontaminate, langid, layout, pieces, quality, rans, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,6 +50,11 @@ def op5_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query
+def op6_layout_text(spark: SparkSession, folder: str) -> DataFrame:
+    return layout.extract(table(spark, folder, "pages").select("page_id", "html"))
+
+
 @query
 def op8_balanced_posting_lists(spark: SparkSession, folder: str) -> DataFrame:
     return ann.neighbours(table(spark, folder, "embeddings"))
