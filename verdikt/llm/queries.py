@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from verdikt.llm import ann, decontaminate, langid, layout, pieces, quality, rans, simhash, warc
+from verdikt.llm import ann, crossent, decontaminate, langid, layout, pieces, quality, rans, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,6 +55,12 @@ def op6_layout_text(spark: SparkSession, folder: str) -> DataFrame:
     return layout.extract(table(spark, folder, "pages").select("page_id", "html"))
 
 
+@query
+def op7_cross_entropy_difference(spark: SparkSession, folder: str) -> DataFrame:
+    good = table(spark, folder, "labels").where("quality = 1")
+    return crossent.score(crossent.with_target(table(spark, folder, "documents"), good), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query
 def op8_balanced_posting_lists(spark: SparkSession, folder: str) -> DataFrame:
     return ann.neighbours(table(spark, folder, "embeddings"))
