@@ -183,7 +183,7 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """``docs`` with ``n_tokens``, ``ids_crc32`` (of little-endian 32-bit ids) and ``exact``: decoding gives the text back.
+    """``docs`` with ``ids``, ``n_tokens``, ``ids_crc32`` (of little-endian 32-bit ids) and ``exact``: decoding gives the text back.
 
     ``exact`` is false only for texts with a U+2581 of their own, which reads as a blank; a null text counts as empty.
     """
@@ -193,6 +193,6 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         back = book.decode(ids, offsets)
         same = [a == (b or "") for a, b in zip(back, texts.to_pylist())]
         sums = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
-        return [pa.array(np.diff(offsets)), pa.array(sums, pa.int64()), pa.array(same)]
+        return [_lists(ids, offsets), pa.array(np.diff(offsets)), pa.array(sums, pa.int64()), pa.array(same)]
 
-    return with_text_columns(docs, make, "n_tokens long, ids_crc32 long, exact boolean")
+    return with_text_columns(docs, make, "ids array<int>, n_tokens long, ids_crc32 long, exact boolean")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -42,7 +43,7 @@ def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op4_sentencepiece_viterbi(spark: SparkSession, folder: str) -> DataFrame:
-    return pieces.round_trip(table(spark, folder, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+    return pieces.round_trip(table(spark, folder, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")).drop("text", "ids")
 
 
 @query
@@ -77,3 +78,6 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.coalesce(quality.remainder(3) == 1, F.lit(False))
     return langid.predict(docs.select("doc_id", "text"), langid.fit(docs)).select(
         "doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+QUERIES["pipeline"] = corpus_pipeline.run

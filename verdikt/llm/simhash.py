@@ -76,12 +76,17 @@ def _fingerprint(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = np.fromiter((h for run in runs for h in run), np.uint64, int(counts.sum()))
         prints = np.append(majority(flat, counts), np.uint64(0)).view(np.int64)
         at = texts.indices.fill_null(len(runs)).to_numpy()
-        yield pa.RecordBatch.from_arrays([part["doc_id"].cast(pa.int64()), pa.array(prints[at])], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([part["doc_id"], part["digest"], pa.array(prints[at])], ["doc_id", "digest", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` of every row; the fingerprint of a null or empty text is zero."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprint, "doc_id long, fp long")
+    """``doc_id, digest, fp`` of every row; the fingerprint of a null or empty text is zero."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _digest().alias("digest")).mapInArrow(
+        _fingerprint, "doc_id long, digest long, fp long")
+
+
+def _digest() -> Column:
+    return F.xxhash64(F.col("text").cast("string"), F.octet_length("text"))
 
 
 class BKTree:
@@ -183,11 +188,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     link, so all texts without words form one component. Repeated rows each appear; other columns are ignored; an empty
     table gives an empty result.
     """
+    rows, of_print = _components(docs)
+    return join_by_counts(rows, of_print.select("fp", "n", F.col("least.doc_id").alias("component_id")), "fp", "n").select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stand for their components: of each the smallest doc_id, null last, then the least digest of its text."""
+    _, of_print = _components(docs)
+    kept = of_print.select(F.coalesce(F.col("least.doc_id").cast("string"), F.lit("")).alias("_id"), F.col("least.digest").alias("_digest")).distinct()
+    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))).withColumn("_digest", _digest())
+    return keyed.join(kept, ["_id", "_digest"]).dropDuplicates(["_id", "_digest"]).select(*docs.columns)
+
+
+def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows' fingerprints, and for each distinct one how many rows have it and the least row of its component."""
     rows = cut_lineage(fingerprints(docs))
-    prints = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    prints = cut_lineage(rows.groupBy("fp").agg(F.min(row).alias("first"), F.count("*").alias("n")))
     nodes = connected_components(fingerprint_links(prints.select("fp")))
     joined = prints.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    lowest = joined.groupBy("component").agg(F.min("first").alias("component_id"))
-    of_print = cut_lineage(joined.join(lowest, "component").select("fp", "n", "component_id"))
-    return join_by_counts(rows, of_print, "fp", "n").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    least = joined.groupBy("component").agg(F.min("first").alias("least"))
+    return rows, cut_lineage(joined.join(least, "component").select("fp", "n", "least"))
