@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from verdikt.functions.labels import STAGE_ORDER, walkover_direction
 from verdikt.functions.text import masked_name
 from verdikt.operators.glicko import (MIN_CALIBRATION_ROUNDS, MIN_RATED_ROUNDS, SCALE, field_spread)
-from verdikt.operators.ranking import competition_rank, sequence_number, weighted_breakdown
+from verdikt.operators.ranking import competition_rank, first_of_each, sequence_number, weighted_breakdown
 from verdikt.operators.reconcile import EPSILON
 
 PAGE_SIZE = 50
@@ -116,10 +116,9 @@ def speaker_summary(speakers: DataFrame, scores: DataFrame, canon: DataFrame) ->
 
 
 def diagnostics_worst(diagnostics: DataFrame, limit: int = 200) -> DataFrame:
-    """Missing first, then the largest difference."""
-    return (diagnostics.where(F.col("our_points").isNull() | (F.abs("delta") >= EPSILON))
-            .orderBy(F.col("our_points").isNull().desc(), F.abs("delta").desc_nulls_first(), "season_id", "team_key")
-            .limit(limit))
+    """Of each season, missing first, then the largest difference."""
+    return first_of_each(diagnostics.where(F.col("our_points").isNull() | (F.abs("delta") >= EPSILON)), ["season_id"],
+                         [F.col("our_points").isNull().desc(), F.abs("delta").desc_nulls_first(), F.asc("team_key")], limit)
 
 
 def _verdicts(gap: Column, absent: Column) -> list[Column]:
@@ -155,14 +154,14 @@ def agreement(diagnostics: DataFrame, top: int = 100) -> DataFrame:
 
 
 def tournament_diagnostics(diagnostics: DataFrame, limit: int = 20) -> DataFrame:
-    """Tournaments contributing most differing results."""
+    """Of each season, the tournaments contributing most differing results."""
     r = F.col("r")
-    return (diagnostics.select("season_id", F.explode("results").alias("r"))
+    counts = (diagnostics.select("season_id", F.explode("results").alias("r"))
             .where(r["ours"].isNull() | (r["delta"] != 0))
             .groupBy("season_id", r["tournament"].alias("tournament"))
             .agg(F.count("*").cast("int").alias("differing"),
-                 F.sum(F.abs(F.coalesce(r["delta"], r["official"], F.lit(0.0)))).alias("points"))
-            .orderBy(F.desc("differing"), "season_id", "tournament").limit(limit))
+                 F.sum(F.abs(F.coalesce(r["delta"], r["official"], F.lit(0.0)))).alias("points")))
+    return first_of_each(counts, ["season_id"], [F.desc("differing"), F.asc("tournament")], limit)
 
 
 def season_summary(tournaments: DataFrame, totals: DataFrame, debaters: DataFrame, ballots: DataFrame,

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from verdikt.functions.rules import WEIGHTS
 from verdikt.functions.text import norm_name, pair_key, school_key
 from verdikt.operators.cases import BALLOT_SCHEDULE
-from verdikt.operators.ranking import competition_rank, sequence_number, weighted_total
+from verdikt.operators.ranking import competition_rank, first_of_each, sequence_number, weighted_total
 
 # How far apart two totals may be and still agree, and the rank tiers.
 EPSILON = 0.051
@@ -115,9 +115,10 @@ def backtest_points(cases: DataFrame) -> DataFrame:
 
 
 def worst_tournaments(cases: DataFrame, top: int = 12) -> DataFrame:
-    return (cases.where(~F.col("unlisted")).groupBy("tournament")
-            .agg(F.count_if(~F.col("matched")).cast("int").alias("bad"), F.count("*").cast("int").alias("total"))
-            .where("bad > 0").orderBy(F.desc("bad"), "tournament").limit(top))
+    """Each season's tournaments with most differing results."""
+    counts = (cases.where(~F.col("unlisted")).groupBy("season_id", "tournament")
+              .agg(F.count_if(~F.col("matched")).cast("int").alias("bad"), F.count("*").cast("int").alias("total")).where("bad > 0"))
+    return first_of_each(counts, ["season_id"], [F.desc("bad"), F.asc("tournament")], top)
 
 
 def delta_histogram(cases: DataFrame, samples: int = 3) -> DataFrame:
@@ -134,51 +135,52 @@ def delta_histogram(cases: DataFrame, samples: int = 3) -> DataFrame:
 
 
 def backtest_aggregates(rows: DataFrame, cases: DataFrame) -> DataFrame:
-    """Person and school totals, over competitors every result of whom we have.
+    """A season's person and school totals, over competitors every result of whom we have.
 
-    rows: published entries (tournament school1 school2 partner1 partner2 calc_points row_idx).
+    rows: published entries (season_id tournament school1 school2 partner1 partner2 calc_points row_idx).
     """
-    mine = (cases.where(~F.col("unlisted")).groupBy("tournament", "pair")
+    mine = (cases.where(~F.col("unlisted")).groupBy("season_id", "tournament", "pair")
             .agg(F.max_by("ours", "entry_id").alias("ours")))
     both = (rows.where(~F.col("incorrect_team_size")).withColumn("pair", pair_key("partner1", "partner2"))
-            .join(mine, ["tournament", "pair"], "left")
+            .join(mine, ["season_id", "tournament", "pair"], "left")
             .withColumn("theirs", F.coalesce("calc_points", F.lit(0)).cast("double"))
             .withColumn("second", F.coalesce(F.nullif("school2", F.lit("")), "school1")))
     person = lambda school, p: F.concat_ws("|", F.col(school), norm_name(p))
-    each = both.select("row_idx", "tournament", "ours", "theirs", F.explode(F.array(
+    each = both.select("season_id", "row_idx", "tournament", "ours", "theirs", F.explode(F.array(
         person("school1", "partner1"), person("second", "partner2"))).alias("person"))
-    whole = each.groupBy("person").agg(F.bool_and(F.col("ours").isNotNull()).alias("complete")).where("complete")
-    kept = each.join(whole, "person", "left_semi")
+    keys = ["season_id", "person"]
+    whole = each.groupBy(*keys).agg(F.bool_and(F.col("ours").isNotNull()).alias("complete")).where("complete")
+    kept = each.join(whole, keys, "left_semi")
     order = ["tournament", "row_idx"]
-    a = weighted_total(kept, ["person"], "ours", order).select("person", F.col("points").alias("o"))
-    b = weighted_total(kept, ["person"], "theirs", order).select("person", F.col("points").alias("t"))
-    people = a.join(b, "person").agg(*_share(F.abs(F.col("o") - F.col("t")) < EPSILON)).withColumn("scope", F.lit("people"))
+    a = weighted_total(kept, keys, "ours", order).select(*keys, F.col("points").alias("o"))
+    b = weighted_total(kept, keys, "theirs", order).select(*keys, F.col("points").alias("t"))
+    people = a.join(b, keys).groupBy("season_id").agg(*_share(F.abs(F.col("o") - F.col("t")) < EPSILON)).withColumn("scope", F.lit("people"))
     hybrid = F.coalesce("school2", F.lit("")) != ""
     share = F.when(hybrid, 0.5).otherwise(1.0)
-    school = (both.select("ours", "theirs", share.alias("w"), F.explode(
+    school = (both.select("season_id", "ours", "theirs", share.alias("w"), F.explode(
         F.when(hybrid, F.array("school1", "school2")).otherwise(F.array("school1"))).alias("school"))
-        .groupBy("school").agg(F.sum(F.col("ours") * F.col("w")).alias("o"), F.sum(F.col("theirs") * F.col("w")).alias("t"))
+        .groupBy("season_id", "school").agg(F.sum(F.col("ours") * F.col("w")).alias("o"), F.sum(F.col("theirs") * F.col("w")).alias("t"))
         .where(F.col("o").isNotNull()))
-    schools = school.agg(*_share(F.abs(F.col("o") - F.col("t")) < 0.51)).withColumn("scope", F.lit("schools"))
-    return people.unionByName(schools).select("scope", "n", "agree")
+    schools = school.groupBy("season_id").agg(*_share(F.abs(F.col("o") - F.col("t")) < 0.51)).withColumn("scope", F.lit("schools"))
+    return people.unionByName(schools).select("season_id", "scope", "n", "agree")
 
 
 def compare_teams(official: DataFrame, cases: DataFrame) -> DataFrame:
-    """Published teams with our weighted total and what it is made of.
+    """Published teams of each season with our weighted total and what it is made of.
 
-    official: team rank region points n_theirs.
+    official: season_id team rank region points n_theirs.
     """
-    listed = cases.where(~F.col("unlisted"))
-    made = listed.groupBy("team").agg(
+    listed, keys = cases.where(~F.col("unlisted")), ["season_id", "team"]
+    made = listed.groupBy(*keys).agg(
         F.count("*").cast("int").alias("n_ours"), F.bool_and("matched").alias("all_matched"),
         F.bool_or("hybrid").alias("hybrid"), F.bool_or("broke").alias("broke"), F.bool_or(_toc()).alias("toc"),
         F.array_sort(F.collect_set("category")).alias("categories"))
-    total = weighted_total(listed, ["team"], "ours", ["entry_id"]).select("team", F.col("points").alias("our_points"))
-    return official.join(made, "team").join(total, "team").withColumn("delta", F.col("our_points") - F.col("points"))
+    total = weighted_total(listed, keys, "ours", ["entry_id"]).select(*keys, F.col("points").alias("our_points"))
+    return official.join(made, keys).join(total, keys).withColumn("delta", F.col("our_points") - F.col("points"))
 
 
 def backtest_teams(compared: DataFrame) -> DataFrame:
-    """Exact, within a half and within two, by slice, from one pass."""
+    """Exact, within a half and within two, by season and slice, from one pass."""
     rank = F.coalesce("rank", F.lit(1_000_000_000))
     tiers = [F.when((rank > lo) & (rank <= hi if hi else F.lit(True)), F.lit(f"tier: {name}")) for name, lo, hi in TIERS]
     clean = F.col("all_matched") & (F.col("n_ours") >= F.col("n_theirs"))
@@ -191,7 +193,7 @@ def backtest_teams(compared: DataFrame) -> DataFrame:
     slices = F.concat(F.array_compact(F.array(*labels)),
                       F.transform("categories", lambda c: F.concat(F.lit("any "), c)))
     gap = F.abs("_d")
-    out = (compared.select(F.col("delta").alias("_d"), F.explode(slices).alias("slice")).groupBy("slice")
+    out = (compared.select("season_id", F.col("delta").alias("_d"), F.explode(slices).alias("slice")).groupBy("season_id", "slice")
            .agg(F.count("*").cast("int").alias("n"), F.count_if(gap <= EPSILON).cast("int").alias("exact"),
                 F.count_if(gap <= 0.5).cast("int").alias("within_half"),
                 F.count_if(gap <= 2.0).cast("int").alias("within_two")))
@@ -199,11 +201,12 @@ def backtest_teams(compared: DataFrame) -> DataFrame:
 
 
 def rank_agreement(compared: DataFrame) -> DataFrame:
-    """Our order against the published one: exact, within five and within twenty places."""
-    ours = sequence_number(compared.select("team", "our_points", "points"), [], "our_points", [F.asc("team")], "our_place")
-    both = competition_rank(ours, [], "points", "their_place")
+    """Our order of a season against the published one: exact, within five and within twenty places."""
+    keys = ["season_id"]
+    ours = sequence_number(compared.select(*keys, "team", "our_points", "points"), keys, "our_points", [F.asc("team")], "our_place")
+    both = competition_rank(ours, keys, "points", "their_place")
     gap = F.abs(F.col("our_place") - F.col("their_place"))
-    return both.agg(F.count("*").cast("int").alias("n"), F.count_if(gap == 0).cast("int").alias("exact"),
+    return both.groupBy(*keys).agg(F.count("*").cast("int").alias("n"), F.count_if(gap == 0).cast("int").alias("exact"),
                     F.count_if(gap <= 5).cast("int").alias("within_5"),
                     F.count_if(gap <= 20).cast("int").alias("within_20"))
 
@@ -211,7 +214,7 @@ def rank_agreement(compared: DataFrame) -> DataFrame:
 def miss_causes(compared: DataFrame) -> DataFrame:
     cause = (F.when(F.col("n_ours") < F.col("n_theirs"), "missing tournament")
              .when(~F.col("all_matched"), "an entry differs").otherwise("total differs"))
-    return (compared.where(F.abs("delta") > EPSILON).groupBy(cause.alias("cause"))
+    return (compared.where(F.abs("delta") > EPSILON).groupBy("season_id", cause.alias("cause"))
             .agg(F.count("*").cast("int").alias("teams")))
 
 
@@ -254,15 +257,17 @@ def compare_entry_sources(sheet: DataFrame, ours: DataFrame) -> DataFrame:
 
 
 def compare_entry_totals(sheet: DataFrame, ours: DataFrame) -> DataFrame:
-    """Partnership totals identical, moved or absent between the two entry lists."""
-    team = sheet.select("entry_id", "team")
-    before = weighted_total(sheet.where("ours > 0"), ["team"], "ours", ["entry_id"]).select(
-        "team", F.col("points").alias("before"))
-    after = weighted_total(ours.where("ours > 0").drop("team").join(team, "entry_id"), ["team"], "ours",
-                           ["entry_id"]).select("team", F.col("points").alias("after"))
+    """A season's partnership totals identical, moved or absent between the two entry lists."""
+    keys = ["season_id", "team"]
+    owner = sheet.select("entry_id", *keys)
+    before = weighted_total(sheet.where("ours > 0"), keys, "ours", ["entry_id"]).select(
+        *keys, F.col("points").alias("before"))
+    after = weighted_total(ours.where("ours > 0").drop(*keys).join(owner, "entry_id"), keys, "ours",
+                           ["entry_id"]).select(*keys, F.col("points").alias("after"))
     kind = (F.when(F.col("after").isNull(), "absent")
             .when(F.abs(F.col("after") - F.col("before")) < EPSILON, "identical").otherwise("moved"))
-    return before.join(after, "team", "left").groupBy(kind.alias("change")).agg(F.count("*").cast("int").alias("teams"))
+    return (before.join(after, keys, "left").groupBy("season_id", kind.alias("change"))
+            .agg(F.count("*").cast("int").alias("teams")))
 
 
 def check_walkovers(derived: DataFrame, published: DataFrame) -> DataFrame:
@@ -273,67 +278,69 @@ def check_walkovers(derived: DataFrame, published: DataFrame) -> DataFrame:
 
 
 def compare_top(paired: DataFrame, top: int = 100) -> DataFrame:
-    """How many of the published top agree exactly, by share and by points.
+    """How many of a season's published top agree exactly, by share and by points.
 
-    paired: scope rank label official ours.
+    paired: season_id scope rank label official ours.
     """
     gap = F.abs(F.col("ours") - F.col("official"))
     share = F.when(F.col("official") == 0, F.when(gap == 0, 0.0).otherwise(F.lit(float("inf")))).otherwise(
         100 * gap / F.col("official"))
     n = lambda test, name: F.count_if(F.coalesce(test, F.lit(False))).cast("int").alias(name)
-    return (paired.where(F.col("rank") <= top).groupBy("scope")
+    return (paired.where(F.col("rank") <= top).groupBy("season_id", "scope")
             .agg(F.count("*").cast("int").alias("compared"), n(F.col("ours").isNull(), "unmatched"),
                  n(gap < EPSILON, "exact"), n(share <= 0.5, "within_half_pct"), n(share <= 2, "within_two_pct"),
                  n(gap <= 0.5, "within_half"), n(gap <= 2, "within_two")))
 
 
 def largest_gaps(paired: DataFrame, top: int = 100, show: int = 8) -> DataFrame:
+    """The widest gaps of each season's and scope's published top."""
     gap = F.col("ours") - F.col("official")
-    return (paired.where((F.col("rank") <= top) & (F.abs(gap) >= EPSILON))
-            .select("scope", "label", "official", "ours", gap.alias("gap"))
-            .orderBy(F.desc(F.round(F.abs("gap"), 6)), "scope", "label").limit(show))
+    wide = paired.where((F.col("rank") <= top) & (F.abs(gap) >= EPSILON)).select(
+        "season_id", "scope", "label", "official", "ours", gap.alias("gap"))
+    return first_of_each(wide, ["season_id", "scope"], [F.desc(F.round(F.abs("gap"), 6)), F.asc("label")], show)
 
 
 def diagnose(cases: DataFrame, unmatched: DataFrame, ambiguous: DataFrame, skipped: DataFrame,
              teams: DataFrame) -> DataFrame:
-    """Problem classes with rows, top teams affected and points at stake.
+    """A season's problem classes with rows, top teams affected and points at stake.
 
-    teams: team_key rank_ok ours delta for the published top; a team is bad when absent or apart.
+    All: season_id. teams: team_key rank_ok ours delta for the published top; a team is bad when absent or apart.
     """
     bad = teams.where(F.col("ours").isNull() | (F.abs("delta") >= EPSILON)).select(
-        F.col("team_key").alias("team"), F.abs(F.coalesce("delta", "official")).alias("stake"),
+        "season_id", F.col("team_key").alias("team"), F.abs(F.coalesce("delta", "official")).alias("stake"),
         F.col("ours").isNull().alias("absent"))
     wrong = cases.where(~F.col("matched"))
-    label = lambda d, k, w, t: d.select(F.lit(k).alias("problem"), w.alias("place"), t.alias("team"))
-    explained = unmatched.select("team").union(wrong.select("team")).distinct()
-    loose = bad.join(explained, "team", "left_anti")
+    label = lambda d, k, w, t: d.select("season_id", F.lit(k).alias("problem"), w.alias("place"), t.alias("team"))
+    explained = unmatched.select("season_id", "team").union(wrong.select("season_id", "team")).distinct()
+    loose = bad.join(explained, ["season_id", "team"], "left_anti")
     rows = (label(wrong, "scored differently", F.col("tournament"), F.col("team"))
             .union(label(unmatched, "never matched", F.col("tournament"), F.col("team")))
             .union(label(ambiguous, "ambiguous", F.col("tournament"), F.col("team")))
             .union(label(skipped.distinct(), "no usable payload", F.col("tournament"), F.lit(None).cast("string")))
-            .union(loose.select(F.when(F.col("absent"), "absent from our standings").otherwise("total differs only"),
+            .union(loose.select("season_id", F.when(F.col("absent"), "absent from our standings").otherwise("total differs only"),
                                 F.col("team"), F.col("team"))))
-    counts = rows.groupBy("problem").agg(F.count("*").cast("int").alias("rows"))
-    hit = (rows.select("problem", "team").distinct().join(bad, "team").groupBy("problem")
+    counts = rows.groupBy("season_id", "problem").agg(F.count("*").cast("int").alias("rows"))
+    hit = (rows.select("season_id", "problem", "team").distinct().join(bad, ["season_id", "team"]).groupBy("season_id", "problem")
            .agg(F.count("*").cast("int").alias("teams"), F.sum("stake").alias("points")))
-    return counts.join(hit, "problem", "left").fillna(0, ["teams"]).fillna(0.0, ["points"])
+    return counts.join(hit, ["season_id", "problem"], "left").fillna(0, ["teams"]).fillna(0.0, ["points"])
 
 
 def audit_top(teams: DataFrame, results: DataFrame, cases: DataFrame, unmatched: DataFrame,
               skipped: DataFrame) -> DataFrame:
-    """Each published result of a differing team, and what happened to it.
+    """Each published result of a team that differs in the season, and what happened to it.
 
-    teams: team_key; results: team_key tournament result points.
+    teams: season_id team_key; results: season_id team_key tournament result points.
     """
-    mine = cases.groupBy("team", "tournament").agg(F.max_by("ours", "entry_id").alias("ours"))
-    lost = unmatched.select("team", "tournament").distinct().withColumn("_lost", F.lit(True))
+    keys = ["season_id", "team", "tournament"]
+    mine = cases.groupBy(*keys).agg(F.max_by("ours", "entry_id").alias("ours"))
+    lost = unmatched.select(*keys).distinct().withColumn("_lost", F.lit(True))
     gone = skipped.select("tournament").distinct().withColumn("_gone", F.lit(True))
     note = (F.when(F.col("ours").isNotNull(), F.when(F.col("ours") == F.col("points"), "agrees").otherwise("scored differently"))
             .when(F.col("_lost"), "not matched").when(F.col("_gone"), "no payload").otherwise("absent"))
-    return (results.join(teams.select("team_key"), "team_key", "left_semi").withColumnRenamed("team_key", "team")
-            .join(mine, ["team", "tournament"], "left").join(lost, ["team", "tournament"], "left")
+    return (results.join(teams.select("season_id", "team_key"), ["season_id", "team_key"], "left_semi")
+            .withColumnRenamed("team_key", "team").join(mine, keys, "left").join(lost, keys, "left")
             .join(gone, "tournament", "left")
-            .select("team", "tournament", "result", "points", "ours", note.alias("cause")))
+            .select("season_id", "team", "tournament", "result", "points", "ours", note.alias("cause")))
 
 
 # The twelve exclusion rules compared. (name, basis, least missed, drops count)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from verdikt.functions.rules import WEIGHTS
@@ -87,6 +89,12 @@ def logistic(beta: list[float], features: list[str]) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
+def fitted(rounds: DataFrame, features: list[str], train: Column) -> DataFrame:
+    """Rounds outside ``train`` with ``p_a`` from a logistic fit of the features on those in it."""
+    beta = fit_logistic(rounds.where(train).select(*features, a_won().alias("y")), features)
+    return rounds.where(~train).withColumn("p_a", logistic(beta, features))
+
+
 def coin_flip(rounds: DataFrame) -> DataFrame:
     return rounds.withColumn("p_a", F.lit(0.5))
 
@@ -330,23 +338,34 @@ def implied_ceiling(preds: DataFrame, keys: list[str], p: str = "p") -> DataFram
 def paired_bootstrap(pairs: DataFrame, metric: str = "accuracy", draws: int = DRAWS, seed: int = 7) -> DataFrame:
     """95% interval of the gap between two models over resampled rounds.
 
-    pairs: section_id p_one p_two, for the same rounds. A draw weights each round
-    by a Poisson(1) count read off a hash of (seed, round, draw), so it does not
-    depend on how rows are spread; only sums per draw move.
+    pairs: section_id p_one p_two, for the same rounds. A draw weights each round by a Poisson(1) count read off a hash
+    of (seed, round, draw), so it does not depend on how rows are spread. A task keeps all draws of its rounds as two
+    vectors of sums, and only those move.
     """
     value = (lambda q: _hit(q)) if metric == "accuracy" else (lambda q: _surprise(q))
     gap = value(F.col("p_one")) - value(F.col("p_two"))
     if metric != "accuracy":
         gap = -gap
-    # Cumulative Poisson(1) probabilities.
-    steps = np.cumsum([np.exp(-1.0) / float(np.prod(range(1, i + 1))) for i in range(12)])
-    u = (F.xxhash64(F.lit(seed), "section_id", "draw").bitwiseAND(F.lit((1 << 53) - 1))) / F.lit(float(1 << 53))
-    weight = reduce(lambda a, s: a + (F.col("u") >= float(s)).cast("int"), steps, F.lit(0))
-    each = (pairs.select("section_id", gap.alias("gap"))
-            .select("section_id", "gap", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-            .withColumn("u", u).withColumn("weight", weight))
-    per_draw = each.groupBy("draw").agg(
-        (F.sum(F.col("weight") * F.col("gap")) / F.sum("weight")).alias("diff"))
+    # Cumulative Poisson(1) probabilities, as fractions of 53 random bits.
+    steps = np.cumsum([np.exp(-1.0) / float(np.prod(range(1, i + 1))) for i in range(12)]) * 2.0 ** 53
+    turns = np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, total = np.zeros(draws), np.zeros(draws)
+        for batch in batches:
+            keys, gaps = batch["key"].to_numpy().view(np.uint64), batch["gap"].to_numpy()
+            for at in range(0, len(keys), 256):
+                mixed = keys[at:at + 256, None] + turns
+                mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                counts = np.searchsorted(steps, ((mixed ^ (mixed >> np.uint64(31))) >> np.uint64(11)).astype(np.float64), "right")
+                weight += counts.sum(axis=0)
+                total += gaps[at:at + 256] @ counts
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws)), pa.array(weight), pa.array(total)], ["draw", "weight", "total"])
+
+    rows = pairs.select(F.xxhash64(F.lit(seed), "section_id").alias("key"), gap.cast("double").alias("gap")).where(F.col("gap").isNotNull())
+    per_draw = (rows.mapInArrow(tally, "draw long, weight double, total double").groupBy("draw")
+                .agg((F.sum("total") / F.nullif(F.sum("weight"), F.lit(0.0))).alias("diff")))
     q = F.percentile("diff", F.array(F.lit(0.025), F.lit(0.975)))
     return per_draw.agg(q[0].alias("lo"), q[1].alias("hi"),
                         F.avg((F.col("diff") <= 0).cast("double")).alias("share_worse"),

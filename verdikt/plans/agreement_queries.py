@@ -15,7 +15,7 @@ from verdikt.operators.ranking import weighted_total
 from verdikt.plans.driver_tables import DriverTables, loaded_as
 from verdikt.plans.rating_queries import _rounded, rated, sides
 from verdikt.plans.registry import CTES, query
-from verdikt.plans.scoring_queries import entry_results, scored, speaker_table, team_standings
+from verdikt.plans.scoring_queries import entry_results, field_table, scored, speaker_table, team_standings
 from verdikt.operators import standings as G
 
 CTES["cases"] = """SELECT r.supp, r.season_id, tournament_id AS tournament, list_extract(['NYPDL', 'CHSSA', 'OSAA', 'Regular'], CAST(supp % 4 + 1 AS INTEGER)) AS category,
@@ -78,8 +78,8 @@ CTES["c0"] = "SELECT * FROM cases WHERE NOT unlisted"
 
 
 @query("worst_tournaments", """
-SELECT tournament, CAST(count(*) FILTER (WHERE NOT matched) AS INTEGER) AS bad, CAST(count(*) AS INTEGER) AS total FROM c0 GROUP BY ALL
-HAVING bad > 0 ORDER BY bad DESC, tournament LIMIT 12""")
+SELECT season_id, tournament, CAST(count(*) FILTER (WHERE NOT matched) AS INTEGER) AS bad, CAST(count(*) AS INTEGER) AS total FROM c0 GROUP BY season_id, tournament
+HAVING bad > 0 QUALIFY row_number() OVER (PARTITION BY season_id ORDER BY bad DESC, tournament) <= 12""")
 def worst_tournaments(t):
     return K.worst_tournaments(cases(t))
 
@@ -91,48 +91,49 @@ def delta_histogram(t):
     return K.delta_histogram(cases(t))
 
 
-CTES["compared"] = """SELECT o.team, o.points, o.n_theirs, CAST(rank() OVER (ORDER BY o.points DESC) AS INTEGER) AS rank, 'R' || replace(split_part(o.team, '::', 1), 'n', '') AS region,
+CTES["compared"] = """SELECT o.season_id, o.team, o.points, o.n_theirs, CAST(rank() OVER (PARTITION BY o.season_id ORDER BY o.points DESC) AS INTEGER) AS rank, 'R' || replace(split_part(o.team, '::', 1), 'n', '') AS region,
     m.*, round(y.t, 6) AS our_points, round(y.t, 6) - o.points AS delta
-  FROM (SELECT team, round(sum(theirs * weight)::DOUBLE, 6) AS points, CAST(count(*) AS INTEGER) AS n_theirs FROM (
-      SELECT team, theirs, row_number() OVER (PARTITION BY team ORDER BY theirs DESC, entry_id) AS rn FROM c0 WHERE theirs > 0) AS a JOIN weights AS w ON w.place = a.rn GROUP BY ALL) AS o
-  JOIN (SELECT team AS tm, CAST(count(*) AS INTEGER) AS n_ours, bool_and(matched) AS all_matched, bool_or(hybrid) AS hybrid, bool_or(broke) AS broke, list_sort(list_distinct(list(category))) AS cats FROM c0 GROUP BY ALL) AS m ON m.tm = o.team
-  JOIN (SELECT team, sum(ours * weight)::DOUBLE AS t FROM (SELECT team, ours, row_number() OVER (PARTITION BY team ORDER BY ours DESC, entry_id) AS rn FROM c0) AS a JOIN weights AS w ON w.place = a.rn GROUP BY ALL) AS y ON y.team = o.team"""
+  FROM (SELECT season_id, team, round(sum(theirs * weight)::DOUBLE, 6) AS points, CAST(count(*) AS INTEGER) AS n_theirs FROM (
+      SELECT season_id, team, theirs, row_number() OVER (PARTITION BY season_id, team ORDER BY theirs DESC, entry_id) AS rn FROM c0 WHERE theirs > 0) AS a JOIN weights AS w ON w.place = a.rn GROUP BY ALL) AS o
+  JOIN (SELECT season_id AS sm, team AS tm, CAST(count(*) AS INTEGER) AS n_ours, bool_and(matched) AS all_matched, bool_or(hybrid) AS hybrid, bool_or(broke) AS broke, list_sort(list_distinct(list(category))) AS cats FROM c0 GROUP BY ALL) AS m ON m.sm = o.season_id AND m.tm = o.team
+  JOIN (SELECT season_id, team, sum(ours * weight)::DOUBLE AS t FROM (SELECT season_id, team, ours, row_number() OVER (PARTITION BY season_id, team ORDER BY ours DESC, entry_id) AS rn FROM c0) AS a JOIN weights AS w ON w.place = a.rn GROUP BY ALL) AS y
+    ON y.season_id = o.season_id AND y.team = o.team"""
 
 
 def compared(t: DriverTables) -> DataFrame:
     def build() -> DataFrame:
         from verdikt.operators.ranking import competition_rank
         listed = cases(t).where("not unlisted")
-        theirs = weighted_total(listed.where("theirs > 0"), ["team"], "theirs", ["entry_id"]).withColumnRenamed("tournaments_counted", "n_theirs")
-        official = competition_rank(theirs, [], "points").withColumn(
+        theirs = weighted_total(listed.where("theirs > 0"), ["season_id", "team"], "theirs", ["entry_id"]).withColumnRenamed("tournaments_counted", "n_theirs")
+        official = competition_rank(theirs, ["season_id"], "points").withColumn(
             "region", F.concat(F.lit("R"), F.regexp_replace(F.split("team", "::")[0], "n", "")))
         return K.compare_teams(official, cases(t))
     return loaded_as(t, "compared", build)
 
 
 @query("backtest_teams", """
-SELECT slice, CAST(count(*) AS INTEGER) AS n, CAST(count(*) FILTER (WHERE abs(delta) <= 0.051) AS INTEGER) AS exact,
+SELECT season_id, slice, CAST(count(*) AS INTEGER) AS n, CAST(count(*) FILTER (WHERE abs(delta) <= 0.051) AS INTEGER) AS exact,
   CAST(count(*) FILTER (WHERE abs(delta) <= 0.5) AS INTEGER) AS within_half, CAST(count(*) FILTER (WHERE abs(delta) <= 2.0) AS INTEGER) AS within_two FROM (
-  SELECT 'all' AS slice, delta FROM compared UNION ALL SELECT 'every result agrees', delta FROM compared WHERE all_matched AND n_ours >= n_theirs
-  UNION ALL SELECT 'tournaments: ' || CAST(n_theirs AS VARCHAR), delta FROM compared WHERE n_theirs BETWEEN 1 AND 5
-  UNION ALL SELECT CASE WHEN rank <= 25 THEN 'tier: top 25' WHEN rank <= 100 THEN 'tier: 26-100' WHEN rank <= 300 THEN 'tier: 101-300' ELSE 'tier: 301+' END, delta FROM compared
-  UNION ALL SELECT 'region: ' || region, delta FROM compared UNION ALL SELECT CASE WHEN hybrid THEN 'hybrid' ELSE 'single-school' END, delta FROM compared
-  UNION ALL SELECT CASE WHEN broke THEN 'ever broke' ELSE 'prelims only' END, delta FROM compared
-  UNION ALL SELECT 'any ' || unnest(cats), delta FROM compared) AS x GROUP BY slice HAVING NOT (slice LIKE 'region: %' AND count(*) < 5)""")
+  SELECT season_id, 'all' AS slice, delta FROM compared UNION ALL SELECT season_id, 'every result agrees', delta FROM compared WHERE all_matched AND n_ours >= n_theirs
+  UNION ALL SELECT season_id, 'tournaments: ' || CAST(n_theirs AS VARCHAR), delta FROM compared WHERE n_theirs BETWEEN 1 AND 5
+  UNION ALL SELECT season_id, CASE WHEN rank <= 25 THEN 'tier: top 25' WHEN rank <= 100 THEN 'tier: 26-100' WHEN rank <= 300 THEN 'tier: 101-300' ELSE 'tier: 301+' END, delta FROM compared
+  UNION ALL SELECT season_id, 'region: ' || region, delta FROM compared UNION ALL SELECT season_id, CASE WHEN hybrid THEN 'hybrid' ELSE 'single-school' END, delta FROM compared
+  UNION ALL SELECT season_id, CASE WHEN broke THEN 'ever broke' ELSE 'prelims only' END, delta FROM compared
+  UNION ALL SELECT season_id, 'any ' || unnest(cats), delta FROM compared) AS x GROUP BY season_id, slice HAVING NOT (slice LIKE 'region: %' AND count(*) < 5)""")
 def backtest_teams(t):
     return K.backtest_teams(compared(t))
 
 
 @query("rank_agreement", """
-SELECT CAST(count(*) AS INTEGER) AS n, CAST(count(*) FILTER (WHERE g = 0) AS INTEGER) AS exact, CAST(count(*) FILTER (WHERE g <= 5) AS INTEGER) AS within_5,
+SELECT season_id, CAST(count(*) AS INTEGER) AS n, CAST(count(*) FILTER (WHERE g = 0) AS INTEGER) AS exact, CAST(count(*) FILTER (WHERE g <= 5) AS INTEGER) AS within_5,
   CAST(count(*) FILTER (WHERE g <= 20) AS INTEGER) AS within_20
-FROM (SELECT abs(row_number() OVER (ORDER BY our_points DESC, team) - rank() OVER (ORDER BY points DESC)) AS g FROM compared) AS x""")
+FROM (SELECT season_id, abs(row_number() OVER (PARTITION BY season_id ORDER BY our_points DESC, team) - rank() OVER (PARTITION BY season_id ORDER BY points DESC)) AS g FROM compared) AS x GROUP BY ALL""")
 def rank_agreement(t):
     return K.rank_agreement(compared(t))
 
 
 @query("miss_causes", """
-SELECT CASE WHEN n_ours < n_theirs THEN 'missing tournament' WHEN NOT all_matched THEN 'an entry differs' ELSE 'total differs' END AS cause,
+SELECT season_id, CASE WHEN n_ours < n_theirs THEN 'missing tournament' WHEN NOT all_matched THEN 'an entry differs' ELSE 'total differs' END AS cause,
   CAST(count(*) AS INTEGER) AS teams FROM compared WHERE abs(delta) > 0.051 GROUP BY ALL""")
 def miss_causes(t):
     return K.miss_causes(compared(t))
@@ -183,13 +184,13 @@ def compare_entries(t):
     return K.compare_entry_sources(*_two_lists(t))
 
 
-_TEAM_SUM = "(SELECT team, round(sum(p * weight)::DOUBLE, 6) AS t FROM (SELECT team, p, row_number() OVER (PARTITION BY team ORDER BY p DESC, entry_id) AS rn FROM ({0}) AS i) AS a JOIN weights AS w ON w.place = a.rn GROUP BY ALL)"
+_TEAM_SUM = "(SELECT season_id, team, round(sum(p * weight)::DOUBLE, 6) AS t FROM (SELECT season_id, team, p, row_number() OVER (PARTITION BY season_id, team ORDER BY p DESC, entry_id) AS rn FROM ({0}) AS i) AS a JOIN weights AS w ON w.place = a.rn GROUP BY ALL)"
 
 
 @query("compare_entry_totals", f"""
-SELECT CASE WHEN y.t IS NULL THEN 'absent' WHEN abs(y.t - x.t) < 0.051 THEN 'identical' ELSE 'moved' END AS change, CAST(count(*) AS INTEGER) AS teams
-FROM {_TEAM_SUM.format("SELECT team, entry_id, ours AS p FROM cases WHERE supp % 23 <> 0 AND ours > 0")} AS x
-LEFT JOIN {_TEAM_SUM.format("SELECT team, entry_id, ours + CASE WHEN supp % 31 = 0 THEN 1 ELSE 0 END AS p FROM cases WHERE supp % 23 <> 0 AND supp % 19 <> 1 AND ours + CASE WHEN supp % 31 = 0 THEN 1 ELSE 0 END > 0")} AS y ON y.team = x.team GROUP BY ALL""")
+SELECT x.season_id, CASE WHEN y.t IS NULL THEN 'absent' WHEN abs(y.t - x.t) < 0.051 THEN 'identical' ELSE 'moved' END AS change, CAST(count(*) AS INTEGER) AS teams
+FROM {_TEAM_SUM.format("SELECT season_id, team, entry_id, ours AS p FROM cases WHERE supp % 23 <> 0 AND ours > 0")} AS x
+LEFT JOIN {_TEAM_SUM.format("SELECT season_id, team, entry_id, ours + CASE WHEN supp % 31 = 0 THEN 1 ELSE 0 END AS p FROM cases WHERE supp % 23 <> 0 AND supp % 19 <> 1 AND ours + CASE WHEN supp % 31 = 0 THEN 1 ELSE 0 END > 0")} AS y ON y.season_id = x.season_id AND y.team = x.team GROUP BY ALL""")
 def compare_entry_totals(t):
     return K.compare_entry_totals(*_two_lists(t))
 
@@ -208,55 +209,55 @@ def check_walkovers(t):
 
 def _paired(t: DriverTables) -> DataFrame:
     c = compared(t)
-    return c.select(F.lit("teams").alias("scope"), "rank", F.col("team").alias("label"), F.col("points").alias("official"),
+    return c.select("season_id", F.lit("teams").alias("scope"), "rank", F.col("team").alias("label"), F.col("points").alias("official"),
                     F.when(F.col("rank") % 9 != 0, F.col("our_points")).alias("ours"))
 
 
-_PAIRED = "(SELECT 'teams' AS scope, rank, team AS label, points AS official, CASE WHEN rank % 9 <> 0 THEN our_points END AS ours FROM compared)"
+_PAIRED = "(SELECT season_id, 'teams' AS scope, rank, team AS label, points AS official, CASE WHEN rank % 9 <> 0 THEN our_points END AS ours FROM compared)"
 
 
 @query("compare_top", f"""
-SELECT scope, CAST(count(*) AS INTEGER) AS compared, CAST(count(*) FILTER (WHERE ours IS NULL) AS INTEGER) AS unmatched, CAST(count(*) FILTER (WHERE g < 0.051) AS INTEGER) AS exact,
+SELECT season_id, scope, CAST(count(*) AS INTEGER) AS compared, CAST(count(*) FILTER (WHERE ours IS NULL) AS INTEGER) AS unmatched, CAST(count(*) FILTER (WHERE g < 0.051) AS INTEGER) AS exact,
   CAST(count(*) FILTER (WHERE 100 * g / official <= 0.5) AS INTEGER) AS within_half_pct, CAST(count(*) FILTER (WHERE 100 * g / official <= 2) AS INTEGER) AS within_two_pct,
   CAST(count(*) FILTER (WHERE g <= 0.5) AS INTEGER) AS within_half, CAST(count(*) FILTER (WHERE g <= 2) AS INTEGER) AS within_two
-FROM (SELECT *, abs(ours - official) AS g FROM {_PAIRED} AS p WHERE rank <= 100) AS x GROUP BY scope""")
+FROM (SELECT *, abs(ours - official) AS g FROM {_PAIRED} AS p WHERE rank <= 100) AS x GROUP BY season_id, scope""")
 def compare_top(t):
     return K.compare_top(_paired(t))
 
 
 @query("largest_gaps", f"""
-SELECT scope, label, round(official, 6) AS official, round(ours, 6) AS ours, round(ours - official, 6) AS gap FROM {_PAIRED} AS p WHERE rank <= 100 AND abs(ours - official) >= 0.051
-ORDER BY round(abs(ours - official), 6) DESC, scope, label LIMIT 8""")
+SELECT season_id, scope, label, round(official, 6) AS official, round(ours, 6) AS ours, round(ours - official, 6) AS gap FROM {_PAIRED} AS p WHERE rank <= 100 AND abs(ours - official) >= 0.051
+QUALIFY row_number() OVER (PARTITION BY season_id, scope ORDER BY round(abs(p.ours - p.official), 6) DESC, label) <= 8""")
 def largest_gaps(t):
     return _rounded(K.largest_gaps(_paired(t)))
 
 
 @query("diagnose", f"""
-SELECT problem, CAST(count(*) AS INTEGER) AS rows, CAST(count(DISTINCT b.team) AS INTEGER) AS teams, round(coalesce(sum(b.stake / n), 0), 6) AS points FROM (
-  SELECT problem, team, count(*) OVER (PARTITION BY problem, team) AS n FROM (
-    SELECT 'scored differently' AS problem, team FROM cases WHERE NOT matched UNION ALL SELECT 'never matched', team FROM cases WHERE supp % 21 = 2
-    UNION ALL SELECT 'ambiguous', team FROM cases WHERE match_ambiguous UNION ALL SELECT DISTINCT 'no usable payload', tournament FROM cases WHERE tournament LIKE '%-07-01'
-    UNION ALL SELECT CASE WHEN ours IS NULL THEN 'absent from our standings' ELSE 'total differs only' END, label FROM {_PAIRED} AS p
-      WHERE rank <= 100 AND (ours IS NULL OR abs(ours - official) >= 0.051) AND label NOT IN (SELECT team FROM cases WHERE NOT matched OR supp % 21 = 2)) AS r) AS x
-LEFT JOIN (SELECT label AS team, abs(coalesce(ours - official, official)) AS stake FROM {_PAIRED} AS p WHERE rank <= 100 AND (ours IS NULL OR abs(ours - official) >= 0.051)) AS b ON b.team = x.team
-GROUP BY problem""")
+SELECT x.season_id, problem, CAST(count(*) AS INTEGER) AS rows, CAST(count(DISTINCT b.team) AS INTEGER) AS teams, round(coalesce(sum(b.stake / n), 0), 6) AS points FROM (
+  SELECT season_id, problem, team, count(*) OVER (PARTITION BY season_id, problem, team) AS n FROM (
+    SELECT season_id, 'scored differently' AS problem, team FROM cases WHERE NOT matched UNION ALL SELECT season_id, 'never matched', team FROM cases WHERE supp % 21 = 2
+    UNION ALL SELECT season_id, 'ambiguous', team FROM cases WHERE match_ambiguous UNION ALL SELECT DISTINCT season_id, 'no usable payload', tournament FROM cases WHERE tournament LIKE '%-07-01'
+    UNION ALL SELECT season_id, CASE WHEN ours IS NULL THEN 'absent from our standings' ELSE 'total differs only' END, label FROM {_PAIRED} AS p
+      WHERE rank <= 100 AND (ours IS NULL OR abs(ours - official) >= 0.051) AND (season_id, label) NOT IN (SELECT (season_id, team) FROM cases WHERE NOT matched OR supp % 21 = 2)) AS r) AS x
+LEFT JOIN (SELECT season_id, label AS team, abs(coalesce(ours - official, official)) AS stake FROM {_PAIRED} AS p WHERE rank <= 100 AND (ours IS NULL OR abs(ours - official) >= 0.051)) AS b ON b.season_id = x.season_id AND b.team = x.team
+GROUP BY x.season_id, problem""")
 def diagnose(t):
     c, s = cases(t), F.col("supp")
     teams = _paired(t).where("rank <= 100").withColumn("delta", F.col("ours") - F.col("official")).withColumnRenamed("label", "team_key")
-    return _rounded(K.diagnose(c, c.where(s % 21 == 2).select("tournament", "team"), c.where("match_ambiguous").select("tournament", "team"),
-                               c.where(F.col("tournament").like("%-07-01")).select("tournament"), teams))
+    return _rounded(K.diagnose(c, c.where(s % 21 == 2).select("season_id", "tournament", "team"), c.where("match_ambiguous").select("season_id", "tournament", "team"),
+                               c.where(F.col("tournament").like("%-07-01")).select("season_id", "tournament"), teams))
 
 
 @query("audit_top", """
-SELECT c.team, c.tournament, c.theirs AS points, m.ours, CASE WHEN m.ours IS NOT NULL THEN CASE WHEN m.ours = c.theirs THEN 'agrees' ELSE 'scored differently' END
+SELECT c.season_id, c.team, c.tournament, c.theirs AS points, m.ours, CASE WHEN m.ours IS NOT NULL THEN CASE WHEN m.ours = c.theirs THEN 'agrees' ELSE 'scored differently' END
   WHEN c.supp % 21 = 2 THEN 'not matched' WHEN c.tournament LIKE '%-07-01' THEN 'no payload' ELSE 'absent' END AS cause
-FROM cases AS c LEFT JOIN (SELECT team, tournament, arg_max(ours, entry_id) AS ours FROM cases WHERE supp % 5 <> 2 GROUP BY ALL) AS m ON m.team = c.team AND m.tournament = c.tournament
-WHERE c.team IN (SELECT team FROM compared WHERE abs(delta) > 0.051)""")
+FROM cases AS c LEFT JOIN (SELECT season_id, team, tournament, arg_max(ours, entry_id) AS ours FROM cases WHERE supp % 5 <> 2 GROUP BY ALL) AS m ON m.season_id = c.season_id AND m.team = c.team AND m.tournament = c.tournament
+WHERE EXISTS (SELECT 1 FROM compared AS d WHERE d.season_id = c.season_id AND d.team = c.team AND abs(d.delta) > 0.051)""")
 def audit_top(t):
     c, s = cases(t), F.col("supp")
-    bad = compared(t).where("abs(delta) > 0.051").select(F.col("team").alias("team_key"))
-    results = c.select(F.col("team").alias("team_key"), "tournament", F.lit("").alias("result"), F.col("theirs").alias("points"))
-    return K.audit_top(bad, results, c.where(s % 5 != 2), c.where(s % 21 == 2).select("team", "tournament"),
+    bad = compared(t).where("abs(delta) > 0.051").select("season_id", F.col("team").alias("team_key"))
+    results = c.select("season_id", F.col("team").alias("team_key"), "tournament", F.lit("").alias("result"), F.col("theirs").alias("points"))
+    return K.audit_top(bad, results, c.where(s % 5 != 2), c.where(s % 21 == 2).select("season_id", "team", "tournament"),
                        c.where(F.col("tournament").like("%-07-01")).select("tournament")).drop("result")
 
 
@@ -320,19 +321,21 @@ def field_deltas(t):
 @query("backtest_fields", """
 SELECT figure, CAST(count(*) AS INTEGER) AS n, CAST(count(*) FILTER (WHERE ours = theirs) AS INTEGER) AS agree FROM (
   SELECT 'open_field' AS figure, o AS ours, o - k AS theirs FROM z UNION ALL SELECT 'njv_field', n, CASE WHEN k = 0 THEN 0 ELSE n END FROM z
-  UNION ALL SELECT 'afs', o + n, o + n FROM z UNION ALL SELECT 'elim_field', 16, NULL FROM z UNION ALL SELECT 'prelim_count', 5, 5 + k FROM z) AS x WHERE theirs IS NOT NULL GROUP BY figure""")
+  UNION ALL SELECT 'afs', o + n, o + n FROM z UNION ALL SELECT 'elim_field', ef, CASE WHEN k = 1 THEN ef END FROM z
+  UNION ALL SELECT 'prelim_count', pc, pc + k FROM z) AS x WHERE theirs IS NOT NULL GROUP BY figure""")
 def backtest_fields(t):
-    ours = t.entries.groupBy("tournament_id").agg(
-        F.count_if(F.col("division") == "open").alias("open_field"), F.count_if(F.col("division") == "novice").alias("njv_field"))
+    ours = K.backtest_figures(t.events, field_table(t))
     k = F.when(F.month(F.to_date("tournament_id")) == 4, 0).otherwise(1)
-    ours = ours.withColumns({"afs": F.col("open_field") + F.col("njv_field"), "elim_field": F.lit(16), "prelim_count": F.lit(5)})
     said = ours.withColumns({"open_field": F.col("open_field") - k, "njv_field": F.when(k == 1, F.col("njv_field")),
-                             "elim_field": F.lit(None).cast("int"), "prelim_count": 5 + k})
+                             "elim_field": F.when(k == 1, F.col("elim_field")), "prelim_count": F.col("prelim_count") + k})
     return K.backtest_fields(ours, said)
 
 
-CTES["z"] = """SELECT tournament_id, count(*) FILTER (WHERE division = 'open') AS o, count(*) FILTER (WHERE division = 'novice') AS n,
-    CASE WHEN month(any_value(CAST(tournament_id AS DATE))) = 4 THEN 0 ELSE 1 END AS k FROM entries GROUP BY tournament_id"""
+CTES["z"] = """SELECT e.tournament_id, sum(raw_entries - forfeited_out) FILTER (WHERE division = 'open') AS o,
+    coalesce(sum(raw_entries - forfeited_out) FILTER (WHERE division = 'novice'), 0) AS n, sum(elim_field) FILTER (WHERE division = 'open') AS ef,
+    max(prelim_count) FILTER (WHERE division = 'open') AS pc, CASE WHEN month(CAST(e.tournament_id AS DATE)) = 4 THEN 0 ELSE 1 END AS k
+  FROM fs JOIN (SELECT DISTINCT event_id, tournament_id, division FROM rooms) AS e ON e.event_id = fs.event_id
+  GROUP BY e.tournament_id HAVING sum(raw_entries) FILTER (WHERE division = 'open') IS NOT NULL"""
 
 CTES["diag_teams"] = """SELECT t.season_id, t.pair, t.rank AS official_rank, t.points + CASE WHEN x % 5 = 0 THEN 1 ELSE 0 END AS official_points,
     CASE WHEN x % 7 <> 0 THEN t.points END AS our_points FROM (SELECT *, CAST(replace(split_part(pair, '|', 1), 'd', '') AS INTEGER) + CAST(replace(split_part(pair, '|', 2), 'd', '') AS INTEGER) AS x FROM team_totals) AS t"""
@@ -354,7 +357,7 @@ def diagnostics(t: DriverTables) -> DataFrame:
             "season_id", F.col("pair").alias("team_key"), F.when(F.col("x") % 7 != 0, F.concat_ws("_", F.lit("team"), "season_id", "pair")).alias("team_id"),
             F.col("rank").alias("official_rank"), (F.col("points") + (F.col("x") % 5 == 0).cast("int")).alias("official_points"),
             F.when(F.col("x") % 7 != 0, F.col("points")).alias("our_points"))
-        s = F.split("entry_id", ":")[2].cast("int")
+        s = F.element_at(F.split("entry_id", ":"), -1).cast("int")
         mine = scored(t).join(t.pairs.where("pair is not null").select("entry_id", "pair"), "entry_id").withColumn("s", s)
         theirs = mine.where("s % 9 <> 0").select(
             "season_id", F.col("pair").alias("team_key"), F.col("tournament_id").alias("tournament"),
@@ -374,7 +377,8 @@ def standing_diagnostics(t):
 
 @query("diagnostics_worst", """
 SELECT season_id, pair AS team_key, official_rank, official_points, our_points, round(our_points - official_points, 6) AS delta FROM diag_teams
-WHERE our_points IS NULL OR abs(our_points - official_points) >= 0.051 ORDER BY our_points IS NULL DESC, round(abs(our_points - official_points), 6) DESC NULLS FIRST, season_id, pair LIMIT 200""")
+WHERE our_points IS NULL OR abs(our_points - official_points) >= 0.051
+QUALIFY row_number() OVER (PARTITION BY season_id ORDER BY our_points IS NULL DESC, round(abs(our_points - official_points), 6) DESC NULLS FIRST, pair) <= 200""")
 def diagnostics_worst(t):
     return Q.diagnostics_worst(diagnostics(t).withColumn("delta", F.round("delta", 6))).select(
         "season_id", "team_key", "official_rank", "official_points", "our_points", "delta")
@@ -399,7 +403,7 @@ def agreement(t):
 
 @query("tournament_diagnostics", """
 SELECT season_id, tournament, CAST(count(*) AS INTEGER) AS differing, sum(abs(coalesce(delta, official, 0))) AS points FROM diag_results WHERE ours IS NULL OR delta <> 0
-GROUP BY ALL ORDER BY differing DESC, season_id, tournament LIMIT 20""")
+GROUP BY season_id, tournament QUALIFY row_number() OVER (PARTITION BY season_id ORDER BY differing DESC, tournament) <= 20""")
 def tournament_diagnostics(t):
     return Q.tournament_diagnostics(diagnostics(t))
 

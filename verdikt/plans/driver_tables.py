@@ -1,18 +1,19 @@
 """Contest tables derived from a star schema of orders and lines.
 
 An order is a room: its least and greatest supplier are the two sides, each of
-its lines one judge's ballot. Urgent orders are elimination rooms (the first
-fifteen of an event, widest round first), the rest preliminary rooms. Quarters
-are tournaments and two-year blocks are seasons. Everything is integer
+its lines one judge's ballot. Quarters are tournaments, two-year blocks are
+seasons, and a division of a tournament is as many events as its urgent orders
+make brackets of fifteen rooms, widest round first. All other orders are
+preliminary rooms of those events in turn. Everything is integer
 arithmetic on the given keys, so the tables grow with the data.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from verdikt.operators.lineage import cut_lineage
-
+from verdikt.operators.ranking import sequence_number
 
 # How many elimination rooms each round has, and the round's name.
 ELIM_ROOMS = ((8, "6", "octo"), (4, "7", "quarter"), (2, "8", "semi"), (1, "9", "first"))
@@ -76,15 +77,18 @@ class DriverTables:
             F.date_format(day, "yyyy-MM-dd").alias("tournament_id"), season_name(F.year(day)).alias("season_id"),
             F.when(F.col("o_custkey") % 10 == 0, "novice").otherwise("open").alias("division"),
             (F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
-        both = orders.join(lines, "k").withColumn("event_id", F.concat_ws(":", "tournament_id", "division"))
-        rank = F.row_number().over(W.partitionBy("event_id").orderBy("k"))
-        chosen = (both.where("urgent").select("event_id", "k").withColumn("rn", rank).where("rn <= 15")
-                  .select("k", "rn"))
+        both = orders.join(lines, "k")
+        field = ["tournament_id", "division"]
+        placed = sequence_number(both.where("urgent").select(*field, "k"), field, "k", [], "n", descending=False)
+        urgent = placed.select("k", F.expr("(n - 1) div 15").alias("bracket"), (1 + (F.col("n") - 1) % 15).alias("rn"))
+        blocks = placed.groupBy(*field).agg(F.expr("(max(n) - 1) div 15 + 1").alias("blocks"))
         name, upto = None, 0
         for n, label, _ in ELIM_ROOMS:
             upto += n
             name = F.when(F.col("rn") <= upto, label) if name is None else name.when(F.col("rn") <= upto, label)
-        out = both.join(chosen, "k", "left").where(~F.col("urgent") | F.col("rn").isNotNull())
+        block = F.coalesce("bracket", F.col("k") % F.coalesce("blocks", F.lit(1)))
+        out = (both.join(urgent, "k", "left").join(blocks, field, "left")
+               .withColumn("event_id", F.concat_ws(":", "tournament_id", "division", block.cast("string"))))
         kind = F.when(F.col("urgent"), "elim").otherwise("prelim")
         label = F.when(F.col("urgent"), name).otherwise((1 + F.col("k") % 5).cast("string"))
         return out.select(

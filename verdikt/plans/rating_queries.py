@@ -317,12 +317,16 @@ def predict_tournaments(t):
     return _rounded(out.select("season_id", "section_id", "p", "favourite", "points_call"))
 
 
-@query("side_only")
+@query("side_only", """
+SELECT season_id, CAST(count(*) AS INTEGER) AS n, round(avg(CASE WHEN p > 0.5 THEN 1.0 WHEN p = 0.5 THEN 0.5 ELSE 0.0 END), 6) AS accuracy, round(avg(-ln(p)), 6) AS log_loss, round(avg((1 - p) * (1 - p)), 6) AS brier FROM (
+  SELECT r.season_id, round(CASE WHEN 2 * won_a > ballots THEN q.share ELSE 1 - q.share END, 9) AS p FROM rated AS r
+  JOIN (SELECT side_a = 1 AS first, avg(CASE WHEN 2 * won_a > ballots THEN 1.0 ELSE 0.0 END)::DOUBLE AS share FROM rated WHERE period_seq <= 8 GROUP BY ALL) AS q ON q.first = (r.side_a = 1)
+  WHERE r.period_seq > 8) AS x GROUP BY season_id""")
 def side_only(t):
-    """Fitted on each season's first eight periods, scored on the rest."""
+    """Fitted on each season's first eight periods, scored on the rest. With one two-valued feature the fit is the share won."""
     r = rated(t)
-    preds = V.side_only(r.where("period_seq <= 8"), r.where("period_seq > 8")).withColumn("p", V.outcome_probability())
-    return V.prediction_metrics(preds, ["season_id"])
+    preds = V.side_only(r.where("period_seq <= 8"), r.where("period_seq > 8")).withColumn("p", F.round(V.outcome_probability(), 9))
+    return _rounded(V.prediction_metrics(preds, ["season_id"]))
 
 
 @query("coin_flip", """
@@ -331,7 +335,35 @@ def coin_flip(t):
     return _rounded(V.prediction_metrics(V.coin_flip(rated(t)).withColumn("p", V.outcome_probability()), ["season_id"]))
 
 
+def held_out_models(t: DriverTables) -> DataFrame:
+    """Predictions of rounds after each season's eighth period: the rating's, and models fitted on the periods before."""
+    def build() -> DataFrame:
+        train = F.col("period_seq") <= 8
+        known = V.prior_evidence(season_run(t).predictions.select("season_id", "section_id", "period_seq", "a", "b", "won_a", "ballots", "side_a", "kind", "p_a"))
+        rows = (known.join(V.win_rate_to_date(rated(t)).select("season_id", "section_id", "rate_gap"), ["season_id", "section_id"])
+                .join(V.points_to_date(rated(t), earned(t), periods(t)).select("season_id", "section_id", "points_gap"), ["season_id", "section_id"])
+                .withColumn("side", V.side_feature()))
+        rows = cut_lineage(rows)
+        models = {"rating": rows.where(~train), "coin flip": V.coin_flip(rows.where(~train)), "side": V.fitted(rows, ["side"], train),
+                  "win rate": V.fitted(rows, ["rate_gap", "side"], train), "points": V.fitted(rows, ["points_gap", "side"], train)}
+        out = None
+        for name, preds in models.items():
+            one = preds.select(F.lit(name).alias("model"), "season_id", "section_id", "kind", "min_rounds", V.outcome_probability().alias("p"))
+            out = one if out is None else out.unionByName(one)
+        return out
+    return loaded_as(t, "held_out_models", build)
+
+
+@query("held_out_table")
+def held_out_table(t):
+    """Every model on the same rounds: all, both sides known, either new, eliminations."""
+    return _rounded(V.held_out_report(held_out_models(t), ["model"]))
+
+
 @query("paired_bootstrap")
 def paired_bootstrap(t):
-    p = predicted(t).select("section_id", F.col("p").alias("p_one"), F.lit(0.5).alias("p_two"))
-    return V.paired_bootstrap(p, "accuracy", draws=200)
+    """The rating against points, over the rounds both predict."""
+    models = held_out_models(t)
+    one = models.where("model = 'rating'").select("season_id", "section_id", F.col("p").alias("p_one"))
+    two = models.where("model = 'points'").select("season_id", "section_id", F.col("p").alias("p_two"))
+    return V.paired_bootstrap(one.join(two, ["season_id", "section_id"]), "accuracy")

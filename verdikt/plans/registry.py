@@ -20,17 +20,19 @@ CTES: dict[str, str] = {
     "e0": """SELECT o.*, s0.s1, s0.s2, strftime(starts_on, '%Y-%m-%d') AS tournament_id,
                CASE WHEN c % 10 = 0 THEN 'novice' ELSE 'open' END AS division,
                1995 + 2 * ((CAST(year(starts_on) AS INTEGER) - 1995) // 2) AS y0 FROM o JOIN s0 ON o.k = s0.k""",
-    "u": """SELECT k, row_number() OVER (PARTITION BY tournament_id, division ORDER BY k) AS rn
-              FROM e0 WHERE urgent""",
-    "rooms": """SELECT a.*, tournament_id || ':' || division || ':' || name AS round_id FROM (
+    "u": """SELECT k, (n - 1) // 15 AS bracket, 1 + (n - 1) % 15 AS rn FROM (
+              SELECT k, row_number() OVER (PARTITION BY tournament_id, division ORDER BY k) AS n FROM e0 WHERE urgent) AS x""",
+    "field_blocks": """SELECT tournament_id, division, (count(*) - 1) // 15 + 1 AS blocks FROM e0 WHERE urgent GROUP BY ALL""",
+    "rooms": """SELECT a.*, event_id || ':' || name AS round_id FROM (
               SELECT e0.k, e0.starts_on, e0.tournament_id, e0.division, e0.s1, e0.s2,
                 CAST(y0 AS VARCHAR) || '-' || lpad(CAST((y0 + 2) % 100 AS VARCHAR), 2, '0') AS season_id,
-                e0.tournament_id || ':' || e0.division AS event_id,
+                e0.tournament_id || ':' || e0.division || ':' || CAST(coalesce(bracket, e0.k % coalesce(blocks, 1)) AS VARCHAR) AS event_id,
                 CASE WHEN urgent THEN 'elim' ELSE 'prelim' END AS kind,
                 CASE WHEN NOT urgent THEN CAST(1 + e0.k % 5 AS VARCHAR) WHEN rn <= 8 THEN '6' WHEN rn <= 12 THEN '7'
                      WHEN rn <= 14 THEN '8' ELSE '9' END AS name,
                 CAST(e0.k AS VARCHAR) AS section_id
-              FROM e0 LEFT JOIN u ON e0.k = u.k WHERE NOT urgent OR rn <= 15) AS a""",
+              FROM e0 LEFT JOIN u ON e0.k = u.k
+                LEFT JOIN field_blocks AS x ON x.tournament_id = e0.tournament_id AND x.division = e0.division) AS a""",
     "ballots": """SELECT r.season_id, r.tournament_id, r.starts_on, r.event_id, r.division, r.round_id, r.name, r.kind,
                 r.section_id, z.side, CASE WHEN z.side = 1 THEN r.s1 ELSE r.s2 END AS supp,
                 r.event_id || ':' || CAST(CASE WHEN z.side = 1 THEN r.s1 ELSE r.s2 END AS VARCHAR) AS entry_id,

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from verdikt.functions import labels as L, rules as R
 from verdikt.operators import brackets as B, speaks as S, standings as G
 from verdikt.plans.driver_tables import DriverTables, loaded_as
-from verdikt.plans.registry import query
+from verdikt.plans.registry import CTES, query
 
 
 def entry_results(t: DriverTables) -> DataFrame:
@@ -146,8 +146,8 @@ def event_context(t: DriverTables) -> DataFrame:
 SELECT tournament_id, open_field, njv_field, open_field + njv_field AS afs, elim_field,
   round(100.0::DOUBLE * elim_field / open_field, 6) AS break_pct, prelim_count FROM (
 SELECT f.tournament_id, CAST(sum(net) FILTER (WHERE division = 'open') AS INTEGER) AS open_field,
-  CAST(coalesce(sum(net) FILTER (WHERE division = 'novice'), 0) AS INTEGER) AS njv_field,
-  CAST(coalesce(max(m.n) FILTER (WHERE division = 'open'), 0) AS INTEGER) AS elim_field,
+  CAST(CASE WHEN count(*) FILTER (WHERE division = 'open') > 1 THEN 0 ELSE coalesce(sum(net) FILTER (WHERE division = 'novice'), 0) END AS INTEGER) AS njv_field,
+  CAST(coalesce(sum(m.n) FILTER (WHERE division = 'open'), 0) AS INTEGER) AS elim_field,
   CAST(max(p.n) FILTER (WHERE division = 'open') AS INTEGER) AS prelim_count
 FROM (SELECT e.tournament_id, e.event_id, e.division, count(*) FILTER (WHERE NOT (e.dropped OR coalesce(a.ok, FALSE) AND coalesce(c.n, 0) = 0)) AS net
       FROM entries AS e
@@ -171,8 +171,7 @@ def bracket_partition(t):
     return B.partition_elim_rounds(t.rounds, t.ballots).select("event_id", "round_id", "section_count", "bracket")
 
 
-@query("field_stats", """
-SELECT e.event_id, CAST(count(*) AS INTEGER) AS raw_entries,
+CTES["fs"] = """SELECT e.event_id, CAST(count(*) AS INTEGER) AS raw_entries,
   CAST(count(*) FILTER (WHERE e.dropped OR coalesce(a.ok, FALSE) AND coalesce(c.n, 0) = 0) AS INTEGER) AS forfeited_out,
   CAST(coalesce(max(m.n), 0) AS INTEGER) AS elim_field, CAST(max(fb.n) AS INTEGER) AS first_elim_bracket,
   CAST(coalesce(max(p.n), 0) AS INTEGER) AS prelim_count,
@@ -188,10 +187,16 @@ LEFT JOIN (SELECT event_id, 2 * arg_min(n, name) AS n FROM (SELECT r.event_id, r
              JOIN main_rounds AS k ON k.event_id = r.event_id AND k.name = r.name AND r.kind = 'elim' GROUP BY ALL) AS x
            GROUP BY ALL) AS fb ON fb.event_id = e.event_id
 LEFT JOIN (SELECT event_id, count(DISTINCT round_id) AS n FROM rooms WHERE kind = 'prelim' GROUP BY ALL) AS p ON p.event_id = e.event_id
-GROUP BY e.event_id""")
+GROUP BY e.event_id"""
+
+
+def field_table(t: DriverTables) -> DataFrame:
+    return loaded_as(t, "field_table", lambda: B.event_field_stats(t.entries, t.rounds, t.ballots, t.published, performance(t)))
+
+
+@query("field_stats", "SELECT * FROM fs")
 def field_stats(t):
-    perf = performance(t)
-    return B.event_field_stats(t.entries, t.rounds, t.ballots, t.published, perf).select(
+    return field_table(t).select(
         "event_id", "raw_entries", "forfeited_out", "elim_field", "first_elim_bracket", "prelim_count", "bye_count", "unscored")
 
 
@@ -229,21 +234,20 @@ def panel_modes(t):
 
 @query("prelim_ballots", """
 SELECT e.event_id, e.entry_id,
-  CASE WHEN e.supp % 19 = 2 THEN CAST(e.supp % 7 AS DOUBLE) ELSE coalesce(m.w + (5 - m.k) * pm.panel_size, 0) END AS prelim_ballots_won,
-  CASE WHEN e.supp % 19 = 2 THEN 5 * pm.panel_size ELSE coalesce(m.d + (5 - m.k) * pm.panel_size, 0) END AS prelim_ballots_total
-FROM entries AS e JOIN (SELECT event_id, arg_max(panel, n * 1000000000000 + seen) AS panel_size FROM (
+  CASE WHEN e.supp % 19 = 2 THEN CAST(e.supp % 7 AS DOUBLE) ELSE coalesce(m.w + (coalesce(pc.n, 0) - m.k) * coalesce(pm.panel_size, 1), 0) END AS prelim_ballots_won,
+  CASE WHEN e.supp % 19 = 2 THEN coalesce(pc.n, 0) * coalesce(pm.panel_size, 1) ELSE coalesce(m.d + (coalesce(pc.n, 0) - m.k) * coalesce(pm.panel_size, 1), 0) END AS prelim_ballots_total
+FROM entries AS e LEFT JOIN (SELECT event_id, arg_max(panel, n * 1000000000000 + seen) AS panel_size FROM (
   SELECT event_id, panel, count(*) AS n, max(rp * 100000000 + sec) AS seen FROM (
     SELECT event_id, CAST(name AS BIGINT) AS rp, CAST(section_id AS BIGINT) AS sec, count(won)::DOUBLE / count(DISTINCT entry_id) AS panel, count(won) AS d,
       count(DISTINCT entry_id) AS e FROM ballots WHERE kind = 'prelim' GROUP BY ALL) AS s WHERE d > 0 AND e >= 2 GROUP BY ALL) AS x
   GROUP BY ALL) AS pm ON pm.event_id = e.event_id
-JOIN (SELECT event_id FROM rooms WHERE kind = 'prelim' GROUP BY event_id HAVING count(DISTINCT name) = 5) AS whole ON whole.event_id = e.event_id
+LEFT JOIN (SELECT event_id, count(DISTINCT name) AS n FROM rooms WHERE kind = 'prelim' GROUP BY event_id) AS pc ON pc.event_id = e.event_id
 LEFT JOIN (SELECT entry_id, sum(d) AS d, sum(w) AS w, count(*) AS k FROM (SELECT entry_id, round_id, count(won) AS d,
     count(*) FILTER (WHERE won) AS w FROM ballots WHERE kind = 'prelim' GROUP BY ALL) AS q WHERE d > 0 GROUP BY ALL) AS m
   ON m.entry_id = e.entry_id""")
 def prelim_ballots(t):
-    whole = t.rounds.groupBy("event_id").agg(F.count_if("is_prelim").alias("n")).where("n = 5").select("event_id")
     numbered = t.ballots.withColumn("section_pos", F.col("section_id").cast("long"))
-    return B.prelim_ballots(t.entries, t.rounds, numbered, t.published).join(whole, "event_id", "left_semi")
+    return B.prelim_ballots(t.entries, t.rounds, numbered, t.published)
 
 
 @query("published_precedence", """
