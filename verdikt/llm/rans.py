@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from verdikt.llm import store
-from verdikt.llm.batches import slices
+from verdikt.llm.batches import SLICE_BYTES, slices
 from verdikt.llm.tokens import word_tokenizer
 from verdikt.operators.lineage import cut_lineage
 
 MAGIC = b"VRNS"
-SCALE, LANES, BLOCK, CHECKPOINT, SEGMENT = 20, 1024, 1 << 18, 128, 1 << 22
+SCALE, LANES, BLOCK, CHECKPOINT, SEGMENT = 20, 1024, 1 << 18, 128, 1 << 21
 MOST_TASKS = 20_000
 
 _FLOOR, _WORD = np.uint64(1 << 31), np.uint64(32)
@@ -188,7 +188,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end: int | None = 1)
             place, held, size = place + len(data), [], 0
 
         try:
-            for part in slices(batches, "text"):
+            for part in slices(batches, "text", SLICE_BYTES // 2):
                 ids, counts = encoder.encode(part["text"], end)
                 if size and size + len(ids) > SEGMENT:
                     flush()

@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from verdikt.llm.batches import ranges, split_words
 
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 
 
 class WordTokenizer:
