@@ -302,8 +302,8 @@ SELECT c.tournament, c.pair, CASE WHEN c.supp % 7 = 0 THEN '9-9' ELSE CAST(r.win
 def trace_entries(t):
     rec = entry_results(t).where("division = 'open'").select("entry_id", "supp", "wins", "losses").join(
         cases(t).select("entry_id", "tournament", "pair"), "entry_id")
-    # Suppliers may share a pair of people, so the supplier tells their rows apart.
-    rec = rec.withColumn("pair", F.concat_ws("#", "pair", F.col("supp").cast("string")))
+    # A pair may stand behind several entries of a tournament, so the entry tells their rows apart.
+    rec = rec.withColumn("pair", F.concat_ws("#", "pair", "entry_id"))
     derived = F.concat_ws("-", F.col("wins").cast("string"), F.col("losses").cast("string"))
     rows = rec.select("tournament", "pair", F.when(F.col("supp") % 7 == 0, "9-9").otherwise(derived).alias("result"))
     return K.trace_entries(rows, rec.withColumn("elim_level", F.lit("-"))).drop("elim_level").withColumn("pair", F.split("pair", "#")[0])

@@ -377,10 +377,10 @@ def judge_robust(t):
 
 
 @query("judge_normalized", """
-SELECT season_id, judge_id, count(*) AS n, round(avg(z), 6) AS mean_z, round(avg(pool_centre + z * pool_spread), 6) AS mean_display FROM normalized GROUP BY ALL""")
+SELECT season_id, judge_id, count(*) AS n, round(avg(z), 6) AS mean_z, round(avg(pool_centre + z * pool_spread), 5) AS mean_display FROM normalized GROUP BY ALL""")
 def judge_normalized(t):
     return S.normalize_by_judge(S.usable_scores(t.scores)).groupBy("season_id", "judge_id").agg(
-        F.count("*").alias("n"), F.round(F.avg("z"), 6).alias("mean_z"), F.round(F.avg("display"), 6).alias("mean_display"))
+        F.count("*").alias("n"), F.round(F.avg("z"), 6).alias("mean_z"), F.round(F.avg("display"), 5).alias("mean_display"))
 
 
 def speaker_table(t: DriverTables) -> DataFrame:

@@ -20,19 +20,22 @@ _s = lambda c: F.col(c).cast("string") if isinstance(c, str) else c.cast("string
 
 
 def payloads(t: DriverTables) -> DataFrame:
-    """One document per line of a room, as text, with every branch the readers use. Documents of
-    one room repeat its entries, as corrected payloads do."""
+    """One document a room with every branch the readers use, parsed once and kept as columns, as the load does.
+
+    A document holds at most a hundred lines of its room; a longer room is several documents, which repeat its entries.
+    """
     def build() -> DataFrame:
-        l = F.col("l")
-        b = lambda side: F.array(F.struct(
-            F.concat_ws("-", "section_id", l["line"].cast("string"), l["part"].cast("string"), F.lit(str(side))).alias("id"),
-            _s(f"s{side}").alias("entry"), F.lit(str(side)).alias("side"), _s(l["part"] % 200).alias("judge_person"),
-            F.concat(F.lit("E"), _s(f"s{side}")).alias("entry_code"),
-            F.array(F.struct(F.lit("winloss").alias("tag"), F.when(l["flag"] != "N", _s(
-                (l["flag"] == ("A" if side == 1 else "R")).cast("int"))).alias("value"), F.lit(None).cast("string").alias("speaker")),
-                F.struct(F.lit("point").alias("tag"), F.when(l["line"] % 5 == 0, F.lit("n/a")).otherwise(_s(l["qty"])).alias("value"),
-                         _s(l["supp"]).alias("speaker"))).alias("scores")))
-        ballots = F.when(F.col("s1") == F.col("s2"), b(1)).otherwise(F.concat(b(1), b(2)))
+        def ballot(side: int, l: Column) -> Column:
+            said = F.when(l["flag"] != "N", _s((l["flag"] == ("A" if side == 1 else "R")).cast("int")))
+            return F.struct(
+                F.concat_ws("-", "section_id", l["line"].cast("string"), l["part"].cast("string"), F.lit(str(side))).alias("id"),
+                _s(f"s{side}").alias("entry"), F.lit(str(side)).alias("side"), _s(l["part"] % 200).alias("judge_person"),
+                F.concat(F.lit("E"), _s(f"s{side}")).alias("entry_code"),
+                F.array(F.struct(F.lit("winloss").alias("tag"), said.alias("value"), F.lit(None).cast("string").alias("speaker")),
+                        F.struct(F.lit("point").alias("tag"), F.when(l["line"] % 5 == 0, F.lit("n/a")).otherwise(_s(l["qty"])).alias("value"),
+                                 _s(l["supp"]).alias("speaker"))).alias("scores"))
+        one, two = F.transform("ls", lambda l: ballot(1, l)), F.transform("ls", lambda l: ballot(2, l))
+        ballots = F.when(F.col("s1") == F.col("s2"), one).otherwise(F.concat(one, two))
         section = F.struct(F.col("section_id").alias("id"), ballots.alias("ballots"))
         rnd = F.struct(F.col("round_id").alias("id"), "name", F.when(F.col("kind") == "prelim", "highhigh").otherwise("elim").alias("type"),
                        F.array(section).alias("sections"))
@@ -51,10 +54,12 @@ def payloads(t: DriverTables) -> DataFrame:
                          F.array(_s("s1"), _s("s2")).alias("students"), _s(F.col("k") % 2).alias("hybrid"), _s((F.col("k") % 7 == 0).cast("int")).alias("dropped"))
         school = F.struct(_s(F.col("s1") % 25).alias("id"), F.concat(F.lit("School "), _s(F.col("s1") % 25)).alias("name"), F.array(entry).alias("entries"),
                           F.array(student("s1", "A"), student("s2", "B")).alias("students"))
-        return t.room_lines.select(F.to_json(F.struct(
+        room = ["k", "tournament_id", "section_id", "round_id", "name", "kind", "s1", "s2"]
+        rooms = t.room_lines.groupBy(*room, F.floor((F.col("l.line") - 1) / 100).alias("sheet")).agg(F.array_sort(F.collect_list("l")).alias("ls"))
+        return P.parse_payloads(rooms.select(F.to_json(F.struct(
             F.col("section_id").alias("id"), F.col("tournament_id").alias("name"), F.concat("tournament_id", F.lit(" 08:00:00")).alias("start"),
-            F.array(F.struct(F.array(event).alias("events"))).alias("categories"), F.array(school).alias("schools"))).alias("body"))
-    return P.parse_payloads(loaded_as(t, "payloads", build))
+            F.array(F.struct(F.array(event).alias("events"))).alias("categories"), F.array(school).alias("schools"))).alias("body")))
+    return loaded_as(t, "payloads", build)
 
 
 @query("payload_ballots", """

@@ -105,29 +105,39 @@ def rounds_from_payload(df: DataFrame) -> DataFrame:
         F.when(kind == "elim", elim_level_from_sections(n)).alias("elim_level"))
 
 
+def _outcome(ballot: Column) -> Column:
+    """Whether a ballot's first win/loss score is a win; null without a usable one."""
+    scores = F.coalesce(ballot["scores"], F.array().cast(f"array<{_SCORE}>"))
+    first = F.get(F.filter(scores, lambda s: (s["tag"] == "winloss") & s["value"].isNotNull()), F.lit(0))
+    return norm_num(first["value"]) >= 1
+
+
+def _section_rows(df: DataFrame) -> DataFrame:
+    return _rounds(df).select("tournament_id", "event_id", norm_id("r.id").alias("round_id"), "round_pos",
+                              F.posexplode("r.sections").alias("section_pos", "s"))
+
+
 def _ballot_rows(df: DataFrame) -> DataFrame:
-    return (_rounds(df).select("tournament_id", "event_id", norm_id("r.id").alias("round_id"), "round_pos",
-                               F.posexplode("r.sections").alias("section_pos", "s"))
-            .select("tournament_id", "event_id", "round_id", "round_pos", "section_pos",
-                    norm_id("s.id").alias("section_id"), F.posexplode("s.ballots").alias("ballot_pos", "b")))
+    return (_section_rows(df).select("tournament_id", "event_id", "round_id", "round_pos", "section_pos",
+                                     norm_id("s.id").alias("section_id"), F.posexplode("s.ballots").alias("ballot_pos", "b")))
 
 
 def ballots_from_payload(df: DataFrame) -> DataFrame:
-    """One row per judge per entry. ``won`` reads the first win/loss score; a section with one
-    entry is a bye; ``unscored`` means no ballot of the section has a result."""
-    wl = F.get(F.filter(F.coalesce("b.scores", F.array().cast(f"array<{_SCORE}>")),
-                        lambda s: (s["tag"] == "winloss") & s["value"].isNotNull()), F.lit(0))
-    flat = _ballot_rows(df).select(
-        "tournament_id", "event_id", "round_id", "round_pos", "section_pos", "section_id", "ballot_pos",
-        norm_id("b.id").alias("ballot_id"), norm_id("b.entry").alias("entry_id"),
-        F.col("b.entry_code").alias("entry_code"), F.col("b.entry_name").alias("entry_name"),
-        norm_num("b.side").cast("int").alias("side"), norm_id("b.judge").alias("judge_id"),
-        norm_id("b.judge_person").alias("judge_person_id"), F.col("b.judge_first").alias("judge_first"),
-        F.col("b.judge_last").alias("judge_last"), (norm_num(wl["value"]) >= 1).alias("won"))
-    section = ["tournament_id", "event_id", "round_pos", "section_pos"]
-    seen = flat.groupBy(*section).agg(F.count_distinct("entry_id").alias("_n"), F.count("won").alias("_d"))
-    return (flat.join(seen, section).withColumn("is_bye", F.col("_n") == 1)
-            .withColumn("unscored", F.col("_d") == 0).drop("_n", "_d"))
+    """One row per judge per entry. A section with one entry is a bye; ``unscored`` means no ballot of it has a result.
+
+    Both are read off the section's own list before it is taken apart, so nothing is joined or shuffled.
+    """
+    entries = F.array_distinct(F.array_compact(F.transform("s.ballots", lambda b: norm_id(b["entry"]))))
+    decided = F.exists("s.ballots", lambda b: _outcome(b).isNotNull())
+    return (_section_rows(df).select("tournament_id", "event_id", "round_id", "round_pos", "section_pos", norm_id("s.id").alias("section_id"),
+                                     (F.size(entries) == 1).alias("is_bye"), (~F.coalesce(decided, F.lit(False))).alias("unscored"),
+                                     F.posexplode("s.ballots").alias("ballot_pos", "b"))
+            .select("tournament_id", "event_id", "round_id", "round_pos", "section_pos", "section_id", "ballot_pos",
+                    norm_id("b.id").alias("ballot_id"), norm_id("b.entry").alias("entry_id"),
+                    F.col("b.entry_code").alias("entry_code"), F.col("b.entry_name").alias("entry_name"),
+                    norm_num("b.side").cast("int").alias("side"), norm_id("b.judge").alias("judge_id"),
+                    norm_id("b.judge_person").alias("judge_person_id"), F.col("b.judge_first").alias("judge_first"),
+                    F.col("b.judge_last").alias("judge_last"), _outcome(F.col("b")).alias("won"), "is_bye", "unscored"))
 
 
 def speaker_scores_from_payload(df: DataFrame) -> DataFrame:
@@ -177,58 +187,63 @@ def _value(key: Column) -> Column:
                           lambda v: norm_id(v["result_key"]) == key), F.lit(0))["value"]
 
 
+_KEYS = ["tournament_id", "event_id", "entry_id"]
+
+
+def _record() -> Column:
+    """A per-round summary (``R1 W | R2 BYE``) as wins, losses and rounds, a bye a win; else a bare win total of zero rounds."""
+    tokens = F.transform(F.regexp_extract_all(_value(_key_id("Ballots")), F.lit(r"(?i)R\d+\s+(BYE|W|L)\b"), F.lit(1)), F.upper)
+    bare = norm_num(_value(_key_id("Win", "WinPm")))
+    made = lambda w, l, n: F.struct(w.cast("int").alias("rec_wins"), l.cast("int").alias("rec_losses"), n.cast("int").alias("rec_rounds"))
+    lost = F.size(F.filter(tokens, lambda t: t == "L"))
+    return F.when(F.size(tokens) > 0, made(F.size(tokens) - lost, lost, F.size(tokens))).when(
+        bare.isNotNull(), made(bare, F.lit(0), F.lit(0)))
+
+
+def _said(df: DataFrame) -> DataFrame:
+    """Each published result row with what it says: null where its set says nothing of the kind."""
+    tag, place = F.col("rs.tag"), F.trim(F.coalesce("res.place", F.lit("")))
+    seeds = F.coalesce("rs.label", tag, F.lit("")).rlike(r"(?i)prelim\s*seed")
+    return _results(df).select(
+        *_KEYS, F.struct("set_pos", "res_pos").alias("at"),
+        F.when(tag == "seed", norm_num(_value(_key_id("WinPm")))).alias("prelim_wins"),
+        F.when(tag == "seed", norm_num(_value(_key_id("BalPm")))).alias("prelim_ballots"),
+        F.when(tag.isin("final", "seed"), _record()).alias("rec"),
+        F.when(seeds, norm_num("res.rank")).cast("int").alias("seed"),
+        F.when((tag == "final") & place.rlike("(?i)^(1st|1|first|champion|co-?champ)"), True).alias("champion"))
+
+
+def _latest(name: str) -> Column:
+    return F.max_by(name, F.when(F.col(name).isNotNull(), F.col("at"))).alias(name)
+
+
 def published_prelim_totals(df: DataFrame, tag: str) -> DataFrame:
-    """Totals the tabulators published under ``tag`` in a seed set; a later row wins."""
-    value = norm_num(_value(_key_id(tag)))
-    return (_results(df).where(F.col("rs.tag") == "seed").withColumn("v", value).where(F.col("v").isNotNull())
-            .groupBy("tournament_id", "event_id", "entry_id")
-            .agg(F.max_by("v", F.struct("set_pos", "res_pos")).alias("total")))
+    """Totals the tabulators published under ``tag`` (``WinPm`` or ``BalPm``) in a seed set; a later row wins."""
+    name = {"WinPm": "prelim_wins", "BalPm": "prelim_ballots"}[tag]
+    return _said(df).where(F.col(name).isNotNull()).groupBy(*_KEYS).agg(_latest(name)).withColumnRenamed(name, "total")
 
 
 def published_records(df: DataFrame) -> DataFrame:
-    """Records from a per-round summary (``R1 W | R2 BYE``), else a bare win total of zero rounds.
-
-    The first set that says anything about an entry is used; a bye is a win.
-    """
-    text = _value(_key_id("Ballots"))
-    tokens = F.transform(F.regexp_extract_all(text, F.lit(r"(?i)R\d+\s+(BYE|W|L)\b"), F.lit(1)), F.upper)
-    wins = _value(_key_id("Win", "WinPm"))
-    bare = norm_num(wins)
-    rec = F.when(F.size(tokens) > 0, F.struct(
-        F.size(F.filter(tokens, lambda t: t != "L")).alias("rec_wins"),
-        F.size(F.filter(tokens, lambda t: t == "L")).alias("rec_losses"),
-        F.size(tokens).alias("rec_rounds"))).when(bare.isNotNull(), F.struct(
-            bare.cast("int").alias("rec_wins"), F.lit(0).alias("rec_losses"), F.lit(0).alias("rec_rounds")))
-    return (_results(df).where(F.col("rs.tag").isin("final", "seed")).withColumn("rec", rec)
-            .where(F.col("rec").isNotNull()).groupBy("tournament_id", "event_id", "entry_id")
-            .agg(F.min_by("rec", F.struct("set_pos", "res_pos")).alias("rec"))
-            .select("tournament_id", "event_id", "entry_id", "rec.*"))
+    """Records of final and seed sets; the first set that says anything about an entry is used."""
+    return (_said(df).where(F.col("rec").isNotNull()).groupBy(*_KEYS).agg(F.min_by("rec", "at").alias("rec"))
+            .select(*_KEYS, "rec.*"))
 
 
 def prelim_seeds(df: DataFrame) -> DataFrame:
-    rank = norm_num("res.rank")
-    return (_results(df).where(F.coalesce("rs.label", "rs.tag", F.lit("")).rlike(r"(?i)prelim\s*seed"))
-            .withColumn("rank", rank).where(F.col("rank").isNotNull())
-            .groupBy("tournament_id", "event_id", "entry_id")
-            .agg(F.max_by("rank", F.struct("set_pos", "res_pos")).cast("int").alias("seed")))
+    return _said(df).where(F.col("seed").isNotNull()).groupBy(*_KEYS).agg(_latest("seed"))
 
 
 def final_places_champions(df: DataFrame) -> DataFrame:
-    place = F.trim(F.coalesce("res.place", F.lit("")))
-    return (_results(df).where((F.col("rs.tag") == "final")
-                               & place.rlike("(?i)^(1st|1|first|champion|co-?champ)"))
-            .select("tournament_id", "event_id", "entry_id").distinct())
+    return _said(df).where("champion").select(*_KEYS).distinct()
 
 
 def published_from_payload(df: DataFrame) -> DataFrame:
-    """Everything the tabulators published about an entry, one row each."""
-    keys = ["tournament_id", "event_id", "entry_id"]
-    out = published_prelim_totals(df, "WinPm").withColumnRenamed("total", "prelim_wins")
-    for other in (published_prelim_totals(df, "BalPm").withColumnRenamed("total", "prelim_ballots"),
-                  published_records(df), prelim_seeds(df),
-                  final_places_champions(df).withColumn("champion", F.lit(True))):
-        out = out.join(other, keys, "full_outer")
-    return out.fillna(False, ["champion"])
+    """Everything the tabulators published about an entry, one row each, from one pass over the result sets."""
+    parts = ["prelim_wins", "prelim_ballots", "rec", "seed", "champion"]
+    return (_said(df).where(F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(True)) for c in parts])).groupBy(*_KEYS)
+            .agg(_latest("prelim_wins"), _latest("prelim_ballots"), F.min_by("rec", F.when(F.col("rec").isNotNull(), F.col("at"))).alias("rec"),
+                 _latest("seed"), F.coalesce(F.bool_or("champion"), F.lit(False)).alias("champion"))
+            .select(*_KEYS, "prelim_wins", "prelim_ballots", "rec.*", "seed", "champion"))
 
 
 def student_index(df: DataFrame) -> DataFrame:
