@@ -5,6 +5,7 @@ Bind a season or a person with ``where`` on the result; the filter reaches the s
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from verdikt.functions.labels import STAGE_ORDER, walkover_direction
@@ -428,8 +429,10 @@ def sender_decisions(events: DataFrame, sender: str, ts: str, event_id: str, per
     """Which rows a limit accepts. A refused row is not stored, so it never counts.
 
     Each decision depends on the ones before it, so a stretch of one sender is
-    read in order by one task. It streams past in Arrow batches and only the
-    stored times of the last day are kept, at most ``per_day`` of them.
+    read in order by one task, in Arrow batches. What is accepted tells the next
+    admissible instant (an hour after the last but few, a day after the last but
+    many), so a task jumps from one accepted row to the next, at most ``per_day``
+    a day, however busy the sender.
     """
     day, hour = 86_400_000_000, 3_600_000_000
     rows = events.select(F.col(sender).cast("string").alias("sender"), F.col(event_id).cast("long").alias("event"),
@@ -440,16 +443,22 @@ def sender_decisions(events: DataFrame, sender: str, ts: str, event_id: str, per
     def decide(batches):
         at, kept = None, []
         for batch in batches:
-            out = []
-            for who, part, us in zip(batch["sender"], batch["stretch"], batch["_us"]):
-                if (who, part) != at:
-                    at, kept = (who, part), []
-                kept = [u for u in kept if u > us - day]
-                ok = len(kept) < per_day and sum(u > us - hour for u in kept) < per_hour
-                if ok:
-                    kept.append(us)
-                out.append(ok)
-            yield batch[["sender", "event"]].assign(accepted=out)
+            times, accepted = batch["_us"].to_numpy(), np.zeros(len(batch), bool)
+            runs = batch.groupby(["sender", "stretch"], sort=False, dropna=False).indices
+            for key, places in sorted(runs.items(), key=lambda item: item[1][0]):
+                if key != at:
+                    at, kept = key, []
+                here, i = times[places], 0
+                while True:
+                    free = max(kept[-per_hour] + hour if len(kept) >= per_hour else here[0],
+                               kept[-per_day] + day if len(kept) >= per_day else here[0])
+                    i = max(i, int(np.searchsorted(here, free)))
+                    if i >= len(here):
+                        break
+                    accepted[places[i]] = True
+                    kept = [*kept, int(here[i])][-per_day:]
+                    i += 1
+            yield batch[["sender", "event"]].assign(accepted=accepted)
 
     return ordered.mapInPandas(decide, "sender string, event long, accepted boolean").select(
         F.col("sender").cast(events.schema[sender].dataType).alias(sender), F.col("event").alias(event_id), "accepted")
