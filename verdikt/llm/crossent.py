@@ -61,7 +61,7 @@ def _code(path: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         base, k = TaskContext.get().partitionId() << 32, 0
-        for part in slices(batches, "text", 2 * SLICE_BYTES):
+        for part in slices(batches, "text", SLICE_BYTES):
             ids, counts = word_tokenizer(path).encode(part["text"])
             one = lambda values, kind: pa.array([values], pa.list_(kind))
             yield pa.RecordBatch.from_arrays([pa.array([base + k]), one(part["doc_id"].to_pylist(), pa.int64()), one(counts, pa.int32()),
@@ -176,8 +176,11 @@ def score(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def with_target(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``doc_id, text, target``: whether ``wanted`` has the doc_id. Rows without a doc_id are no target and join nothing."""
+    """``doc_id, text, target``: whether ``wanted`` has the doc_id. Rows without a doc_id are no target and join nothing.
+
+    The list of wanted ids grows with the corpus, so the join is by shuffle at every size.
+    """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     marks = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
-    return docs.where("doc_id is not null").join(marks, "doc_id", "left").unionByName(
+    return docs.where("doc_id is not null").join(marks.hint("merge"), "doc_id", "left").unionByName(
         docs.where("doc_id is null").withColumn("target", F.lit(None).cast("boolean")))
