@@ -145,9 +145,9 @@ def test_elo_equals_the_sequential_pass(spark):
         at[r[6]], at[r[7]] = a + gain, b - gain
 
 
-def test_bradley_terry_descends_as_stated(spark):
+def test_bradley_terry_ends_where_plain_descent_does(spark):
     rows, df = make(spark, n=40)
-    strengths, fits = BT.fit_bradley_terry(BT.bt_rounds(df), ["season_id"], 1.5, iterations=3)
+    strengths, fits = BT.fit_bradley_terry(BT.bt_rounds(df), ["season_id"], 1.5)
     names = sorted({r[6] for r in rows} | {r[7] for r in rows})
     ix = {n: i for i, n in enumerate(names)}
     s, side, rate = np.zeros(len(names)), 0.0, 0.5
@@ -155,20 +155,21 @@ def test_bradley_terry_descends_as_stated(spark):
     y = np.array([r[8] / r[9] for r in rows])
     loss = lambda s, side: np.sum(np.logaddexp(0, z(s, side)) - z(s, side) * y) + 0.75 * np.sum(s ** 2)
     now = loss(s, side)
-    for _ in range(3):
+    for _ in range(3000):
         off = 1 / (1 + np.exp(-z(s, side))) - y
         grad = 1.5 * s
         for r, o in zip(rows, off):
             grad[ix[r[6]]] += o
             grad[ix[r[7]]] -= o
         gside = sum(o * (1 if r[10] == 1 else -1) for r, o in zip(rows, off))
-        while loss(s - rate * grad, side - rate * gside) > now:
+        while loss(s - rate * grad, side - rate * gside) > now and rate > 1e-12:
             rate /= 2
         s, side = s - rate * grad, side - rate * gside
         now = loss(s, side)
     got = {r.subject: r.strength for r in strengths.collect()}
-    assert all(abs(got[n] - s[ix[n]]) < 1e-9 for n in names)
-    assert abs(fits.first().side_term - side) < 1e-9
+    assert all(abs(got[n] - s[ix[n]]) < 1e-4 for n in names)
+    assert abs(fits.first().side_term - side) < 1e-4
+    assert abs(fits.first().loss - now) < 1e-7 and fits.first().iterations < 60
 
 
 def test_logistic_fit(spark):

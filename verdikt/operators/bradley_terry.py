@@ -1,21 +1,27 @@
 """Penalised Bradley-Terry strengths with a side term, many fits at once.
 
-Every fit of ``scope`` descends together. A round keeps its log odds ``z``;
-moving against the gradient changes it by a multiple of one number, so a single
-pass prices the full step and its eleven halvings.
+Every fit of ``scope`` descends together by L-BFGS, and the objective is strictly convex, so each ends at its one optimum.
+The side term is one more subject, without penalty. Rounds stay where they are; a step carries the subjects' strengths,
+gradients and the last few differences of both. What a step needs besides are the dot products of those few vectors,
+so a fit sends a few dozen sums to the driver and gets as many coefficients back, however large it is.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from verdikt.operators.glicko import ballot_score
 from verdikt.operators.lineage import cut_lineage
 
 # The descent's defaults.
-LAMBDA, ITERATIONS, RATE, HALVINGS, ENOUGH = 1.5, 400, 0.5, 12, 1e-9
+LAMBDA, ITERATIONS, ENOUGH = 1.5, 400, 1e-9
+#: Differences that a step remembers, and how often it may be halved.
+MEMORY, HALVINGS = 5, 30
+SIDE = "\x00side"
 
 
 def bt_rounds(rounds: DataFrame, margin_weight: float = 1.0, unit: str = "pairs") -> DataFrame:
@@ -36,78 +42,108 @@ def _loss(z: Column, score: Column) -> Column:
     return F.greatest(z, F.lit(0.0)) - z * score + F.log1p(F.exp(-F.abs(z)))
 
 
+def _direction(dots: np.ndarray, kept: int) -> np.ndarray:
+    """Coefficients of the quasi-Newton step over the vectors s1..sk, y1..yk, g, from their dot products."""
+    out = np.zeros(2 * kept + 1)
+    out[-1] = -1.0
+    used = [i for i in range(kept) if dots[i, kept + i] > 1e-14]
+    alpha = {}
+    for i in reversed(used):
+        alpha[i] = out @ dots[:, i] / dots[i, kept + i]
+        out[kept + i] -= alpha[i]
+    if used:
+        last = used[-1]
+        out *= dots[last, kept + last] / dots[kept + last, kept + last]
+    for i in used:
+        out[i] += alpha[i] - out @ dots[:, kept + i] / dots[i, kept + i]
+    return out
+
+
 def fit_bradley_terry(rounds: DataFrame, scope: list[str], penalty: float | str = LAMBDA,
-                      iterations: int = ITERATIONS, rate: float = RATE) -> tuple[DataFrame, DataFrame]:
+                      iterations: int = ITERATIONS) -> tuple[DataFrame, DataFrame]:
     """(strengths: scope subject strength; fits: scope side_term loss iterations).
 
     rounds: scope section_id score side side_a_ids side_b_ids. ``penalty`` may name a
-    column of ``rounds`` that is constant within a fit.
+    column of ``rounds`` that is constant within a fit. A fit stops when a step gains less than ``ENOUGH``.
     """
+    spark = rounds.sparkSession
     pen = F.col(penalty) if isinstance(penalty, str) else F.lit(float(penalty))
     keys = [*scope, "section_id"]
-    base = cut_lineage(rounds.select(*keys, "score", "side", "side_a_ids", "side_b_ids",
-                                     pen.alias("_pen")).withColumn("z", F.lit(0.0)))
-    links = cut_lineage(_members(base, keys))
-    now = base
-    strengths = cut_lineage(links.select(*scope, "subject").distinct().withColumn("strength", F.lit(0.0)))
-    fits = cut_lineage(
-        base.groupBy(*scope).agg(F.sum(_loss(F.col("z"), F.col("score"))).alias("loss"),
-                                 F.max("_pen").alias("_pen"))
-        .withColumn("side_term", F.lit(0.0)).withColumn("rate", F.lit(rate))
-        .withColumn("iterations", F.lit(0)).withColumn("running", F.lit(True)))
+    base = cut_lineage(rounds.select(*keys, "score", "side", "side_a_ids", "side_b_ids", pen.alias("_pen")))
+    links = cut_lineage(_members(base, keys).unionByName(base.select(*keys, F.lit(SIDE).alias("subject"), F.col("side").alias("sign"))))
+    none = F.array().cast("array<double>")
+    state = (links.select(*scope, "subject").distinct().join(base.groupBy(*scope).agg(F.max("_pen").alias("_pen")), scope)
+             .select(*scope, "subject", F.when(F.col("subject") == SIDE, 0.0).otherwise(F.col("_pen")).alias("_pen"), F.lit(0.0).alias("x")))
+
+    def priced(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The points with their gradients ``h``, and each fit's ``loss`` there."""
+        z = links.join(points.select(*scope, "subject", "x"), [*scope, "subject"]).groupBy(*keys).agg(F.sum(F.col("sign") * F.col("x")).alias("z"))
+        odds = cut_lineage(base.select(*keys, "score").join(z, keys).withColumn("g", 1 / (1 + F.exp(-F.col("z"))) - F.col("score")))
+        pulls = links.join(odds.select(*keys, "g"), keys).groupBy(*scope, "subject").agg(F.sum(F.col("sign") * F.col("g")).alias("pull"))
+        out = points.join(pulls, [*scope, "subject"]).withColumn("h", F.col("pull") + F.col("_pen") * F.col("x")).drop("pull")
+        weight = points.groupBy(*scope).agg((F.sum(F.col("_pen") * F.col("x") * F.col("x")) / 2).alias("weight"))
+        loss = odds.groupBy(*scope).agg(F.sum(_loss(F.col("z"), F.col("score"))).alias("loss")).join(weight, scope)
+        return out, loss.select(*scope, (F.col("loss") + F.col("weight")).alias("loss"))
+
+    def by_fit(rows: list) -> dict[tuple, float]:
+        return {tuple(r[c] for c in scope): r for r in rows}
+
+    state, loss = priced(cut_lineage(state))
+    state = cut_lineage(state.withColumn("g", F.col("h")).drop("h").withColumn("s", none).withColumn("y", none))
+    # One row a fit comes to the driver, as in every step.
+    was = {k: r.loss for k, r in by_fit(loss.collect()).items()}
+    steps, running, scale, kept = dict.fromkeys(was, 0), set(was), {}, 0
+    scope_types = ", ".join(f"`{c}` {base.schema[c].dataType.simpleString()}" for c in scope)
     for _ in range(iterations):
-        live = fits.where("running").select(*scope, "side_term", "rate", "loss", "_pen")
-        off = (now.join(live.select(*scope), scope, "left_semi")
-               .withColumn("g", 1 / (1 + F.exp(-F.col("z"))) - F.col("score")))
-        pulls = (links.join(off.select(*keys, "g"), keys)
-                 .groupBy(*scope, "subject").agg(F.sum(F.col("sign") * F.col("g")).alias("pull")))
-        grads = cut_lineage(
-            strengths.join(live.select(*scope, "_pen"), scope).join(pulls, [*scope, "subject"], "left")
-            .select(*scope, "subject", "strength",
-                    (F.coalesce("pull", F.lit(0.0)) + F.col("_pen") * F.col("strength")).alias("grad")))
-        side_grad = off.groupBy(*scope).agg(F.sum(F.col("g") * F.col("side")).alias("g_side"))
-        dz = (links.join(grads.select(*scope, "subject", "grad"), [*scope, "subject"])
-              .groupBy(*keys).agg(F.sum(F.col("sign") * F.col("grad")).alias("dz")))
-        moved = cut_lineage(off.drop("g").join(dz, keys).join(side_grad, scope)
-                            .withColumn("dz", F.col("dz") + F.col("g_side") * F.col("side")))
-        squares = grads.groupBy(*scope).agg(
-            F.sum(F.col("strength") * F.col("strength")).alias("ss"),
-            F.sum(F.col("strength") * F.col("grad")).alias("sg"), F.sum(F.col("grad") * F.col("grad")).alias("gg"))
-        step = [F.col("rate") / float(2 ** k) for k in range(HALVINGS)]
-        trial = moved.join(live.select(*scope, "rate"), scope).groupBy(*scope).agg(
-            F.max("g_side").alias("g_side"),
-            *[F.sum(_loss(F.col("z") - step[k] * F.col("dz"), F.col("score"))).alias(f"l{k}")
-              for k in range(HALVINGS)])
-        priced = trial.join(squares, scope).join(live, scope)
-        total = [F.col(f"l{k}") + F.col("_pen") / 2 * (
-            F.col("ss") - 2 * step[k] * F.col("sg") + step[k] * step[k] * F.col("gg")) for k in range(HALVINGS)]
-        tries = F.array(*[F.struct(step[k].alias("step"), total[k].alias("next")) for k in range(HALVINGS)])
-        took = F.get(F.filter(tries, lambda t: t["next"] <= F.col("loss")), F.lit(0))
-        chosen = cut_lineage(priced.withColumn("took", took).select(
-            *scope, "g_side", F.col("took.step").alias("step"), F.col("took.next").alias("next"),
-            F.col("loss").alias("was")))
-        good = chosen.where(F.col("step").isNotNull())
-        strengths = cut_lineage(
-            strengths.join(good.select(*scope, "step"), scope, "left")
-            .join(grads.select(*scope, "subject", "grad"), [*scope, "subject"], "left")
-            .select(*scope, "subject", (F.col("strength") - F.coalesce(F.col("step") * F.col("grad"), F.lit(0.0)))
-                    .alias("strength")))
-        now = cut_lineage(now.join(moved.select(*keys, "dz"), keys, "left")
-                          .join(good.select(*scope, "step"), scope, "left")
-                          .withColumn("z", F.col("z") - F.coalesce(F.col("step") * F.col("dz"), F.lit(0.0)))
-                          .drop("dz", "step"))
-        fits = cut_lineage(
-            fits.join(chosen, scope, "left")
-            .withColumn("go_on", F.coalesce(F.col("step").isNotNull() & (F.col("was") - F.col("next") >= ENOUGH),
-                                            F.lit(False)))
-            .select(*scope, F.coalesce("next", "loss").alias("loss"), "_pen",
-                    (F.col("side_term") - F.coalesce(F.col("step") * F.col("g_side"), F.lit(0.0))).alias("side_term"),
-                    F.coalesce("step", "rate").alias("rate"),
-                    (F.col("iterations") + F.col("running").cast("int")).alias("iterations"),
-                    (F.col("running") & F.col("go_on")).alias("running")))
-        if fits.where("running").isEmpty():
+        if not running:
             break
-    return strengths, fits.select(*scope, "side_term", "loss", "iterations")
+        vectors = [*[F.col("s")[i] for i in range(kept)], *[F.col("y")[i] for i in range(kept)], F.col("g")]
+        pairs = [(i, j) for i in range(len(vectors)) for j in range(i, len(vectors))]
+        sums = by_fit(state.groupBy(*scope).agg(*[F.sum(vectors[i] * vectors[j]).alias(f"d{i}_{j}") for i, j in pairs]).collect())
+        way, slope = {}, {}
+        for k in running:
+            dots = np.zeros((len(vectors), len(vectors)))
+            for i, j in pairs:
+                dots[i, j] = dots[j, i] = sums[k][f"d{i}_{j}"]
+            way[k] = _direction(dots, kept)
+            slope[k] = float(way[k] @ dots[:, -1])
+            scale[k] = 1.0 if kept else min(1.0, 1.0 / max(1e-12, dots[-1, -1] ** 0.5))
+        trying, settled = set(running), set()
+        for _ in range(HALVINGS):
+            table = spark.createDataFrame([(*k, [float(scale[k] * c) for c in way[k]] if k in running else [0.0] * len(vectors)) for k in was],
+                                          f"{scope_types}, way array<double>")
+            move = reduce(lambda u, v: u + v, [F.col("way")[i] * vectors[i] for i in range(len(vectors))])
+            moved, loss = priced(cut_lineage(state.join(F.broadcast(table), scope).withColumn("old", F.col("x")).withColumn("x", F.col("x") + move).drop("way")))
+            now = {k: r.loss for k, r in by_fit(loss.collect()).items()}
+            for k in list(trying):
+                if now[k] <= was[k] + 1e-4 * scale[k] * slope[k] + 1e-12 * abs(was[k]):
+                    trying.discard(k)
+            if not trying:
+                break
+            for k in trying:
+                scale[k] /= 2
+        for k in trying:  # no shorter step helps: it stands at its optimum as far as doubles tell
+            scale[k] = 0.0
+            settled.add(k)
+        if settled:
+            table = spark.createDataFrame([(*k, [float(scale[k] * c) for c in way[k]] if k in running else [0.0] * len(vectors)) for k in was],
+                                          f"{scope_types}, way array<double>")
+            moved, loss = priced(cut_lineage(state.join(F.broadcast(table), scope).withColumn("old", F.col("x")).withColumn("x", F.col("x") + move).drop("way")))
+            now = {k: r.loss for k, r in by_fit(loss.collect()).items()}
+        last = lambda column, new: F.slice(F.concat(F.array(new), F.reverse(column)), 1, MEMORY)
+        state = cut_lineage(moved.select(*scope, "subject", "_pen", "x", F.col("h").alias("g"),
+                                         F.reverse(last("s", F.col("x") - F.col("old"))).alias("s"),
+                                         F.reverse(last("y", F.col("h") - F.col("g"))).alias("y")))
+        kept = min(kept + 1, MEMORY)
+        for k in list(running):
+            steps[k] += 1
+            if k in settled or was[k] - now[k] < ENOUGH:
+                running.discard(k)
+        was = now
+    found = spark.createDataFrame([(*k, float(was[k]), steps[k]) for k in was], f"{scope_types}, loss double, iterations int")
+    side = state.where(F.col("subject") == SIDE).select(*scope, F.col("x").alias("side_term"))
+    return (state.where(F.col("subject") != SIDE).select(*scope, "subject", F.col("x").alias("strength")),
+            side.join(found, scope).select(*scope, "side_term", "loss", "iterations"))
 
 
 def bt_log_odds(rounds: DataFrame, strengths: DataFrame, fits: DataFrame, scope: list[str]) -> DataFrame:

@@ -242,20 +242,41 @@ def option_sweep(t):
     return V.sweep(rated(t), contested(t), members(t), variants, F.col("period_seq") > 8)
 
 
+def bt_season_fit(t: DriverTables) -> tuple[DataFrame, DataFrame]:
+    def build() -> DataFrame:
+        strengths, fits = BT.fit_bradley_terry(BT.bt_rounds(rated(t)), ["season_id"], 1.5)
+        loaded_as(t, "bt_season_fits", lambda: fits)
+        return strengths
+    strengths = loaded_as(t, "bt_season_strengths", build)
+    return strengths, loaded_as(t, "bt_season_fits", None)
+
+
 @query("bt_fit")
 def bt_fit(t):
-    strengths, fits = BT.fit_bradley_terry(BT.bt_rounds(rated(t)), ["season_id"], 1.5, iterations=12)
+    strengths, fits = bt_season_fit(t)
     return strengths.join(fits, "season_id").withColumn("rating", BT.bt_to_rating("strength"))
 
 
+@query("bt_optimality", """
+SELECT DISTINCT season_id, subject, 0.0::DOUBLE AS slope FROM (SELECT season_id, a AS subject FROM rated UNION ALL SELECT season_id, b FROM rated) AS x""")
+def bt_optimality(t):
+    """At the optimum what the rounds pull and what the penalty holds cancel out for every subject."""
+    rounds = BT.bt_rounds(rated(t))
+    strengths, fits = bt_season_fit(t)
+    odds = BT.bt_log_odds(rounds, strengths, fits, ["season_id"]).withColumn("g", 1 / (1 + F.exp(-F.col("log_odds"))) - F.col("score"))
+    side = lambda ids, sign: odds.select("season_id", F.explode(ids).alias("subject"), (sign * F.col("g")).alias("pull"))
+    pulls = side("side_a_ids", 1.0).union(side("side_b_ids", -1.0)).groupBy("season_id", "subject").agg(F.sum("pull").alias("pull"))
+    return pulls.join(strengths, ["season_id", "subject"]).select("season_id", "subject", F.abs(F.round(F.col("pull") + 1.5 * F.col("strength"), 3)).alias("slope"))
+
+
 @query("bt_people_sweep")
 def bt_people_sweep(t):
-    return V.sweep_bt(rated(t), F.col("period_seq") <= 10, F.col("period_seq") > 10, "people", (1.0, 4.0), iterations=6)
+    return V.sweep_bt(rated(t), F.col("period_seq") <= 10, F.col("period_seq") > 10, "people")
 
 
 @query("bt_walk_forward")
 def bt_walk_forward(t):
-    preds = V.bt_models(rated(t), "pairs", 1.5, iterations=4).withColumn("p", V.outcome_probability())
+    preds = V.bt_models(rated(t), "pairs", 1.5).withColumn("p", V.outcome_probability())
     return V.prediction_metrics(preds, ["season_id"])
 
 
