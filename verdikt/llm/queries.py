@@ -67,6 +67,17 @@ def op8_balanced_posting_lists(spark: SparkSession, folder: str) -> DataFrame:
     return ann.neighbours(table(spark, folder, "embeddings"))
 
 
+ORACLES["op9_warc_salvage"] = """
+WITH digests AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS hex FROM pages),
+  firsts AS (SELECT hex, n, min(page_id) AS first FROM digests GROUP BY hex, n)
+SELECT d.page_id, CAST(d.n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(list_transform(range(0, 8), lambda g: CAST('0x' || substr(d.hex, CAST(5 * g + 1 AS INTEGER), 5) AS INTEGER)), lambda v:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v // 32768) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v // 1024) % 32 + 1, 1)
+    || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v // 32) % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', v % 32 + 1, 1)), '') AS payload_digest,
+  CASE WHEN d.page_id = f.first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN d.page_id <> f.first THEN f.first END AS refers_to
+FROM digests AS d JOIN firsts AS f ON f.hex = d.hex AND f.n = d.n"""
+
+
 @query
 def op9_warc_salvage(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archived_pages(table(spark, folder, "pages"))
