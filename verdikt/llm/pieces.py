@@ -27,7 +27,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from verdikt.llm.batches import ranges, with_text_columns
 
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 
 # Fixed values of the format.
 MARK = "▁"
