@@ -20,7 +20,7 @@ from verdikt.operators.lineage import cut_lineage
 # The descent's defaults.
 LAMBDA, ITERATIONS, ENOUGH = 1.5, 400, 1e-9
 #: Differences that a step remembers, and how often it may be halved.
-MEMORY, HALVINGS = 5, 30
+MEMORY, HALVINGS = 5, 12
 SIDE = "\x00side"
 
 
@@ -108,7 +108,12 @@ def fit_bradley_terry(rounds: DataFrame, scope: list[str], penalty: float | str
             way[k] = _direction(dots, kept)
             slope[k] = float(way[k] @ dots[:, -1])
             scale[k] = 1.0 if kept else min(1.0, 1.0 / max(1e-12, dots[-1, -1] ** 0.5))
-        trying, settled = set(running), set()
+        # A fit whose whole step promises less than counts stays where it is, and holds up nobody.
+        settled = {k for k in running if -slope[k] < ENOUGH}
+        scale.update(dict.fromkeys(settled, 0.0))
+        trying = running - settled
+        if not trying:
+            break
         for _ in range(HALVINGS):
             table = spark.createDataFrame([(*k, [float(scale[k] * c) for c in way[k]] if k in running else [0.0] * len(vectors)) for k in was],
                                           f"{scope_types}, way array<double>")
@@ -125,7 +130,7 @@ def fit_bradley_terry(rounds: DataFrame, scope: list[str], penalty: float | str
         for k in trying:  # no shorter step helps: it stands at its optimum as far as doubles tell
             scale[k] = 0.0
             settled.add(k)
-        if settled:
+        if trying:
             table = spark.createDataFrame([(*k, [float(scale[k] * c) for c in way[k]] if k in running else [0.0] * len(vectors)) for k in was],
                                           f"{scope_types}, way array<double>")
             moved, loss = priced(cut_lineage(state.join(F.broadcast(table), scope).withColumn("old", F.col("x")).withColumn("x", F.col("x") + move).drop("way")))
