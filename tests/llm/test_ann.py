@@ -71,3 +71,15 @@ def test_graph_search_finds_the_nearest_lists():
     assert (np.diff(away, axis=1) >= 0).all()
     chosen = ann.replicas(index, ids, away)
     assert chosen[:, 0].all() and chosen.sum(axis=1).max() <= ann.REPLICAS
+
+
+def test_a_query_reads_every_list_within_the_ratio():
+    rng = np.random.default_rng(6)
+    index = ann.build_index(rng.normal(size=(6000, 64)), 500)
+    x = ann._unit(rng.normal(size=(50, 64)))
+    far = np.sqrt(np.maximum(0, 2 - 2 * x.astype(np.float32) @ index.centroids.T))
+    within = far <= ann.PROBE_RATIO * far.min(axis=1, keepdims=True)
+    assert np.median(within.sum(axis=1)) > 2 * ann.BEAM
+    read = np.zeros(far.shape, bool)
+    read[ann.probes(index, x)] = True
+    assert (read | ~within).sum() >= 0.999 * read.size and (read | ~within)[within.sum(axis=1) > 2 * ann.BEAM].all()

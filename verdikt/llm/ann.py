@@ -2,8 +2,8 @@
 
 Centroids come from a balanced tree of k-means splits over a bounded sample. Every vector goes to the list of its nearest
 centroid, and boundary vectors to further lists that are nearly as near and not behind a list already chosen. Centroids
-are found by best-first search in a neighbour graph held in memory. A query reads the lists whose centroids are at most
-``PROBE_RATIO`` times as far as the nearest, and compares itself with all they hold, in double precision.
+are found by best-first search in a neighbour graph held in memory. A query reads all lists whose centroids are at most
+``PROBE_RATIO`` times as far as the nearest, however many, and compares itself with all they hold, in double precision.
 
 Equal vectors are indexed once, with their smallest ids: more than ``K + 1`` of them cannot be among anyone's nearest.
 A list over ``LIST_ROWS`` is read in parts by as many tasks.
@@ -24,10 +24,10 @@ from verdikt.operators.lineage import cut_lineage
 
 K, QUERY_STEP = 5, 50
 #: Vectors a centroid, most centroids (which bounds the index that tasks hold), and vectors sampled for each centroid.
-LIST_TARGET, MOST_CENTROIDS, SAMPLED = 128, 1 << 16, 8
+LIST_TARGET, MOST_CENTROIDS, SAMPLED = 128, 1 << 16, 16
 LIST_ROWS = 20_000
 REPLICAS, REPLICA_RATIO = 4, 1.15
-PROBE_RATIO, LEAST_LISTS, MOST_LISTS = 1.25, 12, 40
+PROBE_RATIO, LEAST_LISTS = 1.25, 12
 DEGREE, BEAM, SEED = 16, 64, 29
 
 
@@ -58,7 +58,8 @@ def _split(points: np.ndarray, parts: int, rng: np.random.Generator) -> np.ndarr
 
 def build_index(sample: np.ndarray, lists: int) -> Index:
     """Splits the sample until no leaf has half as many points again as its share; leaves' means are the centroids."""
-    rng, points = np.random.default_rng(SEED), _unit(sample).astype(np.float32)
+    rng = np.random.default_rng(SEED)
+    points = np.concatenate([_unit(sample[a:a + 65536]).astype(np.float32) for a in range(0, len(sample), 65536)])
     share, todo, centres = max(1.0, len(points) / lists), [np.arange(len(points))], []
     while todo:
         rows = todo.pop()
@@ -128,10 +129,31 @@ def replicas(index: Index, ids: np.ndarray, away: np.ndarray) -> np.ndarray:
     return chosen
 
 
-def probes(ids: np.ndarray, away: np.ndarray) -> np.ndarray:
-    """Which of the nearest lists a query reads: by distance ratio, ``LEAST_LISTS`` to ``MOST_LISTS``."""
-    place = np.arange(ids.shape[1])[None, :]
-    return np.isfinite(away) & ((place < LEAST_LISTS) | (away <= PROBE_RATIO * away[:, :1])) & (place < MOST_LISTS)
+def probes(index: Index, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``rows, lists``: what each query reads, all lists within the distance ratio and at least the ``LEAST_LISTS`` nearest.
+
+    Where a beam ends before the ratio does, the query is compared with every centroid.
+    """
+    ids, away = nearest_lists(index, units)
+    wanted = np.isfinite(away) & ((np.arange(ids.shape[1]) < LEAST_LISTS) | (away <= PROBE_RATIO * away[:, :1]))
+    wide = np.flatnonzero(wanted[:, -1]) if ids.shape[1] < len(index.centroids) else np.empty(0, np.int64)
+    wanted[wide] = False
+    rows, at = np.nonzero(wanted)
+    out_rows, out_lists = [rows], [ids[rows, at]]
+    for a in range(0, len(wide), 64):
+        some = wide[a:a + 64]
+        far = np.sqrt(np.maximum(0, 2 - 2 * units[some].astype(np.float32) @ index.centroids.T))
+        rows, lists = np.nonzero(far <= PROBE_RATIO * far.min(axis=1, keepdims=True))
+        out_rows.append(some[rows])
+        out_lists.append(lists.astype(np.int32))
+    return np.concatenate(out_rows), np.concatenate(out_lists)
+
+
+def _homes(index: Index, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``rows, lists``: the lists that hold each vector."""
+    ids, away = nearest_lists(index, units)
+    rows, at = np.nonzero(replicas(index, ids, away))
+    return rows, ids[rows, at]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -144,10 +166,11 @@ def _place(index_of, choose):
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
-                ids, away = nearest_lists(index, _unit(_matrix(part["vector"])))
-                rows, at = np.nonzero(choose(index, ids, away))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows, at], pa.int32()), *[part[c].take(pa.array(rows)) for c in part.schema.names]],
-                                                 ["list", *part.schema.names])
+                rows, lists = choose(index, _unit(_matrix(part["vector"])))
+                for b in range(0, len(rows), 8192):
+                    yield pa.RecordBatch.from_arrays([pa.array(lists[b:b + 8192], pa.int32()),
+                                                      *[part[c].take(pa.array(rows[b:b + 8192])) for c in part.schema.names]],
+                                                     ["list", *part.schema.names])
     return run
 
 
@@ -194,19 +217,27 @@ def valid_vectors(vectors: DataFrame) -> DataFrame:
 
 
 def fit(groups: DataFrame) -> Index | None:
-    """Index from the groups with the smallest hashed ids: ``SAMPLED`` for each list wanted, in one task."""
+    """Index from ``SAMPLED`` groups for each list wanted, at every size, told by their hash; in one task."""
     count = groups.count()
     if not count:
         return None
     lists = max(1, min(MOST_CENTROIDS, count // LIST_TARGET))
-    sample = groups.orderBy(F.xxhash64("gid"), "gid").limit(lists * SAMPLED * 4 if lists < 1024 else lists * SAMPLED).select("vector")
+    place = F.xxhash64("gid", "vector")
+    sample = groups.select(place.alias("place"), "vector").where(F.pmod("place", F.lit(count)) < lists * SAMPLED)
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [_matrix(b["vector"]) for b in batches if b.num_rows]
+        places, rows = [], []
+        for b in batches:
+            if b.num_rows:
+                places.append(b["place"].to_numpy())
+                rows.append(_unit(_matrix(b["vector"])).astype(np.float32))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(tuple(build_index(np.concatenate(rows), lists)))])], ["index"])
+            # By hash, so that the index does not depend on where rows stand.
+            order = np.argsort(np.concatenate(places), kind="stable")
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(tuple(build_index(np.concatenate(rows)[order], lists)))])], ["index"])
 
-    return Index(*pickle.loads(sample.coalesce(1).mapInArrow(build, "index binary").first()[0]))
+    return Index(*pickle.loads((sample if count > LIST_TARGET else groups.select(place.alias("place"), "vector")).coalesce(1)
+                               .mapInArrow(build, "index binary").first()[0]))
 
 
 def neighbours(vectors: DataFrame, step: int = QUERY_STEP) -> DataFrame:
@@ -229,9 +260,9 @@ def neighbours(vectors: DataFrame, step: int = QUERY_STEP) -> DataFrame:
     queries = cut_lineage(asking.groupBy("vector").agg(F.min("vec_id").alias("qid"), F.count("*").alias("n")))
     # Two different vectors may share an id, so a query is told by its vector's hash too.
     queries = queries.withColumn("qid", F.xxhash64("qid", "vector"))
-    postings = cut_lineage(groups.mapInArrow(_place(shared, replicas), "list int, gid long, vector array<double>, ids array<long>"))
+    postings = cut_lineage(groups.mapInArrow(_place(shared, _homes), "list int, gid long, vector array<double>, ids array<long>"))
     parts = postings.groupBy("list").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("parts"))
-    sent = (queries.select("qid", "vector").mapInArrow(_place(shared, lambda _, ids, away: probes(ids, away)), "list int, qid long, vector array<double>")
+    sent = (queries.select("qid", "vector").mapInArrow(_place(shared, probes), "list int, qid long, vector array<double>")
             .join(parts, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"))
     lists = postings.join(F.broadcast(parts), "list").withColumn("part", F.pmod(F.xxhash64("gid"), F.col("parts")).cast("int")).drop("parts")
     found = (lists.groupBy("list", "part").cogroup(sent.groupBy("list", "part"))
