@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from verdikt.operators import bradley_terry as BT, glicko as GL, sections as X, validation as V
+from verdikt.plans import rating_queries as RQ
 
 ROUND = ("season_id string, section_id string, period_seq int, period_id string, tournament_id string, date date, a string, b string, "
          "won_a int, ballots int, side_a int")
@@ -180,3 +181,14 @@ def test_logistic_fit(spark):
     p = 1 / (1 + np.exp(-(beta[0] + beta[1] * x)))
     assert abs(np.sum(y - p)) < 1e-3 and abs(np.sum((y - p) * x)) < 1e-3
     assert V.fit_logistic(spark.createDataFrame([(1.0, 1)], "x double, y int"), ["x"]) == [0.0, 0.0]
+
+
+def test_elo_query_carries_ratings_through_a_season(spark, monkeypatch):
+    rows, df = make(spark, n=16, periods=2)
+    monkeypatch.setattr(RQ, "rated", lambda t: df)
+    got, at = {r.section_id: r for r in RQ.elo(None).collect()}, {}
+    for r in sorted(rows, key=lambda r: (r[2], r[1])):
+        a, b = at.get(r[6], 1500.0), at.get(r[7], 1500.0)
+        gain = 48 * ((1.0 if 2 * r[8] > r[9] else 0.0) - 1 / (1 + 10 ** ((b - a) / 400)))
+        assert got[r[1]].season_id == "S" and np.allclose((got[r[1]].ra, got[r[1]].rb, got[r[1]].gain), (a, b, gain))
+        at[r[6]], at[r[7]] = a + gain, b - gain

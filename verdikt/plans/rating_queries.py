@@ -282,9 +282,8 @@ def bt_walk_forward(t):
 
 @query("elo")
 def elo(t):
-    """Started afresh at every tournament, which bounds how many rounds wait for each other."""
-    r = rated(t).withColumn("season_id", F.col("tournament_id"))
-    return V.elo(r, 48.0).select("season_id", "period_seq", "section_id", "a", "b", "ra", "rb", "gain")
+    """Carried through each season."""
+    return V.elo(rated(t), 48.0).select("season_id", "period_seq", "section_id", "a", "b", "ra", "rb", "gain")
 
 
 _RECORD = """(SELECT season_id, subject, period_seq, coalesce(sum(n) OVER w, 0) AS nb, coalesce(sum(w1) OVER w, 0) AS wb FROM (
