@@ -93,3 +93,11 @@ def test_members_of_several_records_and_gap_log(spark, tmp_path):
     assert [r.page_id for r in warc.page_records(content).collect()] == [0, 1, 2, 3, 4] * 2
     (gap,) = warc.gaps(content).collect()
     assert (gap.start, gap.length) == (len(several), 7) and gap.gap
+
+
+def test_long_urls_come_back(spark):
+    rows = [(1, "data:," + "x" * 200_000, "<p>a"), (2, "http://x/?" + " " * 70_000, "<p>b"), (3, "http://x/3", "<p>c")]
+    assert as_rows(warc.archived_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))) == plain(rows)
+    for pack in (warc.member, bytes):
+        (found,) = warc.salvage(pack(warc.record(1, rows[0][1], b"p", None, False)))
+        assert found.headers["warc-target-uri"] == rows[0][1]

@@ -36,7 +36,7 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 _BEGIN = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
-_HEAD_LIMIT = 1 << 16
+_FIELD = re.compile(rb"[^\r:]*+:")
 _PAGE = re.compile(r"<urn:page:(-?\d+)>")
 
 
@@ -85,7 +85,9 @@ def _parse(data: bytes, at: int) -> tuple[int, dict[str, str], bytes]:
     version = _VERSION.match(data, at)
     if not version:
         raise ValueError("no version line")
-    close = data.find(b"\r\n\r\n", version.end() - 2, version.end() + _HEAD_LIMIT)
+    if not _FIELD.match(data, version.end()) and not data.startswith(b"\r\n", version.end()):
+        raise ValueError("a header line has no colon")
+    close = data.find(b"\r\n\r\n", version.end() - 2)
     if close < 0:
         raise ValueError("headers do not end")
     headers = {}
