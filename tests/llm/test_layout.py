@@ -81,3 +81,11 @@ def test_frames(spark):
     got = layout.extract(df.drop("rendered")).collect()
     assert sorted(((r.page_id, r.url, r.text) for r in got), key=str) == sorted(((p, u, layout.render(h)) for p, u, h in rows), key=str)
     assert layout.extract(df.limit(0)).collect() == []
+
+
+def test_depth_changes_neither_visibility_nor_layout():
+    for deep in ("<font>" * 400, "<div>" * 400, "<b>" * 60_000):
+        assert layout.render(deep + "a<div hidden>no<div>no</div>no</div><div style='display:none'><p>no</div><details>no<summary>s</summary>no</details>b") == "a\ns\nb"
+        assert layout.render(deep + "<table><tr><td>a<td>b<tr><td>cc<td>d</table><ul><li>e<li>f</ul><pre>g  h</pre>") == "a   b\ncc  d\n\n* e\n* f\n\ng  h"
+        assert layout.render(deep + "<table><tr><td>" * 3 + "x").strip() == "x"
+    assert layout.render("<div hidden>" + "<i>" * 400 + "<div>no</div>no</div>yes") == "yes"

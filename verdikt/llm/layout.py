@@ -5,13 +5,16 @@ blank lines, list items carry marks and indent, preformatted text keeps its blan
 
 Not visible: comments, ``head``, scripts, styles and templates; elements with ``hidden``, ``display: none`` or
 ``visibility: hidden`` in their style or in a simple rule (tag, class, id) of a style sheet in the page; closed
-``details`` but for their summary; hidden inputs. Elements nested deeper than ``DEPTH`` are laid out at that depth.
+``details`` but for their summary; hidden inputs. Elements nest to any depth; boxes in more than ``INDENTS`` others that
+indent are not moved further to the right.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from verdikt.llm.batches import with_text_columns
 
-DEPTH = 150
+INDENTS = 150
 #: A column wider than this is not padded: one long cell would be repeated as blanks in every row.
 COLUMN = 60
 
@@ -71,16 +74,33 @@ class Node:
         return None
 
 
-def parse(page: str) -> tuple[Node, list[str]]:
-    """The tree of a page, and the texts of its style sheets."""
+class Stack(list):
+    """The open elements, and how many there are of each tag: what is not open is not searched for."""
+
+    def __init__(self, root: Node) -> None:
+        super().__init__([root])
+        self.open, self.deepest = Counter(), 1
+
+    def push(self, node: Node) -> None:
+        self.append(node)
+        self.open[node.tag] += 1
+        self.deepest = max(self.deepest, len(self))
+
+    def cut(self, at: int) -> None:
+        while len(self) > at:
+            self.open[self.pop().tag] -= 1
+
+
+def parse(page: str) -> tuple[Node, list[str], int]:
+    """The tree of a page, the texts of its style sheets, and the depth of the tree."""
     root = Node("html")
-    stack, sheets, at = [root], [], 0
+    stack, sheets, at = Stack(root), [], 0
 
     def text(data: str) -> None:
         if data:
             top = stack[-1]
             if top.tag == "head" and data.strip():  # text ends the head
-                stack.pop()
+                stack.cut(len(stack) - 1)
                 top = stack[-1]
             top.children.append(data)
 
@@ -106,11 +126,11 @@ def parse(page: str) -> tuple[Node, list[str]]:
                 _close_open(stack, "body")
             stack[0].attrs += found[2] if tag == "html" else ""
             if tag == "body" and len(stack) == 1:
-                stack.append(Node("body", found[2]))
+                stack.push(Node("body", found[2]))
                 root.children.append(stack[-1])
             continue
         if len(stack) > 1 and stack[-1].tag == "head" and tag not in HEAD_ONLY:
-            stack.pop()
+            stack.cut(len(stack) - 1)
         _close_open(stack, tag)
         if tag in PARENTS:
             _imply(stack, tag)
@@ -126,26 +146,28 @@ def parse(page: str) -> tuple[Node, list[str]]:
                 node.children.append(html.unescape(inner))
             elif tag == "xmp":
                 node.children.append(inner)
-        elif tag not in VOID and len(stack) < DEPTH:
-            stack.append(node)
-    return root, sheets
+        elif tag not in VOID:
+            stack.push(node)
+    return root, sheets, stack.deepest
 
 
-def _imply(stack: list[Node], tag: str) -> None:
+def _imply(stack: Stack, tag: str) -> None:
     parent, allowed = PARENTS[tag]
-    if stack[-1].tag in allowed or not any(n.tag == "table" for n in stack) or len(stack) >= DEPTH - 2:
+    if stack[-1].tag in allowed or not stack.open["table"]:
         return
     if parent in PARENTS:
         _imply(stack, parent)
     stack[-1].children.append(Node(parent))
-    stack.append(stack[-1].children[-1])
+    stack.push(stack[-1].children[-1])
 
 
-def _close_open(stack: list[Node], tag: str) -> None:
+def _close_open(stack: Stack, tag: str) -> None:
     """Closes what the beginning of ``tag`` ends."""
     if tag not in CLOSES:
         return
     ended, within = CLOSES[tag]
+    if not any(stack.open[t] for t in ended):
+        return
     for k in range(len(stack) - 1, 0, -1):
         if stack[k].tag in within:
             break
@@ -153,18 +175,20 @@ def _close_open(stack: list[Node], tag: str) -> None:
             cut = k
             while cut > 1 and stack[cut - 1].tag in ended:
                 cut -= 1
-            del stack[cut:]
+            stack.cut(cut)
             break
 
 
-def _close(stack: list[Node], tag: str) -> None:
-    if tag == "p" and not any(n.tag == "p" for n in stack):
+def _close(stack: Stack, tag: str) -> None:
+    if tag == "p" and not stack.open["p"]:
         stack[-1].children.append(Node("p"))
     elif tag == "br":
         stack[-1].children.append(Node("br"))
+    if not stack.open[tag]:
+        return
     for k in range(len(stack) - 1, 0, -1):
         if stack[k].tag == tag:
-            del stack[k:]
+            stack.cut(k)
             return
         if stack[k].tag in ("td", "th", "table") and tag not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot", "body", "html"):
             return
@@ -260,7 +284,14 @@ def _number(value: str | None, usual: int, least: int, most: int) -> int:
 
 class Renderer:
     def __init__(self, styles: Styles) -> None:
-        self.styles = styles
+        self.styles, self.level = styles, 0
+
+    def inner(self, node: Node, shown: bool) -> list[str]:
+        """Lines of a box that is to be indented."""
+        self.level += 1
+        lines = self.box(node, shown)
+        self.level -= 1
+        return lines
 
     def box(self, node: Node, shown: bool) -> list[str]:
         page = Page()
@@ -326,10 +357,11 @@ class Renderer:
                 page.raw(lines)
                 page.gap()
         elif tag in ("blockquote", "dd"):
-            lines = self.box(node, shown)
+            lines = self.inner(node, shown)
             if lines:
+                blanks = "  " if self.level < INDENTS else ""
                 page.gap() if tag == "blockquote" else page.end_line()
-                page.raw(lines, "  ", "  ")
+                page.raw(lines, blanks, blanks)
                 page.gap() if tag == "blockquote" else None
         elif tag == "details" and node.get("open") is None:
             page.end_line()
@@ -369,9 +401,9 @@ class Renderer:
             number = _number(child.get("value"), number, -10**9, 10**9) if node.tag == "ol" else number
             mark = f"{number}. " if node.tag == "ol" else "* "
             number += 1
-            lines = self.box(child, effect == "visible" or shown and effect != "hidden")
+            lines = self.inner(child, effect == "visible" or shown and effect != "hidden")
             if lines:
-                page.raw(lines, mark, " " * len(mark))
+                page.raw(lines, mark, " " * len(mark) if self.level < INDENTS else "")
         settle()
         return page.lines
 
@@ -465,24 +497,41 @@ class Renderer:
 
 
 def _options(node: Node) -> Iterator[Node]:
-    for child in node.children:
+    todo = node.children[::-1]
+    while todo:
+        child = todo.pop()
         if isinstance(child, Node):
             if child.tag == "option":
                 yield child
             else:
-                yield from _options(child)
+                todo += child.children[::-1]
 
 
 def _plain(node: Node) -> str:
-    return "".join(c if isinstance(c, str) else "\n" if c.tag == "br" else "" if c.tag in UNSEEN else _plain(c) for c in node.children)
+    out, todo = [], node.children[::-1]
+    while todo:
+        child = todo.pop()
+        if isinstance(child, str):
+            out.append(child)
+        elif child.tag == "br":
+            out.append("\n")
+        elif child.tag not in UNSEEN:
+            todo += child.children[::-1]
+    return "".join(out)
 
 
 def render(page: str | None) -> str:
     """Visible text of a page; nothing for a null or empty one."""
     if not page:
         return ""
-    root, sheets = parse(page.replace("\x00", ""))
-    lines = Renderer(Styles(sheets)).box(root, True)
+    root, sheets, deep = parse(page.replace("\x00", ""))
+    usual = sys.getrecursionlimit()
+    # Calls between these methods take heap, not the C stack: at most four to a level, and five for a table.
+    sys.setrecursionlimit(usual + 8 * deep)
+    try:
+        lines = Renderer(Styles(sheets)).box(root, True)
+    finally:
+        sys.setrecursionlimit(usual)
     return "\n".join(line.rstrip() for line in lines).strip("\n")
 
 
