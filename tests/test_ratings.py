@@ -192,3 +192,16 @@ def test_elo_query_carries_ratings_through_a_season(spark, monkeypatch):
         gain = 48 * ((1.0 if 2 * r[8] > r[9] else 0.0) - 1 / (1 + 10 ** ((b - a) / 400)))
         assert got[r[1]].season_id == "S" and np.allclose((got[r[1]].ra, got[r[1]].rb, got[r[1]].gain), (a, b, gain))
         at[r[6]], at[r[7]] = a + gain, b - gain
+
+
+def test_sweeps_run_their_whole_grids(spark, monkeypatch):
+    _, df = make(spark, n=36, periods=9)
+    monkeypatch.setattr(RQ, "rated", lambda t: df)
+    monkeypatch.setattr(RQ, "contested", lambda t: contested(spark, []))
+    monkeypatch.setattr(RQ, "members", lambda t: members_of(spark, df))
+    got = [(r.variant, r.log_loss) for r in RQ.option_sweep(None).collect()]
+    grid = [(v, x) for v, x in got if v in V.sweep_options(1.0)]
+    assert len(grid) == 12 and got == sorted(got, key=lambda r: (r[1], r[0]))
+    more = {f"{grid[0][0]}, pairing RD {d:g}" for d in V.PAIRING_SWEEP} if "seeded" in grid[0][0] else set()
+    assert {v for v, _ in got} - {v for v, _ in grid} == more
+    assert {r.variant for r in RQ.elo_sweep(None).collect()} == {f"K={k:g}" for k in V.K_SWEEP}

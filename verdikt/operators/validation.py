@@ -275,13 +275,13 @@ def bt_models(rounds: DataFrame, unit: str = "pairs", penalty: float = 1.5, iter
             .withColumn("p_a", 1 / (1 + F.exp(-F.col("log_odds")))).drop("side_a_ids", "side_b_ids"))
 
 
-def sweep_options(side: float, base: Options = Options()) -> dict[str, Options]:
+def sweep_options(side: float | Column, base: Options = Options()) -> dict[str, Options]:
     """Margin x seeding x side, by name."""
     out = {}
     for margin in (0.0, 0.5, 1.0):
         for seeded in (True, False):
-            for adv in (side, 0.0):
-                name = f"margin {margin:g}, {'seeded' if seeded else 'cold'}, {'side' if adv else 'no side'}"
+            for label, adv in (("side", side), ("no side", 0.0)):
+                name = f"margin {margin:g}, {'seeded' if seeded else 'cold'}, {label}"
                 out[name] = with_options(base, margin_weight=margin, seed_from_members=seeded, side_advantage=adv)
     return out
 
@@ -294,6 +294,19 @@ def sweep(rounds: DataFrame, contested: DataFrame, members: DataFrame, variants:
     return prediction_metrics(scored, ["variant"]).orderBy("log_loss", "variant")
 
 
+def sweep_grid(rounds: DataFrame, contested: DataFrame, members: DataFrame, side: float | Column,
+               dev: Column) -> DataFrame:
+    """All of ``sweep_options``, and if the best of them seeds new pairs, that one with every pairing deviation."""
+    variants = sweep_options(side)
+    grid = cut_lineage(sweep(rounds, contested, members, variants, dev))
+    best = grid.orderBy("log_loss", "variant").first()
+    if best is not None and variants[best.variant].seed_from_members:
+        deviations = {f"{best.variant}, pairing RD {d:g}": with_options(variants[best.variant], pairing_deviation=d)
+                      for d in PAIRING_SWEEP}
+        grid = grid.unionByName(sweep(rounds, contested, members, deviations, dev))
+    return grid.orderBy("log_loss", "variant")
+
+
 def sweep_elo(rounds: DataFrame, train: Column, dev: Column, ks: tuple = K_SWEEP) -> DataFrame:
     gaps = cut_lineage(elo_before_period(elo(rounds, {f"K={k:g}": k for k in ks}), rounds)
                        .withColumn("side", side_feature()).withColumn("y", a_won()))

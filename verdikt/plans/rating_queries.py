@@ -237,9 +237,16 @@ def iterated_ratings(t):
 
 @query("option_sweep")
 def option_sweep(t):
-    variants = {"cold": GL.Options(seed_from_members=False), "seeded": GL.Options(),
-                "seeded, graded": GL.Options(margin_weight=1.0, pairing_deviation=180.0)}
-    return V.sweep(rated(t), contested(t), members(t), variants, F.col("period_seq") > 8)
+    """Side advantage from each season's first eight periods, metrics on the rest."""
+    r = rated(t)
+    side = X.side_advantage(r.where("period_seq <= 8"), ["season_id"]).select("season_id", F.col("side_advantage").alias("side_points"))
+    r = cut_lineage(r.join(side, "season_id", "left").fillna(0.0, ["side_points"]))
+    return V.sweep_grid(r, contested(t), members(t), F.col("side_points"), F.col("period_seq") > 8)
+
+
+@query("elo_sweep")
+def elo_sweep(t):
+    return V.sweep_elo(rated(t), F.col("period_seq") <= 8, F.col("period_seq") > 8)
 
 
 def bt_season_fit(t: DriverTables) -> tuple[DataFrame, DataFrame]:
