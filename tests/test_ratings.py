@@ -205,3 +205,13 @@ def test_sweeps_run_their_whole_grids(spark, monkeypatch):
     more = {f"{grid[0][0]}, pairing RD {d:g}" for d in V.PAIRING_SWEEP} if "seeded" in grid[0][0] else set()
     assert {v for v, _ in got} - {v for v, _ in grid} == more
     assert {r.variant for r in RQ.elo_sweep(None).collect()} == {f"K={k:g}" for k in V.K_SWEEP}
+
+
+def test_iterated_ratings_take_three_passes(spark, monkeypatch):
+    _, df = make(spark, n=6, periods=1)
+    monkeypatch.setattr(RQ, "rated", lambda t: df)
+    monkeypatch.setattr(RQ, "contested", lambda t: contested(spark, []))
+    monkeypatch.setattr(RQ, "members", lambda t: members_of(spark, df))
+    run, passes = GL.run_season, []
+    monkeypatch.setattr(GL, "run_season", lambda *a, **k: passes.append(1) or run(*a, **k))
+    assert RQ.iterated_ratings(None).count() > 0 and len(passes) == 3

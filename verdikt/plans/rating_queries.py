@@ -232,7 +232,7 @@ def shrunk_predictions(t):
 
 @query("iterated_ratings")
 def iterated_ratings(t):
-    return GL.standings_at(GL.run_season_iterated(rated(t), contested(t), members(t), passes=2).state, ["season_id"])
+    return GL.standings_at(GL.run_season_iterated(rated(t), contested(t), members(t)).state, ["season_id"])
 
 
 @query("option_sweep")
