@@ -89,3 +89,8 @@ def test_depth_changes_neither_visibility_nor_layout():
         assert layout.render(deep + "<table><tr><td>a<td>b<tr><td>cc<td>d</table><ul><li>e<li>f</ul><pre>g  h</pre>") == "a   b\ncc  d\n\n* e\n* f\n\ng  h"
         assert layout.render(deep + "<table><tr><td>" * 3 + "x").strip() == "x"
     assert layout.render("<div hidden>" + "<i>" * 400 + "<div>no</div>no</div>yes") == "yes"
+
+
+def test_one_long_cell_leaves_the_other_rows_aligned():
+    page = "<table><tr><td>a<td>b<td>c<tr><td>aaaa<td>" + "x" * 61 + "<td>c<tr><td>aa<td>bbb<td>c</table>"
+    assert layout.render(page).split("\n") == ["a     b    c", "aaaa  " + "x" * 61 + "  c", "aa    bbb  c"]

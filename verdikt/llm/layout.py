@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from verdikt.llm.batches import with_text_columns
 
 INDENTS = 150
-#: A column wider than this is not padded: one long cell would be repeated as blanks in every row.
+#: A cell wider than this runs over and does not widen its column: it would be repeated as blanks in every row.
 COLUMN = 60
 
 # Fixed values of HTML.
@@ -469,9 +469,8 @@ class Renderer:
         for row in grid:
             if row and isinstance(row[0], tuple):
                 for column, wide, lines, _ in row:
-                    if wide == 1:
-                        width[column] = max(width.get(column, 0), max(map(len, lines), default=0))
-        width = {c: w if w <= COLUMN else 0 for c, w in width.items()}
+                    if wide == 1 and (needed := max(map(len, lines), default=0)) <= COLUMN:
+                        width[column] = max(width.get(column, 0), needed)
         out_lines: list[str] = []
         for row in grid:
             if not row or isinstance(row[0], str):
