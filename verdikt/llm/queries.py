@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from verdikt.llm import ann, crossent, decontaminate, langid, layout, ownership, pieces, prefixes, quality, rans, simhash, warc
+from verdikt.llm import ann, collocations, crossent, decontaminate, langid, layout, ownership, pieces, prefixes, quality, rans, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -154,4 +154,29 @@ def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefixes.trie(table(spark, folder, "conversations"))
 
 
+ORACLES["op13_phrase_collocations"] = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+  words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+  starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words WHERE len(w) > 0),
+  totals AS (SELECT lang, CAST(count(*) AS HUGEINT) AS n FROM starts GROUP BY lang),
+  grams AS (SELECT lang, w[i:i + k - 1] AS p, k FROM (SELECT *, unnest(range(1, 6)) AS k FROM starts) WHERE i + k - 1 <= len(w)),
+  f AS (SELECT lang, p, k, CAST(count(*) AS HUGEINT) AS f FROM grams GROUP BY lang, p, k HAVING count(*) >= 100),
+  cuts AS (SELECT *, unnest(range(1, k)) AS c FROM f WHERE k > 1),
+  scored AS (SELECT t.lang, t.p, t.k, t.f AS a, t.c, l.f AS l, r.f AS r, n.n, (1000 * t.f * n.n) // (l.f * r.f) AS score FROM cuts AS t
+    JOIN f AS l ON l.lang = t.lang AND l.p = t.p[1:t.c] JOIN f AS r ON r.lang = t.lang AND r.p = t.p[t.c + 1:t.k] JOIN totals AS n ON n.lang = t.lang),
+  weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, c) = 1),
+  inner_parts AS (SELECT lang, p[i:i + m - 1] AS p, f FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM f WHERE k > 2))),
+  covers AS (SELECT lang, p, max(f) AS longer FROM inner_parts GROUP BY lang, p),
+  kept AS (SELECT w.* FROM weakest AS w LEFT JOIN covers AS c ON c.lang = w.lang AND c.p = w.p WHERE c.longer IS NULL OR 100 * c.longer < 100 * w.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank, array_to_string(p, ' ') AS phrase,
+  CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM kept
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) <= 2000"""
+
+
+@query
+def op13_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
