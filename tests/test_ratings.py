@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from verdikt.operators import bradley_terry as BT, glicko as GL, sections as X, validation as V
@@ -136,7 +137,7 @@ def test_side_advantage(spark):
 
 def test_elo_equals_the_sequential_pass(spark):
     rows, df = make(spark, n=30)
-    got = {r.section_id: (r.ra, r.rb) for r in V.elo(df, 32.0).collect()}
+    got = {r.section_id: (r.ra, r.rb) for r in V.elo(df, 32.0, most=3).collect()}
     at = {}
     for r in sorted(rows, key=lambda r: (r[2], r[1])):
         a, b = at.get(r[6], 1500.0), at.get(r[7], 1500.0)
@@ -173,6 +174,63 @@ def test_bradley_terry_ends_where_plain_descent_does(spark):
     assert abs(fits.first().loss - now) < 1e-7 and fits.first().iterations < 60
 
 
+def test_lanes_end_where_fits_of_their_own_rounds_do(spark):
+    rows, df = make(spark, n=60, periods=5)
+    _, other = make(spark, seed=9, n=30, periods=3)
+    df = df.union(other.withColumn("season_id", F.lit("T")))
+    ready = BT.bt_rounds(df, 1.0, "people")
+    lanes = [BT.Lane("p3", 1.5, 3), BT.Lane("p5", 4.0, 5), BT.Lane("none", 1.0, 1), BT.Lane("all", 0.5)]
+    strengths, fits = BT.fit_lanes(ready, ["season_id"], lanes, gradient=1e-9)
+    got = {(r.season_id, r.lane, r.subject): r.strength for r in strengths.collect()}
+    sides = {(r.season_id, r.lane): r.side_term for r in fits.collect()}
+    for lane in lanes:
+        part = ready.where(F.col("period_seq") < lane.before) if lane.before else ready
+        one, its = BT.fit_bradley_terry(part, ["season_id"], lane.penalty)
+        alone = {(r.season_id, r.subject): r.strength for r in one.collect()}
+        for (season, name, subject), x in got.items():
+            if name == lane.name:
+                assert abs(x - alone.get((season, subject), 0.0)) < 1e-6
+        for r in its.collect():
+            assert abs(sides[r.season_id, lane.name] - r.side_term) < 1e-6
+
+
+def test_walk_forward_strengths_know_only_earlier_periods(spark):
+    rows, df = make(spark, n=48, periods=4)
+    got = {r.section_id: r.p_a for r in V.bt_models(df, "pairs", 2.0).collect()}
+    assert set(got) == {r[1] for r in rows if r[2] >= 2}
+    for p in (2, 4):
+        strengths, fits = BT.fit_bradley_terry(BT.bt_rounds(df.where(F.col("period_seq") < p)), ["season_id"], 2.0)
+        x, side = {r.subject: r.strength for r in strengths.collect()}, fits.first().side_term
+        for r in rows:
+            if r[2] == p:
+                z = x.get(r[6], 0.0) - x.get(r[7], 0.0) + side * (1 if r[10] == 1 else -1)
+                assert abs(got[r[1]] - 1 / (1 + np.exp(-z))) < 1e-6
+
+
+def test_fits_of_a_season_do_not_learn_from_another(spark):
+    rng = random.Random(3)
+    rows = [(season, i, rng.choice([-1.0, 1.0]), rng.random()) for season in ("A", "B", "few") for i in range(200 if season != "few" else 12)]
+    rows = [(s, i, x, int(u < (0.8 if (x > 0) == (s == "A") else 0.2))) for s, i, x, u in rows]
+    df = spark.createDataFrame(rows, "season_id string, i int, x double, y int")
+    betas = V.fit_logistics(df, ["x"], ["season_id"])
+    assert betas["few",] == [0.0, 0.0] and betas["A",][1] > 0.8 and betas["B",][1] < -0.8
+    for season in "AB":
+        alone = V.fit_logistic(df.where(F.col("season_id") == season), ["x"])
+        assert np.allclose(alone, betas[season,], atol=1e-9)
+    p = {(r.season_id, r.x): r.p_a for r in V.with_logistic(df.union(spark.createDataFrame([("new", 1, 1.0, 1)], df.schema)), ["x"], ["season_id"], betas).collect()}
+    assert p["new", 1.0] == 0.5 and p["few", 1.0] == 0.5
+    for s, x in (("A", 1.0), ("B", -1.0)):
+        won = [y for t, _, z, y in rows if (t, z) == (s, x)]
+        assert abs(p[s, x] - sum(won) / len(won)) < 1e-6
+
+
+def test_bootstrap_is_by_season(spark):
+    rows = [(s, f"{s}{i}", 0.7 if s == "A" else 0.3, 0.5) for s in "AB" for i in range(60)]
+    got = {r.season_id: r for r in V.paired_bootstrap(spark.createDataFrame(rows, "season_id string, section_id string, p_one double, p_two double"), draws=50).collect()}
+    assert (got["A"].gap, got["A"].lo, got["A"].hi, got["A"].share_worse) == (0.5, 0.5, 0.5, 0.0)
+    assert (got["B"].gap, got["B"].share_worse, got["B"].draws) == (-0.5, 1.0, 50)
+
+
 def test_logistic_fit(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=400)
@@ -183,6 +241,28 @@ def test_logistic_fit(spark):
     assert V.fit_logistic(spark.createDataFrame([(1.0, 1)], "x double, y int"), ["x"]) == [0.0, 0.0]
 
 
+@pytest.mark.parametrize("most", [1, 7, 1000])
+def test_elo_plays_seasons_and_variants_side_by_side(spark, most):
+    rows, df = make(spark, n=40, periods=3)
+    more, other = make(spark, seed=8, n=25, periods=2)
+    df = df.union(other.withColumn("season_id", F.lit("T")))
+    got = {(r.season_id, r.variant, r.section_id): (r.ra, r.rb) for r in V.elo(df, {"low": 8.0, "high": 64.0}, 1.0, most).collect()}
+    assert len(got) == 2 * 65
+    for season, games in (("S", rows), ("T", more)):
+        for name, k in (("low", 8.0), ("high", 64.0)):
+            at = {}
+            for r in sorted(games, key=lambda r: (r[2], r[1])):
+                a, b = at.get(r[6], 1500.0), at.get(r[7], 1500.0)
+                assert np.allclose(got[season, name, r[1]], (a, b), atol=1e-9)
+                gain = k * (r[8] / r[9] - 1 / (1 + 10 ** ((b - a) / 400)))
+                at[r[6]], at[r[7]] = a + gain, b - gain
+
+
+def test_elo_of_no_rounds(spark):
+    _, df = make(spark, n=1)
+    assert V.elo(df.where("false"), 32.0).collect() == []
+
+
 def test_elo_query_carries_ratings_through_a_season(spark, monkeypatch):
     rows, df = make(spark, n=16, periods=2)
     monkeypatch.setattr(RQ, "rated", lambda t: df)

@@ -1,27 +1,43 @@
 """Penalised Bradley-Terry strengths with a side term, many fits at once.
 
-Every fit of ``scope`` descends together by L-BFGS, and the objective is strictly convex, so each ends at its one optimum.
-The side term is one more subject, without penalty. Rounds stay where they are; a step carries the subjects' strengths,
-gradients and the last few differences of both. What a step needs besides are the dot products of those few vectors,
-so a fit sends a few dozen sums to the driver and gets as many coefficients back, however large it is.
+A fit is a value of ``scope`` (a season) and a lane: a penalty, and the periods whose rounds count. Lanes share their rounds:
+a round is one row whatever the number of lanes, and says by its period in which it counts. So the fits of a walk-forward
+validation, one for each prefix of the periods, copy no round and take as many passes as the slowest of them alone.
+
+All descend together by L-BFGS, each variable scaled by a bound of the curvature, ``penalty + rounds * subjects in a round / 4``.
+The objective is strictly convex, and a lane stops at a gradient (so scaled) of ``GRADIENT``. A step sends strengths to the rounds and pulls
+back to the subjects; what it needs besides are the dot products of a few vectors, so a lane sends a few dozen sums to the
+driver and gets as many coefficients back, however large it is. The side term is one number a lane and stays on the
+driver; no row of it exists.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from verdikt.operators.glicko import ballot_score
 from verdikt.operators.lineage import cut_lineage
 
 # The descent's defaults.
-LAMBDA, ITERATIONS, ENOUGH = 1.5, 400, 1e-9
+LAMBDA, ITERATIONS = 1.5, 400
+#: Where a lane stops: the length of its scaled gradient. Strengths then stand within about as much of their optimum.
+GRADIENT = 1e-7
 #: Differences that a step remembers, and how often it may be halved.
-MEMORY, HALVINGS = 5, 12
-SIDE = "\x00side"
+MEMORY, HALVINGS = 6, 12
+
+
+class Lane(NamedTuple):
+    """One fit of every season: its name, its penalty, and the first period that no longer counts (None: all count)."""
+
+    name: object
+    penalty: float = LAMBDA
+    before: int | None = None
 
 
 def bt_rounds(rounds: DataFrame, margin_weight: float = 1.0, unit: str = "pairs") -> DataFrame:
@@ -46,7 +62,7 @@ def _direction(dots: np.ndarray, kept: int) -> np.ndarray:
     """Coefficients of the quasi-Newton step over the vectors s1..sk, y1..yk, g, from their dot products."""
     out = np.zeros(2 * kept + 1)
     out[-1] = -1.0
-    used = [i for i in range(kept) if dots[i, kept + i] > 1e-14]
+    used = [i for i in range(kept) if dots[i, kept + i] > 1e-20]
     alpha = {}
     for i in reversed(used):
         alpha[i] = out @ dots[:, i] / dots[i, kept + i]
@@ -59,96 +75,171 @@ def _direction(dots: np.ndarray, kept: int) -> np.ndarray:
     return out
 
 
-def fit_bradley_terry(rounds: DataFrame, scope: list[str], penalty: float | str = LAMBDA,
-                      iterations: int = ITERATIONS) -> tuple[DataFrame, DataFrame]:
-    """(strengths: scope subject strength; fits: scope side_term loss iterations).
+def _array(batch: pa.RecordBatch, name: str, width: int) -> np.ndarray:
+    return batch[name].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1, width)
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    flat = values.reshape(len(values), -1)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, flat.shape[1] or 1, dtype=np.int32)[:len(flat) + 1]), pa.array(flat.ravel()))
+
+
+_STATE = "_fit int, subject string, root array<double>, u array<double>, g array<double>, past array<double>"
+_MOVED = "_fit int, subject string, root array<double>, was array<double>, u array<double>, g array<double>, past array<double>, x array<double>"
+
+
+def _mover(ways: np.ndarray):
+    """Rows of the state with ``u`` moved by the fit's coefficients ``ways[fit, vector, lane]``; ``x`` is ``u`` unscaled."""
+    lanes = ways.shape[2]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            root, u, g, past = (_array(batch, c, lanes) for c in ("root", "u", "g", "past"))
+            vectors = np.concatenate([past, g], axis=1)
+            to = u[:, 0] + (vectors * ways[batch["_fit"].to_numpy()]).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([batch["_fit"], batch["subject"], batch["root"], batch["u"], _lists(to), batch["g"], batch["past"],
+                                              _lists(to / root[:, 0])], ["_fit", "subject", "root", "was", "u", "g", "past", "x"])
+    return run
+
+
+def _next_state(penalties: np.ndarray):
+    """The state at the new points: scaled gradients from the rounds' pulls, and the last differences of both."""
+    lanes = len(penalties)
 
-    rounds: scope section_id score side side_a_ids side_b_ids. ``penalty`` may name a
-    column of ``rounds`` that is constant within a fit. A fit stops when a step gains less than ``ENOUGH``.
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            root, was, u, g, past, x, pull = (_array(batch, c, lanes) for c in ("root", "was", "u", "g", "past", "x", "pull"))
+            h = (pull + penalties * x) / root
+            kept = past.shape[1] // 2
+            s, y = np.concatenate([past[:, :kept], u - was], axis=1)[:, -MEMORY:], np.concatenate([past[:, kept:], h - g], axis=1)[:, -MEMORY:]
+            yield pa.RecordBatch.from_arrays([batch["_fit"], batch["subject"], batch["root"], batch["u"], _lists(h), _lists(np.concatenate([s, y], axis=1))],
+                                             ["_fit", "subject", "root", "u", "g", "past"])
+    return run
+
+
+def _products(fits: int, lanes: int, kept: int):
+    """Sums over a task's subjects for each fit: the dot products of its vectors and the squares of its strengths, by lane."""
+    size = 2 * kept + 1
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, squares = np.zeros((fits, lanes, size, size)), np.zeros((fits, lanes))
+        for batch in batches:
+            fit = batch["_fit"].to_numpy()
+            root, u, g, past = (_array(batch, c, lanes) for c in ("root", "u", "g", "past"))
+            vectors = np.concatenate([past, g], axis=1)
+            for k in np.unique(fit):
+                mine = vectors[fit == k]
+                total[k] += np.einsum("nil,njl->lij", mine, mine)
+                squares[k] += ((u[fit == k, 0] / root[fit == k, 0]) ** 2).sum(axis=0)
+        flat = np.concatenate([total.reshape(fits, -1), squares], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(fits, dtype=np.int32), flat.shape[1])),
+                                          pa.array(np.tile(np.arange(flat.shape[1], dtype=np.int32), fits)), pa.array(flat.ravel())], ["_fit", "slot", "value"])
+    return run
+
+
+def fit_lanes(rounds: DataFrame, scope: list[str], lanes: list[Lane], iterations: int = ITERATIONS, gradient: float = GRADIENT) -> tuple[DataFrame, DataFrame]:
+    """(strengths: scope lane subject strength; fits: scope lane side_term loss iterations).
+
+    rounds: scope section_id score side side_a_ids side_b_ids, and period_seq where a lane has ``before``. A lane without
+    rounds ends at zero. There is one fit for each value of ``scope`` and lane; values of ``scope`` are few (seasons).
     """
-    spark = rounds.sparkSession
-    pen = F.col(penalty) if isinstance(penalty, str) else F.lit(float(penalty))
-    keys = [*scope, "section_id"]
-    base = cut_lineage(rounds.select(*keys, "score", "side", "side_a_ids", "side_b_ids", pen.alias("_pen")))
-    links = cut_lineage(_members(base, keys).unionByName(base.select(*keys, F.lit(SIDE).alias("subject"), F.col("side").alias("sign"))))
-    none = F.array().cast("array<double>")
-    state = (links.select(*scope, "subject").distinct().join(base.groupBy(*scope).agg(F.max("_pen").alias("_pen")), scope)
-             .select(*scope, "subject", F.when(F.col("subject") == SIDE, 0.0).otherwise(F.col("_pen")).alias("_pen"), F.lit(0.0).alias("x")))
-
-    def priced(points: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The points with their gradients ``h``, and each fit's ``loss`` there."""
-        z = links.join(points.select(*scope, "subject", "x"), [*scope, "subject"]).groupBy(*keys).agg(F.sum(F.col("sign") * F.col("x")).alias("z"))
-        odds = cut_lineage(base.select(*keys, "score").join(z, keys).withColumn("g", 1 / (1 + F.exp(-F.col("z"))) - F.col("score")))
-        pulls = links.join(odds.select(*keys, "g"), keys).groupBy(*scope, "subject").agg(F.sum(F.col("sign") * F.col("g")).alias("pull"))
-        out = points.join(pulls, [*scope, "subject"]).withColumn("h", F.col("pull") + F.col("_pen") * F.col("x")).drop("pull")
-        weight = points.groupBy(*scope).agg((F.sum(F.col("_pen") * F.col("x") * F.col("x")) / 2).alias("weight"))
-        loss = odds.groupBy(*scope).agg(F.sum(_loss(F.col("z"), F.col("score"))).alias("loss")).join(weight, scope)
-        return out, loss.select(*scope, (F.col("loss") + F.col("weight")).alias("loss"))
-
-    def by_fit(rows: list) -> dict[tuple, float]:
-        return {tuple(r[c] for c in scope): r for r in rows}
-
-    state, loss = priced(cut_lineage(state))
-    state = cut_lineage(state.withColumn("g", F.col("h")).drop("h").withColumn("s", none).withColumn("y", none))
-    # One row a fit comes to the driver, as in every step.
-    was = {k: r.loss for k, r in by_fit(loss.collect()).items()}
-    steps, running, scale, kept = dict.fromkeys(was, 0), set(was), {}, 0
-    scope_types = ", ".join(f"`{c}` {base.schema[c].dataType.simpleString()}" for c in scope)
+    spark, width = rounds.sparkSession, len(lanes)
+    values = sorted((tuple(r) for r in rounds.select(*scope).distinct().collect()), key=repr)
+    types = ", ".join(f"`{c}` {rounds.schema[c].dataType.simpleString()}" for c in scope)
+    numbers = spark.createDataFrame([(*v, k) for k, v in enumerate(values)], f"{types}, _fit int")
+    penalties, fits = np.array([lane.penalty for lane in lanes], float), len(values)
+    counts_in = lambda lane: F.lit(1.0) if lane.before is None else F.when(F.col("period_seq") < lane.before, 1.0).otherwise(0.0)
+    base = cut_lineage(rounds.join(F.broadcast(numbers), scope).select(
+        "_fit", "section_id", "score", "side", "side_a_ids", "side_b_ids", F.array(*map(counts_in, lanes)).alias("counts"),
+        ((F.size("side_a_ids") + F.size("side_b_ids")) / 4).alias("share")))
+    keys = ["_fit", "section_id"]
+    links = cut_lineage(_members(base, [*keys, "counts", "share"]))
+    each = lambda make: [make(k) for k in range(width)]
+    start = links.groupBy("_fit", "subject").agg(*each(lambda k: F.sum(F.col("counts")[k] * F.col("share")).alias(f"n{k}")))
+    zeros = F.array(*[F.lit(0.0)] * width)
+    state = cut_lineage(start.select("_fit", "subject", F.array(*each(lambda k: F.sqrt(F.lit(lanes[k].penalty) + F.col(f"n{k}")))).alias("root"),
+                                     zeros.alias("u"), zeros.alias("g"), F.array().cast("array<double>").alias("past")))
+    links = links.drop("counts", "share")
+    played = base.groupBy("_fit").agg(*each(lambda k: F.sum(F.col("counts")[k]).alias(f"n{k}"))).collect()
+    side_root = np.ones((fits, width))
+    for row in played:
+        side_root[row._fit] = [math.sqrt(max(row[f"n{k}"], 4.0) / 4) for k in range(width)]
+
+    def priced(before: DataFrame, ways: np.ndarray, side: np.ndarray, kept: int):
+        """The state after a step, its losses, side gradients (scaled) and dot products; ``kept`` pairs are remembered in it."""
+        moved = before.mapInArrow(_mover(ways), _MOVED)
+        z = links.join(moved.select("_fit", "subject", "x"), ["_fit", "subject"]).groupBy(*keys).agg(
+            *each(lambda k: F.sum(F.col("sign") * F.col("x")[k]).alias(f"z{k}")))
+        terms = spark.createDataFrame(pa.table([pa.array(range(fits), pa.int32()), _lists(side)], ["_fit", "term"]))
+        at = base.select(*keys, "score", "side", "counts").join(z, keys).join(F.broadcast(terms), "_fit")
+        logit = lambda k: F.col(f"z{k}") + F.col("term")[k] * F.col("side")
+        odds = cut_lineage(at.select(*keys, "side", F.array(*each(lambda k: F.col("counts")[k] * (1 / (1 + F.exp(-logit(k))) - F.col("score")))).alias("off"),
+                                     F.array(*each(lambda k: F.col("counts")[k] * _loss(logit(k), F.col("score")))).alias("loss")))
+        pulls = links.join(odds.select(*keys, "off"), keys).groupBy("_fit", "subject").agg(
+            *each(lambda k: F.sum(F.col("sign") * F.col("off")[k]).alias(f"p{k}"))).select("_fit", "subject", F.array(*each(lambda k: F.col(f"p{k}"))).alias("pull"))
+        after = cut_lineage(moved.join(pulls, ["_fit", "subject"]).mapInArrow(_next_state(penalties), _STATE))
+        size = 2 * kept + 1
+        sums = after.mapInArrow(_products(fits, width, kept), "_fit int, slot int, value double").groupBy("_fit", "slot").agg(F.sum("value").alias("value"))
+        whole = odds.groupBy("_fit").agg(*each(lambda k: F.sum(F.col("loss")[k]).alias(f"l{k}")), *each(lambda k: F.sum(F.col("off")[k] * F.col("side")).alias(f"s{k}")))
+        whole = whole.select("_fit", F.posexplode(F.array(*each(lambda k: F.col(f"l{k}")), *each(lambda k: F.col(f"s{k}"))))).select(
+            "_fit", (-1 - F.col("pos")).cast("int").alias("slot"), F.col("col").alias("value"))
+        flat, more = np.zeros((fits, width * size * size + width)), np.zeros((fits, 2 * width))
+        for row in sums.union(whole).collect():  # a few dozen numbers a lane
+            if row.slot < 0:
+                more[row._fit, -1 - row.slot] = row.value
+            else:
+                flat[row._fit, row.slot] = row.value
+        dots, squares = flat[:, :-width].reshape(fits, width, size, size), flat[:, -width:]
+        return after, more[:, :width] + penalties * squares / 2, more[:, width:] / side_root, dots
+
+    # The side term moves with the rest; its few vectors are kept here, scaled like the others.
+    side = np.zeros((fits, width))
+    state, loss, slope, dots = priced(state, np.zeros((fits, 1, width)), side, 1)
+    state = state.withColumn("past", F.array().cast("array<double>"))
+    dots, past, steps, kept = dots[:, :, -1:, -1:], np.zeros((fits, 0, width)), np.zeros((fits, width), int), 0
+    running = np.ones((fits, width), bool)
     for _ in range(iterations):
-        if not running:
-            break
-        vectors = [*[F.col("s")[i] for i in range(kept)], *[F.col("y")[i] for i in range(kept)], F.col("g")]
-        pairs = [(i, j) for i in range(len(vectors)) for j in range(i, len(vectors))]
-        sums = by_fit(state.groupBy(*scope).agg(*[F.sum(vectors[i] * vectors[j]).alias(f"d{i}_{j}") for i, j in pairs]).collect())
-        way, slope = {}, {}
-        for k in running:
-            dots = np.zeros((len(vectors), len(vectors)))
-            for i, j in pairs:
-                dots[i, j] = dots[j, i] = sums[k][f"d{i}_{j}"]
-            way[k] = _direction(dots, kept)
-            slope[k] = float(way[k] @ dots[:, -1])
-            scale[k] = 1.0 if kept else min(1.0, 1.0 / max(1e-12, dots[-1, -1] ** 0.5))
-        # A fit whose whole step promises less than counts stays where it is, and holds up nobody.
-        settled = {k for k in running if -slope[k] < ENOUGH}
-        scale.update(dict.fromkeys(settled, 0.0))
-        trying = running - settled
-        if not trying:
+        own = np.concatenate([past, slope[:, None]], axis=1)
+        dots = dots + np.einsum("fil,fjl->flij", own, own)
+        running &= dots[:, :, -1, -1] > gradient ** 2
+        if not running.any():
             break
+        ways, fall = np.zeros((fits, 2 * kept + 1, width)), np.zeros((fits, width))
+        for f, k in zip(*np.nonzero(running)):
+            ways[f, :, k] = _direction(dots[f, k], kept)
+            fall[f, k] = ways[f, :, k] @ dots[f, k][:, -1]
+        scale, waiting, now_kept = running.astype(float), running.copy(), min(kept + 1, MEMORY)
         for _ in range(HALVINGS):
-            table = spark.createDataFrame([(*k, [float(scale[k] * c) for c in way[k]] if k in running else [0.0] * len(vectors)) for k in was],
-                                          f"{scope_types}, way array<double>")
-            move = reduce(lambda u, v: u + v, [F.col("way")[i] * vectors[i] for i in range(len(vectors))])
-            moved, loss = priced(cut_lineage(state.join(F.broadcast(table), scope).withColumn("old", F.col("x")).withColumn("x", F.col("x") + move).drop("way")))
-            now = {k: r.loss for k, r in by_fit(loss.collect()).items()}
-            for k in list(trying):
-                if now[k] <= was[k] + 1e-4 * scale[k] * slope[k] + 1e-12 * abs(was[k]):
-                    trying.discard(k)
-            if not trying:
+            scaled = ways * scale[:, None]
+            change = (own * scaled).sum(axis=1)
+            after, now, at, products = priced(state, scaled, side + change / side_root, now_kept)
+            waiting &= now > loss + 1e-4 * scale * fall + 1e-12 * np.abs(loss)
+            if not waiting.any():
                 break
-            for k in trying:
-                scale[k] /= 2
-        for k in trying:  # no shorter step helps: it stands at its optimum as far as doubles tell
-            scale[k] = 0.0
-            settled.add(k)
-        if trying:
-            table = spark.createDataFrame([(*k, [float(scale[k] * c) for c in way[k]] if k in running else [0.0] * len(vectors)) for k in was],
-                                          f"{scope_types}, way array<double>")
-            moved, loss = priced(cut_lineage(state.join(F.broadcast(table), scope).withColumn("old", F.col("x")).withColumn("x", F.col("x") + move).drop("way")))
-            now = {k: r.loss for k, r in by_fit(loss.collect()).items()}
-        last = lambda column, new: F.slice(F.concat(F.array(new), F.reverse(column)), 1, MEMORY)
-        state = cut_lineage(moved.select(*scope, "subject", "_pen", "x", F.col("h").alias("g"),
-                                         F.reverse(last("s", F.col("x") - F.col("old"))).alias("s"),
-                                         F.reverse(last("y", F.col("h") - F.col("g"))).alias("y")))
-        kept = min(kept + 1, MEMORY)
-        for k in list(running):
-            steps[k] += 1
-            if k in settled or was[k] - now[k] < ENOUGH:
-                running.discard(k)
-        was = now
-    found = spark.createDataFrame([(*k, float(was[k]), steps[k]) for k in was], f"{scope_types}, loss double, iterations int")
-    side = state.where(F.col("subject") == SIDE).select(*scope, F.col("x").alias("side_term"))
-    return (state.where(F.col("subject") != SIDE).select(*scope, "subject", F.col("x").alias("strength")),
-            side.join(found, scope).select(*scope, "side_term", "loss", "iterations"))
+            scale[waiting] /= 2
+        else:  # no shorter step helps: those stand at their optimum as far as doubles tell
+            scale[waiting] = 0.0
+            running &= ~waiting
+            scaled = ways * scale[:, None]
+            change = (own * scaled).sum(axis=1)
+            after, now, at, products = priced(state, scaled, side + change / side_root, now_kept)
+        past = np.concatenate([np.concatenate([past[:, :kept], change[:, None]], axis=1)[:, -MEMORY:],
+                               np.concatenate([past[:, kept:], (at - slope)[:, None]], axis=1)[:, -MEMORY:]], axis=1)
+        state, loss, slope, dots, kept, side = after, now, at, products, now_kept, side + change / side_root
+        steps += running
+    names = F.array(*[F.lit(lane.name) for lane in lanes])
+    spread = F.posexplode(F.zip_with("u", "root", lambda u, r: u / r))
+    strengths = state.join(F.broadcast(numbers), "_fit").select(*scope, "subject", spread.alias("_k", "strength")).select(
+        *scope, F.element_at(names, F.col("_k") + 1).alias("lane"), "subject", "strength")
+    found = spark.createDataFrame([(*v, k, float(side[f, k]), float(loss[f, k]), int(steps[f, k])) for f, v in enumerate(values) for k in range(width)],
+                                  f"{types}, _k int, side_term double, loss double, iterations int")
+    return strengths, found.select(*scope, F.element_at(names, F.col("_k") + 1).alias("lane"), "side_term", "loss", "iterations")
+
+
+def fit_bradley_terry(rounds: DataFrame, scope: list[str], penalty: float = LAMBDA, iterations: int = ITERATIONS) -> tuple[DataFrame, DataFrame]:
+    """(strengths: scope subject strength; fits: scope side_term loss iterations), over all rounds of each scope."""
+    strengths, fits = fit_lanes(rounds, scope, [Lane(0, float(penalty))], iterations)
+    return strengths.drop("lane"), fits.drop("lane")
 
 
 def bt_log_odds(rounds: DataFrame, strengths: DataFrame, fits: DataFrame, scope: list[str]) -> DataFrame:

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from verdikt.functions.rules import WEIGHTS
-from verdikt.operators.bradley_terry import bt_log_odds, bt_rounds, fit_bradley_terry
+from verdikt.operators.bradley_terry import Lane, bt_log_odds, bt_rounds, fit_lanes
 from verdikt.operators.glicko import Options, VALIDATED, ballot_score, run_season, with_options
-from verdikt.operators.lineage import cut_lineage
+from verdikt.operators.lineage import cut_lineage, shared_root
 from verdikt.operators.ranking import sequence_number
 
 # Confidence buckets, the swept settings, and the evidence gate.
@@ -23,6 +25,8 @@ K_SWEEP = (8.0, 16.0, 24.0, 32.0, 48.0, 64.0)
 GATE_ROUNDS = 10
 DRAWS = 2000
 WIN_RATE_PRIOR = 4
+#: Rounds that one task plays in their order at most.
+ELO_ROUNDS = 20_000
 
 
 def a_won() -> Column:
@@ -54,45 +58,71 @@ def prediction_metrics(preds: DataFrame, keys: list[str], p: str = "p") -> DataF
         F.avg(_surprise(q)).alias("log_loss"), F.avg((1 - q) * (1 - q)).alias("brier"))
 
 
-def fit_logistic(rows: DataFrame, features: list[str], target: str = "y") -> list[float]:
-    """Newton steps, each one aggregate of gradient and curvature; the small solve is local.
+def fit_logistics(rows: DataFrame, features: list[str], keys: list[str], target: str = "y") -> dict[tuple, list[float]]:
+    """A logistic fit for each value of ``keys``, constant first.
 
-    Fewer than ten rows per coefficient leaves every coefficient at zero.
+    All fits take their Newton steps together: one aggregate gives every fit's gradient and curvature, a row each, and
+    the small solves are local. Values of ``keys`` are few (seasons, variants). A fit with fewer than ten rows per
+    coefficient keeps every coefficient at zero.
     """
-    k = len(features) + 1
+    k, spark = len(features) + 1, rows.sparkSession
     x = [F.lit(1.0), *[F.col(f).cast("double") for f in features]]
-    beta = np.zeros(k)
-    rows = cut_lineage(rows.select(*features, target))
-    for i in range(50):
-        z = reduce(lambda a, b: a + b, [F.lit(float(beta[j])) * x[j] for j in range(k)])
-        p = 1 / (1 + F.exp(-z))
+    rows = cut_lineage(rows.select(*keys, *features, F.col(target).cast("double").alias("_y")))
+    counts = {tuple(r[c] for c in keys): r._n for r in rows.groupBy(*keys).agg(F.count("*").alias("_n")).collect()}
+    betas = {key: np.zeros(k) for key in counts}
+    open_fits = {key for key, n in counts.items() if n >= k * 10}
+    numbers = {key: i for i, key in enumerate(sorted(counts, key=repr))}
+    types = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in keys)
+    if keys and numbers:
+        numbered = spark.createDataFrame([(*key, i) for key, i in numbers.items()], f"{types}_fit int")
+        on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in keys]
+        rows = rows.alias("l").join(F.broadcast(numbered.alias("r")), reduce(lambda a, b: a & b, on)).select("_fit", *features, "_y")
+    else:
+        rows = rows.withColumn("_fit", F.lit(0))
+    rows = cut_lineage(rows)
+    for _ in range(50):
+        if not open_fits:
+            break
+        table = spark.createDataFrame(pa.table([pa.array([numbers[key] for key in open_fits], pa.int32()),
+                                                pa.array([betas[key].tolist() for key in open_fits], pa.list_(pa.float64()))], ["_fit", "_beta"]))
+        z = reduce(lambda a, b: a + b, [F.col("_beta")[j] * x[j] for j in range(k)])
         w = F.greatest(F.lit(1e-9), F.col("_p") * (1 - F.col("_p")))
-        sums = [F.sum((F.col(target) - F.col("_p")) * x[j]).alias(f"g{j}") for j in range(k)]
+        sums = [F.sum((F.col("_y") - F.col("_p")) * x[j]).alias(f"g{j}") for j in range(k)]
         sums += [F.sum(w * x[a] * x[b]).alias(f"h{a}_{b}") for a in range(k) for b in range(a, k)]
-        got = rows.withColumn("_p", p).agg(F.count("*").alias("n"), *sums).first()
-        if got["n"] < k * 10:
-            return [0.0] * k
-        grad = np.array([got[f"g{j}"] for j in range(k)])
-        hess = np.array([[got[f"h{min(a, b)}_{max(a, b)}"] for b in range(k)] for a in range(k)])
-        try:
-            step = np.linalg.solve(hess + 1e-6 * np.eye(k), grad)
-        except np.linalg.LinAlgError:
-            break
-        beta = beta + step
-        if np.abs(step).max() < 1e-9:
-            break
-    return [float(b) for b in beta]
+        got = {r._fit: r for r in rows.join(F.broadcast(table), "_fit").withColumn("_p", 1 / (1 + F.exp(-z))).groupBy("_fit").agg(*sums).collect()}
+        for key in list(open_fits):
+            row = got[numbers[key]]
+            grad = np.array([row[f"g{j}"] for j in range(k)])
+            hess = np.array([[row[f"h{min(a, b)}_{max(a, b)}"] for b in range(k)] for a in range(k)])
+            try:
+                step = np.linalg.solve(hess + 1e-6 * np.eye(k), grad)
+            except np.linalg.LinAlgError:
+                open_fits.discard(key)
+                continue
+            betas[key] = betas[key] + step
+            if np.abs(step).max() < 1e-9:
+                open_fits.discard(key)
+    return {key: [float(b) for b in beta] for key, beta in betas.items()}
+
+
+def fit_logistic(rows: DataFrame, features: list[str], target: str = "y") -> list[float]:
+    """One fit over all rows."""
+    return fit_logistics(rows, features, [], target).get((), [0.0] * (len(features) + 1))
 
 
-def logistic(beta: list[float], features: list[str]) -> Column:
-    z = reduce(lambda a, b: a + b, [F.lit(b) * F.col(f) for b, f in zip(beta[1:], features)], F.lit(beta[0]))
-    return 1 / (1 + F.exp(-z))
+def with_logistic(rows: DataFrame, features: list[str], keys: list[str], betas: dict[tuple, list[float]]) -> DataFrame:
+    """``rows`` with ``p_a`` by the coefficients of their ``keys``; a half where there are none."""
+    types = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in keys)
+    table = rows.sparkSession.createDataFrame([(*key, beta) for key, beta in betas.items()], f"{types}_beta array<double>")
+    beta = lambda j: F.coalesce(F.col("_beta")[j], F.lit(0.0))
+    z = reduce(lambda a, b: a + b, [beta(j + 1) * F.col(f) for j, f in enumerate(features)], beta(0))
+    return rows.join(F.broadcast(table), keys, "left").withColumn("p_a", 1 / (1 + F.exp(-z))).drop("_beta")
 
 
-def fitted(rounds: DataFrame, features: list[str], train: Column) -> DataFrame:
-    """Rounds outside ``train`` with ``p_a`` from a logistic fit of the features on those in it."""
-    beta = fit_logistic(rounds.where(train).select(*features, a_won().alias("y")), features)
-    return rounds.where(~train).withColumn("p_a", logistic(beta, features))
+def fitted(rounds: DataFrame, features: list[str], train: Column, keys: tuple[str, ...] = ("season_id",)) -> DataFrame:
+    """Rounds outside ``train`` with ``p_a`` from logistic fits, one for each of ``keys``, on its rounds in ``train``."""
+    betas = fit_logistics(rounds.where(train).select(*keys, *features, a_won().alias("y")), features, list(keys))
+    return with_logistic(rounds.where(~train), features, list(keys), betas)
 
 
 def coin_flip(rounds: DataFrame) -> DataFrame:
@@ -100,8 +130,9 @@ def coin_flip(rounds: DataFrame) -> DataFrame:
 
 
 def side_only(train: DataFrame, test: DataFrame) -> DataFrame:
-    beta = fit_logistic(train.select(side_feature().alias("side"), a_won().alias("y")), ["side"])
-    return test.withColumn("side", side_feature()).withColumn("p_a", logistic(beta, ["side"])).drop("side")
+    """Rounds of ``test`` with ``p_a`` by the side alone, as each season's ``train`` has it."""
+    betas = fit_logistics(train.select("season_id", side_feature().alias("side"), a_won().alias("y")), ["side"], ["season_id"])
+    return with_logistic(test.withColumn("side", side_feature()), ["side"], ["season_id"], betas).drop("side")
 
 
 def _both_sides(rounds: DataFrame) -> DataFrame:
@@ -182,54 +213,112 @@ def points_to_date(rounds: DataFrame, earned: DataFrame, periods: DataFrame) ->
     return out.withColumn("points_gap", (F.col("_ta") - F.col("_tb")) / 10).drop("_ta", "_tb")
 
 
-def elo(rounds: DataFrame, k: float | dict[str, float], margin_weight: float = 0.0) -> DataFrame:
-    """Sequential Elo: every round with both sides' ratings when its turn came.
+def _elo_schedule(rounds: DataFrame) -> DataFrame:
+    """``rounds`` with ``step`` and each side's next round: ``next_a seat_a step_a``, ``next_b seat_b step_b``.
 
-    Rounds of a period count in section order. Each wave plays every round that
-    is next for both its sides, which is what a sequential pass would do; with a
-    dict the same rounds run once per named K. The number of waves is the longest
-    chain of rounds that wait for each other, and no method has fewer.
+    Rounds of a period count in section order, and no round of a period waits for a later one. So a round's depth among
+    those of its period, the longest chain of rounds that wait for each other and end in it, is found for all periods of
+    all seasons at once: a pass carries depths along each subject's rounds and takes the greater of both sides'. A step is a
+    period and a depth, numbered through.
     """
-    ks = k if isinstance(k, dict) else {"elo": float(k)}
-    kv = F.create_map(*[F.lit(x) for item in ks.items() for x in item])
-    keys = ["season_id", "variant"]
-    tag = F.explode(F.array(*[F.lit(v) for v in ks])).alias("variant")
-    sides = sequence_number(
-        rounds.select("season_id", "period_seq", "section_id", F.explode(F.array("a", "b")).alias("subject")),
-        ["season_id", "subject"], "period_seq", [F.asc("section_id")], "turn", descending=False)
-    todo = rounds.select("season_id", "section_id", "period_seq", "a", "b",
-                         ballot_score("won_a", "ballots", margin_weight).alias("score"))
+    keys = ["season_id", "section_id"]
+    seats = F.explode(F.array(*[F.struct(F.col(s).alias("subject"), F.lit(s).alias("seat")) for s in "ab"])).alias("s")
+    seated = sequence_number(rounds.select(*keys, "period_seq", seats).select(*keys, "period_seq", "s.*"),
+                             ["season_id", "subject"], "period_seq", [F.asc("section_id")], "turn", descending=False)
+    seated = cut_lineage(seated.withColumn("depth", F.lit(1)))
+    along = W.partitionBy("season_id", "period_seq", "subject").orderBy("turn").rowsBetween(W.unboundedPreceding, 0)
+    while True:
+        carried = seated.withColumn("carried", (F.max(F.col("depth") - F.col("turn")).over(along) + F.col("turn")).cast("int"))
+        deeper = carried.groupBy(*keys).agg(F.max("carried").alias("deeper"))
+        passed = cut_lineage(carried.join(deeper, keys))
+        seated = passed.select(*keys, "period_seq", "subject", "seat", "turn", F.col("deeper").alias("depth"))
+        if not passed.where("deeper > depth").take(1):
+            break
+    depths = {r.period_seq: r.deepest for r in seated.groupBy("period_seq").agg(F.max("depth").alias("deepest")).collect()}
+    first, offsets = 0, []
+    for period in sorted(depths):
+        offsets.append((period, first))
+        first += depths[period]
+    table = rounds.sparkSession.createDataFrame(offsets, f"period_seq {rounds.schema['period_seq'].dataType.simpleString()}, _first int")
+    seated = cut_lineage(seated.join(F.broadcast(table), "period_seq").withColumn("step", (F.col("_first") + F.col("depth")).cast("int")).drop("_first", "depth"))
+    after = seated.select("season_id", "subject", (F.col("turn") - 1).alias("turn"), F.col("section_id").alias("next"), F.col("seat").alias("next_seat"),
+                          F.col("step").alias("next_step"))
+    linked = seated.join(after, ["season_id", "subject", "turn"], "left")
+    out = rounds
     for s in "ab":
-        todo = todo.join(sides.select("season_id", "section_id", F.col("subject").alias(s),
-                                      F.col("turn").alias(f"turn_{s}")), ["season_id", "section_id", s])
-    todo = cut_lineage(todo.select("*", tag))
-    state = cut_lineage(todo.select(*keys, F.explode(F.array("a", "b")).alias("subject")).distinct()
-                        .withColumn("elo", F.lit(1500.0)).withColumn("played", F.lit(0)))
-    left, done, wave = todo.count(), [], 0
-    while left:
-        wave += 1
-        at = lambda s: state.select(*keys, F.col("subject").alias(s), F.col("elo").alias(f"r{s}"),
-                                    (F.col("played") + 1).alias(f"turn_{s}"))
-        gain = kv[F.col("variant")] * (F.col("score") - 1 / (1 + F.pow(
-            F.lit(10.0), (F.col("rb") - F.col("ra")) / 400)))
-        played = cut_lineage(todo.join(at("a"), [*keys, "a", "turn_a"]).join(at("b"), [*keys, "b", "turn_b"])
-                             .withColumn("gain", gain))
-        done.append(played)
-        left -= played.count()
-        change = played.select(*keys, F.explode(F.array(
-            F.struct(F.col("a").alias("subject"), F.col("gain").alias("d")),
-            F.struct(F.col("b").alias("subject"), (-F.col("gain")).alias("d")))).alias("c")).select(*keys, "c.*")
-        state = state.join(change, [*keys, "subject"], "left").select(
-            *keys, "subject", (F.col("elo") + F.coalesce("d", F.lit(0.0))).alias("elo"),
-            (F.col("played") + F.col("d").isNotNull().cast("int")).alias("played"))
-        if wave % 4 == 0:
-            state = cut_lineage(state)
-        if wave % 16 == 0:
-            todo = cut_lineage(todo.join(state.select(*keys, F.col("subject").alias("a"), "played"), [*keys, "a"])
-                               .where("turn_a > played").drop("played"))
-    if not done:
-        return todo.withColumns({"ra": F.lit(1500.0), "rb": F.lit(1500.0), "gain": F.lit(0.0)})
-    return reduce(DataFrame.unionByName, done)
+        out = out.join(linked.where(F.col("seat") == s).select(*keys, F.col("turn").alias(f"turn_{s}"), F.col("next").alias(f"next_{s}"), F.col("next_seat").alias(f"seat_{s}"),
+                                                               F.coalesce("next_step", F.lit(0)).alias(f"step_{s}"), *(["step"] if s == "a" else [])), keys)
+    return out
+
+
+def _play(ks: dict[str, float], last: int, out: pa.Schema):
+    """Plays a group's rounds by step; ratings for a round after step ``last`` are letters, all others are handed on here."""
+    def run(games: pa.Table, letters: pa.Table) -> pa.Table:
+        rating = {(section, seat): elo for section, seat, elo in zip(*(letters[c].to_pylist() for c in ("section_id", "seat", "elo")))}
+        rows: list[tuple] = []
+        names = ("step", "section_id", "variant", "season_id", "score", *[f"{c}_{s}" for s in "ab" for c in ("next", "seat", "step")])
+        for step, section, variant, season, score, *onward in sorted(zip(*(games[c].to_pylist() for c in names)), key=lambda g: g[:2]):
+            ra, rb = rating.pop((section, "a")), rating.pop((section, "b"))
+            gain = ks[variant] * (score - 1 / (1 + 10 ** ((rb - ra) / 400)))
+            for by, elo, after, seat, at in (("a", ra + gain, *onward[:3]), ("b", rb - gain, *onward[3:])):
+                here = 0 < at <= last
+                if here:
+                    rating[after, seat] = elo
+                if by == "a" or not here:
+                    rows.append((variant, season, None if here else after, seat, elo, section, by, ra, rb, gain, 0 if here else at))
+        return pa.table(dict(zip(out.names, map(list, zip(*rows)))) if rows else {n: [] for n in out.names}, out)
+    return run
+
+
+def elo(rounds: DataFrame, k: float | dict[str, float], margin_weight: float = 0.0, most: int = ELO_ROUNDS) -> DataFrame:
+    """Sequential Elo: every round with both sides' ratings when its turn came, carried through a season.
+
+    Steps are fixed beforehand and rounds are kept by batch. A round that is played posts each side's rating to the batch of
+    that side's next round; a batch reads its own rounds and its own post and nothing else, so rows read and written follow
+    the rounds. Rounds of one step do not wait for each other: a step of more than ``most`` rounds is a batch of its own and
+    is dealt out by section over as many tasks as it needs. Steps with fewer are taken together up to ``most`` rounds, and a
+    season's part of them is played in its order by one task. With a dict the same rounds run once per named K.
+    """
+    spark, keys = rounds.sparkSession, ["season_id", "section_id"]
+    ks = {n: float(v) for n, v in (k if isinstance(k, dict) else {"elo": k}).items()}
+    games = cut_lineage(_elo_schedule(rounds.select("season_id", F.col("section_id").cast("string").alias("section_id"), "period_seq", "a", "b",
+                                                    ballot_score("won_a", "ballots", margin_weight).alias("score"))))
+    # A row for each step: steps are as many as the longest chain of rounds that wait, not as rounds.
+    sizes = {r.step: r.n for r in games.groupBy("step").agg(F.count("*").alias("n")).collect()}
+    batches: list[list[int]] = []
+    room = 0
+    for step in sorted(sizes):
+        if sizes[step] > room:
+            batches.append([])
+            room = max(most, sizes[step])
+        batches[-1].append(step)
+        room -= sizes[step]
+    of_step = spark.createDataFrame([(step, n) for n, batch in enumerate(batches, 1) for step in batch], "step int, batch int")
+    games = cut_lineage(games.join(F.broadcast(of_step), "step"), "batch")
+    starts = F.explode(F.array(*[F.struct(F.lit(s).alias("seat"), F.col(f"turn_{s}").alias("turn")) for s in "ab"])).alias("s")
+    none = F.lit(None).cast("double")
+    opening = games.select(F.explode(F.array(*map(F.lit, ks))).alias("variant"), *keys, "batch", starts).where("s.turn = 1").select(
+        "variant", *keys, F.col("s.seat").alias("seat"), F.lit(1500.0).alias("elo"), F.lit(None).cast("string").alias("played"), F.lit(None).cast("string").alias("by"),
+        none.alias("ra"), none.alias("rb"), none.alias("gain"), "batch")
+    post = f"{shared_root(spark)}/elo-{uuid.uuid4().hex}"
+    opening.write.partitionBy("batch").parquet(post)
+    kind = StructType([StructField(f.name, f.dataType) for f in opening.schema if f.name != "batch"])
+    sent = StructType([*kind.fields, StructField("step", IntegerType())])
+    season = pa.string() if rounds.schema["season_id"].dataType.typeName() == "string" else pa.int64()
+    arrow = pa.schema([("variant", pa.string()), ("season_id", season), ("section_id", pa.string()), ("seat", pa.string()), ("elo", pa.float64()), ("played", pa.string()),
+                       ("by", pa.string()), ("ra", pa.float64()), ("rb", pa.float64()), ("gain", pa.float64()), ("step", pa.int32())])
+    for number, batch in enumerate(batches, 1):
+        parts = F.lit(1) if len(batch) > 1 else F.lit(-(-sizes[batch[0]] // most))
+        dealt = lambda df: df.withColumn("_part", F.pmod(F.xxhash64("section_id"), parts).cast("int")).groupBy("season_id", "variant", "_part")
+        own = games.where(F.col("batch") == number).drop("batch").withColumn("variant", F.explode(F.array(*map(F.lit, ks))))
+        came = spark.read.schema(kind).parquet(f"{post}/batch={number}")
+        letters = dealt(own).cogroup(dealt(came)).applyInArrow(_play(ks, batch[-1], arrow), sent)
+        (letters.join(F.broadcast(of_step), "step", "left").select(*kind.names, F.coalesce("batch", F.lit(0)).alias("batch"))
+         .write.mode("append").partitionBy("batch").parquet(post))
+    done = spark.read.schema(StructType([*kind.fields, StructField("batch", IntegerType())])).parquet(post).where("by = 'a'").select("variant", "season_id", F.col("played").alias("section_id"), "ra", "rb", "gain")
+    kept = rounds.schema["section_id"].dataType
+    return (games.select(*keys, "period_seq", "a", "b", "score").join(done, keys)
+            .withColumn("section_id", F.col("section_id").cast(kept)))
 
 
 def elo_before_period(played: DataFrame, rounds: DataFrame) -> DataFrame:
@@ -261,18 +350,15 @@ def shrunk_rating_model(rounds: DataFrame, contested: DataFrame, members: DataFr
 
 def bt_models(rounds: DataFrame, unit: str = "pairs", penalty: float = 1.5, iterations: int = 400,
               first_period: int = 2) -> DataFrame:
-    """Bradley-Terry predictions of each period, refit on everything before it."""
+    """Bradley-Terry predictions of each period, refit on everything before it: one lane for each prefix of the periods."""
     ready = bt_rounds(rounds, 1.0, unit)
-    last = rounds.groupBy("season_id").agg(F.max("period_seq").alias("last"))
-    prefix = F.explode(F.when(F.greatest(F.col("period_seq") + 1, F.lit(first_period)) <= F.col("last"), F.sequence(
-        F.greatest(F.col("period_seq") + 1, F.lit(first_period)), F.col("last")))
-        .otherwise(F.array().cast("array<int>"))).alias("before")
-    past = ready.join(last, "season_id").select("*", prefix)
-    scope = ["season_id", "before"]
-    strengths, fits = fit_bradley_terry(past, scope, penalty, iterations)
-    now = ready.where(F.col("period_seq") >= first_period).withColumn("before", F.col("period_seq"))
+    last = rounds.agg(F.max("period_seq")).first()[0] or 0
+    lanes = [Lane(p, penalty, p) for p in range(first_period, max(last, first_period) + 1)]
+    strengths, fits = fit_lanes(ready, ["season_id"], lanes, iterations)
+    scope = ["season_id", "lane"]
+    now = ready.where(F.col("period_seq") >= first_period).withColumn("lane", F.col("period_seq"))
     return (bt_log_odds(now, strengths, fits, scope)
-            .withColumn("p_a", 1 / (1 + F.exp(-F.col("log_odds")))).drop("side_a_ids", "side_b_ids"))
+            .withColumn("p_a", 1 / (1 + F.exp(-F.col("log_odds")))).drop("side_a_ids", "side_b_ids", "lane"))
 
 
 def sweep_options(side: float | Column, base: Options = Options()) -> dict[str, Options]:
@@ -288,48 +374,50 @@ def sweep_options(side: float | Column, base: Options = Options()) -> dict[str,
 
 def sweep(rounds: DataFrame, contested: DataFrame, members: DataFrame, variants: dict[str, Options],
           dev: Column) -> DataFrame:
-    """Metrics of every variant on the dev periods, all variants run as one job, best first."""
+    """Metrics of every variant on each season's dev periods, all variants run as one job, best of a season first."""
     preds = walk_forward(rounds, contested, members, variants=variants)
     scored = preds.where(dev).withColumn("p", outcome_probability())
-    return prediction_metrics(scored, ["variant"]).orderBy("log_loss", "variant")
+    return prediction_metrics(scored, ["season_id", "variant"]).orderBy("season_id", "log_loss", "variant")
 
 
 def sweep_grid(rounds: DataFrame, contested: DataFrame, members: DataFrame, side: float | Column,
                dev: Column) -> DataFrame:
-    """All of ``sweep_options``, and if the best of them seeds new pairs, that one with every pairing deviation."""
+    """All of ``sweep_options`` for every season; where a season's best seeds new pairs, that one with every pairing deviation.
+
+    The deviations of all seasons' best variants run as one job.
+    """
     variants = sweep_options(side)
     grid = cut_lineage(sweep(rounds, contested, members, variants, dev))
-    best = grid.orderBy("log_loss", "variant").first()
-    if best is not None and variants[best.variant].seed_from_members:
-        deviations = {f"{best.variant}, pairing RD {d:g}": with_options(variants[best.variant], pairing_deviation=d)
-                      for d in PAIRING_SWEEP}
-        grid = grid.unionByName(sweep(rounds, contested, members, deviations, dev))
-    return grid.orderBy("log_loss", "variant")
+    best = {r.season_id: r.first.variant for r in grid.groupBy("season_id").agg(F.min(F.struct("log_loss", "variant")).alias("first")).collect()}
+    seeded = {season: v for season, v in best.items() if variants[v].seed_from_members}
+    if seeded:
+        name = lambda v, d: f"{v}, pairing RD {d:g}"
+        deviations = {name(v, d): with_options(variants[v], pairing_deviation=d) for v in set(seeded.values()) for d in PAIRING_SWEEP}
+        theirs = rounds.sparkSession.createDataFrame([(season, name(v, d)) for season, v in seeded.items() for d in PAIRING_SWEEP],
+                                                     f"season_id {rounds.schema['season_id'].dataType.simpleString()}, variant string")
+        grid = grid.unionByName(sweep(rounds, contested, members, deviations, dev).join(F.broadcast(theirs), ["season_id", "variant"], "left_semi"))
+    return grid.orderBy("season_id", "log_loss", "variant")
 
 
 def sweep_elo(rounds: DataFrame, train: Column, dev: Column, ks: tuple = K_SWEEP) -> DataFrame:
+    """Metrics of every K on each season's dev periods; all fits of all seasons step together."""
     gaps = cut_lineage(elo_before_period(elo(rounds, {f"K={k:g}": k for k in ks}), rounds)
-                       .withColumn("side", side_feature()).withColumn("y", a_won()))
-    out = []
-    for k in ks:
-        mine = gaps.where(F.col("variant") == f"K={k:g}")
-        beta = fit_logistic(mine.where(train), ["elo_gap", "side"], "y")
-        out.append(mine.where(dev).withColumn("p_a", logistic(beta, ["elo_gap", "side"]))
-                   .withColumn("p", outcome_probability()))
-    return prediction_metrics(reduce(DataFrame.unionByName, out), ["variant"]).orderBy("log_loss", "variant")
+                       .withColumn("side", side_feature()))
+    scored = fitted(gaps.where(train | dev), ["elo_gap", "side"], train, ("season_id", "variant")).where(dev)
+    return (prediction_metrics(scored.withColumn("p", outcome_probability()), ["season_id", "variant"])
+            .orderBy("season_id", "log_loss", "variant"))
 
 
 def sweep_bt(rounds: DataFrame, train: Column, dev: Column, unit: str = "pairs",
              penalties: tuple = LAMBDA_SWEEP, iterations: int = 400) -> DataFrame:
-    """Fits every penalty on train in one descent and scores dev."""
+    """Fits every penalty on train in one descent and scores dev, season by season."""
     ready = bt_rounds(rounds, 1.0, unit)
-    tag = F.explode(F.array(*map(F.lit, penalties))).alias("penalty")
-    scope = ["season_id", "penalty"]
-    strengths, fits = fit_bradley_terry(ready.where(train).select("*", tag).withColumn(
-        "pen", F.col("penalty")), scope, "pen", iterations)
-    scored = bt_log_odds(ready.where(dev).select("*", tag), strengths, fits, scope).withColumn(
+    strengths, fits = fit_lanes(ready.where(train), ["season_id"], [Lane(p, p) for p in penalties], iterations, gradient=1e-5)
+    tag = F.explode(F.array(*map(F.lit, penalties))).alias("lane")
+    scored = bt_log_odds(ready.where(dev).select("*", tag), strengths, fits, ["season_id", "lane"]).withColumn(
         "p_a", 1 / (1 + F.exp(-F.col("log_odds")))).withColumn("p", outcome_probability())
-    return prediction_metrics(scored, ["penalty"]).orderBy("log_loss", "penalty")
+    return (prediction_metrics(scored.withColumnRenamed("lane", "penalty"), ["season_id", "penalty"])
+            .orderBy("season_id", "log_loss", "penalty"))
 
 
 def calibration(preds: DataFrame, keys: list[str], p: str = "p", buckets: tuple = BUCKETS) -> DataFrame:
@@ -349,11 +437,11 @@ def implied_ceiling(preds: DataFrame, keys: list[str], p: str = "p") -> DataFram
 
 
 def paired_bootstrap(pairs: DataFrame, metric: str = "accuracy", draws: int = DRAWS, seed: int = 7) -> DataFrame:
-    """95% interval of the gap between two models over resampled rounds.
+    """``season_id, gap, lo, hi, share_worse, draws``: a season's gap between two models and its 95% interval over resampled rounds.
 
-    pairs: section_id p_one p_two, for the same rounds. A draw weights each round by a Poisson(1) count read off a hash
-    of (seed, round, draw), so it does not depend on how rows are spread. A task keeps all draws of its rounds as two
-    vectors of sums, and only those move.
+    pairs: season_id section_id p_one p_two, for the same rounds. A draw weights each round by a Poisson(1) count read off
+    a hash of (seed, round, draw), so it does not depend on how rows are spread. A task keeps all draws of its rounds as two
+    vectors of sums for each season, and only those move.
     """
     value = (lambda q: _hit(q)) if metric == "accuracy" else (lambda q: _surprise(q))
     gap = value(F.col("p_one")) - value(F.col("p_two"))
@@ -364,25 +452,33 @@ def paired_bootstrap(pairs: DataFrame, metric: str = "accuracy", draws: int = DR
     turns = np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
     def tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, total = np.zeros(draws), np.zeros(draws)
+        sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            keys, gaps = batch["key"].to_numpy().view(np.uint64), batch["gap"].to_numpy()
-            for at in range(0, len(keys), 256):
-                mixed = keys[at:at + 256, None] + turns
-                mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                counts = np.searchsorted(steps, ((mixed ^ (mixed >> np.uint64(31))) >> np.uint64(11)).astype(np.float64), "right")
-                weight += counts.sum(axis=0)
-                total += gaps[at:at + 256] @ counts
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws)), pa.array(weight), pa.array(total)], ["draw", "weight", "total"])
-
-    rows = pairs.select(F.xxhash64(F.lit(seed), "section_id").alias("key"), gap.cast("double").alias("gap")).where(F.col("gap").isNotNull())
-    per_draw = (rows.mapInArrow(tally, "draw long, weight double, total double").groupBy("draw")
+            seasons, keys, gaps = batch["season_id"].dictionary_encode(), batch["key"].to_numpy().view(np.uint64), batch["gap"].to_numpy()
+            which = seasons.indices.to_numpy()
+            for number, season in enumerate(seasons.dictionary.to_pylist()):
+                own = np.flatnonzero(which == number)
+                weight, total = sums.setdefault(season, np.zeros((2, draws)))
+                for at in range(0, len(own), 256):
+                    mixed = keys[own[at:at + 256], None] + turns
+                    mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                    counts = np.searchsorted(steps, ((mixed ^ (mixed >> np.uint64(31))) >> np.uint64(11)).astype(np.float64), "right")
+                    weight += counts.sum(axis=0)
+                    total += gaps[own[at:at + 256]] @ counts
+        for season, (weight, total) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([season] * draws), pa.array(np.arange(draws)), pa.array(weight), pa.array(total)],
+                                             ["season_id", "draw", "weight", "total"])
+
+    season = F.col("season_id").cast("string").alias("season_id")
+    rows = pairs.select(season, F.xxhash64(F.lit(seed), "section_id").alias("key"), gap.cast("double").alias("gap")).where("gap IS NOT NULL AND season_id IS NOT NULL")
+    rows = cut_lineage(rows)
+    per_draw = (rows.mapInArrow(tally, "season_id string, draw long, weight double, total double").groupBy("season_id", "draw")
                 .agg((F.sum("total") / F.nullif(F.sum("weight"), F.lit(0.0))).alias("diff")))
     q = F.percentile("diff", F.array(F.lit(0.025), F.lit(0.975)))
-    return per_draw.agg(q[0].alias("lo"), q[1].alias("hi"),
-                        F.avg((F.col("diff") <= 0).cast("double")).alias("share_worse"),
-                        F.count("*").cast("int").alias("draws"))
+    spread = per_draw.groupBy("season_id").agg(q[0].alias("lo"), q[1].alias("hi"), F.avg((F.col("diff") <= 0).cast("double")).alias("share_worse"),
+                                               F.count("*").cast("int").alias("draws"))
+    return rows.groupBy("season_id").agg(F.avg("gap").alias("gap")).join(spread, "season_id")
 
 
 def held_out_report(preds: DataFrame, keys: list[str], gate: int = GATE_ROUNDS) -> DataFrame:

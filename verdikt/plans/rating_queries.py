@@ -226,8 +226,7 @@ def held_out_report(t):
 
 @query("shrunk_predictions")
 def shrunk_predictions(t):
-    preds = V.shrunk_rating_model(rated(t), contested(t), members(t)).withColumn("p", V.outcome_probability())
-    return V.prediction_metrics(preds, ["season_id"])
+    return V.prediction_metrics(shrunk(t).withColumn("p", V.outcome_probability()), ["season_id"])
 
 
 @query("iterated_ratings")
@@ -283,14 +282,22 @@ def bt_people_sweep(t):
 
 @query("bt_walk_forward")
 def bt_walk_forward(t):
-    preds = V.bt_models(rated(t), "pairs", 1.5).withColumn("p", V.outcome_probability())
-    return V.prediction_metrics(preds, ["season_id"])
-
-
-@query("elo")
+    """Metrics by season of every round after its first period, each by strengths fitted on the periods before."""
+    return V.prediction_metrics(walked(t, "pairs").withColumn("p", V.outcome_probability()), ["season_id"])
+
+
+@query("elo", """
+WITH RECURSIVE games AS (SELECT season_id, period_seq, section_id, a, b, CASE WHEN 2 * won_a > ballots THEN 1.0::DOUBLE WHEN 2 * won_a < ballots THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS score,
+    row_number() OVER (PARTITION BY season_id ORDER BY period_seq, section_id) AS i FROM rated),
+  run AS (SELECT DISTINCT season_id, CAST(0 AS BIGINT) AS i, CAST(MAP {} AS MAP(VARCHAR, DOUBLE)) AS at, 0.0::DOUBLE AS ra, 0.0::DOUBLE AS rb, 0.0::DOUBLE AS gain FROM games
+    UNION ALL SELECT season_id, i, map_concat(at, MAP {a: ra + gain, b: rb - gain}), ra, rb, gain FROM (
+      SELECT *, 48 * (score - 1 / (1 + power(10.0::DOUBLE, (rb - ra) / 400))) AS gain FROM (
+        SELECT g.season_id, g.i, r.at, g.a, g.b, g.score, coalesce(r.at[g.a], 1500.0::DOUBLE) AS ra, coalesce(r.at[g.b], 1500.0::DOUBLE) AS rb
+        FROM run AS r JOIN games AS g ON g.season_id = r.season_id AND g.i = r.i + 1) AS x) AS y)
+SELECT g.season_id, g.period_seq, g.section_id, g.a, g.b, round(r.ra, 6) AS ra, round(r.rb, 6) AS rb, round(r.gain, 6) AS gain FROM games AS g JOIN run AS r ON r.season_id = g.season_id AND r.i = g.i""")
 def elo(t):
     """Carried through each season."""
-    return V.elo(rated(t), 48.0).select("season_id", "period_seq", "section_id", "a", "b", "ra", "rb", "gain")
+    return _rounded(V.elo(rated(t), 48.0).select("season_id", "period_seq", "section_id", "a", "b", "ra", "rb", "gain"))
 
 
 _RECORD = """(SELECT season_id, subject, period_seq, coalesce(sum(n) OVER w, 0) AS nb, coalesce(sum(w1) OVER w, 0) AS wb FROM (
@@ -347,35 +354,99 @@ def predict_tournaments(t):
 @query("side_only", """
 SELECT season_id, CAST(count(*) AS INTEGER) AS n, round(avg(CASE WHEN p > 0.5 THEN 1.0 WHEN p = 0.5 THEN 0.5 ELSE 0.0 END), 6) AS accuracy, round(avg(-ln(p)), 6) AS log_loss, round(avg((1 - p) * (1 - p)), 6) AS brier FROM (
   SELECT r.season_id, round(CASE WHEN 2 * won_a > ballots THEN q.share ELSE 1 - q.share END, 9) AS p FROM rated AS r
-  JOIN (SELECT side_a = 1 AS first, avg(CASE WHEN 2 * won_a > ballots THEN 1.0 ELSE 0.0 END)::DOUBLE AS share FROM rated WHERE period_seq <= 8 GROUP BY ALL) AS q ON q.first = (r.side_a = 1)
+  JOIN (SELECT season_id, side_a = 1 AS first, avg(CASE WHEN 2 * won_a > ballots THEN 1.0 ELSE 0.0 END)::DOUBLE AS share FROM rated WHERE period_seq <= 8 GROUP BY ALL) AS q
+    ON q.first = (r.side_a = 1) AND q.season_id = r.season_id
   WHERE r.period_seq > 8) AS x GROUP BY season_id""")
 def side_only(t):
-    """Fitted on each season's first eight periods, scored on the rest. With one two-valued feature the fit is the share won."""
+    """Fitted on each season's first eight periods, scored on its rest. With one two-valued feature the fit is the share won."""
     r = rated(t)
     preds = V.side_only(r.where("period_seq <= 8"), r.where("period_seq > 8")).withColumn("p", F.round(V.outcome_probability(), 9))
     return _rounded(V.prediction_metrics(preds, ["season_id"]))
 
 
+def _newton_sql(feature: str, source: str, steps: int = 12) -> str:
+    """Metrics by season of a logistic fit of ``feature`` and the side on the first eight periods, its Newton steps written out."""
+    sql = f"""WITH raw AS ({source}), f AS (SELECT r.season_id, r.period_seq, raw.{feature} AS x, CASE WHEN r.side_a = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s,
+      CASE WHEN 2 * r.won_a > r.ballots THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y FROM rated AS r JOIN raw ON raw.season_id = r.season_id AND raw.section_id = r.section_id),
+  b0 AS (SELECT season_id, count(*) >= 30 AS enough, 0.0::DOUBLE AS c, 0.0::DOUBLE AS u, 0.0::DOUBLE AS v FROM f WHERE period_seq <= 8 GROUP BY season_id)"""
+    for k in range(steps):
+        sql += f""",
+  s{k} AS (SELECT season_id, sum(y - p) AS g0, sum((y - p) * x) AS g1, sum((y - p) * s) AS g2, sum(w) + 1e-6 AS a, sum(w * x) AS b, sum(w * s) AS d, sum(w * x * x) + 1e-6 AS e, sum(w * x * s) AS h, sum(w) + 1e-6 AS i
+    FROM (SELECT *, greatest(1e-9, p * (1 - p)) AS w FROM (SELECT f.*, 1 / (1 + exp(-(b.c + b.u * f.x + b.v * f.s))) AS p FROM f JOIN b{k} AS b ON b.season_id = f.season_id WHERE f.period_seq <= 8) AS q) AS z GROUP BY season_id),
+  t{k} AS (SELECT *, a * (e * i - h * h) - b * (b * i - h * d) + d * (b * h - e * d) AS det FROM s{k}),
+  b{k + 1} AS (SELECT b.season_id, b.enough, CASE WHEN enough THEN b.c + (g0 * (e * i - h * h) - b_ * (g1 * i - h * g2) + d * (g1 * h - e * g2)) / det ELSE 0.0 END AS c,
+    CASE WHEN enough THEN b.u + (a * (g1 * i - h * g2) - g0 * (b_ * i - h * d) + d * (b_ * g2 - g1 * d)) / det ELSE 0.0 END AS u,
+    CASE WHEN enough THEN b.v + (a * (e * g2 - g1 * h) - b_ * (b_ * g2 - g1 * d) + g0 * (b_ * h - e * d)) / det ELSE 0.0 END AS v
+    FROM b{k} AS b JOIN (SELECT *, b AS b_ FROM t{k}) AS t ON t.season_id = b.season_id)"""
+    return sql + f"""
+SELECT season_id, CAST(count(*) AS INTEGER) AS n, round(avg(CASE WHEN q > 0.5 THEN 1.0::DOUBLE WHEN q = 0.5 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END), 6) AS accuracy,
+  round(avg(-ln(greatest(q, 1e-12))), 6) AS log_loss, round(avg((1 - q) * (1 - q)), 6) AS brier
+FROM (SELECT f.season_id, round(CASE WHEN f.y = 1 THEN p ELSE 1 - p END, 9) AS q FROM (SELECT f.*, 1 / (1 + exp(-(coalesce(b.c, 0) + coalesce(b.u, 0) * f.x + coalesce(b.v, 0) * f.s))) AS p
+  FROM f LEFT JOIN b{steps} AS b ON b.season_id = f.season_id WHERE f.period_seq > 8) AS f) AS z GROUP BY season_id"""
+
+
+def _fitted_metrics(rows: DataFrame, feature: str) -> DataFrame:
+    preds = V.fitted(rows.withColumn("side", V.side_feature()), [feature, "side"], F.col("period_seq") <= 8)
+    return _rounded(V.prediction_metrics(preds.withColumn("p", F.round(V.outcome_probability(), 9)), ["season_id"]))
+
+
+@query("win_rate_model", _newton_sql("rate_gap", f"""SELECT r.season_id, r.section_id, (x.wb + 2.0::DOUBLE) / (x.nb + 4) - (y.wb + 2.0::DOUBLE) / (y.nb + 4) AS rate_gap
+  FROM rated AS r JOIN {_RECORD} AS x ON x.season_id = r.season_id AND x.subject = r.a AND x.period_seq = r.period_seq
+  JOIN {_RECORD} AS y ON y.season_id = r.season_id AND y.subject = r.b AND y.period_seq = r.period_seq"""))
+def win_rate_model(t):
+    """Fitted by season on its first eight periods, scored on its rest."""
+    return _fitted_metrics(V.win_rate_to_date(rated(t)), "rate_gap")
+
+
+@query("points_model", _newton_sql("points_gap", """SELECT r.season_id, r.section_id, (coalesce(x.total, 0) - coalesce(y.total, 0)) / 10 AS points_gap
+  FROM rated AS r LEFT JOIN gain_totals AS x ON x.season_id = r.season_id AND x.subject = r.a AND x.period_seq = r.period_seq
+  LEFT JOIN gain_totals AS y ON y.season_id = r.season_id AND y.subject = r.b AND y.period_seq = r.period_seq"""))
+def points_model(t):
+    """Fitted by season on its first eight periods, scored on its rest."""
+    return _fitted_metrics(V.points_to_date(rated(t), earned(t), periods(t)), "points_gap")
+
+
 @query("coin_flip", """
 SELECT season_id, CAST(count(*) AS INTEGER) AS n, 0.5 AS accuracy, round(-ln(0.5), 6) AS log_loss, 0.25 AS brier FROM rated GROUP BY season_id""")
 def coin_flip(t):
     return _rounded(V.prediction_metrics(V.coin_flip(rated(t)).withColumn("p", V.outcome_probability()), ["season_id"]))
 
 
+def shrunk(t: DriverTables) -> DataFrame:
+    return loaded_as(t, "shrunk", lambda: V.shrunk_rating_model(rated(t), contested(t), members(t)))
+
+
+def walked(t: DriverTables, unit: str) -> DataFrame:
+    """Bradley-Terry over pairs, or over people, refit before each period."""
+    return loaded_as(t, f"walked_{unit}", lambda: V.bt_models(rated(t), unit, 1.5).select("season_id", "section_id", "period_seq", "won_a", "ballots", "p_a"))
+
+
+def played(t: DriverTables) -> DataFrame:
+    return loaded_as(t, "elo", lambda: V.elo(rated(t), 48.0))
+
+
 def held_out_models(t: DriverTables) -> DataFrame:
-    """Predictions of rounds after each season's eighth period: the rating's, and models fitted on the periods before."""
+    """``season_id, model, section_id, kind, min_rounds, p``: nine models' word on every round after its season's eighth period.
+
+    Whatever is fitted is fitted by season, on the periods before. All feed one table, from which slices, calibration and
+    paired draws come in one pass each.
+    """
     def build() -> DataFrame:
         train = F.col("period_seq") <= 8
-        known = V.prior_evidence(season_run(t).predictions.select("season_id", "section_id", "period_seq", "a", "b", "won_a", "ballots", "side_a", "kind", "p_a"))
-        rows = (known.join(V.win_rate_to_date(rated(t)).select("season_id", "section_id", "rate_gap"), ["season_id", "section_id"])
-                .join(V.points_to_date(rated(t), earned(t), periods(t)).select("season_id", "section_id", "points_gap"), ["season_id", "section_id"])
-                .withColumn("side", V.side_feature()))
-        rows = cut_lineage(rows)
-        models = {"rating": rows.where(~train), "coin flip": V.coin_flip(rows.where(~train)), "side": V.fitted(rows, ["side"], train),
-                  "win rate": V.fitted(rows, ["rate_gap", "side"], train), "points": V.fitted(rows, ["points_gap", "side"], train)}
+        known = V.prior_evidence(rated(t)).select("season_id", "section_id", "period_seq", "a", "b", "won_a", "ballots", "side_a", "kind", "min_rounds")
+        on = ["season_id", "section_id"]
+        rows = cut_lineage(known.join(V.win_rate_to_date(rated(t)).select(*on, "rate_gap"), on)
+                           .join(V.points_to_date(rated(t), earned(t), periods(t)).select(*on, "points_gap"), on)
+                           .join(V.elo_before_period(played(t), rated(t)).select(*on, "elo_gap"), on).withColumn("side", V.side_feature()))
+        test = rows.where(~train)
+        told = lambda preds: test.join(preds.select(*on, "p_a"), on)
+        models = {"coin flip": V.coin_flip(test), **{name: V.fitted(rows, features, train) for name, features in {
+            "side": ["side"], "win rate": ["rate_gap", "side"], "points": ["points_gap", "side"], "elo": ["elo_gap", "side"]}.items()},
+            "rating": told(season_run(t).predictions), "shrunk rating": told(shrunk(t)), "strengths of pairs": told(walked(t, "pairs")),
+            "strengths of people": told(walked(t, "people"))}
         out = None
         for name, preds in models.items():
-            one = preds.select(F.lit(name).alias("model"), "season_id", "section_id", "kind", "min_rounds", V.outcome_probability().alias("p"))
+            one = preds.select("season_id", F.lit(name).alias("model"), "section_id", "kind", "min_rounds", V.outcome_probability().alias("p"))
             out = one if out is None else out.unionByName(one)
         return out
     return loaded_as(t, "held_out_models", build)
@@ -383,14 +454,20 @@ def held_out_models(t: DriverTables) -> DataFrame:
 
 @query("held_out_table")
 def held_out_table(t):
-    """Every model on the same rounds: all, both sides known, either new, eliminations."""
-    return _rounded(V.held_out_report(held_out_models(t), ["model"]))
+    """Every model on the same rounds of each season: all, both sides known, either new, eliminations."""
+    return _rounded(V.held_out_report(held_out_models(t), ["season_id", "model"]))
+
+
+@query("held_out_calibration")
+def held_out_calibration(t):
+    return _rounded(V.calibration(held_out_models(t), ["season_id", "model"]))
 
 
 @query("paired_bootstrap")
 def paired_bootstrap(t):
-    """The rating against points, over the rounds both predict."""
+    """The rating against points by season, over the rounds both predict: the verdict on accuracy and on log loss."""
     models = held_out_models(t)
-    one = models.where("model = 'rating'").select("season_id", "section_id", F.col("p").alias("p_one"))
-    two = models.where("model = 'points'").select("season_id", "section_id", F.col("p").alias("p_two"))
-    return V.paired_bootstrap(one.join(two, ["season_id", "section_id"]), "accuracy")
+    pair = lambda name, out: models.where(F.col("model") == name).select("season_id", "section_id", F.col("p").alias(out))
+    pairs = cut_lineage(pair("rating", "p_one").join(pair("points", "p_two"), ["season_id", "section_id"]))
+    found = [V.paired_bootstrap(pairs, metric).withColumn("metric", F.lit(metric)) for metric in ("accuracy", "log_loss")]
+    return found[0].unionByName(found[1])

@@ -193,8 +193,9 @@ def with_ctes(body: str) -> str:
     if not needed:
         return body
     own = body.strip()
-    rest = ",\n" + own[4:] if own.startswith("WITH") else "\n" + own
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in needed) + rest
+    start = "WITH RECURSIVE " if own.startswith("WITH RECURSIVE") else "WITH "
+    rest = ",\n" + own[len(start):] if own.startswith("WITH") else "\n" + own
+    return start + ",\n".join(f"{n} AS ({CTES[n]})" for n in needed) + rest
 
 
 def query(name: str, sql: str | None = None):
