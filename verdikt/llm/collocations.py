@@ -7,10 +7,10 @@ words before that one's start; so each phrase lies whole in the one chunk that o
 once. Equal chunks are one entry of the dictionary with their number in the parse, and phrases are counted in the entries,
 times that number.
 
-Phrases of k words are counted only where both phrases of k - 1 words in them are frequent. Tasks know these through a
-bitmap of ``FILTER_BITS`` bits, whatever the size of the corpus, which passes all frequent ones and, when it fills, others
-too: those cost time and change no count. Pairs, of which most are rare, pass one more bitmap of hashed counts. All counts
-that decide are of the words themselves. Counts are summed in a task before they are shuffled.
+Pairs are counted only where both words are frequent, and longer phrases only where all pairs in them are. Tasks know these
+through a bitmap of ``FILTER_BITS`` bits, whatever the size of the corpus, which passes all frequent ones and, when it fills,
+others too: those cost time and change no count. Pairs, of which most are rare, pass one more bitmap of hashed counts. All
+counts that decide are of the words themselves. Counts are summed in a task before they are shuffled.
 
 Edge cases: a null text is empty, a null language is ``und``; texts without words count nothing; repeated rows count each
 time; other columns are ignored; an empty table gives an empty result. Texts are taken whole at any length.
@@ -45,21 +45,29 @@ _ODD = [np.uint64(pow(0x9E3779B97F4A7C15, 2 * j + 1, 1 << 64)) for j in range(16
 
 
 class Parsed(NamedTuple):
-    """Words of a slice of texts: bytes, each word followed by one blank; codes into the distinct words; where a piece starts."""
+    """Words of a slice of texts: bytes, with one blank between the words of a piece; codes into the distinct words; where a piece starts."""
 
     data: np.ndarray
-    offsets: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
     codes: np.ndarray
     hashes: np.ndarray
-    first: np.ndarray
+    first: np.ndarray | None
     owner: np.ndarray
 
 
-def parse(texts: pa.Array) -> Parsed:
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+def _raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all texts and where each begins; one more end."""
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
-    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]]
-    ends = ends - ends[0]
+    return np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]], ends - ends[0]
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words.cast(pa.large_binary()).to_pylist()), np.uint64, len(words))
+
+
+def parse(texts: pa.Array) -> Parsed:
+    raw, ends = _raw(pc.fill_null(texts.cast(pa.large_string()), ""))
     kind = _KIND[raw]
     opens = np.zeros(len(raw) + 1, bool)
     opens[ends[:-1]] = True
@@ -78,13 +86,26 @@ def parse(texts: pa.Array) -> Parsed:
     words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(tight), pa.py_buffer(held)).dictionary_encode()
     data = np.full(len(held) + len(starts), 0x20, np.uint8)
     data[np.arange(len(held)) + np.repeat(np.arange(len(starts)), lengths)] = held
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words.dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(words.dictionary))
-    return Parsed(data, tight + np.arange(len(tight)), words.indices.to_numpy().astype(np.int64), hashes, first, owner)
+    at = tight + np.arange(len(tight))
+    return Parsed(data, at[:-1], at[1:] - 1, words.indices.to_numpy().astype(np.int64), _hashes(words.dictionary), first, owner)
+
+
+def parse_entries(chunks: pa.Array) -> Parsed:
+    """As ``parse``, of entries of the dictionary: words with one blank between them."""
+    chunks = chunks.cast(pa.large_string())
+    raw, _ = _raw(chunks)
+    lists = pc.split_pattern(chunks, " ")
+    owner = np.repeat(np.arange(len(chunks)), pc.list_value_length(lists).to_numpy())
+    flat = lists.flatten()
+    words, lengths = flat.dictionary_encode(), pc.binary_length(flat).to_numpy().astype(np.int64)
+    ends = np.cumsum(lengths + 1) - 1 - owner
+    return Parsed(raw, ends - lengths, ends, words.indices.to_numpy().astype(np.int64), _hashes(words.dictionary), None, owner)
 
 
 def texts_of(parsed: Parsed, start: np.ndarray, stop: np.ndarray) -> pa.Array:
     """Words ``start[i] .. stop[i] - 1``, joined by blanks, for each i."""
-    at, lengths = parsed.offsets[start], parsed.offsets[stop] - 1 - parsed.offsets[start]
+    at = parsed.starts[start]
+    lengths = parsed.ends[stop - 1] - at
     return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(np.concatenate([[0], np.cumsum(lengths)])), pa.py_buffer(parsed.data[ranges(at, lengths)]))
 
 
@@ -129,9 +150,7 @@ def chunks(docs: DataFrame, longest: int = LONGEST, trigger: int = TRIGGER) -> D
     return cut_lineage(texts.mapInArrow(run, "lang string, chunk string, own long, n long").groupBy("lang", "chunk", "own").agg(F.sum("n").alias("n")))
 
 
-def _passes(bits: np.ndarray | None, keys: np.ndarray) -> np.ndarray:
-    if bits is None:
-        return np.ones(len(keys), bool)
+def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     place = keys & np.uint64(8 * len(bits) - 1)
     return (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
@@ -143,53 +162,88 @@ def _totals(groups: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.nda
     return order[heads], np.add.reduceat(weights[order], heads) if len(order) else weights
 
 
-def _positions(part: pa.RecordBatch, size: int, parts: np.ndarray | None, whole: np.ndarray | None):
-    """``parsed, at, keys, weights, languages``: the owned phrases of a slice of entries whose parts and self may be frequent."""
-    parsed = parse(part["chunk"])
+def _entries(part: pa.RecordBatch):
+    """``parsed, language, salt, left, owned``: of each word its entry's language, how many words follow in the entry, itself included, and whether it is owned."""
+    parsed = parse_entries(part["chunk"])
     langs = part["lang"].dictionary_encode()
     salt = np.fromiter((xxhash.xxh64_intdigest(x) for x in langs.dictionary.to_pylist()), np.uint64, len(langs.dictionary))
     language = langs.indices.to_numpy()[parsed.owner].astype(np.int64)
     heads = np.searchsorted(parsed.owner, np.arange(part.num_rows + 1))
-    inside = np.arange(len(parsed.codes)) - heads[parsed.owner]
-    at = np.flatnonzero((inside < part["own"].to_numpy()[parsed.owner]) & (np.arange(len(parsed.codes)) + size <= heads[parsed.owner + 1]))
-    salts = salt[language] if len(language) else np.zeros(0, np.uint64)
-    if size > 1 and parts is not None:
-        at = at[_passes(parts, phrase_keys(parsed, salts, at, size - 1))]
-        at = at[_passes(parts, phrase_keys(parsed, salts, at + 1, size - 1))]
-    keys = phrase_keys(parsed, salts, at, size)
-    if whole is not None:
-        held = _passes(whole, keys)
-        at, keys = at[held], keys[held]
-    return parsed, at, keys, part["n"].to_numpy()[parsed.owner[at]], language
-
-
-def _counts(entries: DataFrame, size: int, parts, whole) -> DataFrame:
-    """``lang, phrase, n, key`` of the phrases of ``size`` words that pass the bitmaps."""
+    place = np.arange(len(parsed.codes))
+    return parsed, language, salt[language], heads[parsed.owner + 1] - place, place - heads[parsed.owner] < part["own"].to_numpy()[parsed.owner]
+
+
+def _counted(part: pa.RecordBatch, parsed: Parsed, language: np.ndarray, at: np.ndarray, size: int) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
+    """``lang, phrase, n, place`` of each distinct phrase of ``size`` words that begins at one of ``at``."""
+    same = language[at]
+    for j in range(size):
+        same = np.unique(same << 32 | parsed.codes[at + j], return_inverse=True)[1].astype(np.int64)
+    one, total = _totals(same, part["n"].to_numpy()[parsed.owner[at]])
+    place = at[one]
+    return part["lang"].take(pa.array(parsed.owner[place])), texts_of(parsed, place, place + size).cast(pa.string()), total, place
+
+
+def _bits(bitmap) -> np.ndarray:
+    return np.frombuffer(bitmap.value, np.uint8)
+
+
+def _frequent_words(entries: DataFrame, least: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = parts and np.frombuffer(parts.value, np.uint8), whole and np.frombuffer(whole.value, np.uint8)
         for part in slices(batches, "chunk", _SLICE):
-            parsed, at, keys, weights, language = _positions(part, size, a, b)
-            same = language[at]
-            for j in range(size):
-                same = np.unique(same << 32 | parsed.codes[at + j], return_inverse=True)[1].astype(np.int64)
-            one, total = _totals(same, weights)
-            phrases = texts_of(parsed, at[one], at[one] + size).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([part["lang"].take(pa.array(parsed.owner[at[one]])), phrases, pa.array(total), pa.array(keys[one].view(np.int64))],
-                                             ["lang", "phrase", "n", "key"])
+            parsed, language, salt, _, owned = _entries(part)
+            lang, phrase, n, place = _counted(part, parsed, language, np.flatnonzero(owned), 1)
+            yield pa.RecordBatch.from_arrays([lang, phrase, pa.array(n), pa.array(phrase_keys(parsed, salt, place, 1).view(np.int64))], ["lang", "phrase", "n", "key"])
+
+    counts = entries.mapInArrow(run, "lang string, phrase string, n long, key long").groupBy("lang", "phrase")
+    return cut_lineage(counts.agg(F.sum("n").alias("n"), F.min("key").alias("key")).where(F.col("n") >= least))
 
-    return entries.mapInArrow(run, "lang string, phrase string, n long, key long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.min("key").alias("key"))
 
+def _pairs(parsed: Parsed, salt: np.ndarray, left: np.ndarray, owned: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``places, keys`` of owned pairs of frequent words."""
+    held = _passes(words, phrase_keys(parsed, salt, np.arange(len(salt)), 1))
+    at = np.flatnonzero(owned[:-1] & (left[:-1] > 1) & held[:-1] & held[1:])
+    return at, phrase_keys(parsed, salt, at, 2)
 
-def _hashed_counts(entries: DataFrame, size: int, parts) -> DataFrame:
-    """``key, n``: at least the count of every phrase with that key."""
+
+def _pair_keys(entries: DataFrame, least: int, words) -> DataFrame:
+    """``key`` of every frequent pair, and at most a few others: what has one key is counted together."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = parts and np.frombuffer(parts.value, np.uint8)
         for part in slices(batches, "chunk", _SLICE):
-            _, _, keys, weights, _ = _positions(part, size, a, None)
-            one, total = _totals(keys.view(np.int64), weights)
+            parsed, _, salt, left, owned = _entries(part)
+            at, keys = _pairs(parsed, salt, left, owned, _bits(words))
+            one, total = _totals(keys.view(np.int64), part["n"].to_numpy()[parsed.owner[at]])
             yield pa.RecordBatch.from_arrays([pa.array(keys[one].view(np.int64)), pa.array(total)], ["key", "n"])
 
-    return entries.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return entries.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+
+
+def _frequent_pairs(entries: DataFrame, least: int, words, pairs) -> DataFrame:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "chunk", _SLICE):
+            parsed, language, salt, left, owned = _entries(part)
+            at, keys = _pairs(parsed, salt, left, owned, _bits(words))
+            lang, phrase, n, place = _counted(part, parsed, language, at[_passes(_bits(pairs), keys)], 2)
+            yield pa.RecordBatch.from_arrays([lang, phrase, pa.array(n), pa.array(phrase_keys(parsed, salt, place, 2).view(np.int64))], ["lang", "phrase", "n", "key"])
+
+    counts = entries.mapInArrow(run, "lang string, phrase string, n long, key long").groupBy("lang", "phrase")
+    return cut_lineage(counts.agg(F.sum("n").alias("n"), F.min("key").alias("key")).where(F.col("n") >= least))
+
+
+def _longer_phrases(entries: DataFrame, least: int, longest: int, pairs) -> DataFrame:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "chunk", _SLICE):
+            parsed, language, salt, left, owned = _entries(part)
+            two = np.flatnonzero(left > 1)
+            good = np.zeros(len(salt) + longest, bool)
+            good[two[_passes(_bits(pairs), phrase_keys(parsed, salt, two, 2))]] = True
+            at = np.flatnonzero(owned & good[:len(salt)])
+            for size in range(3, longest + 1):
+                at = at[good[at + size - 2]]  # a pair that is good lies in one entry, so the phrase does
+                lang, phrase, n, _ = _counted(part, parsed, language, at, size)
+                yield pa.RecordBatch.from_arrays([lang, phrase, pa.array(n), pa.array(np.full(len(n), size, np.int32))], ["lang", "phrase", "n", "size"])
+
+    counts = entries.mapInArrow(run, "lang string, phrase string, n long, size int").groupBy("lang", "phrase", "size")
+    return cut_lineage(counts.agg(F.sum("n").alias("n")).where(F.col("n") >= least))
 
 
 def _bitmap(frequent: DataFrame, bits: int):
@@ -205,19 +259,12 @@ def _bitmap(frequent: DataFrame, bits: int):
 
 def frequent_phrases(entries: DataFrame, least: int = LEAST, longest: int = LONGEST, bits: int = FILTER_BITS) -> DataFrame:
     """``lang, phrase, size, n`` of all phrases of 1 to ``longest`` words that occur ``least`` times or more."""
-    found, parts = [], None
-    for size in range(1, longest + 1):
-        whole = _bitmap(_hashed_counts(entries, size, parts).where(F.col("n") >= least), bits) if size == 2 else None
-        level = cut_lineage(_counts(entries, size, parts, whole).where(F.col("n") >= least))
-        found.append(level.select("lang", "phrase", F.lit(size).alias("size"), "n"))
-        if not level.take(1):
-            break
-        if size < longest:
-            parts = _bitmap(level, bits)
-    out = found[0]
-    for level in found[1:]:
-        out = out.union(level)
-    return out
+    words = _frequent_words(entries, least)
+    of_words = _bitmap(words, bits)
+    pairs = _frequent_pairs(entries, least, of_words, _bitmap(_pair_keys(entries, least, of_words), bits))
+    longer = _longer_phrases(entries, least, longest, _bitmap(pairs, bits))
+    sized = lambda level, size: level.select("lang", "phrase", F.lit(size).alias("size"), "n")
+    return sized(words, 1).union(sized(pairs, 2)).union(longer.select("lang", "phrase", "size", "n"))
 
 
 def _words(phrase: str = "phrase") -> Column:
