@@ -18,9 +18,9 @@ def brute(rows, step):
     return out
 
 
-def answer(df, step):
+def answer(df, step, **more):
     got = {}
-    for r in ann.neighbours(df, step).collect():
+    for r in ann.neighbours(df, step, **more).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, round(r.score, 12)))
     return {q: sorted(v) for q, v in got.items()}
 
@@ -41,6 +41,20 @@ def test_small_tables_are_exact(spark, monkeypatch, n):
     assert answer(df, 5) == {q: v for q, v in expected.items() if v}
 
 
+def test_two_vectors_under_one_id_are_two_rows(spark):
+    rows = [(0, [1.0, 0.0, 0.0]), (5, [0.9, 0.1, 0.0]), (5, [0.0, 0.2, 1.0]), (9, [0.0, 0.2, 1.0]), (7, [0.5, 0.5, 0.0])]
+    got = answer(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 50)
+    assert [v for _, v, _ in got[0]] == [5, 7, 5, 9]
+
+
+def test_bounds_lose_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 8))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(centres[rng.integers(0, 12, 1500)] + 0.3 * rng.normal(size=(1500, 8)))], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "LIST_TARGET", 30)
+    assert answer(df, 50) == answer(df, 50, first_lists=1 << 20)
+
+
 def test_empty_table(spark):
     assert ann.neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 

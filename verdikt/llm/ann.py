@@ -2,8 +2,11 @@
 
 Centroids come from a balanced tree of k-means splits over a bounded sample. Every vector goes to the list of its nearest
 centroid, and boundary vectors to further lists that are nearly as near and not behind a list already chosen. Centroids
-are found by best-first search in a neighbour graph held in memory. A query reads all lists whose centroids are at most
-``PROBE_RATIO`` times as far as the nearest, however many, and compares itself with all they hold, in double precision.
+are found by best-first search in a neighbour graph held in memory. A query is due to read all lists whose centroids are at
+most ``PROBE_RATIO`` times as far as the nearest, however many, and compares itself with all they hold, in double precision.
+It reads its ``FIRST_LISTS`` nearest lists first. The score of its last place then is a bound: of the others it skips those
+whose radius tells that they hold nothing nearer (triangle inequality), and the rest answer only with what reaches the bound.
+So answers follow the number of queries, and nothing is lost.
 
 Equal vectors are indexed once, with their smallest ids: more than ``K + 1`` of them cannot be among anyone's nearest.
 A list over ``LIST_ROWS`` is read in parts by as many tasks.
@@ -27,7 +30,9 @@ K, QUERY_STEP = 5, 50
 LIST_TARGET, MOST_CENTROIDS, SAMPLED = 128, 1 << 16, 16
 LIST_ROWS = 20_000
 REPLICAS, REPLICA_RATIO = 4, 1.15
-PROBE_RATIO, LEAST_LISTS = 1.25, 12
+PROBE_RATIO, LEAST_LISTS, FIRST_LISTS = 1.25, 12, 3
+#: Most bytes of the sample that the index is fitted on.
+SAMPLE_BYTES = 256 << 20
 DEGREE, BEAM, SEED = 16, 64, 29
 
 
@@ -120,17 +125,22 @@ def replicas(index: Index, ids: np.ndarray, away: np.ndarray) -> np.ndarray:
     """Which of the nearest lists hold a vector: the nearest, and others not much farther that no chosen one shields."""
     chosen = np.zeros(ids.shape, bool)
     chosen[:, 0] = True
+    held, count = np.repeat(ids[:, :1], REPLICAS, axis=1), np.ones(len(ids), np.int64)
     for k in range(1, ids.shape[1]):
-        able = (away[:, k] <= REPLICA_RATIO * away[:, 0] + 1e-9) & (chosen.sum(axis=1) < REPLICAS)
-        for row in np.flatnonzero(able):
-            others = index.centroids[ids[row, :k][chosen[row, :k]]]
-            apart = np.sqrt(np.maximum(0, 2 - 2 * others @ index.centroids[ids[row, k]]))
-            chosen[row, k] = (apart >= away[row, k]).all()
+        rows = np.flatnonzero((away[:, k] <= REPLICA_RATIO * away[:, 0] + 1e-9) & (count < REPLICAS))
+        if not len(rows):
+            continue
+        # Unused places of ``held`` repeat the nearest list, which is asked anyway.
+        apart = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("bkd,bd->bk", index.centroids[held[rows]], index.centroids[ids[rows, k]])))
+        rows = rows[(apart >= away[rows, k, None]).all(axis=1)]
+        chosen[rows, k] = True
+        held[rows, count[rows]] = ids[rows, k]
+        count[rows] += 1
     return chosen
 
 
-def probes(index: Index, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``rows, lists``: what each query reads, all lists within the distance ratio and at least the ``LEAST_LISTS`` nearest.
+def ranked_probes(index: Index, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``rows, lists, distances, ranks``: what each query is due to read, all lists within the distance ratio and at least the ``LEAST_LISTS`` nearest.
 
     Where a beam ends before the ratio does, the query is compared with every centroid.
     """
@@ -139,21 +149,45 @@ def probes(index: Index, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     wide = np.flatnonzero(wanted[:, -1]) if ids.shape[1] < len(index.centroids) else np.empty(0, np.int64)
     wanted[wide] = False
     rows, at = np.nonzero(wanted)
-    out_rows, out_lists = [rows], [ids[rows, at]]
+    out = [(rows, ids[rows, at], away[rows, at], at)]
     for a in range(0, len(wide), 64):
         some = wide[a:a + 64]
         far = np.sqrt(np.maximum(0, 2 - 2 * units[some].astype(np.float32) @ index.centroids.T))
-        rows, lists = np.nonzero(far <= PROBE_RATIO * far.min(axis=1, keepdims=True))
-        out_rows.append(some[rows])
-        out_lists.append(lists.astype(np.int32))
-    return np.concatenate(out_rows), np.concatenate(out_lists)
+        order = np.argsort(far, axis=1, kind="stable")
+        near = np.take_along_axis(far, order, 1)
+        rows, at = np.nonzero(near <= PROBE_RATIO * near[:, :1])
+        out.append((some[rows], order[rows, at].astype(np.int32), near[rows, at], at))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def probes(index: Index, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``rows, lists`` of ``ranked_probes``."""
+    return ranked_probes(index, units)[:2]
 
 
-def _homes(index: Index, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``rows, lists``: the lists that hold each vector."""
+def _homes(index: Index, units: np.ndarray, _: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``rows, lists, distances``: the lists that hold each vector."""
     ids, away = nearest_lists(index, units)
     rows, at = np.nonzero(replicas(index, ids, away))
-    return rows, ids[rows, at]
+    return rows, ids[rows, at], away[rows, at]
+
+
+def _first_lists(first: int):
+    def choose(index: Index, units: np.ndarray, _: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows, lists, away, rank = ranked_probes(index, units)
+        kept = rank < first
+        return rows[kept], lists[kept], away[kept]
+    return choose
+
+
+def _further_lists(first: int, radii):
+    """The lists after the first that may hold something as near as the query's bound."""
+    def choose(index: Index, units: np.ndarray, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows, lists, away, rank = ranked_probes(index, units)
+        bound = np.sqrt(np.maximum(0, 2 - 2 * np.maximum(part["bound"].to_numpy(), -1.0)))
+        kept = (rank >= first) & (away - radii.value[lists] <= bound[rows] + 2e-3)  # distances are of single precision
+        return rows[kept], lists[kept], away[kept]
+    return choose
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -166,11 +200,11 @@ def _place(index_of, choose):
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
-                rows, lists = choose(index, _unit(_matrix(part["vector"])))
+                rows, lists, away = choose(index, _unit(_matrix(part["vector"])), part)
                 for b in range(0, len(rows), 8192):
-                    yield pa.RecordBatch.from_arrays([pa.array(lists[b:b + 8192], pa.int32()),
+                    yield pa.RecordBatch.from_arrays([pa.array(lists[b:b + 8192], pa.int32()), pa.array(away[b:b + 8192], pa.float64()),
                                                       *[part[c].take(pa.array(rows[b:b + 8192])) for c in part.schema.names]],
-                                                     ["list", *part.schema.names])
+                                                     ["list", "away", *part.schema.names])
     return run
 
 
@@ -178,13 +212,14 @@ _FOUND = pa.schema([("qid", pa.int64()), ("gid", pa.int64()), ("score", pa.float
 
 
 def _compare(held: pa.Table, asked: pa.Table) -> pa.Table:
-    """Best ``K + 1`` groups of a part of a list for each query sent to it."""
+    """Best ``K + 1`` groups of a part of a list for each query sent to it, of those that reach the query's bound."""
     if not held.num_rows or not asked.num_rows:
         return _FOUND.empty_table()
     out = []
     vectors, gids = _unit(_matrix(held["vector"].combine_chunks())), held["gid"].to_numpy()
     queries, qids = _unit(_matrix(asked["vector"].combine_chunks())), asked["qid"].to_numpy()
-    ids = held["ids"].combine_chunks()
+    ids, bounds = held["ids"].combine_chunks(), asked["bound"].to_numpy() - 1e-12
+    low = held["low"].to_numpy()
     for a in range(0, len(queries), block := max(1, 2_000_000 // len(vectors))):
         near = queries[a:a + block] @ vectors.T
         wide = min(len(vectors), 2 * K + 2)
@@ -193,7 +228,9 @@ def _compare(held: pa.Table, asked: pa.Table) -> pa.Table:
         edge = np.take_along_axis(near, top, 1).min(axis=1) - 1e-12
         rows, at = np.nonzero(near >= edge[:, None])
         exact = np.einsum("kd,kd->k", queries[a + rows], vectors[at])
-        order = np.lexsort((gids[at], -exact, rows))
+        reach = exact >= bounds[a + rows]
+        rows, at, exact = rows[reach], at[reach], exact[reach]
+        order = np.lexsort((gids[at], low[at], -exact, rows))
         rows, at, exact = rows[order], at[order], exact[order]
         first = np.searchsorted(rows, np.arange(len(near)))
         kept = np.arange(len(rows)) - first[rows] <= K
@@ -223,7 +260,9 @@ def fit(groups: DataFrame) -> Index | None:
         return None
     lists = max(1, min(MOST_CENTROIDS, count // LIST_TARGET))
     place = F.xxhash64("gid", "vector")
-    sample = groups.select(place.alias("place"), "vector").where(F.pmod("place", F.lit(count)) < lists * SAMPLED)
+    width = groups.select(F.size("vector")).first()[0]
+    sampled = max(lists, min(lists * SAMPLED, SAMPLE_BYTES // (4 * width)))
+    sample = groups.select(place.alias("place"), "vector").where(F.pmod("place", F.lit(count)) < sampled)
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, rows = [], []
@@ -236,11 +275,11 @@ def fit(groups: DataFrame) -> Index | None:
             order = np.argsort(np.concatenate(places), kind="stable")
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(tuple(build_index(np.concatenate(rows)[order], lists)))])], ["index"])
 
-    return Index(*pickle.loads((sample if count > LIST_TARGET else groups.select(place.alias("place"), "vector")).coalesce(1)
+    return Index(*pickle.loads((sample if count > LIST_TARGET else groups.select(place.alias("place"), "vector")).repartition(1)
                                .mapInArrow(build, "index binary").first()[0]))
 
 
-def neighbours(vectors: DataFrame, step: int = QUERY_STEP) -> DataFrame:
+def neighbours(vectors: DataFrame, step: int = QUERY_STEP, first_lists: int = FIRST_LISTS) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each query the ``K`` nearest rows found, by cosine.
 
     Queries are rows whose id is divisible by ``step``. Nearest first, ties to the smaller id. A query's own id is no
@@ -251,7 +290,7 @@ def neighbours(vectors: DataFrame, step: int = QUERY_STEP) -> DataFrame:
     rows = valid_vectors(vectors)
     nth = F.dense_rank().over(Window.partitionBy("vector").orderBy("vec_id"))
     groups = cut_lineage(rows.withColumn("nth", nth).where(F.col("nth") <= K + 1).groupBy("vector").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
-                         .select(F.col("ids")[0].alias("gid"), "vector", "ids"))
+                         .select(F.xxhash64(F.col("ids")[0], "vector").alias("gid"), F.col("ids")[0].alias("low"), "vector", "ids"))
     asking = rows.where(F.col("vec_id") % step == 0)
     index = fit(groups)
     if index is None:
@@ -260,13 +299,25 @@ def neighbours(vectors: DataFrame, step: int = QUERY_STEP) -> DataFrame:
     queries = cut_lineage(asking.groupBy("vector").agg(F.min("vec_id").alias("qid"), F.count("*").alias("n")))
     # Two different vectors may share an id, so a query is told by its vector's hash too.
     queries = queries.withColumn("qid", F.xxhash64("qid", "vector"))
-    postings = cut_lineage(groups.mapInArrow(_place(shared, _homes), "list int, gid long, vector array<double>, ids array<long>"))
-    parts = postings.groupBy("list").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("parts"))
-    sent = (queries.select("qid", "vector").mapInArrow(_place(shared, probes), "list int, qid long, vector array<double>")
-            .join(parts, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"))
-    lists = postings.join(F.broadcast(parts), "list").withColumn("part", F.pmod(F.xxhash64("gid"), F.col("parts")).cast("int")).drop("parts")
-    found = (lists.groupBy("list", "part").cogroup(sent.groupBy("list", "part"))
-             .applyInArrow(_compare, "qid long, gid long, score double, ids array<long>"))
+    postings = cut_lineage(groups.mapInArrow(_place(shared, _homes), "list int, away double, gid long, low long, vector array<double>, ids array<long>"))
+    parts = cut_lineage(postings.groupBy("list").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("parts"), F.max("away").alias("radius")))
+    radii = np.zeros(len(index.centroids))
+    for row in parts.collect():  # a row a list, and no more lists than centroids
+        radii[row.list] = row.radius
+    radii = spark.sparkContext.broadcast(radii)
+    lists = postings.drop("away").join(F.broadcast(parts.select("list", "parts")), "list").withColumn("part", F.pmod(F.xxhash64("gid"), F.col("parts")).cast("int")).drop("parts")
+
+    def read(asked: DataFrame, choose) -> DataFrame:
+        sent = (asked.mapInArrow(_place(shared, choose), "list int, away double, qid long, vector array<double>, bound double").drop("away")
+                .join(F.broadcast(parts.select("list", "parts")), "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"))
+        return cut_lineage(lists.groupBy("list", "part").cogroup(sent.groupBy("list", "part"))
+                           .applyInArrow(_compare, "qid long, gid long, score double, ids array<long>"))
+
+    first = read(queries.select("qid", "vector", F.lit(-2.0).alias("bound")), _first_lists(first_lists))
+    last = (first.groupBy("qid", "gid").agg(F.max("score").alias("score"))
+            .withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score")))).where(F.col("k") == K + 1).select("qid", F.col("score").alias("bound")))
+    bounded = queries.join(last, "qid", "left").select("qid", "vector", F.coalesce("bound", F.lit(-2.0)).alias("bound"))
+    found = first.union(read(bounded, _further_lists(first_lists, radii)))
     best = (found.groupBy("qid", "gid").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
             .select("qid", "score", F.explode("ids").alias("vec_id"))
             .withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))).where(F.col("k") <= K + 1)
