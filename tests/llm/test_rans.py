@@ -86,3 +86,18 @@ def test_digests_match_brute_force(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert rans.id_digests(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_a_bounded_memory_forgets_and_gives_the_same_ids():
+    import public_tokenizers
+    import pyarrow as pa
+
+    from verdikt.llm.tokens import WordTokenizer
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [["Plain words, and wörds.", "x" * 5000, "", None, "日本語" * 400], ["and more plain words!", "x" * 5000]] * 2
+    small, free = WordTokenizer(path, 2000), WordTokenizer(path)
+    for part in texts:
+        for one, two in zip(small.encode(pa.array(part), 1), free.encode(pa.array(part), 1)):
+            assert one.tolist() == two.tolist()
+        assert small.bytes > 2000  # held until the next texts come
+    assert len(small.words) < len(free.words)

@@ -30,6 +30,8 @@ from verdikt.operators.lineage import cut_lineage
 MAGIC = b"VRNS"
 SCALE, LANES, BLOCK, CHECKPOINT, SEGMENT = 20, 1024, 1 << 18, 128, 1 << 21
 MOST_TASKS = 20_000
+#: Bytes of tokenized words that a worker remembers.
+REMEMBERED_BYTES = 224 << 20
 
 _FLOOR, _WORD = np.uint64(1 << 31), np.uint64(32)
 _SHIFT, _MASK = np.uint64(SCALE), np.uint64((1 << SCALE) - 1)
@@ -171,7 +173,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end: int | None = 1)
     """
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        shard, encoder = TaskContext.get().partitionId(), word_tokenizer(tokenizer)
+        shard, encoder = TaskContext.get().partitionId(), word_tokenizer(tokenizer, REMEMBERED_BYTES)
         rows, held, size, place = [], [], 0, 0
         path = stream = None
 

@@ -1,7 +1,8 @@
 """Texts to token ids by a tokenizer file of the ``tokenizers`` library.
 
 White space separates what a tokenizer of words encodes, so each distinct piece between white space is encoded once and
-remembered; a worker forgets when it remembers ``REMEMBERED`` pieces.
+remembered; a worker forgets when it remembers ``REMEMBERED`` pieces, or more bytes than its caller allows: text without
+white space makes every text a piece.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from tokenizers import Tokenizer
 from verdikt.llm.batches import ranges, split_words
 
 REMEMBERED = 250_000
+#: Bytes that a remembered piece takes besides its characters and ids.
+_ENTRY = 190
 
 
 class WordTokenizer:
@@ -29,7 +32,9 @@ class WordTokenizer:
     _parts = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
     _plain = re.compile("[!-~À-ÖØ-öø-ÿß]+")
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most_bytes: int | None = None) -> None:
+        """With ``most_bytes`` what is remembered is bounded by its size, else by its number."""
+        self.most_bytes, self.bytes = most_bytes, 0
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.shown = {c: self.whole.pre_tokenizer.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100) if chr(c).isalpha()}
@@ -41,6 +46,7 @@ class WordTokenizer:
         if got is None:
             shown = piece if piece.isascii() else piece.translate(self.shown)
             got = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            self.bytes += _ENTRY + len(piece) + len(got)
         return got
 
     def _word(self, word: str) -> bytes:
@@ -59,14 +65,16 @@ class WordTokenizer:
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """``ids, counts``: the ids of all texts one after another, and how many each has. A null text is empty."""
         offsets, codes, vocabulary = split_words(texts)
-        if len(self.words) + len(self.pieces) > REMEMBERED:
+        if len(self.words) + len(self.pieces) > REMEMBERED if self.most_bytes is None else self.bytes > self.most_bytes:
             self.words.clear()
             self.pieces.clear()
+            self.bytes = 0
         known, found = self.words, []
         for word in vocabulary.to_pylist():
             ids = known.get(word)
             if ids is None:
                 ids = known[word] = self._word(word)
+                self.bytes += _ENTRY + 2 * len(word) + len(ids)
             found.append(ids)
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
         pool = np.frombuffer(b"".join(found), np.uint32)
@@ -79,11 +87,11 @@ class WordTokenizer:
         return ids, np.diff(ends)
 
 
-_loaded: dict[str, WordTokenizer] = {}
+_loaded: dict[tuple[str, int | None], WordTokenizer] = {}
 
 
-def word_tokenizer(path: str) -> WordTokenizer:
-    """One for each file and worker process."""
-    if path not in _loaded:
-        _loaded[path] = WordTokenizer(path)
-    return _loaded[path]
+def word_tokenizer(path: str, most_bytes: int | None = None) -> WordTokenizer:
+    """One for each file, bound and worker process."""
+    if (path, most_bytes) not in _loaded:
+        _loaded[path, most_bytes] = WordTokenizer(path, most_bytes)
+    return _loaded[path, most_bytes]
