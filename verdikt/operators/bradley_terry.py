@@ -81,56 +81,73 @@ def _array(batch: pa.RecordBatch, name: str, width: int) -> np.ndarray:
 
 def _lists(values: np.ndarray) -> pa.Array:
     flat = values.reshape(len(values), -1)
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, flat.shape[1] or 1, dtype=np.int32)[:len(flat) + 1]), pa.array(flat.ravel()))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * np.int32(flat.shape[1])), pa.array(flat.ravel()))
 
 
-_STATE = "_fit int, subject string, root array<double>, u array<double>, g array<double>, past array<double>"
-_MOVED = "_fit int, subject string, root array<double>, was array<double>, u array<double>, g array<double>, past array<double>, x array<double>"
+_STATE = "_fit int, subject string, root array<double>, past array<double>, u array<double>, g array<double>, to array<double>, h array<double>"
+_MOVED = "_fit int, subject string, root array<double>, past array<double>, u array<double>, g array<double>, to array<double>, x array<double>"
 
 
-def _mover(ways: np.ndarray):
-    """Rows of the state with ``u`` moved by the fit's coefficients ``ways[fit, vector, lane]``; ``x`` is ``u`` unscaled."""
+def _remembered(past: np.ndarray, s: np.ndarray, y: np.ndarray, taken: np.ndarray) -> np.ndarray:
+    """``past`` (first axis or second but one: s1..sk, y1..yk; last: lanes) with one more pair, at most ``MEMORY``.
+
+    A lane that has not taken its step keeps its pairs, and an empty one before them where the others have grown.
+    """
+    kept = past.shape[1] // 2
+    grow = kept < MEMORY
+    old = [past[:, :kept], past[:, kept:]]
+    gone_on = [np.concatenate([o, n[:, None]], axis=1)[:, -MEMORY:] for o, n in zip(old, (s, y))]
+    stayed = [np.concatenate([np.zeros_like(o[:, :1]) if o.shape[1] else np.zeros_like(n[:, None]), o], axis=1) if grow else o for o, n in zip(old, (s, y))]
+    return np.concatenate([np.where(taken[:, None], a, b) for a, b in zip(gone_on, stayed)], axis=1)
+
+
+def _mover(taken: np.ndarray | None, ways: np.ndarray):
+    """The state with the last step settled, taken or not by ``taken[fit, lane]`` (None: there was none), and the next one tried.
+
+    ``to`` is where the fit's coefficients ``ways[fit, vector, lane]`` lead from ``u``; ``x`` is that unscaled.
+    """
     lanes = ways.shape[2]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            root, u, g, past = (_array(batch, c, lanes) for c in ("root", "u", "g", "past"))
-            vectors = np.concatenate([past, g], axis=1)
-            to = u[:, 0] + (vectors * ways[batch["_fit"].to_numpy()]).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([batch["_fit"], batch["subject"], batch["root"], batch["u"], _lists(to), batch["g"], batch["past"],
-                                              _lists(to / root[:, 0])], ["_fit", "subject", "root", "was", "u", "g", "past", "x"])
+            root, past, u, g, to, h = (_array(batch, c, lanes) for c in ("root", "past", "u", "g", "to", "h"))
+            fit = batch["_fit"].to_numpy()
+            if taken is not None:
+                yes = taken[fit]
+                past = _remembered(past, (to - u)[:, 0], (h - g)[:, 0], yes)
+                u, g = np.where(yes[:, None], to, u), np.where(yes[:, None], h, g)
+            to = u[:, 0] + (np.concatenate([past, g], axis=1) * ways[fit]).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([batch["_fit"], batch["subject"], batch["root"], *map(_lists, (past, u, g, to, to / root[:, 0]))],
+                                             ["_fit", "subject", "root", "past", "u", "g", "to", "x"])
     return run
 
 
-def _next_state(penalties: np.ndarray):
-    """The state at the new points: scaled gradients from the rounds' pulls, and the last differences of both."""
+def _priced(penalties: np.ndarray):
+    """Scaled gradients ``h`` at the points tried, from the rounds' pulls."""
     lanes = len(penalties)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            root, was, u, g, past, x, pull = (_array(batch, c, lanes) for c in ("root", "was", "u", "g", "past", "x", "pull"))
-            h = (pull + penalties * x) / root
-            kept = past.shape[1] // 2
-            s, y = np.concatenate([past[:, :kept], u - was], axis=1)[:, -MEMORY:], np.concatenate([past[:, kept:], h - g], axis=1)[:, -MEMORY:]
-            yield pa.RecordBatch.from_arrays([batch["_fit"], batch["subject"], batch["root"], batch["u"], _lists(h), _lists(np.concatenate([s, y], axis=1))],
-                                             ["_fit", "subject", "root", "u", "g", "past"])
+            root, x, pull = (_array(batch, c, lanes) for c in ("root", "x", "pull"))
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in ("_fit", "subject", "root", "past", "u", "g", "to")], _lists((pull + penalties * x) / root)],
+                                             ["_fit", "subject", "root", "past", "u", "g", "to", "h"])
     return run
 
 
 def _products(fits: int, lanes: int, kept: int):
-    """Sums over a task's subjects for each fit: the dot products of its vectors and the squares of its strengths, by lane."""
-    size = 2 * kept + 1
+    """Sums over a task's subjects for each fit and lane: the dot products of s1..sk, y1..yk, the new s and y, g and h; the squares of strengths."""
+    size = 2 * kept + 4
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, squares = np.zeros((fits, lanes, size, size)), np.zeros((fits, lanes))
         for batch in batches:
             fit = batch["_fit"].to_numpy()
-            root, u, g, past = (_array(batch, c, lanes) for c in ("root", "u", "g", "past"))
-            vectors = np.concatenate([past, g], axis=1)
+            root, past, u, g, to, h = (_array(batch, c, lanes) for c in ("root", "past", "u", "g", "to", "h"))
+            vectors = np.concatenate([past, to - u, h - g, g, h], axis=1)
             for k in np.unique(fit):
                 mine = vectors[fit == k]
                 total[k] += np.einsum("nil,njl->lij", mine, mine)
-                squares[k] += ((u[fit == k, 0] / root[fit == k, 0]) ** 2).sum(axis=0)
+                squares[k] += ((to[fit == k, 0] / root[fit == k, 0]) ** 2).sum(axis=0)
         flat = np.concatenate([total.reshape(fits, -1), squares], axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(fits, dtype=np.int32), flat.shape[1])),
                                           pa.array(np.tile(np.arange(flat.shape[1], dtype=np.int32), fits)), pa.array(flat.ravel())], ["_fit", "slot", "value"])
@@ -157,17 +174,18 @@ def fit_lanes(rounds: DataFrame, scope: list[str], lanes: list[Lane], iterations
     each = lambda make: [make(k) for k in range(width)]
     start = links.groupBy("_fit", "subject").agg(*each(lambda k: F.sum(F.col("counts")[k] * F.col("share")).alias(f"n{k}")))
     zeros = F.array(*[F.lit(0.0)] * width)
-    state = cut_lineage(start.select("_fit", "subject", F.array(*each(lambda k: F.sqrt(F.lit(lanes[k].penalty) + F.col(f"n{k}")))).alias("root"),
-                                     zeros.alias("u"), zeros.alias("g"), F.array().cast("array<double>").alias("past")))
+    state = cut_lineage(start.select(
+        "_fit", "subject", F.array(*each(lambda k: F.sqrt(F.lit(lanes[k].penalty) + F.col(f"n{k}")))).alias("root"), F.array().cast("array<double>").alias("past"),
+        *[zeros.alias(c) for c in ("u", "g", "to", "h")]))
     links = links.drop("counts", "share")
     played = base.groupBy("_fit").agg(*each(lambda k: F.sum(F.col("counts")[k]).alias(f"n{k}"))).collect()
     side_root = np.ones((fits, width))
     for row in played:
         side_root[row._fit] = [math.sqrt(max(row[f"n{k}"], 4.0) / 4) for k in range(width)]
 
-    def priced(before: DataFrame, ways: np.ndarray, side: np.ndarray, kept: int):
-        """The state after a step, its losses, side gradients (scaled) and dot products; ``kept`` pairs are remembered in it."""
-        moved = before.mapInArrow(_mover(ways), _MOVED)
+    def tried(before: DataFrame, taken: np.ndarray | None, ways: np.ndarray, side: np.ndarray, kept: int):
+        """The state with a step tried, the losses and side gradients (scaled) there, and the dot products; ``kept`` pairs are remembered in it."""
+        moved = before.mapInArrow(_mover(taken, ways), _MOVED)
         z = links.join(moved.select("_fit", "subject", "x"), ["_fit", "subject"]).groupBy(*keys).agg(
             *each(lambda k: F.sum(F.col("sign") * F.col("x")[k]).alias(f"z{k}")))
         terms = spark.createDataFrame(pa.table([pa.array(range(fits), pa.int32()), _lists(side)], ["_fit", "term"]))
@@ -177,8 +195,8 @@ def fit_lanes(rounds: DataFrame, scope: list[str], lanes: list[Lane], iterations
                                      F.array(*each(lambda k: F.col("counts")[k] * _loss(logit(k), F.col("score")))).alias("loss")))
         pulls = links.join(odds.select(*keys, "off"), keys).groupBy("_fit", "subject").agg(
             *each(lambda k: F.sum(F.col("sign") * F.col("off")[k]).alias(f"p{k}"))).select("_fit", "subject", F.array(*each(lambda k: F.col(f"p{k}"))).alias("pull"))
-        after = cut_lineage(moved.join(pulls, ["_fit", "subject"]).mapInArrow(_next_state(penalties), _STATE))
-        size = 2 * kept + 1
+        after = cut_lineage(moved.join(pulls, ["_fit", "subject"]).mapInArrow(_priced(penalties), _STATE))
+        size = 2 * kept + 4
         sums = after.mapInArrow(_products(fits, width, kept), "_fit int, slot int, value double").groupBy("_fit", "slot").agg(F.sum("value").alias("value"))
         whole = odds.groupBy("_fit").agg(*each(lambda k: F.sum(F.col("loss")[k]).alias(f"l{k}")), *each(lambda k: F.sum(F.col("off")[k] * F.col("side")).alias(f"s{k}")))
         whole = whole.select("_fit", F.posexplode(F.array(*each(lambda k: F.col(f"l{k}")), *each(lambda k: F.col(f"s{k}"))))).select(
@@ -192,41 +210,49 @@ def fit_lanes(rounds: DataFrame, scope: list[str], lanes: list[Lane], iterations
         dots, squares = flat[:, :-width].reshape(fits, width, size, size), flat[:, -width:]
         return after, more[:, :width] + penalties * squares / 2, more[:, width:] / side_root, dots
 
-    # The side term moves with the rest; its few vectors are kept here, scaled like the others.
-    side = np.zeros((fits, width))
-    state, loss, slope, dots = priced(state, np.zeros((fits, 1, width)), side, 1)
-    state = state.withColumn("past", F.array().cast("array<double>"))
-    dots, past, steps, kept = dots[:, :, -1:, -1:], np.zeros((fits, 0, width)), np.zeros((fits, width), int), 0
-    running = np.ones((fits, width), bool)
+    # The side term moves with the rest; its few vectors are kept here, scaled like the others. A lane whose step is too
+    # long stays and tries half of it in the next pass, while the others go on.
+    side, past = np.zeros((fits, width)), np.zeros((fits, 0, width))
+    state, loss, g, products = tried(state, None, np.zeros((fits, 1, width)), side, 0)
+    state, dots = state.withColumn("g", F.col("h")), products[:, :, -1:, -1:] + (g * g)[:, :, None, None]
+    running, fresh, scale = np.ones((fits, width), bool), np.ones((fits, width), bool), np.ones((fits, width))
+    steps, halved, fall = np.zeros((fits, width), int), np.zeros((fits, width), int), np.zeros((fits, width))
+    ways, kept, taken = np.zeros((fits, 1, width)), 0, None
     for _ in range(iterations):
-        own = np.concatenate([past, slope[:, None]], axis=1)
-        dots = dots + np.einsum("fil,fjl->flij", own, own)
-        running &= dots[:, :, -1, -1] > gradient ** 2
+        running &= (dots[:, :, -1, -1] > gradient ** 2) & (halved < HALVINGS)
         if not running.any():
             break
-        ways, fall = np.zeros((fits, 2 * kept + 1, width)), np.zeros((fits, width))
-        for f, k in zip(*np.nonzero(running)):
+        for f, k in zip(*np.nonzero(running & fresh)):
             ways[f, :, k] = _direction(dots[f, k], kept)
             fall[f, k] = ways[f, :, k] @ dots[f, k][:, -1]
-        scale, waiting, now_kept = running.astype(float), running.copy(), min(kept + 1, MEMORY)
-        for _ in range(HALVINGS):
-            scaled = ways * scale[:, None]
-            change = (own * scaled).sum(axis=1)
-            after, now, at, products = priced(state, scaled, side + change / side_root, now_kept)
-            waiting &= now > loss + 1e-4 * scale * fall + 1e-12 * np.abs(loss)
-            if not waiting.any():
-                break
-            scale[waiting] /= 2
-        else:  # no shorter step helps: those stand at their optimum as far as doubles tell
-            scale[waiting] = 0.0
-            running &= ~waiting
-            scaled = ways * scale[:, None]
-            change = (own * scaled).sum(axis=1)
-            after, now, at, products = priced(state, scaled, side + change / side_root, now_kept)
-        past = np.concatenate([np.concatenate([past[:, :kept], change[:, None]], axis=1)[:, -MEMORY:],
-                               np.concatenate([past[:, kept:], (at - slope)[:, None]], axis=1)[:, -MEMORY:]], axis=1)
-        state, loss, slope, dots, kept, side = after, now, at, products, now_kept, side + change / side_root
-        steps += running
+        scaled = ways * np.where(running, scale, 0.0)[:, None]
+        to = side + (np.concatenate([past, g[:, None]], axis=1) * scaled).sum(axis=1)
+        state, now, h, products = tried(state, taken, scaled, to / side_root, kept)
+        own = np.concatenate([past, (to - side)[:, None], (h - g)[:, None], g[:, None], h[:, None]], axis=1)
+        products = products + np.einsum("fil,fjl->flij", own, own)
+        taken = running & (now <= loss + 1e-4 * scale * fall + 1e-12 * np.abs(loss))
+        grown = min(kept + 1, MEMORY)
+        # What is remembered next: of a lane that took its step the new pair too, of another an empty pair before its own.
+        pairs = lambda first, new: [*range(first, first + kept), new][-MEMORY:]
+        taken_at = [*pairs(0, 2 * kept), *pairs(kept, 2 * kept + 1), 2 * kept + 3]
+        empty = products.shape[2]
+        wide = np.pad(products, ((0, 0), (0, 0), (0, 1), (0, 1)))
+        room = [empty] if kept < MEMORY else []
+        stayed_at = [*room, *range(kept), *room, *range(kept, 2 * kept), 2 * kept + 2]
+        dots = np.where(taken[:, :, None, None], wide[:, :, taken_at][:, :, :, taken_at], wide[:, :, stayed_at][:, :, :, stayed_at])
+        again = np.zeros((fits, 2 * grown + 1, width))
+        again[:, [k for k, v in enumerate(stayed_at) if v != empty]] = ways
+        past = _remembered(past, to - side, h - g, taken)
+        ways, kept = again, grown
+        side, g, loss = np.where(taken, to, side), np.where(taken, h, g), np.where(taken, now, loss)
+        steps += taken
+        halved = np.where(taken, 0, halved + running)
+        scale = np.where(taken, 1.0, scale / 2)
+        fresh = taken
+    if taken is not None:  # the last step tried, where it was taken
+        yes = spark.createDataFrame(pa.table([pa.array(range(fits), pa.int32()), _lists(taken.astype(float))], ["_fit", "yes"]))
+        state = state.join(F.broadcast(yes), "_fit").withColumn("u", F.expr("transform(u, (v, i) -> if(yes[i] > 0, to[i], v))"))
+    side = side / side_root
     names = F.array(*[F.lit(lane.name) for lane in lanes])
     spread = F.posexplode(F.zip_with("u", "root", lambda u, r: u / r))
     strengths = state.join(F.broadcast(numbers), "_fit").select(*scope, "subject", spread.alias("_k", "strength")).select(

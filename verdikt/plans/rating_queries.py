@@ -289,10 +289,10 @@ def bt_walk_forward(t):
 @query("elo", """
 WITH RECURSIVE games AS (SELECT season_id, period_seq, section_id, a, b, CASE WHEN 2 * won_a > ballots THEN 1.0::DOUBLE WHEN 2 * won_a < ballots THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS score,
     row_number() OVER (PARTITION BY season_id ORDER BY period_seq, section_id) AS i FROM rated),
-  run AS (SELECT DISTINCT season_id, CAST(0 AS BIGINT) AS i, CAST(MAP {} AS MAP(VARCHAR, DOUBLE)) AS at, 0.0::DOUBLE AS ra, 0.0::DOUBLE AS rb, 0.0::DOUBLE AS gain FROM games
-    UNION ALL SELECT season_id, i, map_concat(at, MAP {a: ra + gain, b: rb - gain}), ra, rb, gain FROM (
+  run AS (SELECT DISTINCT season_id, CAST(0 AS BIGINT) AS i, CAST(MAP {} AS MAP(VARCHAR, DOUBLE)) AS known, 0.0::DOUBLE AS ra, 0.0::DOUBLE AS rb, 0.0::DOUBLE AS gain FROM games
+    UNION ALL SELECT season_id, i, map_concat(known, MAP([a, b], [ra + gain, rb - gain])), ra, rb, gain FROM (
       SELECT *, 48 * (score - 1 / (1 + power(10.0::DOUBLE, (rb - ra) / 400))) AS gain FROM (
-        SELECT g.season_id, g.i, r.at, g.a, g.b, g.score, coalesce(r.at[g.a], 1500.0::DOUBLE) AS ra, coalesce(r.at[g.b], 1500.0::DOUBLE) AS rb
+        SELECT g.season_id, g.i, r.known, g.a, g.b, g.score, coalesce(r.known[g.a], 1500.0::DOUBLE) AS ra, coalesce(r.known[g.b], 1500.0::DOUBLE) AS rb
         FROM run AS r JOIN games AS g ON g.season_id = r.season_id AND g.i = r.i + 1) AS x) AS y)
 SELECT g.season_id, g.period_seq, g.section_id, g.a, g.b, round(r.ra, 6) AS ra, round(r.rb, 6) AS rb, round(r.gain, 6) AS gain FROM games AS g JOIN run AS r ON r.season_id = g.season_id AND r.i = g.i""")
 def elo(t):
@@ -368,21 +368,21 @@ def _newton_sql(feature: str, source: str, steps: int = 12) -> str:
     """Metrics by season of a logistic fit of ``feature`` and the side on the first eight periods, its Newton steps written out."""
     sql = f"""WITH raw AS ({source}), f AS (SELECT r.season_id, r.period_seq, raw.{feature} AS x, CASE WHEN r.side_a = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s,
       CASE WHEN 2 * r.won_a > r.ballots THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y FROM rated AS r JOIN raw ON raw.season_id = r.season_id AND raw.section_id = r.section_id),
-  b0 AS (SELECT season_id, count(*) >= 30 AS enough, 0.0::DOUBLE AS c, 0.0::DOUBLE AS u, 0.0::DOUBLE AS v FROM f WHERE period_seq <= 8 GROUP BY season_id)"""
+  beta0 AS (SELECT season_id, count(*) >= 30 AS enough, 0.0::DOUBLE AS c, 0.0::DOUBLE AS u, 0.0::DOUBLE AS v FROM f WHERE period_seq <= 8 GROUP BY season_id)"""
     for k in range(steps):
         sql += f""",
-  s{k} AS (SELECT season_id, sum(y - p) AS g0, sum((y - p) * x) AS g1, sum((y - p) * s) AS g2, sum(w) + 1e-6 AS a, sum(w * x) AS b, sum(w * s) AS d, sum(w * x * x) + 1e-6 AS e, sum(w * x * s) AS h, sum(w) + 1e-6 AS i
-    FROM (SELECT *, greatest(1e-9, p * (1 - p)) AS w FROM (SELECT f.*, 1 / (1 + exp(-(b.c + b.u * f.x + b.v * f.s))) AS p FROM f JOIN b{k} AS b ON b.season_id = f.season_id WHERE f.period_seq <= 8) AS q) AS z GROUP BY season_id),
-  t{k} AS (SELECT *, a * (e * i - h * h) - b * (b * i - h * d) + d * (b * h - e * d) AS det FROM s{k}),
-  b{k + 1} AS (SELECT b.season_id, b.enough, CASE WHEN enough THEN b.c + (g0 * (e * i - h * h) - b_ * (g1 * i - h * g2) + d * (g1 * h - e * g2)) / det ELSE 0.0 END AS c,
+  sums{k} AS (SELECT season_id, sum(y - p) AS g0, sum((y - p) * x) AS g1, sum((y - p) * s) AS g2, sum(w) + 1e-6 AS a, sum(w * x) AS b, sum(w * s) AS d, sum(w * x * x) + 1e-6 AS e, sum(w * x * s) AS h, sum(w) + 1e-6 AS i
+    FROM (SELECT *, greatest(1e-9, p * (1 - p)) AS w FROM (SELECT f.*, 1 / (1 + exp(-(b.c + b.u * f.x + b.v * f.s))) AS p FROM f JOIN beta{k} AS b ON b.season_id = f.season_id WHERE f.period_seq <= 8) AS q) AS z GROUP BY season_id),
+  solved{k} AS (SELECT *, a * (e * i - h * h) - b * (b * i - h * d) + d * (b * h - e * d) AS det FROM sums{k}),
+  beta{k + 1} AS (SELECT b.season_id, b.enough, CASE WHEN enough THEN b.c + (g0 * (e * i - h * h) - b_ * (g1 * i - h * g2) + d * (g1 * h - e * g2)) / det ELSE 0.0 END AS c,
     CASE WHEN enough THEN b.u + (a * (g1 * i - h * g2) - g0 * (b_ * i - h * d) + d * (b_ * g2 - g1 * d)) / det ELSE 0.0 END AS u,
     CASE WHEN enough THEN b.v + (a * (e * g2 - g1 * h) - b_ * (b_ * g2 - g1 * d) + g0 * (b_ * h - e * d)) / det ELSE 0.0 END AS v
-    FROM b{k} AS b JOIN (SELECT *, b AS b_ FROM t{k}) AS t ON t.season_id = b.season_id)"""
+    FROM beta{k} AS b JOIN (SELECT *, b AS b_ FROM solved{k}) AS t ON t.season_id = b.season_id)"""
     return sql + f"""
 SELECT season_id, CAST(count(*) AS INTEGER) AS n, round(avg(CASE WHEN q > 0.5 THEN 1.0::DOUBLE WHEN q = 0.5 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END), 6) AS accuracy,
   round(avg(-ln(greatest(q, 1e-12))), 6) AS log_loss, round(avg((1 - q) * (1 - q)), 6) AS brier
 FROM (SELECT f.season_id, round(CASE WHEN f.y = 1 THEN p ELSE 1 - p END, 9) AS q FROM (SELECT f.*, 1 / (1 + exp(-(coalesce(b.c, 0) + coalesce(b.u, 0) * f.x + coalesce(b.v, 0) * f.s))) AS p
-  FROM f LEFT JOIN b{steps} AS b ON b.season_id = f.season_id WHERE f.period_seq > 8) AS f) AS z GROUP BY season_id"""
+  FROM f LEFT JOIN beta{steps} AS b ON b.season_id = f.season_id WHERE f.period_seq > 8) AS f) AS z GROUP BY season_id"""
 
 
 def _fitted_metrics(rows: DataFrame, feature: str) -> DataFrame:
