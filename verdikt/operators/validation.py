@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from verdikt.functions.rules import WEIGHTS
-from verdikt.operators.bradley_terry import Lane, bt_log_odds, bt_rounds, fit_lanes
+from verdikt.operators.bradley_terry import GRADIENT, Lane, bt_log_odds, bt_rounds, fit_lanes
 from verdikt.operators.glicko import Options, VALIDATED, ballot_score, run_season, with_options
 from verdikt.operators.lineage import cut_lineage, shared_root
 from verdikt.operators.ranking import sequence_number
@@ -349,12 +349,12 @@ def shrunk_rating_model(rounds: DataFrame, contested: DataFrame, members: DataFr
 
 
 def bt_models(rounds: DataFrame, unit: str = "pairs", penalty: float = 1.5, iterations: int = 400,
-              first_period: int = 2) -> DataFrame:
+              first_period: int = 2, gradient: float = GRADIENT) -> DataFrame:
     """Bradley-Terry predictions of each period, refit on everything before it: one lane for each prefix of the periods."""
     ready = bt_rounds(rounds, 1.0, unit)
     last = rounds.agg(F.max("period_seq")).first()[0] or 0
     lanes = [Lane(p, penalty, p) for p in range(first_period, max(last, first_period) + 1)]
-    strengths, fits = fit_lanes(ready, ["season_id"], lanes, iterations)
+    strengths, fits = fit_lanes(ready, ["season_id"], lanes, iterations, gradient)
     scope = ["season_id", "lane"]
     now = ready.where(F.col("period_seq") >= first_period).withColumn("lane", F.col("period_seq"))
     return (bt_log_odds(now, strengths, fits, scope)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from verdikt.operators import bradley_terry as BT, glicko as GL, sections as X, validation as V
@@ -418,55 +420,68 @@ def shrunk(t: DriverTables) -> DataFrame:
 
 def walked(t: DriverTables, unit: str) -> DataFrame:
     """Bradley-Terry over pairs, or over people, refit before each period."""
-    return loaded_as(t, f"walked_{unit}", lambda: V.bt_models(rated(t), unit, 1.5).select("season_id", "section_id", "period_seq", "won_a", "ballots", "p_a"))
+    return loaded_as(t, f"walked_{unit}", lambda: V.bt_models(rated(t), unit, 1.5, gradient=1e-6).select("season_id", "section_id", "won_a", "ballots", "p_a"))
+
 
+#: Models by what they are made of; all are told on the same rounds.
+FITTED = {"side": ["side"], "win rate": ["rate_gap", "side"], "points": ["points_gap", "side"], "elo": ["elo_gap", "side"]}
+RATED = ("rating", "shrunk rating")
+STRENGTHS = ("strengths of pairs", "strengths of people")
 
-def played(t: DriverTables) -> DataFrame:
-    return loaded_as(t, "elo", lambda: V.elo(rated(t), 48.0))
 
+def held_out_rows(t: DriverTables, features: set[str]) -> DataFrame:
+    """Every round with what was known before it, and those of ``features`` that are asked for."""
+    on = ["season_id", "section_id"]
+    rows = V.prior_evidence(rated(t)).select(*on, "period_seq", "a", "b", "won_a", "ballots", "side_a", "kind", "min_rounds").withColumn("side", V.side_feature())
+    gaps = {"rate_gap": lambda: V.win_rate_to_date(rated(t)), "points_gap": lambda: V.points_to_date(rated(t), earned(t), periods(t)),
+            "elo_gap": lambda: V.elo_before_period(V.elo(rated(t), 48.0), rated(t))}
+    for name in sorted(features & set(gaps)):
+        rows = rows.join(gaps[name]().select(*on, name), on)
+    return cut_lineage(rows)
 
-def held_out_models(t: DriverTables) -> DataFrame:
-    """``season_id, model, section_id, kind, min_rounds, p``: nine models' word on every round after its season's eighth period.
 
-    Whatever is fitted is fitted by season, on the periods before. All feed one table, from which slices, calibration and
-    paired draws come in one pass each.
+def held_out_models(t: DriverTables, names: tuple[str, ...]) -> DataFrame:
+    """``season_id, model, section_id, kind, min_rounds, p``: the word of each model on every round after its season's eighth period.
+
+    Whatever is fitted is fitted by season, on the periods before. All models feed one table, from which slices, calibration
+    and paired draws come in one pass each.
     """
-    def build() -> DataFrame:
-        train = F.col("period_seq") <= 8
-        known = V.prior_evidence(rated(t)).select("season_id", "section_id", "period_seq", "a", "b", "won_a", "ballots", "side_a", "kind", "min_rounds")
-        on = ["season_id", "section_id"]
-        rows = cut_lineage(known.join(V.win_rate_to_date(rated(t)).select(*on, "rate_gap"), on)
-                           .join(V.points_to_date(rated(t), earned(t), periods(t)).select(*on, "points_gap"), on)
-                           .join(V.elo_before_period(played(t), rated(t)).select(*on, "elo_gap"), on).withColumn("side", V.side_feature()))
-        test = rows.where(~train)
-        told = lambda preds: test.join(preds.select(*on, "p_a"), on)
-        models = {"coin flip": V.coin_flip(test), **{name: V.fitted(rows, features, train) for name, features in {
-            "side": ["side"], "win rate": ["rate_gap", "side"], "points": ["points_gap", "side"], "elo": ["elo_gap", "side"]}.items()},
-            "rating": told(season_run(t).predictions), "shrunk rating": told(shrunk(t)), "strengths of pairs": told(walked(t, "pairs")),
-            "strengths of people": told(walked(t, "people"))}
-        out = None
-        for name, preds in models.items():
-            one = preds.select("season_id", F.lit(name).alias("model"), "section_id", "kind", "min_rounds", V.outcome_probability().alias("p"))
-            out = one if out is None else out.unionByName(one)
-        return out
-    return loaded_as(t, "held_out_models", build)
+    train, on = F.col("period_seq") <= 8, ["season_id", "section_id"]
+    rows = held_out_rows(t, {f for n in names for f in FITTED.get(n, [])})
+    test = rows.where(~train)
+    told = {"rating": lambda: season_run(t).predictions, "shrunk rating": lambda: shrunk(t), "strengths of pairs": lambda: walked(t, "pairs"),
+            "strengths of people": lambda: walked(t, "people")}
+
+    def predicted_by(name: str) -> DataFrame:
+        if name == "coin flip":
+            return V.coin_flip(test)
+        return V.fitted(rows, FITTED[name], train) if name in FITTED else test.join(told[name]().select(*on, "p_a"), on)
+
+    one = lambda name: predicted_by(name).select("season_id", F.lit(name).alias("model"), "section_id", "kind", "min_rounds", V.outcome_probability().alias("p"))
+    return cut_lineage(reduce(DataFrame.unionByName, map(one, names)))
 
 
 @query("held_out_table")
 def held_out_table(t):
-    """Every model on the same rounds of each season: all, both sides known, either new, eliminations."""
-    return _rounded(V.held_out_report(held_out_models(t), ["season_id", "model"]))
+    """Seven models on the same rounds of each season: all, both sides known, either new, eliminations."""
+    return _rounded(V.held_out_report(held_out_models(t, ("coin flip", *FITTED, *RATED)), ["season_id", "model"]))
+
+
+@query("held_out_strengths")
+def held_out_strengths(t):
+    """The two Bradley-Terry models, as ``held_out_table``."""
+    return _rounded(V.held_out_report(held_out_models(t, STRENGTHS), ["season_id", "model"]))
 
 
 @query("held_out_calibration")
 def held_out_calibration(t):
-    return _rounded(V.calibration(held_out_models(t), ["season_id", "model"]))
+    return _rounded(V.calibration(held_out_models(t, RATED), ["season_id", "model"]))
 
 
 @query("paired_bootstrap")
 def paired_bootstrap(t):
     """The rating against points by season, over the rounds both predict: the verdict on accuracy and on log loss."""
-    models = held_out_models(t)
+    models = held_out_models(t, ("rating", "points"))
     pair = lambda name, out: models.where(F.col("model") == name).select("season_id", "section_id", F.col("p").alias(out))
     pairs = cut_lineage(pair("rating", "p_one").join(pair("points", "p_two"), ["season_id", "section_id"]))
     found = [V.paired_bootstrap(pairs, metric).withColumn("metric", F.lit(metric)) for metric in ("accuracy", "log_loss")]
