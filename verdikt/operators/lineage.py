@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where a session sets none, one in its warehouse, which executors share too."""
+    """The folder in ``spark.checkpoint.dir``; where a session sets none, one in its warehouse, if executors share that too.
+
+    On a cluster a warehouse on a machine's own disk is no such place, and is refused.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_steps/{spark.sparkContext.applicationId}"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        own_disk = warehouse.startswith("file:") or "://" not in warehouse
+        if own_disk and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"{warehouse}/_steps/{spark.sparkContext.applicationId}"
     return root.rstrip("/")
 
 
