@@ -7,6 +7,7 @@ the columns of documents.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -20,26 +21,42 @@ PIECES = "piece_bpe_32k.model"
 ORACLE_SQL = None
 
 
+#: Columns that a stage makes on its way. Documents may have columns of these names, in any case, and keep them.
+MADE = ("score", "predicted", "lang_pred", "ambiguous", "_id", "_digest", "_leak")
+
+
+def aside(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with columns called as in ``MADE`` under names of their own, and what names them back and drops all others."""
+    names = [f"_kept{k}_{c}" if c.lower() in MADE else c for k, c in enumerate(docs.columns)]
+    back = [(name, c) for name, c in zip(names, docs.columns)]
+    renamed = docs.withColumnsRenamed({c: name for name, c in back if name != c})
+    return renamed, lambda out: out.select(*[F.col(f"`{name}`").alias(c) for name, c in back])
+
+
 def good(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the quality classifier predicts to be of quality 1."""
+    docs, named_back = aside(docs)
     model = quality.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
-    return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
+    return named_back(quality.score(docs, model).where("predicted = 1"))
 
 
 def of_a_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents whose language is predicted without ambiguity."""
+    docs, named_back = aside(docs)
     found = langid.predict(docs, langid.fit(docs))
-    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & ~F.col("ambiguous")).select(*docs.columns)
+    return named_back(found.where((F.col("lang_pred") != langid.UNDETERMINED) & ~F.col("ambiguous")))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group of near copies."""
-    return simhash.one_of_each(docs)
+    docs, named_back = aside(docs)
+    return named_back(simhash.one_of_each(docs))
 
 
 def unleaked(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that hold no benchmark passage."""
-    return decontaminate.clean(docs, spark.read.parquet(f"{folder}/benchmark.parquet"))
+    docs, named_back = aside(docs)
+    return named_back(decontaminate.clean(docs, spark.read.parquet(f"{folder}/benchmark.parquet")))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
