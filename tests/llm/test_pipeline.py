@@ -59,6 +59,18 @@ def test_stages(spark, folder, tmp_path):
     assert sorted(map(tuple, whole), key=str) == sorted(map(tuple, after), key=str)
 
 
+def test_columns_of_the_names_that_stages_make_are_kept(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    names = ["score", "Predicted", "lang_pred", "ambiguous", "_id", "_digest", "_leak"]
+    wide = docs.selectExpr("*", *[f"concat('{n} ', doc_id) as `{n}`" for n in names])
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        plain, kept = stage(spark, docs, folder), stage(spark, wide, folder)
+        assert kept.columns == wide.columns
+        kept = kept.collect()
+        assert all(r[n] == (None if r.doc_id is None else f"{n} {r.doc_id}") for r in kept for n in names)
+        assert sorted((str(r.doc_id), str(r.text)) for r in kept) == sorted((str(r.doc_id), str(r.text)) for r in plain.collect())
+
+
 def test_one_of_each_keeps_one(spark):
     from verdikt.llm import simhash
     rows = [(None, "a b c"), (None, "a b c"), (7, "x y z"), (7, "x y z"), (7, "other words here"), (9, "x y z"), (None, None), (3, "")]
