@@ -51,14 +51,19 @@ def test_champions_and_floor(spark):
     assert _score(spark, eligible_team_size=False).excluded == "teamSize"
 
 
-def test_best_five_with_ties_by_order(spark):
-    p = spark.createDataFrame([("k", i, float(x)) for i, x in enumerate([4, 31, 12, 27, 9, 28, 25])] + [("t", i, 7.0) for i in range(6)] + [("two", 0, 12.0), ("two", 1, 9.0)],
-                              "k string, i int, p double")
-    w = {(r.k, r.i): r.weight for r in weighted_breakdown(p, ["k"], "p", ["i"]).collect()}
-    assert [w["k", i] for i in range(7)] == [0.0, 1.0, 0.1, 0.6, 0.0, 0.9, 0.3]
-    assert [w["t", i] for i in range(6)] == [1.0, 0.9, 0.6, 0.3, 0.1, 0.0]
-    t = {r.k: (r.points, r.tournaments_counted) for r in weighted_total(p, ["k"], "p", ["i"]).collect()}
-    assert t["two"] == (20.1, 2) and t["k"][1] == 5
+def test_best_five_against_a_plain_sort(spark):
+    import random
+    rng = random.Random(11)
+    rows = [(k, i, float(rng.randint(0, 6))) for k, n in (("many", 40), ("six", 6), ("few", 3), ("same", 8)) for i in range(n)]
+    rows = [(k, i, 5.0 if k == "same" else x) for k, i, x in rows]
+    p = spark.createDataFrame(rows, "k string, i int, p double")
+    got = {(r.k, r.i): r.weight for r in weighted_breakdown(p, ["k"], "p", ["i"]).collect()}
+    totals = {r.k: (r.points, r.tournaments_counted) for r in weighted_total(p, ["k"], "p", ["i"]).collect()}
+    for key in ("many", "six", "few", "same"):
+        best = sorted((-x, i) for k, i, x in rows if k == key)[:5]
+        weights = {i: w for (_, i), w in zip(best, R.WEIGHTS)}
+        assert all(got[k, i] == weights.get(i, 0.0) for k, i, _ in rows if k == key)
+        assert totals[key] == (round(sum(-x * w for (x, _), w in zip(best, R.WEIGHTS)), 6), len(best))
 
 
 def test_ranks_against_brute_force(spark):
