@@ -3,8 +3,9 @@
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
-from verdikt.operators.lineage import shared_root
+from verdikt.operators.lineage import cut_lineage, shared_root
 
 
 def session(master, **conf):
@@ -24,3 +25,11 @@ def test_a_shared_warehouse_will_do_and_a_machines_own_only_in_local_mode():
         for place in ("file:/w", "file:///w", "/w"):
             with pytest.raises(ValueError):
                 shared_root(session(master, spark_sql_warehouse_dir=place))
+
+
+def test_rows_that_pack_well_are_not_broadcast_for_their_small_files(spark):
+    named = lambda n: cut_lineage(spark.range(n).select("id", F.concat(F.lit("2024-01-01:open:" * 4), (F.col("id") % 100).cast("string")).alias("k")))
+    large, small = named(400_000), named(100)
+    plan = lambda other: large.select("id", F.lit(1).alias("x")).join(other, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan(large)
+    assert "BroadcastHashJoin" in plan(small)
