@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -9,6 +10,7 @@ import pyarrow as pa
 import pytest
 
 from verdikt.llm import collocations as C
+from verdikt.llm.batches import slices
 
 SCHEMA = "doc_id long, text string, lang string, phrase string, n long, chunk string, own int, key string"
 
@@ -83,3 +85,17 @@ def test_scores_past_64_bits_are_exact(spark):
 def test_no_documents(spark):
     assert C.collocations(frame(spark, [])).collect() == []
     assert C.collocations(frame(spark, [(None, None)])).collect() == []
+
+
+def test_a_task_takes_apart_so_much_text_that_its_arrays_stay_small():
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{i}" for i in range(20_000)])
+    chunks = [" ".join(words[rng.integers(0, len(words), 40)]) for _ in range(50_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(chunks)), pa.array(chunks), pa.array([36] * len(chunks)), pa.array([1] * len(chunks))], ["lang", "chunk", "own", "n"])
+    tracemalloc.start()
+    for part in slices([batch], "chunk", C._SLICE):
+        parsed, language, salt, left, owned = C._entries(part)
+        C._counted(part, parsed, language, np.flatnonzero(owned & (left > 1)), 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20

@@ -34,7 +34,8 @@ from verdikt.operators.lineage import cut_lineage
 LONGEST, LEAST, FIRST, COVERED = 5, 100, 2000, 100
 TRIGGER = 32
 FILTER_BITS = 1 << 27
-_SLICE = 6 << 20
+#: Bytes of text that a task takes apart at a time. Its arrays of words and keys are many times that, and a worker keeps that memory.
+_SLICE = 3 << 20
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
