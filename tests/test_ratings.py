@@ -306,3 +306,14 @@ def test_iterated_ratings_take_three_passes(spark, monkeypatch):
     run, passes = GL.run_season, []
     monkeypatch.setattr(GL, "run_season", lambda *a, **k: passes.append(1) or run(*a, **k))
     assert RQ.iterated_ratings(None).count() > 0 and len(passes) == 3
+
+
+def test_sections_of_tallied_sides_are_those_of_their_ballots(spark):
+    """Sides counted in the rooms' own table give what every ballot, counted and looked up, gives."""
+    from verdikt.plans.driver_tables import DriverTables
+    t = DriverTables(spark, "/root/testdata/sf0.001")
+    entries = t.entries.select("entry_id", "school_id").join(t.pairs.select("entry_id", "pair"), "entry_id")
+    plain = X.section_sides(X.count_sides(t.ballots), t.rounds, t.events, t.tournaments, entries)
+    lean = X.section_sides(t.side_counts)
+    assert sorted(plain.columns) == sorted(lean.columns)
+    assert plain.exceptAll(lean.select(*plain.columns)).count() == lean.select(*plain.columns).exceptAll(plain).count() == 0
