@@ -317,3 +317,33 @@ def test_sections_of_tallied_sides_are_those_of_their_ballots(spark):
     lean = X.section_sides(t.side_counts)
     assert sorted(plain.columns) == sorted(lean.columns)
     assert plain.exceptAll(lean.select(*plain.columns)).count() == lean.select(*plain.columns).exceptAll(plain).count() == 0
+
+
+def ladder(spark, n):
+    """Rounds between neighbours on a ladder: each waits for the one before it, and nobody plays more than two."""
+    return spark.createDataFrame([("S", f"{i:04d}", 1, f"p{i:04d}", f"p{i + 1:04d}", 1, 1) for i in range(n)],
+                                 "season_id string, section_id string, period_seq int, a string, b string, won_a int, ballots int")
+
+
+def jobs_of(spark, make):
+    sc = spark.sparkContext
+    group = f"jobs of {make}"
+    sc.setJobGroup(group, group)
+    try:
+        got = make()
+        return got, len(sc.statusTracker().getJobIdsForGroup(group))
+    finally:
+        sc._jsc.clearJobGroup()
+
+
+def test_elo_takes_no_pass_for_every_round_that_waits(spark):
+    """Rounds that wait for each other are played as they stand: jobs follow stretches, not the longest chain."""
+    few, short = jobs_of(spark, lambda: V.elo(ladder(spark, 6), 32.0, most=1000).collect())
+    many, long = jobs_of(spark, lambda: V.elo(ladder(spark, 36), 32.0, most=1000).collect())
+    assert (len(few), len(many)) == (6, 36) and long <= short + 4
+    rating = 1500.0
+    for r in sorted(many, key=lambda r: r.section_id):
+        assert abs(r.ra - rating) < 1e-9 and r.rb == 1500.0
+        rating = r.rb - r.gain
+    cut = {r.section_id: (r.ra, r.rb) for r in V.elo(ladder(spark, 36), 32.0, most=18).collect()}
+    assert cut == {r.section_id: (r.ra, r.rb) for r in many}
