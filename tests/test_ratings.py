@@ -347,3 +347,28 @@ def test_elo_takes_no_pass_for_every_round_that_waits(spark):
         rating = r.rb - r.gain
     cut = {r.section_id: (r.ra, r.rb) for r in V.elo(ladder(spark, 36), 32.0, most=18).collect()}
     assert cut == {r.section_id: (r.ra, r.rb) for r in many}
+
+
+def test_strengths_come_to_rounds_that_stay(spark, monkeypatch):
+    """A pass writes rows by subject, none by round: with as many subjects, ten times the rounds write no more rows. The joins by shuffle agree."""
+    rows, few = make(spark, n=30)
+    _, many = make(spark, n=300)
+    written = []
+
+    def kept(df, *by, cut=BT.cut_lineage):
+        out = cut(df, *by)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(BT, "cut_lineage", kept)
+    counts = []
+    for df in (few, many):
+        written.clear()
+        BT.fit_lanes(BT.bt_rounds(df, 1.0, "people"), ["season_id"], [BT.Lane("all", 2.0)], iterations=3)
+        counts.append(written[1:])  # the first is the rounds themselves, once
+    assert max(counts[1]) == max(counts[0]) < 30
+    strengths, fits = BT.fit_lanes(BT.bt_rounds(few), ["season_id"], [BT.Lane("all", 2.0)])
+    monkeypatch.setattr(BT, "BROADCAST", 0)
+    again, same = BT.fit_lanes(BT.bt_rounds(few), ["season_id"], [BT.Lane("all", 2.0)])
+    theirs = {r.subject: r.strength for r in again.collect()}
+    assert all(abs(theirs[r.subject] - r.strength) < 1e-9 for r in strengths.collect()) and len(theirs) == 5

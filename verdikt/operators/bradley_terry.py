@@ -8,13 +8,16 @@ All descend together by L-BFGS, each variable scaled by a bound of the curvature
 The objective is strictly convex, and a lane stops at a gradient (so scaled) of ``GRADIENT``. A step sends strengths to the rounds and pulls
 back to the subjects; what it needs besides are the dot products of a few vectors, so a lane sends a few dozen sums to the
 driver and gets as many coefficients back, however large it is. The side term is one number a lane and stays on the
-driver; no row of it exists.
+driver; no row of it exists. Rounds stay where they are: strengths come to them by a join for each seat, and what goes back is
+summed by subject in the task first. No row by round is written in a pass, nor shuffled where strengths are small enough to be
+broadcast.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -28,6 +31,8 @@ from verdikt.operators.lineage import cut_lineage
 LAMBDA, ITERATIONS = 1.5, 400
 #: Where a lane stops: the length of its scaled gradient. Strengths then stand within about as much of their optimum.
 GRADIENT = 1e-7
+#: Bytes of strengths, over all fits and lanes, up to which they are broadcast to the rounds; above, rounds are joined by shuffles.
+BROADCAST = 16_000_000
 #: Differences that a step remembers, and how often it may be halved.
 MEMORY, HALVINGS = 6, 12
 
@@ -166,18 +171,19 @@ def fit_lanes(rounds: DataFrame, scope: list[str], lanes: list[Lane], iterations
     numbers = spark.createDataFrame([(*v, k) for k, v in enumerate(values)], f"{types}, _fit int")
     penalties, fits = np.array([lane.penalty for lane in lanes], float), len(values)
     counts_in = lambda lane: F.lit(1.0) if lane.before is None else F.when(F.col("period_seq") < lane.before, 1.0).otherwise(0.0)
+    widest = rounds.agg(*[F.max(F.size(c)).alias(c) for c in ("side_a_ids", "side_b_ids")]).first()
+    seats = [(c, i, sign) for c, sign in (("side_a_ids", 1.0), ("side_b_ids", -1.0)) for i in range(widest[c] or 0)]
     base = cut_lineage(rounds.join(F.broadcast(numbers), scope).select(
-        "_fit", "section_id", "score", "side", "side_a_ids", "side_b_ids", F.array(*map(counts_in, lanes)).alias("counts"),
+        "_fit", "score", "side", *[F.get(c, F.lit(i)).alias(f"id{j}") for j, (c, i, _) in enumerate(seats)], F.array(*map(counts_in, lanes)).alias("counts"),
         ((F.size("side_a_ids") + F.size("side_b_ids")) / 4).alias("share")))
-    keys = ["_fit", "section_id"]
-    links = cut_lineage(_members(base, [*keys, "counts", "share"]))
     each = lambda make: [make(k) for k in range(width)]
-    start = links.groupBy("_fit", "subject").agg(*each(lambda k: F.sum(F.col("counts")[k] * F.col("share")).alias(f"n{k}")))
+    links = base.select("_fit", "counts", "share", F.explode(F.array(*[F.col(f"id{j}") for j in range(len(seats))] or [F.lit(None).cast("string")])).alias("subject"))
+    start = links.where(F.col("subject").isNotNull()).groupBy("_fit", "subject").agg(*each(lambda k: F.sum(F.col("counts")[k] * F.col("share")).alias(f"n{k}")))
     zeros = F.array(*[F.lit(0.0)] * width)
     state = cut_lineage(start.select(
         "_fit", "subject", F.array(*each(lambda k: F.sqrt(F.lit(lanes[k].penalty) + F.col(f"n{k}")))).alias("root"), F.array().cast("array<double>").alias("past"),
         *[zeros.alias(c) for c in ("u", "g", "to", "h")]))
-    links = links.drop("counts", "share")
+    sent = F.broadcast if state.count() * (8 * width + 100) <= BROADCAST else lambda df: df
     played = base.groupBy("_fit").agg(*each(lambda k: F.sum(F.col("counts")[k]).alias(f"n{k}"))).collect()
     side_root = np.ones((fits, width))
     for row in played:
@@ -185,22 +191,29 @@ def fit_lanes(rounds: DataFrame, scope: list[str], lanes: list[Lane], iterations
 
     def tried(before: DataFrame, taken: np.ndarray | None, ways: np.ndarray, side: np.ndarray, kept: int):
         """The state with a step tried, the losses and side gradients (scaled) there, and the dot products; ``kept`` pairs are remembered in it."""
-        moved = before.mapInArrow(_mover(taken, ways), _MOVED)
-        z = links.join(moved.select("_fit", "subject", "x"), ["_fit", "subject"]).groupBy(*keys).agg(
-            *each(lambda k: F.sum(F.col("sign") * F.col("x")[k]).alias(f"z{k}")))
+        moved = cut_lineage(before.mapInArrow(_mover(taken, ways), _MOVED))
         terms = spark.createDataFrame(pa.table([pa.array(range(fits), pa.int32()), _lists(side)], ["_fit", "term"]))
-        at = base.select(*keys, "score", "side", "counts").join(z, keys).join(F.broadcast(terms), "_fit")
-        logit = lambda k: F.col(f"z{k}") + F.col("term")[k] * F.col("side")
-        odds = cut_lineage(at.select(*keys, "side", F.array(*each(lambda k: F.col("counts")[k] * (1 / (1 + F.exp(-logit(k))) - F.col("score")))).alias("off"),
-                                     F.array(*each(lambda k: F.col("counts")[k] * _loss(logit(k), F.col("score")))).alias("loss")))
-        pulls = links.join(odds.select(*keys, "off"), keys).groupBy("_fit", "subject").agg(
-            *each(lambda k: F.sum(F.col("sign") * F.col("off")[k]).alias(f"p{k}"))).select("_fit", "subject", F.array(*each(lambda k: F.col(f"p{k}"))).alias("pull"))
+        at = base.drop("share").join(F.broadcast(terms), "_fit")
+        for j in range(len(seats)):
+            at = at.join(sent(moved.select("_fit", F.col("subject").alias(f"id{j}"), F.col("x").alias(f"x{j}"))), ["_fit", f"id{j}"], "left")
+        logit = lambda k: reduce(lambda z, j: z + seats[j][2] * F.coalesce(F.col(f"x{j}")[k], F.lit(0.0)), range(len(seats)), F.col("term")[k] * F.col("side"))
+        at = at.select("_fit", "score", "side", "counts", *[f"id{j}" for j in range(len(seats))], F.array(*each(logit)).alias("z"))
+        at = at.withColumns({"off": F.array(*each(lambda k: F.col("counts")[k] * (1 / (1 + F.exp(-F.col("z")[k])) - F.col("score")))),
+                             "loss": F.array(*each(lambda k: F.col("counts")[k] * _loss(F.col("z")[k], F.col("score"))))})
+        # To a seat's subject goes its pull; to the fit as a whole the loss and the side's pull.
+        send = lambda kind, subject, values: F.struct(F.lit(kind).alias("kind"), subject.alias("subject"), values.alias("values"))
+        times = lambda by: F.transform("off", lambda v: v * by)
+        posts = [send("subject", F.col(f"id{j}"), times(F.lit(sign))) for j, (_, _, sign) in enumerate(seats)]
+        posts += [send("loss", F.lit(None).cast("string"), F.col("loss")), send("side", F.lit(None).cast("string"), times(F.col("side")))]
+        summed = cut_lineage(at.select("_fit", F.explode(F.array(*posts)).alias("p")).select("_fit", "p.*").where("kind <> 'subject' OR subject IS NOT NULL")
+                             .groupBy("_fit", "kind", "subject").agg(*each(lambda k: F.sum(F.col("values")[k]).alias(f"p{k}")))
+                             .select("_fit", "kind", "subject", F.array(*each(lambda k: F.col(f"p{k}"))).alias("pull")))
+        pulls = summed.where("kind = 'subject'").drop("kind")
         after = cut_lineage(moved.join(pulls, ["_fit", "subject"]).mapInArrow(_priced(penalties), _STATE))
         size = 2 * kept + 4
         sums = after.mapInArrow(_products(fits, width, kept), "_fit int, slot int, value double").groupBy("_fit", "slot").agg(F.sum("value").alias("value"))
-        whole = odds.groupBy("_fit").agg(*each(lambda k: F.sum(F.col("loss")[k]).alias(f"l{k}")), *each(lambda k: F.sum(F.col("off")[k] * F.col("side")).alias(f"s{k}")))
-        whole = whole.select("_fit", F.posexplode(F.array(*each(lambda k: F.col(f"l{k}")), *each(lambda k: F.col(f"s{k}"))))).select(
-            "_fit", (-1 - F.col("pos")).cast("int").alias("slot"), F.col("col").alias("value"))
+        whole = summed.where("kind <> 'subject'").select("_fit", "kind", F.posexplode("pull")).select(
+            "_fit", (-1 - F.col("pos") - F.when(F.col("kind") == "side", width).otherwise(0)).cast("int").alias("slot"), F.col("col").alias("value"))
         flat, more = np.zeros((fits, width * size * size + width)), np.zeros((fits, 2 * width))
         for row in sums.union(whole).collect():  # a few dozen numbers a lane
             if row.slot < 0:
