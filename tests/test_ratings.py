@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -372,3 +373,39 @@ def test_strengths_come_to_rounds_that_stay(spark, monkeypatch):
     again, same = BT.fit_lanes(BT.bt_rounds(few), ["season_id"], [BT.Lane("all", 2.0)])
     theirs = {r.subject: r.strength for r in again.collect()}
     assert all(abs(theirs[r.subject] - r.strength) < 1e-9 for r in strengths.collect()) and len(theirs) == 5
+
+
+def test_pairs_and_people_descend_together(spark):
+    rows, df = make(spark, n=48, periods=4)
+    got = {(r.unit, r.section_id): r.p_a for r in V.bt_models(df, ("pairs", "people"), 2.0).collect()}
+    assert set(got) == {(u, r[1]) for u in ("pairs", "people") for r in rows if r[2] >= 2}
+    for unit, ids in (("pairs", lambda s: [s]), ("people", lambda s: s.split("|"))):
+        x, side = newton([(ids(r[6]), ids(r[7]), r[8] / r[9], r[10] == 1) for r in rows if r[2] < 4], 2.0)
+        for r in (r for r in rows if r[2] == 4):
+            z = sum(x.get(i, 0.0) for i in ids(r[6])) - sum(x.get(i, 0.0) for i in ids(r[7])) + side * (1 if r[10] == 1 else -1)
+            assert abs(got[unit, r[1]] - 1 / (1 + np.exp(-z))) < 1e-6
+
+
+@pytest.mark.parametrize("held", [1, 7, 50_000])
+def test_pulls_are_the_same_however_many_a_task_holds(monkeypatch, held):
+    monkeypatch.setattr(BT, "HELD", held)
+    rng, lanes = np.random.default_rng(2), 3
+    before, terms, signs = np.array([2.0, 3.0, math.inf]), rng.normal(size=(2, lanes)), [1.0, 1.0, -1.0]
+    rounds = [(int(rng.integers(2)), float(rng.integers(2)), float(rng.choice([-1, 1])), float(rng.integers(1, 4)), "a", rng.choice(["b", None]), str(rng.choice(["c", "d"])),
+               *[rng.normal(size=lanes) for _ in signs]) for _ in range(40)]
+    names = ["_fit", "score", "side", "period", "id0", "id1", "id2", "x0", "x1", "x2"]
+    batch = lambda part: pa.RecordBatch.from_pydict({n: [list(r[i]) if n[0] == "x" else r[i] for r in part] for i, n in enumerate(names)},
+                                                    pa.schema([("_fit", pa.int32()), *[(n, pa.float64()) for n in names[1:4]], *[(n, pa.string()) for n in names[4:7]],
+                                                               *[(n, pa.list_(pa.float64())) for n in names[7:]]]))
+    want, got = {}, {}
+    for f, score, side, period, *rest in rounds:
+        z = side * terms[f] + sum(s * x for s, x in zip(signs, rest[3:]))
+        off = (period < before) * (1 / (1 + np.exp(-z)) - score)
+        for key, value in ((("side", None), off * side), (("loss", None), (period < before) * (np.log1p(np.exp(z)) - z * score)),
+                           *[(("subject", i), s * off) for s, i in zip(signs, rest[:3]) if i is not None]):
+            want[f, *key] = want.get((f, *key), 0) + value
+    for out in BT._pulled(signs, before, terms)([batch(rounds[:15]), batch([]), batch(rounds[15:])]):
+        for r in out.to_pylist():
+            key = (r["_fit"], r["kind"], r["subject"])
+            got[key] = got.get(key, 0) + np.array(r["values"])
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want)

@@ -59,10 +59,6 @@ def _members(rounds: DataFrame, keys: list[str]) -> DataFrame:
                          .alias("m")).select(*keys, "m.subject", "m.sign")
 
 
-def _loss(z: Column, score: Column) -> Column:
-    return F.greatest(z, F.lit(0.0)) - z * score + F.log1p(F.exp(-F.abs(z)))
-
-
 def _direction(dots: np.ndarray, kept: int) -> np.ndarray:
     """Coefficients of the quasi-Newton step over the vectors s1..sk, y1..yk, g, from their dot products."""
     out = np.zeros(2 * kept + 1)
@@ -127,35 +123,93 @@ def _mover(taken: np.ndarray | None, ways: np.ndarray):
     return run
 
 
-def _priced(penalties: np.ndarray):
-    """Scaled gradients ``h`` at the points tried, from the rounds' pulls."""
-    lanes = len(penalties)
+#: Partial sums that a task holds before it hands them on.
+HELD = 50_000
+
+
+def _by_subject(fit: np.ndarray, subject: pa.Array, values: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """``values`` (a row each) summed by fit and subject."""
+    names = subject.dictionary_encode()
+    codes = fit.astype(np.int64) * (len(names.dictionary) + 1) + names.indices.to_numpy()
+    order = np.argsort(codes, kind="stable")
+    first = np.flatnonzero(np.diff(codes[order], prepend=-1))
+    at = order[first]
+    return fit[at], subject.take(pa.array(at)), np.add.reduceat(values[order], first, axis=0)
+
+
+def _pulled(signs: list[float], before: np.ndarray, side_terms: np.ndarray):
+    """Rounds beside their seats' strengths to pulls, summed by subject in the task; a fit's loss and side pull have no subject."""
+    fits, lanes = side_terms.shape
+
+    def rows(kind: str, fit: np.ndarray, subject: pa.Array, values: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(fit, pa.int32()), pa.array([kind] * len(fit), pa.string()), subject, _lists(values)], ["_fit", "kind", "subject", "values"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = {"loss": np.zeros((fits, lanes)), "side": np.zeros((fits, lanes))}
+        parts: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
+        gathered = lambda: _by_subject(np.concatenate([p[0] for p in parts]), pa.concat_arrays([p[1] for p in parts]), np.concatenate([p[2] for p in parts]))
         for batch in batches:
-            root, x, pull = (_array(batch, c, lanes) for c in ("root", "x", "pull"))
-            yield pa.RecordBatch.from_arrays([*[batch[c] for c in ("_fit", "subject", "root", "past", "u", "g", "to")], _lists((pull + penalties * x) / root)],
-                                             ["_fit", "subject", "root", "past", "u", "g", "to", "h"])
+            if not batch.num_rows:
+                continue
+            fit, score, side, period = (batch[c].to_numpy(zero_copy_only=False) for c in ("_fit", "score", "side", "period"))
+            counts = (period[:, None] < before).astype(float)
+            z = side[:, None] * side_terms[fit]
+            for j, sign in enumerate(signs):
+                z += sign * _array(batch, f"x{j}", lanes)[:, 0]
+            off = counts * (1 / (1 + np.exp(-z)) - score[:, None])
+            np.add.at(whole["loss"], fit, counts * (np.maximum(z, 0) - z * score[:, None] + np.log1p(np.exp(-np.abs(z)))))
+            np.add.at(whole["side"], fit, off * side[:, None])
+            for j, sign in enumerate(signs):
+                seated = np.flatnonzero(batch[f"id{j}"].is_valid().to_numpy(zero_copy_only=False))
+                if len(seated):
+                    parts.append(_by_subject(fit[seated], batch[f"id{j}"].take(pa.array(seated)), sign * off[seated]))
+            if sum(len(p[0]) for p in parts) > HELD:
+                parts = [gathered()]
+                if len(parts[0][0]) > HELD // 2:
+                    yield rows("subject", *parts.pop())
+        if parts:
+            yield rows("subject", *gathered())
+        for kind, values in whole.items():
+            yield rows(kind, np.arange(fits), pa.nulls(fits, pa.string()), values)
     return run
 
 
-def _products(fits: int, lanes: int, kept: int):
-    """Sums over a task's subjects for each fit and lane: the dot products of s1..sk, y1..yk, the new s and y, g and h; the squares of strengths."""
-    size = 2 * kept + 4
+_AFTER = "kind string, " + _STATE + ", sums array<double>"
+
+
+def _settled(penalties: np.ndarray, fits: int, kept: int):
+    """Summed pulls beside the points tried, to the state there (with scaled gradients ``h``) and a task's sums for each fit.
+
+    The sums of a lane: the dot products of s1..sk, y1..yk, the new s and y, g and h; then, lane by lane, the squares of strengths,
+    the losses and the side's pulls.
+    """
+    lanes, size, names = len(penalties), 2 * kept + 4, ("root", "past", "u", "g", "to")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, squares = np.zeros((fits, lanes, size, size)), np.zeros((fits, lanes))
+        total, more = np.zeros((fits, lanes, size, size)), np.zeros((3, fits, lanes))
+        out = lambda kind, fit, subject, arrays, sums: pa.RecordBatch.from_arrays(
+            [pa.array([kind] * len(fit), pa.string()), pa.array(fit, pa.int32()), subject, *arrays, sums], ["kind", "_fit", "subject", *names, "h", "sums"])
+        lists = pa.list_(pa.float64())
         for batch in batches:
+            kinds = batch["kind"].to_numpy(zero_copy_only=False)
+            for k, kind in enumerate(("loss", "side"), 1):
+                own = batch.take(pa.array(np.flatnonzero(kinds == kind)))
+                if own.num_rows:
+                    np.add.at(more[k], own["_fit"].to_numpy(), _array(own, "pull", lanes)[:, 0])
+            batch = batch.take(pa.array(np.flatnonzero(kinds == "subject")))
+            if not batch.num_rows:
+                continue
             fit = batch["_fit"].to_numpy()
-            root, past, u, g, to, h = (_array(batch, c, lanes) for c in ("root", "past", "u", "g", "to", "h"))
+            root, past, u, g, to, x, pull = (_array(batch, c, lanes) for c in (*names, "x", "pull"))
+            h = (pull + penalties * x) / root
             vectors = np.concatenate([past, to - u, h - g, g, h], axis=1)
             for k in np.unique(fit):
                 mine = vectors[fit == k]
                 total[k] += np.einsum("nil,njl->lij", mine, mine)
-                squares[k] += ((to[fit == k, 0] / root[fit == k, 0]) ** 2).sum(axis=0)
-        flat = np.concatenate([total.reshape(fits, -1), squares], axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(fits, dtype=np.int32), flat.shape[1])),
-                                          pa.array(np.tile(np.arange(flat.shape[1], dtype=np.int32), fits)), pa.array(flat.ravel())], ["_fit", "slot", "value"])
+            np.add.at(more[0], fit, x[:, 0] ** 2)
+            yield out("subject", fit, batch["subject"], [*[batch[c] for c in names], _lists(h)], pa.nulls(len(fit), lists))
+        yield out("sums", np.arange(fits), pa.nulls(fits, pa.string()), [pa.nulls(fits, lists)] * 6,
+                  _lists(np.concatenate([total.reshape(fits, -1), *more], axis=1)))
     return run
 
 
@@ -170,58 +224,46 @@ def fit_lanes(rounds: DataFrame, scope: list[str], lanes: list[Lane], iterations
     types = ", ".join(f"`{c}` {rounds.schema[c].dataType.simpleString()}" for c in scope)
     numbers = spark.createDataFrame([(*v, k) for k, v in enumerate(values)], f"{types}, _fit int")
     penalties, fits = np.array([lane.penalty for lane in lanes], float), len(values)
-    counts_in = lambda lane: F.lit(1.0) if lane.before is None else F.when(F.col("period_seq") < lane.before, 1.0).otherwise(0.0)
+    ends = np.array([math.inf if lane.before is None else lane.before for lane in lanes], float)
+    period = F.col("period_seq") if np.isfinite(ends).any() else F.lit(0)
     widest = rounds.agg(*[F.max(F.size(c)).alias(c) for c in ("side_a_ids", "side_b_ids")]).first()
     seats = [(c, i, sign) for c, sign in (("side_a_ids", 1.0), ("side_b_ids", -1.0)) for i in range(widest[c] or 0)]
     base = cut_lineage(rounds.join(F.broadcast(numbers), scope).select(
-        "_fit", "score", "side", *[F.get(c, F.lit(i)).alias(f"id{j}") for j, (c, i, _) in enumerate(seats)], F.array(*map(counts_in, lanes)).alias("counts"),
+        "_fit", "score", "side", *[F.get(c, F.lit(i)).alias(f"id{j}") for j, (c, i, _) in enumerate(seats)], period.cast("double").alias("period"),
         ((F.size("side_a_ids") + F.size("side_b_ids")) / 4).alias("share")))
     each = lambda make: [make(k) for k in range(width)]
-    links = base.select("_fit", "counts", "share", F.explode(F.array(*[F.col(f"id{j}") for j in range(len(seats))] or [F.lit(None).cast("string")])).alias("subject"))
-    start = links.where(F.col("subject").isNotNull()).groupBy("_fit", "subject").agg(*each(lambda k: F.sum(F.col("counts")[k] * F.col("share")).alias(f"n{k}")))
+    counted = [F.when(F.col("period") < float(end), 1.0).otherwise(0.0) if math.isfinite(end) else F.lit(1.0) for end in ends]
+    links = base.select("_fit", "period", "share", F.explode(F.array(*[F.col(f"id{j}") for j in range(len(seats))] or [F.lit(None).cast("string")])).alias("subject"))
+    start = links.where(F.col("subject").isNotNull()).groupBy("_fit", "subject").agg(*each(lambda k: F.sum(counted[k] * F.col("share")).alias(f"n{k}")))
     zeros = F.array(*[F.lit(0.0)] * width)
     state = cut_lineage(start.select(
         "_fit", "subject", F.array(*each(lambda k: F.sqrt(F.lit(lanes[k].penalty) + F.col(f"n{k}")))).alias("root"), F.array().cast("array<double>").alias("past"),
         *[zeros.alias(c) for c in ("u", "g", "to", "h")]))
     sent = F.broadcast if state.count() * (8 * width + 100) <= BROADCAST else lambda df: df
-    played = base.groupBy("_fit").agg(*each(lambda k: F.sum(F.col("counts")[k]).alias(f"n{k}"))).collect()
+    played = base.groupBy("_fit").agg(*each(lambda k: F.sum(counted[k]).alias(f"n{k}"))).collect()
     side_root = np.ones((fits, width))
     for row in played:
         side_root[row._fit] = [math.sqrt(max(row[f"n{k}"], 4.0) / 4) for k in range(width)]
 
     def tried(before: DataFrame, taken: np.ndarray | None, ways: np.ndarray, side: np.ndarray, kept: int):
         """The state with a step tried, the losses and side gradients (scaled) there, and the dot products; ``kept`` pairs are remembered in it."""
-        moved = cut_lineage(before.mapInArrow(_mover(taken, ways), _MOVED))
-        terms = spark.createDataFrame(pa.table([pa.array(range(fits), pa.int32()), _lists(side)], ["_fit", "term"]))
-        at = base.drop("share").join(F.broadcast(terms), "_fit")
+        moved = before.mapInArrow(_mover(taken, ways), _MOVED)
+        at = base.drop("share")
         for j in range(len(seats)):
             at = at.join(sent(moved.select("_fit", F.col("subject").alias(f"id{j}"), F.col("x").alias(f"x{j}"))), ["_fit", f"id{j}"], "left")
-        logit = lambda k: reduce(lambda z, j: z + seats[j][2] * F.coalesce(F.col(f"x{j}")[k], F.lit(0.0)), range(len(seats)), F.col("term")[k] * F.col("side"))
-        at = at.select("_fit", "score", "side", "counts", *[f"id{j}" for j in range(len(seats))], F.array(*each(logit)).alias("z"))
-        at = at.withColumns({"off": F.array(*each(lambda k: F.col("counts")[k] * (1 / (1 + F.exp(-F.col("z")[k])) - F.col("score")))),
-                             "loss": F.array(*each(lambda k: F.col("counts")[k] * _loss(F.col("z")[k], F.col("score"))))})
+        at = at.select("_fit", "score", "side", "period", *[F.col(f"id{j}") for j in range(len(seats))], *[F.coalesce(f"x{j}", zeros).alias(f"x{j}") for j in range(len(seats))])
         # To a seat's subject goes its pull; to the fit as a whole the loss and the side's pull.
-        send = lambda kind, subject, values: F.struct(F.lit(kind).alias("kind"), subject.alias("subject"), values.alias("values"))
-        times = lambda by: F.transform("off", lambda v: v * by)
-        posts = [send("subject", F.col(f"id{j}"), times(F.lit(sign))) for j, (_, _, sign) in enumerate(seats)]
-        posts += [send("loss", F.lit(None).cast("string"), F.col("loss")), send("side", F.lit(None).cast("string"), times(F.col("side")))]
-        summed = cut_lineage(at.select("_fit", F.explode(F.array(*posts)).alias("p")).select("_fit", "p.*").where("kind <> 'subject' OR subject IS NOT NULL")
-                             .groupBy("_fit", "kind", "subject").agg(*each(lambda k: F.sum(F.col("values")[k]).alias(f"p{k}")))
-                             .select("_fit", "kind", "subject", F.array(*each(lambda k: F.col(f"p{k}"))).alias("pull")))
-        pulls = summed.where("kind = 'subject'").drop("kind")
-        after = cut_lineage(moved.join(pulls, ["_fit", "subject"]).mapInArrow(_priced(penalties), _STATE))
+        pulls = (at.mapInArrow(_pulled([sign for _, _, sign in seats], ends, side), "_fit int, kind string, subject string, values array<double>")
+                 .groupBy("_fit", "kind", "subject").agg(*each(lambda k: F.sum(F.col("values")[k]).alias(f"p{k}")))
+                 .select("_fit", "kind", "subject", F.array(*each(lambda k: F.col(f"p{k}"))).alias("pull")))
+        after = cut_lineage(pulls.join(moved, ["_fit", "subject"], "left").mapInArrow(_settled(penalties, fits, kept), _AFTER))
         size = 2 * kept + 4
-        sums = after.mapInArrow(_products(fits, width, kept), "_fit int, slot int, value double").groupBy("_fit", "slot").agg(F.sum("value").alias("value"))
-        whole = summed.where("kind <> 'subject'").select("_fit", "kind", F.posexplode("pull")).select(
-            "_fit", (-1 - F.col("pos") - F.when(F.col("kind") == "side", width).otherwise(0)).cast("int").alias("slot"), F.col("col").alias("value"))
-        flat, more = np.zeros((fits, width * size * size + width)), np.zeros((fits, 2 * width))
-        for row in sums.union(whole).collect():  # a few dozen numbers a lane
-            if row.slot < 0:
-                more[row._fit, -1 - row.slot] = row.value
-            else:
-                flat[row._fit, row.slot] = row.value
-        dots, squares = flat[:, :-width].reshape(fits, width, size, size), flat[:, -width:]
-        return after, more[:, :width] + penalties * squares / 2, more[:, width:] / side_root, dots
+        flat = np.zeros((fits, width * size * size + 3 * width))
+        sums = after.where("kind = 'sums'").select("_fit", F.posexplode("sums").alias("slot", "value")).groupBy("_fit", "slot").agg(F.sum("value").alias("value"))
+        for row in sums.collect():  # a few dozen numbers a lane
+            flat[row._fit, row.slot] = row.value
+        dots, more = flat[:, :-3 * width].reshape(fits, width, size, size), flat[:, -3 * width:].reshape(fits, 3, width)
+        return after.where("kind = 'subject'").drop("kind", "sums"), more[:, 1] + penalties * more[:, 0] / 2, more[:, 2] / side_root, dots
 
     # The side term moves with the rest; its few vectors are kept here, scaled like the others. A lane whose step is too
     # long stays and tries half of it in the next pass, while the others go on.
