@@ -1,6 +1,9 @@
 import itertools
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from verdikt.functions.text import letters
 from verdikt.operators import graph as GR, identity as I, matching as M
 
@@ -179,3 +182,48 @@ def test_many_alike_match_in_few_steps(spark, monkeypatch):
     order = [i for i in range(n) if i % 3] + [i for i in range(n) if not i % 3]
     assert got == {i: (f"e{j:03d}", j < n - 1) for j, i in enumerate(order)}
     assert len(steps) < 60
+
+
+def test_tangled_classes_match_in_stretches(spark, monkeypatch):
+    """Classes that some but not all others meet, in groups too large for one task: few steps, and the pairs of best-first."""
+    rng = random.Random(5)
+    last = ["Vale", "Hunt", "Vales", "Ng"]
+    rows = [("T", i, "Hill", rng.choice(last), rng.choice(["", rng.choice(last)])) for i in range(160)]
+    cands = [("T", f"e{j:03d}", "Hill", [("Cara", rng.choice(last)), ("Rory", rng.choice(last))]) for j in range(140)]
+    teams, cands = spark.createDataFrame(rows, TEAM), spark.createDataFrame(cands, CAND)
+    columns = ["tournament", "row_idx", "entry_id", "tier", "score", "ambiguous"]
+    want = M.match_one_to_one(M.score_candidates(teams, cands), ["tournament"]).select(*columns).collect()
+    monkeypatch.setattr(M, "SMALL", 0)
+    monkeypatch.setattr(M, "IN_TURN", 250, raising=False)
+    steps, cut = [], M.cut_lineage
+    monkeypatch.setattr(M, "cut_lineage", lambda df, *by: steps.append(1) or cut(df, *by))
+    got = M.match_teams(teams, cands).where("entry_id is not null").select(*columns).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert len(steps) < 100
+
+
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_standings_by_class_equal_standings_by_pairs(spark, monkeypatch, small):
+    rng = random.Random(9)
+    n, last, halves = (50, ["Vale", "Hunt", "Hunts", "Ng"], ["Hill", "Dale", "Moor", "Glen"]) if small else (30, ["Vale", "Hunt"], ["Hill", "Dale"])
+    school = lambda: "/".join(rng.sample(halves, rng.choice([1, 1, 2]))) if rng.random() < 0.9 else "Lone"
+    initial = lambda: rng.choice(["", "", "C. "]) if small else ""
+    official = [(i, i + 1, 10.0, school(), initial() + rng.choice(last), rng.choice(["", rng.choice(last)])) for i in range(n)]
+    ours = [(f"t{j:02d}", school(), rng.choice(["Cara", ""]), rng.choice(last), "Rory", rng.choice(last), 9.0) for j in range(n)]
+    official = spark.createDataFrame(official, "row_idx int, rank int, points double, school string, partner1 string, partner2 string")
+    ours = spark.createDataFrame(ours, "team_id string, school string, first1 string, last1 string, first2 string, last2 string, points double")
+    listed = {}
+
+    def by_pairs(teams, candidates):
+        pairs = M.score_candidates(teams, candidates, "pool").join(teams.groupBy("pool").agg(F.min("turn").alias("turn_")), "pool")
+        listed["want"] = M.match_one_to_one(pairs, ["pool"], entry_scope=[], lead=["turn_"]).cache()
+        return listed["want"]
+
+    columns = ["row_idx", "team_id", "tier", "ambiguous", "delta"]
+    with monkeypatch.context() as m:
+        m.setattr(M, "match_pools", by_pairs, raising=False)
+        want = M.pair_standings(official, ours).select(*columns).collect()
+    monkeypatch.setattr(M, "score_candidates", None)
+    monkeypatch.setattr(M, "SMALL", small)
+    got = M.pair_standings(official, ours).select(*columns).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and sum(r.team_id is not None for r in got) > n // 3
